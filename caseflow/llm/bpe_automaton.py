@@ -122,15 +122,17 @@ class Automaton:
         order = np.argsort(keys)
         self.trie_key, self.trie_node = keys[order], np.array(list(child.values()), np.int64)[order]
         self.trie_token = np.array(token, np.int64)
-        self.longest = max(map(len, spelled.values()))
+        self.span = np.zeros(len(self.state_of), np.int64)
+        self.span[list(spelled)] = [len(symbols) for symbols in spelled.values()]
+        self.longest = int(self.span.max())
 
     def _has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         key = (state << BITS) + self.number[token]
         k = np.searchsorted(self.low, key, "right") - 1
         return (k < 0) | (self.high[np.maximum(k, 0)] <= key)
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """The tokens of each word, all words in step."""
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word as little-endian unsigned 32-bit integers, all words in step."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-length, kind="stable")
         length = length[order]
@@ -169,45 +171,22 @@ class Automaton:
                     left[some[ok]] = False
                     todo = todo[left]
         # back along the path, last token first
-        span = np.zeros(len(self.state_of), np.int64)
-        for node_token, n in self._spans():
-            span[node_token] = n
-        at, who, out_w, out_t, out_p = start + length, np.arange(len(words)), [], [], []
-        at, who = at[length > 0], who[length > 0]
-        low = start[length > 0]
+        at, low, ends, tokens = (start + length)[length > 0], start[length > 0], [], []
         while len(at):
             token = last[at - 1]
-            out_w.append(who), out_t.append(token), out_p.append(at)
-            at = at - span[token]
-            more = at > low
-            at, who, low = at[more], who[more], low[more]
-        result: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        if out_w:
-            w, t, p = np.concatenate(out_w), np.concatenate(out_t), np.concatenate(out_p)
-            o = np.argsort(p, kind="stable")  # positions rise with the word and within it
-            w, t = w[o], t[o]
-            cuts = np.flatnonzero(np.diff(w)) + 1
-            for piece, k in zip(np.split(t, cuts), w[np.r_[0, cuts]]):
-                result[order[k]] = piece
+            ends.append(at), tokens.append(token)
+            at = at - self.span[token]
+            at, low = at[at > low], low[at > low]
+        result = [b""] * len(words)
+        if ends:
+            place = np.concatenate(ends)
+            o = np.argsort(place, kind="stable")  # ends rise with the word and within it
+            flat = np.concatenate(tokens)[o].astype("<u4").tobytes()
+            cuts = (4 * np.searchsorted(place[o], np.r_[start, len(symbols)], "right")).tolist()
+            for k, i in enumerate(order.tolist()):
+                result[i] = flat[cuts[k] : cuts[k + 1]]
         return result
 
-    def _spans(self):
-        if not hasattr(self, "span_list"):
-            depth = {0: 0}
-            children: dict[int, list[int]] = {}
-            for key, node in zip(self.trie_key.tolist(), self.trie_node.tolist()):
-                children.setdefault(key >> 9, []).append(node)
-            todo, spans = [0], []
-            while todo:
-                n = todo.pop()
-                if self.trie_token[n] >= 0:
-                    spans.append((int(self.trie_token[n]), depth[n]))
-                for c in children.get(n, ()):
-                    depth[c] = depth[n] + 1
-                    todo.append(c)
-            self.span_list = spans
-        return self.span_list
-
 
 class WordTokenizer:
     """A tokenizers file with word ends: NFC, lower case, a split pattern, then the automaton per word."""
@@ -259,7 +238,7 @@ class WordTokenizer:
             self.known[label] = np.array([t], "<u4").tobytes()
         new = list({w for words in split for w in words if w not in self.known})
         for w, ids in zip(new, self.automaton.encode([w.encode() for w in new])):
-            self.known[w] = ids.astype("<u4").tobytes()
+            self.known[w] = ids
         take = self.known.__getitem__
         return [b"".join(map(take, words)) for words in split]
 
