@@ -14,6 +14,7 @@ def _lazy(module: str):
 
 #: name of the query -> module whose ``query`` runs it
 MODULES = {
+    "op3_packing": "packing",
     "op1_language_id": "language_id",
     "op2_bpe_automaton": "bpe_automaton",
     "op8_quality_rules": "quality_rules",
