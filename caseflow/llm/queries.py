@@ -14,10 +14,18 @@ def _lazy(module: str):
 
 #: name of the query -> module whose ``query`` runs it
 MODULES = {
+    "op4_warc_archive": "warc_archive",
     "op3_packing": "packing",
     "op1_language_id": "language_id",
     "op2_bpe_automaton": "bpe_automaton",
     "op8_quality_rules": "quality_rules",
 }
 QUERIES = {name: _lazy(module) for name, module in MODULES.items()}
-ORACLES: dict[str, str] = {}
+
+
+def _oracles() -> dict[str, str]:
+    found = {name: getattr(import_module(f"caseflow.llm.{module}"), "ORACLE", None) for name, module in MODULES.items()}
+    return {name: sql for name, sql in found.items() if sql}
+
+
+ORACLES: dict[str, str] = _oracles()
