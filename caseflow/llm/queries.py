@@ -14,6 +14,7 @@ def _lazy(module: str):
 
 #: name of the query -> module whose ``query`` runs it
 MODULES = {
+    "op5_secret_scan": "secret_scan",
     "op4_warc_archive": "warc_archive",
     "op3_packing": "packing",
     "op1_language_id": "language_id",
