@@ -14,6 +14,7 @@ def _lazy(module: str):
 
 #: name of the query -> module whose ``query`` runs it
 MODULES = {
+    "op7_suffix_dedup": "suffix_dedup",
     "op6_neighbours": "neighbours",
     "op5_secret_scan": "secret_scan",
     "op4_warc_archive": "warc_archive",
