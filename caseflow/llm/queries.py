@@ -14,6 +14,7 @@ def _lazy(module: str):
 
 #: name of the query -> module whose ``query`` runs it
 MODULES = {
+    "op10_html_extract": "html_extract",
     "op9_ngram_join": "ngram_join",
     "op7_suffix_dedup": "suffix_dedup",
     "op6_neighbours": "neighbours",
