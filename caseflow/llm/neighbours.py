@@ -51,7 +51,7 @@ class Hashing:
 
     def __init__(self, dim: int, functions: int, s: Settings):
         rng = np.random.default_rng(s.seed)
-        self.functions, self.s = functions, s
+        self.functions, self.s, self._template = functions, s, None
         self.a = rng.standard_normal((dim, s.tables * 24))[:, : s.tables * 24].reshape(dim, s.tables, 24)[:, :, :functions]
         self.b = rng.uniform(0, s.width, (s.tables, 24))[:, :functions]
 
@@ -68,29 +68,44 @@ class Hashing:
             h ^= h >> np.uint64(29)
         return h.view(np.int64)
 
-    def probes(self, position: np.ndarray, most: int) -> np.ndarray:
-        """Slots of the ``most`` buckets that most likely hold near vectors, best first, for one table."""
-        slot = np.floor(position)
-        out, m = [slot], self.functions
-        if m:
-            up = (slot + 1 - position) ** 2
-            down = (position - slot) ** 2
-            cost = np.r_[down, up]
-            order = np.argsort(cost, kind="stable")
-            z = cost[order]
-            heap = [(float(z[0]), (0,))]
+    def template(self, most: int) -> np.ndarray:
+        """Sets of border crossings (by rank of distance), about the ``most`` likeliest for an average query, the empty set first."""
+        if self._template is None:
+            m = self.functions
+            j = np.arange(1, 2 * m + 1)
+            back = 2 * m + 1 - j
+            # expected squared distances of the j-th nearest border, in slots
+            z = np.where(j <= m, j * (j + 1) / (4 * (m + 1) * (m + 2)), 1 - back / (m + 1) + back * (back + 1) / (4 * (m + 1) * (m + 2))).tolist()
+            out, heap = [()], [(z[0], (0,))] if m else []
             while heap and len(out) < most:
                 score, chosen = heappop(heap)
                 last = chosen[-1]
-                if last + 1 < 2 * m:  # shift the last crossing to the next border, or cross that one as well
-                    heappush(heap, (score - float(z[last]) + float(z[last + 1]), (*chosen[:-1], last + 1)))
-                    heappush(heap, (score + float(z[last + 1]), (*chosen, last + 1)))
-                which = order[list(chosen)]
-                if len(set((which % m).tolist())) == len(which):  # no function is moved both ways
-                    moved = slot.copy()
-                    moved[which % m] += np.where(which < m, -1, 1)
-                    out.append(moved)
-        return np.array(out)
+                if last + 1 < 2 * m:  # the last crossing moves on to the next border, or that one is crossed as well
+                    heappush(heap, (score - z[last] + z[last + 1], (*chosen[:-1], last + 1)))
+                    heappush(heap, (score + z[last + 1], (*chosen, last + 1)))
+                if not any(2 * m - 1 - c in chosen for c in chosen):  # no function is moved both ways
+                    out.append(chosen)
+            self._template = np.zeros((len(out), 2 * m), np.int8)
+            for k, chosen in enumerate(out):
+                self._template[k, list(chosen)] = 1
+        return self._template
+
+    def probes(self, position: np.ndarray, most: int) -> np.ndarray:
+        """Slots of the ``most`` buckets that most likely hold near vectors, best first, for one table.
+
+        The sets of the template are put in the order of this query's own distances.
+        """
+        slot, m = np.floor(position), self.functions
+        if not m:
+            return slot[None]
+        cost = np.r_[(position - slot) ** 2, (slot + 1 - position) ** 2]  # one slot down, one slot up
+        order = np.argsort(cost, kind="stable")
+        sets = self.template(self.s.most_probes + self.s.most_probes // 4)
+        best = sets[np.argsort(sets @ cost[order], kind="stable")[:most]]
+        crossed = np.zeros_like(best)
+        crossed[:, order] = best
+        down, up = crossed[:, :m], crossed[:, m:]
+        return (slot + up - down)[~(down & up).any(1)]
 
 
 def usable(v: Column) -> Column:
@@ -143,7 +158,10 @@ FOUND = "query_id long, ids array<long>, score double"
 
 
 def rank(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score from classes found in any block."""
+    """query_id, rank, vec_id, score from classes found in any block; classes are ranked before their ids are listed."""
+    found = found.groupBy("query_id", F.element_at("ids", 1).alias("least")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
+    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "least")
+    found = found.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
     each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -220,7 +238,7 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_i
     # a large bucket is dealt to several parts by class; its probes go to all of them
     size = rows.select("bucket").groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / s.bucket_rows).cast("int").alias("parts"))
     large = size.where("parts > 1")
-    blocks = max(parts, math.ceil(n * s.tables / s.bucket_rows))
+    blocks = math.ceil(n * s.tables / s.bucket_rows)
     block = lambda: F.pmod(F.xxhash64("bucket", "part"), F.lit(blocks)).cast("int").alias("block")
     dealt = rows.join(large, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce("parts", F.lit(1))).cast("int"))
     asked = queries.repartition(parts).mapInPandas(probe_rows, "query_id long, bucket long")
@@ -232,7 +250,11 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_i
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "ids": [], "score": []})
         where = left.reset_index(drop=True).groupby(["bucket", "part"]).indices
-        pick = [np.unique(np.concatenate([where.get((x["bucket"], x["part"]), np.zeros(0, np.int64)) for x in visits])) for visits in right["visits"]]
+        first = np.array([ids[0] for ids in left["ids"]])
+        pick = []
+        for visits in right["visits"]:
+            rows = np.concatenate([where.get((x["bucket"], x["part"]), np.zeros(0, np.int64)) for x in visits])
+            pick.append(rows[np.unique(first[rows], return_index=True)[1]])  # tables hold the same classes
         some = [i for i, p in enumerate(pick) if len(p)]
         if not some:
             return pd.DataFrame({"query_id": [], "ids": [], "score": []})
