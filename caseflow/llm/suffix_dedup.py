@@ -222,13 +222,16 @@ def repeated_windows(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
 # ---- the jobs
 
 
-def class_texts(keyed: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """One text per class (several parts for hot anchors): khash, shash, n, group, base, windows, body."""
+def class_texts(keyed: DataFrame, wanted: DataFrame, s: Settings, text: str) -> DataFrame:
+    """One text per class (several parts for hot anchors): khash, shash, n, group, base, windows, body.
+
+    Every column of ``keyed`` goes in, so that the exchange of the texts is the one that ``find_repeats`` needs again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("khash", "shash", "n", "group", "base", "windows", "body")}
-            texts, held = b.column("__text"), 0
+            texts, held = b.column(text), 0
             for k, cuts in enumerate(b.column("cuts").to_pylist()):
                 raw = (texts[k].as_py() or "").encode()
                 for c in cuts:
@@ -248,8 +251,7 @@ def class_texts(keyed: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
     ddl = "khash long, shash long, n long, group long, base int, windows int, body binary"
     each = wanted.groupBy("__id", "__tag").agg(F.collect_list(F.struct("first", "windows", "anchor", "khash", "shash", "n", "hot")).alias("cuts")).withColumnsRenamed({"__id": "c_id", "__tag": "c_tag"})
-    met = keyed.join(each, keyed["__id"].eqNullSafe(each["c_id"]) & (keyed["__tag"] == each["c_tag"])).select("__text", "cuts")
-    return met.mapInArrow(run, ddl)
+    return keyed.join(each, (keyed["__id"] == each["c_id"]) & (keyed["__tag"] == each["c_tag"])).mapInArrow(run, ddl)
 
 
 def _parts(raw: bytes, c: dict, s: Settings, slices: int = 8) -> list[tuple[int, int, int]]:
@@ -278,10 +280,10 @@ def _class_batch(out: dict[str, list]) -> pa.RecordBatch:
 def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``repeats``: array<struct<start, end>> of repeated bytes (null if none), unmerged.
 
-    Rows are known by their id and a hash of their text, so repeated ids do no harm.
+    Rows are known by two hashes of their id and text, so repeated and null ids do no harm.
     """
-    keyed = docs.select("*", F.col(doc_id).cast("long").alias("__id"), F.hash(text).alias("__tag"), F.col(text).alias("__text"))
-    all_stretches = anchored(keyed.select("__id", "__tag", "__text"), s)
+    keyed = docs.select("*", F.xxhash64(doc_id, text).alias("__id"), F.hash(text).alias("__tag"))
+    all_stretches = anchored(keyed.select("__id", "__tag", F.col(text).alias("__text")), s)
     again = all_stretches.withColumn("times", F.count("*").over(Window.partitionBy("khash"))).where("times > 1").drop("times")
     again = stash(again, "stretches")
     classes = again.groupBy("khash", "shash").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__tag", "first", "windows", "anchor")).alias("rep"))
@@ -290,13 +292,13 @@ def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_i
     buckets = max(1, windows // s.bucket_windows)
     hot = classes.groupBy("khash").count().where(F.col("count") > s.hot_classes).select("khash", F.lit(True).alias("hot"))
     wanted = classes.join(hot, "khash", "left").select("khash", "shash", "n", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    bodies = class_texts(keyed.select("__id", "__tag", "__text"), wanted, s)
+    bodies = class_texts(keyed, wanted, s, text)
     runs = bodies.groupBy(F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: repeated_windows(pdf, s), "khash long, shash long, low int, high int")
     verdict = runs.groupBy("khash", "shash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     found = again.join(verdict, ["khash", "shash"]).select("__id", "__tag", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("start"), (F.col("first") + r["high"] - 1 + s.length).alias("end")))).alias("span"))
     found = found.groupBy(F.col("__id").alias("f_id"), F.col("__tag").alias("f_tag")).agg(F.collect_list("span").alias("repeats"))
-    met = keyed.join(found, keyed["__id"].eqNullSafe(found["f_id"]) & (keyed["__tag"] == found["f_tag"]), "left")
-    return met.drop("__id", "__tag", "__text", "f_id", "f_tag")
+    met = keyed.join(found, (keyed["__id"] == found["f_id"]) & (keyed["__tag"] == found["f_tag"]), "left")
+    return met.drop("__id", "__tag", "f_id", "f_tag")
 
 
 def cut_out(raw: bytes, repeats: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
