@@ -97,18 +97,16 @@ def prefix_of(s: np.ndarray, frequent: np.ndarray, st: Settings) -> np.ndarray:
 
 def bitmap_of(s: np.ndarray) -> np.ndarray:
     """A bit per shingle in at least twice as many bits, a power of two, as 64-bit words."""
-    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    bits = 1 << max(6, int(2 * len(s)).bit_length())
     place = (s >> np.uint64(20)).astype(np.int64) & (bits - 1)
     words = np.zeros(bits >> 6, np.uint64)
     np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
     return words
 
 
-def sized_to(bitmap: np.ndarray, words: int) -> np.ndarray:
-    """Folded or repeated to a length; both can only raise an overlap's bound."""
-    if len(bitmap) > words:
-        return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0)
-    return np.tile(bitmap, words // len(bitmap))
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap in fewer words; bits that fall together can only raise an overlap's bound."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0) if len(bitmap) > words else bitmap
 
 
 # ---- signature trees
@@ -117,68 +115,78 @@ def sized_to(bitmap: np.ndarray, words: int) -> np.ndarray:
 class SignatureTree:
     """Classes in order of size, grouped into nodes with OR-ed bitmaps and size ranges."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], st: Settings, most_words: int = 256):
-        self.st = st
-        self.order = np.argsort(sizes, kind="stable")
-        words = min(most_words, max(map(len, bitmaps)))
-        self.size = sizes[self.order].astype(np.int64)
-        self.bits = np.array([sized_to(bitmaps[i], words) for i in self.order])
-        folded = [len(bitmaps[i]) for i in self.order]
-        held = np.array([int(np.bitwise_count(sized_to(bitmaps[i], min(words, n))).sum()) for i, n in zip(self.order, folded)], np.int64)
-        self.shared = self.size - held  # shingles that share a bit with another of the same set
-        # levels of (first, behind last) positions, OR-ed bitmaps, largest ``shared``
-        self.levels = [self._level(np.arange(0, len(sizes), st.leaf), len(sizes))]
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], words: int, st: Settings):
+        self.members = members[np.argsort(sizes[members], kind="stable")]
+        self.size = sizes[self.members].astype(np.int64)
+        self.bits = np.array([folded(bitmaps[i], words) for i in self.members])
+        self.shared = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)  # shingles on a bit of another one's
+        # levels of (first, behind last) positions, OR-ed bitmaps, largest ``shared``; the leaves come first
+        self.levels = [self._level(np.arange(0, len(members), st.leaf))]
         while len(self.levels[-1][0]) > 1:
-            self.levels.append(self._level(self.levels[-1][0][:: st.fan_out], len(sizes)))
-
-    def _level(self, first: np.ndarray, n: int):
-        return first, np.r_[first[1:], n], np.bitwise_or.reduceat(self.bits, first, axis=0), np.maximum.reduceat(self.shared, first)
-
-    def _need(self, a, b):
-        """Least overlap of linked sets of these sizes."""
-        return -(-self.st.at_least * (a + b) // (self.st.at_least + self.st.of))
-
-    def _possible(self, level: int, i: int, k: int) -> bool:
-        first, last, bits, shared = self.levels[level]
-        low_i, high_i = self.size[first[i]], self.size[last[i] - 1]
-        low_k, high_k = self.size[first[k]], self.size[last[k] - 1]
-        if high_i * self.st.of < low_k * self.st.at_least or high_k * self.st.of < low_i * self.st.at_least:
-            return False
-        most = min(high_i, high_k, int(np.bitwise_count(bits[i] & bits[k]).sum()) + max(shared[i], shared[k]))
-        return most >= self._need(low_i, low_k)
-
-    def pairs(self, node: tuple[int, int, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (in ``order``) of pairs that could link, leaf pair by leaf pair."""
-        todo = [node or (len(self.levels) - 1, 0, 0)]
-        while todo:
-            level, i, k = todo.pop()
-            if not self._possible(level, i, k):
-                continue
-            first, last, _, _ = self.levels[level]
-            if level:
-                below = self.levels[level - 1][0]
-                inside = [range(*np.searchsorted(below, (first[x], last[x]))) for x in (i, k)]
-                todo += [(level - 1, a, b) for a in inside[0] for b in inside[1] if i != k or a <= b]
-                continue
-            a, b = np.arange(first[i], last[i]), np.arange(first[k], last[k])
-            overlap = np.bitwise_count(self.bits[a][:, None, :] & self.bits[b][None, :, :]).sum(2, dtype=np.int64)
-            overlap = np.minimum(overlap + np.minimum(self.shared[a][:, None], self.shared[b][None, :]), np.minimum(self.size[a][:, None], self.size[b][None, :]))
-            ok = overlap >= self._need(self.size[a][:, None], self.size[b][None, :])
-            if i == k:
-                ok = np.triu(ok, 1)
-            x, y = np.nonzero(ok)
-            if len(x):
-                yield a[x], b[y]
+            self.levels.append(self._level(self.levels[-1][0][:: st.fan_out]))
+
+    def _level(self, first: np.ndarray):
+        return first, np.r_[first[1:], len(self.members)], np.bitwise_or.reduceat(self.bits, first, axis=0), np.maximum.reduceat(self.shared, first)
+
+    def below(self, level: int, node: int) -> range:
+        first, last = self.levels[level][0][node], self.levels[level][1][node]
+        return range(*np.searchsorted(self.levels[level - 1][0], (first, last)))
+
+
+def least_overlap(a, b, st: Settings):
+    """Shingles that linked sets of these sizes share at least."""
+    return -(-st.at_least * (a + b) // (st.at_least + st.of))
+
+
+def meet(x: SignatureTree, y: SignatureTree, st: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of two trees (or of one, with itself) that could link, leaf pair by leaf pair."""
+    todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
+    while todo:
+        lx, i, ly, k = todo.pop()
+        (fx, tx, bx, sx), (fy, ty, by, sy) = x.levels[lx], y.levels[ly]
+        low_x, high_x, low_y, high_y = x.size[fx[i]], x.size[tx[i] - 1], y.size[fy[k]], y.size[ty[k] - 1]
+        if high_x * st.of < low_y * st.at_least or high_y * st.of < low_x * st.at_least:
+            continue
+        most = min(high_x, high_y, int(np.bitwise_count(bx[i] & by[k]).sum()) + min(sx[i], sy[k]))
+        if most < least_overlap(low_x, low_y, st):
+            continue
+        if lx or ly:  # down the higher one, both of one tree at once
+            if x is y:
+                todo += [(lx - 1, p, ly - 1, q) for p in x.below(lx, i) for q in y.below(ly, k) if i != k or p <= q]
+            elif lx >= ly:
+                todo += [(lx - 1, p, ly, k) for p in x.below(lx, i)]
+            else:
+                todo += [(lx, i, ly - 1, q) for q in y.below(ly, k)]
+            continue
+        a, b = np.arange(fx[i], tx[i]), np.arange(fy[k], ty[k])
+        overlap = np.bitwise_count(x.bits[a][:, None, :] & y.bits[b][None, :, :]).sum(2, dtype=np.int64)
+        overlap += np.minimum(x.shared[a][:, None], y.shared[b][None, :])
+        ok = np.minimum(overlap, np.minimum(x.size[a][:, None], y.size[b][None, :])) >= least_overlap(x.size[a][:, None], y.size[b][None, :], st)
+        if x is y and i == k:
+            ok = np.triu(ok, 1)
+        p, q = np.nonzero(ok)
+        if len(p):
+            yield x.members[a[p]], y.members[b[q]]
+
+
+def possible_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], st: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs that the bitmaps allow: a tree for each bitmap length, joined with itself and the next length's."""
+    words = np.array([len(b) for b in bitmaps])
+    for w in np.unique(words).tolist():
+        here = SignatureTree(np.flatnonzero(words == w), sizes, bitmaps, w, st)
+        yield from meet(here, here, st)
+        longer = np.flatnonzero(words == 2 * w)  # sets that could link differ by less than a factor of two
+        if len(longer):
+            yield from meet(here, SignatureTree(longer, sizes, bitmaps, w, st), st)
 
 
 def possible_partners(sizes: np.ndarray, bitmaps: list[np.ndarray], st: Settings) -> np.ndarray:
     """Which classes have a partner that the bitmaps allow."""
     hit = np.zeros(len(sizes), bool)
     if len(sizes) > 1:
-        tree = SignatureTree(sizes, bitmaps, st)
-        for a, b in tree.pairs():
-            hit[tree.order[a]] = True
-            hit[tree.order[b]] = True
+        for a, b in possible_pairs(sizes, bitmaps, st):
+            hit[a] = True
+            hit[b] = True
     return hit
 
 
@@ -197,20 +205,18 @@ def connect(sets: list[np.ndarray], st: Settings, hub: int | None = None) -> np.
             x = parent[x]
         return x
 
-    def join(x: int, y: int) -> None:
-        x, y = find(x), find(y)
+    def join(i: int, k: int) -> None:
+        x, y = find(i), find(k)
         if x != y and linked(sets[i], sets[k], st):
             parent[max(x, y)] = min(x, y)
 
     if hub is not None:
-        i = hub
         for k in range(len(sets)):
             if k != hub:
-                join(i, k)
+                join(hub, k)
     if len({find(x) for x in range(len(sets))}) > 1:
-        tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap_of(s) for s in sets], st)
-        for a, b in tree.pairs():
-            for i, k in zip(tree.order[a].tolist(), tree.order[b].tolist()):
+        for a, b in possible_pairs(np.array([len(s) for s in sets]), [bitmap_of(s) for s in sets], st):
+            for i, k in zip(a.tolist(), b.tolist()):
                 if find(i) != find(k):
                     join(i, k)
     return np.array([find(x) for x in range(len(sets))])
@@ -274,33 +280,37 @@ def prefixes(keyed: DataFrame, frequent: np.ndarray, st: Settings, remember: int
     return keyed.mapInArrow(run, "key long, class long")
 
 
-def _class_sets(keyed: DataFrame, reps: DataFrame, st: Settings) -> DataFrame:
-    """(class, n, bits, items) of one text per class."""
+def _class_texts(keyed: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, __text) for the given classes, from one row each; rows that are repeated whole give it again."""
+    reps = rows.join(classes, "class").groupBy("class").agg(F.min(F.struct("__id", "__tag")).alias("r")).select("class", F.col("r.__id").alias("r_id"), F.col("r.__tag").alias("r_tag"))
+    return keyed.join(reps, keyed["__id"].eqNullSafe(reps["r_id"]) & (keyed["__tag"] == reps["r_tag"])).select("class", "__text")
+
+
+def _sets(texts: DataFrame, st: Settings, column: str, value) -> DataFrame:
+    """(class, n, ``column``): the set of each text, as ``value`` writes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in steps(whole, "__text"):
                 sets = shingle_sets(b.column("__text").to_pylist(), st.words)
-                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "n", "bits", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([len(s) for s in sets], pa.int64()), pa.array([value(s).tobytes() for s in sets], pa.binary())], ["class", "n", column])
 
-    met = keyed.join(reps, keyed["__id"].eqNullSafe(reps["r_id"]) & (keyed["__tag"] == reps["r_tag"])).dropDuplicates(["class"])
-    return met.select("class", "__text").mapInArrow(run, "class long, n long, bits binary, items binary")
+    return texts.mapInArrow(run, f"class long, n long, {column} binary")
 
 
 def _dealt(members: DataFrame, weight: str, most: int) -> DataFrame:
-    """Members of each hub dealt to chunks of about ``most`` weight, and the hub itself in every chunk of its block."""
+    """(hub, class, chunks, chunk): members of each hub dealt to chunks of about ``most`` weight, the hub in all of its block's."""
     size = members.groupBy("hub").agg(F.ceil(F.sum(weight) / most).cast("int").alias("chunks"))
     rows = members.join(size, "hub")
-    own = rows.where("class <> hub").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    hub = rows.where("class = hub").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return own.unionByName(hub)
+    own = F.array(F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    return rows.withColumn("chunk", F.explode(F.when(F.col("class") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own))).select("hub", "class", "chunks", "chunk")
 
 
 def _run_blocks(members: DataFrame, keys: list[str], work, schema: str, parts: int) -> DataFrame:
     """``work(pdf)`` per block; a task takes many blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = [work(block) for _, block in pdf.groupby(keys, sort=False)]
+        done = [work(block.drop_duplicates("class")) for _, block in pdf.groupby(keys, sort=False)]
         return pd.concat(done) if done else pd.DataFrame()
 
     return members.groupBy(F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("__part")).applyInPandas(run, schema)
@@ -308,33 +318,27 @@ def _run_blocks(members: DataFrame, keys: list[str], work, schema: str, parts: i
 
 def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, pairs): __id, __tag, n and class of each text; (a, b) pairs of classes whose components are those of all links."""
-    keyed = _keyed(docs, doc_id, text)
+    keyed, parts = _keyed(docs, doc_id, text), 4 * max(fanout(docs), 1)
     seen = stash(sets_and_frequent(keyed, st), "sets")
     rows = seen.where("shingle is null").select("__id", "__tag", "n", "class")
     often = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= st.frequent_from)
     often = often.orderBy(F.desc("times"), "shingle").limit(st.frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
     by_key = Window.partitionBy("key")
     keys = prefixes(keyed, often, st).withColumn("hub", F.min("class").over(by_key)).withColumn("last", F.max("class").over(by_key))
-    edges = keys.where("hub < last and class <> hub").select("hub", "class").distinct()
-    edges = stash(edges, "edges")
+    edges = stash(keys.where("hub < last and class <> hub").select("hub", "class").distinct(), "edges")
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("class")).distinct())
-    some = members.select("class").distinct()
-    reps = rows.join(some, "class").groupBy("class").agg(F.min(F.struct("__id", "__tag")).alias("r")).select("class", F.col("r.__id").alias("r_id"), F.col("r.__tag").alias("r_tag"))
-    sets = stash(_class_sets(keyed, reps, st), "items")
-    parts = max(fanout(docs), 1)
 
     # on bitmaps: who has a possible partner, within and across the chunks of a block
     def partners(pdf: pd.DataFrame) -> pd.DataFrame:
         hit = possible_partners(pdf["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["bits"]], st)
         return pdf.loc[hit, ["hub", "class"]]
 
-    whole = _dealt(members.join(sets.select("class", "n", "bits"), "class").withColumn("one", F.lit(1)), "one", st.chunk_classes)
-    kept = _run_blocks(whole.where("chunks = 1"), ["hub"], partners, "hub long, class long", 4 * parts)
-    pairs_of = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("k"))))
-    large = whole.where("chunks > 1").select("hub", "class", "n", "bits", pairs_of.alias("pair")).select("hub", "class", "n", "bits", "pair.i", "pair.k").dropDuplicates(["hub", "class", "i", "k"])
-    kept = kept.unionByName(_run_blocks(large, ["hub", "i", "k"], partners, "hub long, class long", 4 * parts)).distinct()
-    kept = kept.unionByName(kept.select("hub", F.col("hub").alias("class"))).distinct()
-    kept = stash(kept, "kept")
+    bits = _sets(_class_texts(keyed, rows, members.select("class").distinct()), st, "bits", bitmap_of)
+    dealt = _dealt(members.withColumn("one", F.lit(1)), "one", st.chunk_classes)
+    meet = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("k")))
+    pairs = dealt.select("hub", "class", F.explode(meet).alias("pair")).select("hub", "class", "pair.i", "pair.k").distinct()
+    kept = _run_blocks(pairs.join(bits, "class"), ["hub", "i", "k"], partners, "hub long, class long", parts).distinct()
+    kept = stash(kept.unionByName(kept.select("hub", F.col("hub").alias("class"))).distinct(), "kept")
 
     # on sets: verified links; each class gets the smallest class it is connected to within its chunk
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -346,15 +350,19 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
         return pd.DataFrame({"hub": pdf["hub"].to_numpy(), "a": names, "b": names[root], "to_hub": to_hub})
 
     found = "hub long, a long, b long, to_hub boolean"
-    second = _dealt(kept.join(sets.select("class", "n", "items"), "class"), "n", st.chunk_shingles)
-    first = stash(_run_blocks(second, ["hub", "chunk"], joined, found, 4 * parts), "links")
-    # classes of chunked blocks that aren't connected to the hub meet every other chunk
-    apart = second.where("chunks > 1").join(first.where("not to_hub").select("hub", F.col("a").alias("class")).distinct(), ["hub", "class"], "left_semi")
-    across = apart.select("hub", "class", "items", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("to"), F.lit(True).alias("moved"), "chunk")
-    across = across.where("to <> chunk").drop("chunk").unionByName(second.where("chunks > 1").select("hub", "class", "items", F.col("chunk").alias("to"), F.lit(False).alias("moved")))
-    across = across.withColumn("any_moved", F.max("moved").over(Window.partitionBy("hub", "to"))).where("any_moved").dropDuplicates(["hub", "to", "class"])
-    more = _run_blocks(across, ["hub", "to"], joined, found, 4 * parts)
-    return rows, first.unionByName(more).where("a <> b").select("a", "b").distinct()
+    sizes = rows.groupBy("class").agg(F.first("n").alias("n"))
+    chunks = stash(_dealt(kept.join(sizes, "class"), "n", st.chunk_shingles), "chunks")
+    items = stash(_sets(_class_texts(keyed, rows, kept.select("class").distinct()), st, "items", lambda s: s), "items").select("class", "items")
+    first = stash(_run_blocks(chunks.join(items, "class"), ["hub", "chunk"], joined, found, parts), "links")
+    # classes of blocks in several chunks that aren't connected to the hub meet every other chunk
+    several = chunks.where("chunks > 1")
+    apart = several.join(first.where("not to_hub").select("hub", F.col("a").alias("class")).distinct(), ["hub", "class"], "left_semi")
+    if apart.limit(1).count():
+        moved = apart.select("hub", "class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("to"), "chunk").where("to <> chunk").select("hub", "class", "to")
+        home = several.select("hub", "class", F.col("chunk").alias("to")).join(moved.select("hub", "to").distinct(), ["hub", "to"], "left_semi")
+        across = moved.unionByName(home).distinct().join(items, "class")
+        first = first.unionByName(_run_blocks(across, ["hub", "to"], joined, found, parts))
+    return rows, first.where("a <> b").select("a", "b").distinct()
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
