@@ -1,6 +1,1053 @@
-"""Registered queries over the driver's tables, and their SQL counterparts."""
+"""Registered queries over the driver's tables, and their SQL counterparts.
+
+The tables stand in for the engine's own (FIXTURES part B): orders for items, customers for batches,
+lineitem for evidence, conversations for pages, sections and chunks, events for status events.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from caseflow.functions import text as T
+from caseflow.operators import classify, find, match, quality, rules, structure, worklog
+from caseflow.packs import generic, labour_br
+from caseflow.sources.shared import shared_dir, stream_of
+from caseflow.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- corpus extraction
+
+_EMAIL, _IP, _PHONE = generic.EMAIL, generic.IPV4, generic.PHONE
+
+
+@query(
+    rf"""
+WITH f AS (SELECT lang, regexp_extract(coalesce(text, ''), '{_EMAIL}', 0) AS e, regexp_extract(coalesce(text, ''), '{_IP}', 0) AS i, regexp_extract(coalesce(text, ''), '{_PHONE}', 0) AS p FROM documents)
+SELECT lang, count(*) AS docs, count(*) FILTER (e <> '') AS with_email,
+  count(*) FILTER (i <> '' AND list_max(list_transform(string_split(i, '.'), lambda o: try_cast(o AS int))) <= 255) AS with_ipv4, count(*) FILTER (p <> '') AS with_phone
+FROM f GROUP BY lang"""
+)
+def contact_coverage(spark, sf_dir):
+    """E-core, A9: documents with contact data, by language."""
+    docs = t(spark, sf_dir, "documents")
+    found = rules.extract(docs, generic.PACK, fields=["email", "ipv4", "phone"], keep=("doc_id", "lang"), provenance=False)
+    return quality.coverage_report(found, ["email", "ipv4", "phone"], by=["lang"])
+
+
+@query(
+    rf"""
+WITH m AS (SELECT doc_id, 'email' AS field, list_distinct(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) AS v FROM documents
+  UNION ALL SELECT doc_id, 'ipv4', list_distinct(regexp_extract_all(coalesce(text, ''), '{_IP}')) FROM documents)
+SELECT doc_id, field, unnest(v) AS value FROM m"""
+)
+def contact_matches(spark, sf_dir):
+    """E-core, U1: every distinct match."""
+    return rules.extract_all(t(spark, sf_dir, "documents"), {"email": _EMAIL, "ipv4": _IP}).select("doc_id", "field", "value")
+
+
+@query(
+    r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links FROM pages"""
+)
+def page_titles(spark, sf_dir):
+    """E-core over raw pages."""
+    return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
+
+
+@query(
+    r"""
+WITH m AS (SELECT doc_id, regexp_extract(text, '(?s).{0,50}\d{16}.{0,50}', 0) AS near, regexp_extract(text, '\d{16}', 0) AS v FROM documents)
+SELECT doc_id, v AS number, CASE WHEN regexp_matches(lower(near), 'token|secret|key') THEN NULL ELSE v END AS accepted FROM m WHERE v <> ''"""
+)
+def context_veto(spark, sf_dir):
+    """numbers whose neighbourhood names a secret aren't taken."""
+    rule = rules.Rule("number", r"\d{16}", 0, veto=("token", "secret", "key"))
+    docs = t(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.regexp_extract("text", r"\d{16}", 0).alias("number"), rule.value(F.col("text")).alias("accepted")).where("number <> ''")
+
+
+_CASE_TEXT = "concat('Processo ', lpad(cast(o_orderkey AS string), 7, '0'), '-01.2024.5.', lpad(cast(o_custkey % 24 AS string), 2, '0'), '.0007', chr(10), 'Distribuído em ', date_format(o_orderdate, 'dd.MM.yyyy'), chr(10), 'Valor da causa: R$ ', translate(format_number(o_totalprice, 2), ',.', '.,'), chr(10), 'RECLAMANTE: Pessoa ', cast(o_custkey AS string), chr(10), CASE o_orderstatus WHEN 'O' THEN 'julgo improcedente o pedido' WHEN 'F' THEN 'julgo procedente o pedido' ELSE 'foi demitida sem justa causa' END, chr(10), 'salário base: R$ ', translate(format_number(1000 + o_custkey, 1), ',.', '.,'), chr(10), 'PIS/PASEP: ', lpad(cast(o_orderkey AS string), 11, '1'))"
+
+
+def _case_texts(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_CASE_TEXT).alias("text"))
+
+
+@query(
+    r"""
+WITH o AS (SELECT o_orderkey AS doc_id, *, lpad(cast(o_orderkey AS varchar), 7, '0') AS n, lpad(cast(o_orderkey AS varchar), 11, '1') AS p FROM orders)
+SELECT doc_id, n || '-01.2024.5.' || lpad(cast(o_custkey % 24 AS varchar), 2, '0') || '.0007' AS case_number, strftime(o_orderdate, '%d/%m/%Y') AS filing_date,
+  translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS claim_value, 'Pessoa ' || o_custkey AS plaintiff,
+  CASE o_orderstatus WHEN 'P' THEN 'Dispensa Sem Justa Causa' END AS dismissal_reason, CASE o_orderstatus WHEN 'O' THEN 'Indeferido' WHEN 'F' THEN 'Deferido' END AS decision_result,
+  CASE WHEN o_orderstatus <> 'P' THEN 'Sentença' END AS decision_type, 'R$ ' || translate(format('{:,.1f}', 1000.0 + o_custkey), ',.', '.,') || '0' AS salary,
+  p[1:3] || '.' || p[4:8] || '.' || p[9:10] || '-' || p[11] AS pis
+FROM o"""
+)
+def labour_cases(spark, sf_dir):
+    """The labour pack on a text per order."""
+    fields = ["case_number", "filing_date", "claim_value", "plaintiff", "dismissal_reason", "decision_result", "decision_type", "salary", "pis"]
+    return rules.extract(_case_texts(spark, sf_dir), labour_br.PACK, fields=fields, provenance=False)
+
+
+@query(
+    r"""
+SELECT o_orderkey AS doc_id, 'Ata de Audiência' AS type, 0.95 AS confidence FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, 'Outros', 0.5 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'Sentença', 0.9 FROM orders WHERE o_orderstatus = 'P'"""
+)
+def document_types(spark, sf_dir):
+    """E31"""
+    text = F.expr("CASE o_orderstatus WHEN 'F' THEN 'ATA DE AUDIÊNCIA realizada' WHEN 'P' THEN 'Sentença. Julgo procedente o pedido' ELSE 'nada consta' END")
+    kind = classify.document_type(text)
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), kind["type"].alias("type"), kind["confidence"].alias("confidence"))
+
+
+_GENERIC_CLASSES = (
+    classify.DocumentClass("table", (r" \| ", r" \|\n", r"\| "), 1000, 2, 0.9),
+    classify.DocumentClass("symbols", (r"\*\*\*", "###", r"\$\$\$", "%%%"), 2000, 3, 0.85),
+    classify.DocumentClass("licence", ("licensed under", "general public license", "all rights reserved"), 2000, 1, 0.8),
+)
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents),
+h AS (SELECT doc_id, x, contains(left(x, 1000), ' | ')::int + contains(left(x, 1000), ' |' || chr(10))::int + contains(left(x, 1000), '| ')::int AS a,
+  contains(left(x, 2000), '***')::int + contains(left(x, 2000), '###')::int + contains(left(x, 2000), '$$$')::int + contains(left(x, 2000), '%%%')::int AS b,
+  contains(left(x, 2000), 'licensed under')::int + contains(left(x, 2000), 'general public license')::int + contains(left(x, 2000), 'all rights reserved')::int AS c FROM d)
+SELECT CASE WHEN x = '' THEN 'other' WHEN a >= 2 THEN 'table' WHEN b >= 3 THEN 'symbols' WHEN c >= 1 THEN 'licence' ELSE 'other' END AS kind, count(*) AS n FROM h GROUP BY 1"""
+)
+def generic_document_types(spark, sf_dir):
+    """E31 with other classes: the classes are data."""
+    docs = t(spark, sf_dir, "documents")
+    return docs.groupBy(classify.document_type("text", _GENERIC_CLASSES, "other")["type"].alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""
+SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'Ring' WHEN p_name LIKE '%bolt%' OR p_name LIKE '%nut%' THEN 'Fastener' ELSE 'Other' END AS family,
+  CASE WHEN p_name LIKE '%red%' THEN 'warm' WHEN p_name LIKE '%blue%' THEN 'cold' END AS tone FROM part"""
+)
+def keyword_ladders(spark, sf_dir):
+    """E36, P11"""
+    ladders = {"family": ([("ring", "Ring"), ("bolt|nut", "Fastener")], "Other"), "tone": ([("red", "warm"), ("blue", "cold")], None)}
+    return classify.keyword_ladders(t(spark, sf_dir, "part"), "p_name", ladders).select("p_partkey", "family", "tone")
+
+
+@query(
+    r"""
+SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN p_brand END AS p_brand, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN p_size WHEN p_type = 'LARGE' THEN NULL ELSE NULL END AS p_size
+FROM part WHERE p_type IN ('ECONOMY', 'SMALL')"""
+)
+def masked_fields(spark, sf_dir):
+    """E32"""
+    mask = spark.sql("SELECT * FROM VALUES ('ECONOMY', 'p_brand'), ('ECONOMY', 'p_size'), ('SMALL', 'p_size') AS m(type, field)")
+    parts = t(spark, sf_dir, "part").where("p_type in ('ECONOMY', 'SMALL')")
+    return classify.mask_fields(parts, mask, ["p_brand", "p_size"], "p_type").select("p_partkey", "p_brand", "p_size")
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query(
+    r"""
+SELECT doc_id, trim(regexp_replace(strip_accents(lower(regexp_replace(left(coalesce(text, ''), 200), '[^a-zA-Zà-üÀ-Ü ]', ' ', 'g'))), '\s+', ' ', 'g')) AS folded FROM documents"""
+)
+def folded_heads(spark, sf_dir):
+    """F1"""
+    head = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(200)), "[^a-zA-Zà-üÀ-Ü ]", " ")
+    return t(spark, sf_dir, "documents").select("doc_id", T.fold(head, "lower").alias("folded"))
+
+
+@query(
+    r"""
+SELECT o_orderkey, translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS br, round(o_totalprice, 2) AS value, strftime(o_orderdate, '%d/%m/%Y') AS br_date, strftime(o_orderdate, '%Y-%m-%d') AS typed,
+  lpad(cast(o_orderkey AS varchar), 7, '0') || '-00.2024.5.13.0007' AS case_number, '13' AS region, lpad(cast(CASE WHEN o_custkey % 150 BETWEEN 1 AND 99 THEN o_custkey % 150 ELSE 1 END AS varchar), 2, '0') AS unit
+FROM orders"""
+)
+def formatted_fields(spark, sf_dir):
+    """F4, F8, F11, F12, F19"""
+    o = t(spark, sf_dir, "orders")
+    br = F.expr("substring(x, 4)")
+    rows = o.withColumn("x", T.money_format(F.col("o_totalprice"))).withColumn("d", T.date_separators(F.date_format("o_orderdate", "dd - MM . yyyy")))
+    number = T.case_number_canonical(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit("0020245130007")))
+    return rows.select("o_orderkey", br.alias("br"), T.money_to_decimal("x").cast("double").alias("value"), F.when(T.date_in_format("d"), F.col("d")).alias("br_date"), T.to_date_br("d").cast("string").alias("typed"), number.alias("case_number"), T.case_number_parts(number)["region"].alias("region"), T.unit_number(F.concat((F.col("o_custkey") % 150).cast("string"), F.lit("ª Vara"))).alias("unit"))
+
+
+@query(
+    r"""
+SELECT a.p_partkey, len(list_intersect(list_distinct(string_split(a.p_name, ' ')), ['red', 'steel', 'bolt']))::double / len(list_distinct(list_concat(string_split(a.p_name, ' '), ['red', 'steel', 'bolt']))) AS score FROM part a"""
+)
+def token_overlap(spark, sf_dir):
+    """F14"""
+    return t(spark, sf_dir, "part").select("p_partkey", T.jaccard(T.tokens("p_name"), T.tokens(F.lit("Red steel BOLT"))).alias("score"))
+
+
+@query(
+    r"""
+SELECT p_name, 1 - levenshtein(upper(p_name), 'RED WIDGET')::double / greatest(length(p_name), 10) AS score FROM (SELECT DISTINCT p_name FROM part)"""
+)
+def edit_ratio(spark, sf_dir):
+    """F16"""
+    return t(spark, sf_dir, "part").select("p_name").distinct().withColumn("score", T.ratio("p_name", F.lit("red widget")))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false END AS flag, event_type = 'error' OR user_id % 3 = 0 AS hit FROM events")
+def truth_values(spark, sf_dir):
+    """P9, P10"""
+    word = F.expr("CASE event_type WHEN 'click' THEN ' Sim' WHEN 'view' THEN 'NÃO' ELSE 'talvez' END")
+    place = F.expr("CASE WHEN event_type = 'error' OR user_id % 3 = 0 THEN 'Recife - PE' ELSE 'nowhere' END")
+    return t(spark, sf_dir, "events").select("event_id", T.truthy(word).alias("flag"), T.pick_region(place, codes=labour_br.STATES).isNotNull().alias("hit"))
+
+
+@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS int) AS k, [props, 'b'] AS plain, len([props]) AS n FROM events")
+def json_columns(spark, sf_dir):
+    """An array in JSON, and one that was encoded twice."""
+    e = t(spark, sf_dir, "events")
+    plain, twice = F.to_json(F.array("props", F.lit("b"))), F.to_json(F.array(F.to_json(F.array("props"))))
+    inner = F.substring(twice, 2, 1_000_000)
+    doubled = F.expr("substring(inner, 1, length(inner) - 1)")
+    rows = e.withColumn("inner", inner)
+    return rows.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), T.parse_json_array(plain).alias("plain"), F.size(T.parse_json_array(doubled)).cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- quality
+
+
+@query(
+    """
+SELECT d.lang, count(*) AS total, count(*) FILTER (l.quality IS NULL) AS missing_quality, count(*) FILTER (l.toxic IS NULL) AS missing_toxic
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang"""
+)
+def label_gaps(spark, sf_dir):
+    """P3, A2"""
+    met = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    return quality.missing_stats(met, ["quality", "toxic"], ["lang"])
+
+
+@query(
+    """
+SELECT d.doc_id, array_to_string(list_filter([CASE WHEN l.quality IS NULL THEN 'Quality' END, CASE WHEN l.toxic IS NULL THEN 'Toxicity' END, CASE WHEN trim(d.source) = '' OR d.source IS NULL THEN 'Source' END], lambda x: x IS NOT NULL), ',') AS missing,
+  l.quality IS NOT NULL AND l.toxic IS NOT NULL AS is_complete FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+)
+def missing_labels(spark, sf_dir):
+    """P4"""
+    met = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    out = quality.with_completeness(met, {"quality": "Quality", "toxic": "Toxicity", "source": "Source"})
+    return out.select("doc_id", F.array_join("missing", ",").alias("missing"), "is_complete")
+
+
+@query(
+    """
+WITH c AS (SELECT 'lang' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS LAST) AS rank FROM c)
+SELECT "column", value, n, rank FROM r WHERE rank <= 10"""
+)
+def distributions(spark, sf_dir):
+    """A8, O9"""
+    return quality.distribution(t(spark, sf_dir, "documents"), ["lang", "source"], 10)
+
+
+@query(
+    """
+WITH x AS (SELECT o_orderkey, cast(o_orderdate AS date) AS hired, cast(l_shipdate AS date) AS quit, l_linenumber, o_orderstatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+y AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN quit ELSE hired END AS h0, CASE WHEN o_orderstatus = 'F' THEN hired ELSE quit END AS d0 FROM x),
+z AS (SELECT *, CASE WHEN h0 <= DATE '2000-01-01' AND year(h0) >= 1950 THEN h0 END AS h1, CASE WHEN d0 <= DATE '2000-01-01' AND year(d0) >= 1950 THEN d0 END AS d1 FROM y),
+s AS (SELECT *, coalesce(d1 < h1, false) AS swapped FROM z)
+SELECT o_orderkey, l_linenumber, count(*) AS n, cast(max(CASE WHEN swapped THEN d1 ELSE h1 END) AS varchar) AS hired, cast(max(CASE WHEN (CASE WHEN swapped THEN h1 ELSE d1 END) < DATE '1999-06-30' THEN CASE WHEN swapped THEN h1 ELSE d1 END END) AS varchar) AS quit, count(*) FILTER (swapped) AS swapped
+FROM s GROUP BY 1, 2"""
+)
+def labour_date_rules(spark, sf_dir):
+    """Q1"""
+    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    flip = F.col("o_orderstatus") == "F"
+    o, s = F.to_date("o_orderdate"), F.to_date("l_shipdate")
+    x = x.select("o_orderkey", "l_linenumber", F.when(flip, s).otherwise(o).alias("hired"), F.when(flip, o).otherwise(s).alias("quit"), F.lit("1999-06-30").cast("date").alias("filed"))
+    out = quality.labour_dates(x, "hired", "quit", "filed", F.lit("2000-01-01").cast("date"))
+    return out.groupBy("o_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max("hired").cast("string").alias("hired"), F.max("quit").cast("string").alias("quit"), F.count_if("dates_swapped").alias("swapped"))
+
+
+@query(
+    """
+SELECT o_orderkey, min(l_shipdate) > max(o_orderdate) + INTERVAL 30 DAY AS has_hearing, CASE WHEN min(l_shipdate) > max(o_orderdate) + INTERVAL 30 DAY THEN min(l_shipdate) END AS hearing
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+)
+def hearing_dates(spark, sf_dir):
+    """Q2: the first shipment must come more than 30 days after the order."""
+    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.min("l_shipdate").alias("hearing"), (F.max("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("filed"))
+    return quality.hearing_after_filing(x, "hearing", "filed").select("o_orderkey", "has_hearing", "hearing")
+
+
+@query(
+    """
+WITH c AS (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 10000 THEN 'total:low' END, CASE WHEN o_orderstatus = 'P' AND o_orderpriority LIKE '1%' THEN 'status:pending' END, CASE WHEN o_orderdate > TIMESTAMP '1999-01-01' THEN 'date:in the future' END], lambda x: x IS NOT NULL) AS i FROM orders)
+SELECT o_orderkey, array_to_string(i, ';') AS issues FROM c WHERE len(i) > 0"""
+)
+def order_issues(spark, sf_dir):
+    """Q3, Q4"""
+    c = F.col
+    found = quality.issues((c("o_totalprice") < 10000, "total", "low"), ((c("o_orderstatus") == "P") & c("o_orderpriority").startswith("1"), "status", "pending"), (c("o_orderdate") > F.lit("1999-01-01").cast("timestamp"), "date", "in the future"))
+    rows = t(spark, sf_dir, "orders").withColumn("i", found).where(F.size("i") > 0)
+    return rows.select("o_orderkey", F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["field"], x["message"])), ";").alias("issues"))
+
+
+@query(
+    """
+WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'n/a' ELSE c_mktsegment END AS s, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE 'OTHER' END AS e FROM customer)
+SELECT c_custkey, coalesce(CASE WHEN s <> 'n/a' THEN s END, e) AS segment, coalesce(CASE WHEN s <> 'n/a' THEN s END <> upper(e), false) AS segment_conflict FROM x"""
+)
+def source_precedence(spark, sf_dir):
+    """Q5"""
+    x = t(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'N/A' ELSE c_mktsegment END").alias("s"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE 'OTHER' END").alias("e"))
+    return quality.with_precedence(x, {"segment": ("s", "e")}).select("c_custkey", "segment", "segment_conflict")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN c_name ELSE 'Em Segredo' END AS cell FROM customer")
+def default_chains(spark, sf_dir):
+    """P8, S8"""
+    x = t(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE ' ' END").alias("cell"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN c_name END").alias("office"))
+    return quality.fill_defaults(x, {"cell": ["cell", "office", F.lit("Em Segredo")]}).select("c_custkey", "cell")
+
+
+@query(
+    """
+SELECT 'quality' AS field, count(*) AS attempts, count(*) FILTER (doc_id % 2 = 0) AS recovered, count(*) FILTER (doc_id % 2 <> 0) AS not_found FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'lang', count(*) FILTER (lang = 'fr'), count(*) FILTER (lang = 'fr'), 0 FROM documents"""
+)
+def recovery_stats(spark, sf_dir):
+    """A10"""
+    d = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    before = d.select("doc_id", F.col("quality").cast("string").alias("quality"), F.expr("nullif(lang, 'fr')").alias("lang"))
+    after = d.select("doc_id", F.expr("coalesce(cast(quality AS string), CASE WHEN doc_id % 2 = 0 THEN '1' END)").alias("quality"), "lang")
+    return quality.reextract_stats(before, after, ["quality", "lang"], "doc_id")
+
+
+@query(
+    """
+SELECT d.doc_id, coalesce(cast(l.quality AS varchar), CASE WHEN d.doc_id % 2 = 0 THEN d.lang END) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+)
+def filled_blanks(spark, sf_dir):
+    """Found values only where there is none."""
+    d = t(spark, sf_dir, "documents")
+    own = d.select("doc_id").join(t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id", "left")
+    return quality.baseline_fill(own, d.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("quality")), ["quality"])
+
+
+@query("SELECT doc_id, (lang IS NOT NULL)::int + (source IS NOT NULL)::int + (n_chars IS NOT NULL)::int AS filled FROM documents")
+def filled_fields(spark, sf_dir):
+    """A9 per document"""
+    return quality.field_coverage(t(spark, sf_dir, "documents"), ["lang", "source", "n_chars"]).select("doc_id", "filled")
+
+
+# ---------------------------------------------------------------- work tracking
+
+_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'ready' WHEN 'P' THEN CASE WHEN o_orderpriority LIKE '1%' THEN 'error' ELSE 'running' END ELSE 'completed' END"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("batch_id"), F.expr("CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END").alias("case_id"), F.expr(_STATUS).alias("status"), F.col("o_totalprice").cast("long").alias("file_size"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.lit(0).alias("attempt_count"), F.expr("CASE WHEN o_orderstatus = 'P' THEN 'failed' END").alias("last_error"))
+
+
+_ITEMS = f"(SELECT o_orderkey AS item_id, o_custkey AS batch_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey END AS case_id, {_STATUS} AS status, cast(trunc(o_totalprice) AS bigint) AS file_size, o_orderdate AS updated_at FROM orders)"
+
+
+def _batches(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"), F.col("c_nationkey").alias("owner_id"), F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'ready' WHEN 'MACHINERY' THEN 'partial_completed' ELSE 'completed' END").alias("status"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN cast(c_custkey * 2 + 1 AS int) END").alias("queue_position"), F.expr("timestamp_seconds(1700000000 + c_custkey * 37 % 1000)").alias("queued_at"))
+
+
+_BATCHES = "(SELECT c_custkey AS batch_id, c_nationkey AS owner_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'ready' WHEN 'MACHINERY' THEN 'partial_completed' ELSE 'completed' END AS status, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 2 + 1 END AS queue_position, 1700000000 + c_custkey * 37 % 1000 AS queued FROM customer)"
+
+
+@query(
+    f"""
+WITH m AS (SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'error') AS failed FROM {_ITEMS} GROUP BY batch_id)
+SELECT *, CASE WHEN failed = 0 THEN 'ready' WHEN total > failed THEN 'partial_ready' ELSE 'error' END AS extraction, done + failed = total AS all_done,
+  CASE WHEN done + failed < total THEN 'running' WHEN failed = 0 THEN 'completed' ELSE 'partial_completed' END AS run, cast(floor(100 * done / total) AS int) AS percent FROM m"""
+)
+def batch_progress(spark, sf_dir):
+    """A3, A4, A5, A15"""
+    return worklog.batch_outcome(worklog.item_status_matrix(_items(spark, sf_dir))).withColumn("percent", worklog.progress(F.col("done"), F.col("total")))
+
+
+@query(
+    f"""
+SELECT i.item_id, i.batch_id, c.external_status, s.status AS robot_status, CASE WHEN c.external_status IN ('success', 'error', 'processing') THEN c.external_status ELSE coalesce(s.status, i.status) END AS effective
+FROM {_ITEMS} i LEFT JOIN (SELECT o_orderkey AS case_id, CASE o_orderkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'open' END AS external_status FROM orders) c ON c.case_id = i.case_id
+LEFT JOIN (SELECT user_id AS case_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id) s ON s.case_id = i.case_id"""
+)
+def item_view(spark, sf_dir):
+    """J1, J10"""
+    cases = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'open' END").alias("external_status"), F.lit("x").alias("cliente"))
+    states = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.lit("m").alias("message"))
+    return worklog.item_status_view(_items(spark, sf_dir), cases, states).select("item_id", "batch_id", "external_status", "robot_status", "effective")
+
+
+@query(f"SELECT item_id, CASE WHEN status = 'running' AND item_id % 7 <> 0 AND item_id % 5 = 0 THEN 'success' WHEN status = 'running' AND item_id % 7 <> 0 AND item_id % 5 = 1 THEN 'error' ELSE status END AS status FROM {_ITEMS}")
+def synced_items(spark, sf_dir):
+    """J12"""
+    cases = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'open' END").alias("external_status"))
+    return worklog.sync_items(_items(spark, sf_dir), cases).select("item_id", "status")
+
+
+@query("SELECT o_custkey AS case_id, min(o_orderkey) AS item_id FROM orders GROUP BY o_custkey")
+def first_items(spark, sf_dir):
+    """J9"""
+    return worklog.first_item_per_case(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item_id")))
+
+
+@query(
+    f"""
+SELECT 'batches' AS what, count(*) AS n FROM {_BATCHES} WHERE batch_id % 10 <> 0 UNION ALL SELECT 'items', count(*) FROM {_ITEMS} WHERE batch_id % 10 <> 0
+UNION ALL SELECT 'cases', count(*) FROM orders WHERE NOT (o_custkey % 10 = 0 AND o_orderkey % 7 <> 0)"""
+)
+def cascade_delete(spark, sf_dir):
+    """J2"""
+    b, i = _batches(spark, sf_dir), _items(spark, sf_dir)
+    left = worklog.delete_batches(b.where("batch_id % 10 = 0"), b, i, t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id")))
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in zip(("batches", "items", "cases"), left)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"SELECT item_id, file_size FROM {_ITEMS} WHERE status = 'running' AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 10 MINUTE")
+def stuck_items(spark, sf_dir):
+    """P5"""
+    return worklog.stuck(_items(spark, sf_dir), F.lit("1998-01-01").cast("timestamp")).select("item_id", "file_size")
+
+
+@query(f"SELECT item_id FROM {_ITEMS} WHERE status IN ('completed', 'error') AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 7 DAY AND case_id IS NOT NULL")
+def expired_items(spark, sf_dir):
+    """P6"""
+    return worklog.expired(_items(spark, sf_dir), worklog.TERMINAL, F.lit("1998-01-01").cast("timestamp"), paths=("case_id",)).select("item_id")
+
+
+@query("SELECT 'found' AS what, c_custkey AS id FROM customer WHERE c_custkey % 100 = 3 UNION ALL SELECT 'unknown', -c_custkey - 1 FROM customer WHERE c_custkey % 100 = 4")
+def selected_ids(spark, sf_dir):
+    """P7"""
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    ids = c.where("id % 100 = 3").unionByName(c.where("id % 100 = 4").select((-F.col("id") - 1).alias("id")))
+    found, unknown = worklog.select_ids(c, ids, "id")
+    return found.select(F.lit("found").alias("what"), "id").unionByName(unknown.select(F.lit("unknown").alias("what"), "id"))
+
+
+@query(f"SELECT item_id, running FROM (SELECT *, count(*) FILTER (status = 'running') OVER (PARTITION BY batch_id) AS running FROM {_ITEMS}) WHERE status IN ('error', 'ready') AND case_id IS NOT NULL AND running < 3")
+def retryable(spark, sf_dir):
+    """P12"""
+    return worklog.retry_eligible(_items(spark, sf_dir), 3).select("item_id", "running")
+
+
+@query(f"SELECT batch_id FROM {_BATCHES} b WHERE queue_position IS NULL AND status IN ('ready', 'partial_completed') AND EXISTS (SELECT 1 FROM {_ITEMS} i WHERE i.batch_id = b.batch_id AND i.status = 'ready')")
+def enqueueable(spark, sf_dir):
+    """P13"""
+    return worklog.enqueue_eligible(_batches(spark, sf_dir), _items(spark, sf_dir)).select("batch_id")
+
+
+@query(f"SELECT item_id, CASE WHEN item_id % 50 = 0 THEN 'pending' ELSE status END AS status, coalesce(CASE WHEN item_id % 50 = 0 THEN NULL ELSE case_id END, -1) AS case_id FROM {_ITEMS}")
+def reset_items(spark, sf_dir):
+    """P14"""
+    items = _items(spark, sf_dir)
+    return worklog.reset(items, items.where("item_id % 50 = 0"), "item_id", {"status": "pending", "case_id": None}).select("item_id", "status", F.coalesce("case_id", F.lit(-1)).alias("case_id"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 5 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 5)")
+def owned_and_updated(spark, sf_dir):
+    """P1, P15"""
+    c = t(spark, sf_dir, "customer").withColumn("owner_id", F.col("c_nationkey"))
+    owner = c.where("c_custkey = 5").select("owner_id").first()
+    mine = worklog.scope_to_owner(c, owner["owner_id"] if owner else -1)
+    return worklog.update_field(mine, "c_custkey", 5, "c_mktsegment", "CHANGED").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') OR contains(lower(p_brand), 'red')")
+def searched_parts(spark, sf_dir):
+    """P2"""
+    return worklog.search(t(spark, sf_dir, "part"), ["p_name", "p_type", "p_brand"], " RED ").select("p_partkey")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (c_nationkey = 3) AS own FROM customer")
+def customer_counts(spark, sf_dir):
+    """A1"""
+    return worklog.case_counts(t(spark, sf_dir, "customer").withColumn("owner_id", F.col("c_nationkey")), 3)
+
+
+@query(f"SELECT batch_id, row_number() OVER (ORDER BY queue_position, batch_id) AS queue_position FROM {_BATCHES} WHERE queue_position IS NOT NULL AND batch_id % 12 <> 0 UNION ALL SELECT batch_id, -1 FROM {_BATCHES} WHERE queue_position IS NULL")
+def resequenced_queue(spark, sf_dir):
+    """W2"""
+    b = _batches(spark, sf_dir)
+    return worklog.resequence_queue(b, b.where("batch_id % 12 = 0")).select("batch_id", F.coalesce("queue_position", F.lit(-1)).alias("queue_position"))
+
+
+@query(f"SELECT batch_id, queue_position FROM {_BATCHES} WHERE queue_position IS NOT NULL AND status = 'ready' ORDER BY queue_position, batch_id LIMIT 1")
+def next_batch(spark, sf_dir):
+    """W3"""
+    return worklog.next_in_queue(_batches(spark, sf_dir)).select("batch_id", "queue_position")
+
+
+@query(f"SELECT batch_id, (SELECT coalesce(max(queue_position), 0) FROM {_BATCHES}) + row_number() OVER (ORDER BY queued, batch_id) AS queue_position FROM {_BATCHES} WHERE queue_position IS NULL AND status = 'ready'")
+def enqueued(spark, sf_dir):
+    """A11"""
+    b = _batches(spark, sf_dir)
+    return worklog.enqueue(b, b.where("queue_position is null and status = 'ready'").drop("queue_position")).select("batch_id", "queue_position")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def latest_orders(spark, sf_dir):
+    """W1"""
+    o = t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderpriority").alias("numero_processo"))
+    return worklog.latest_case(o, ["o_custkey"]).select("o_custkey", F.col("case_id").alias("o_orderkey"))
+
+
+@query(
+    """
+WITH x AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 1.0 WHEN l_returnflag = 'N' THEN 0.9 WHEN l_returnflag = 'R' THEN 0.7 ELSE 0.5 END AS confidence FROM lineitem)
+SELECT case_id, doc_type, confidence, arrival FROM (SELECT l_orderkey AS case_id, l_linestatus AS doc_type, confidence, l_linenumber AS arrival, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY confidence DESC, l_linenumber, l_partkey) AS n FROM x) WHERE n = 1"""
+)
+def best_evidence(spark, sf_dir):
+    """W6"""
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linestatus").alias("doc_type"), F.expr("CASE l_returnflag WHEN 'A' THEN 'bookmark' WHEN 'N' THEN 'toc' WHEN 'R' THEN 'ocr' END").alias("source"), F.col("l_linenumber").alias("arrival"), F.col("l_partkey").alias("page_number"))
+    return worklog.best_evidence(rows).select("case_id", "doc_type", "confidence", "arrival")
+
+
+def _annexes(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("doc_type"), F.col("l_linenumber").alias("page_number"), (F.col("l_quantity").cast("int") * 5).alias("total_pages"))
+
+
+_ANNEX = "(SELECT l_returnflag AS doc_type, l_linenumber AS page_number, cast(l_quantity AS int) * 5 AS total_pages FROM lineitem)"
+
+
+@query(f"SELECT doc_type, cast(floor(total_pages / 50) * 50 AS int) AS bucket, round(avg(page_number / total_pages), 8) AS mean_ratio, min(page_number / total_pages) AS min_ratio, max(page_number / total_pages) AS max_ratio, count(*) AS samples FROM {_ANNEX} GROUP BY 1, 2")
+def annex_stats(spark, sf_dir):
+    """A6, F18, F22"""
+    return worklog.annex_stats(_annexes(spark, sf_dir)).withColumn("mean_ratio", F.round("mean_ratio", 8))
+
+
+@query(f"SELECT doc_type, count(*) AS n, round(avg(page_number / total_pages), 8) AS mean_ratio FROM {_ANNEX} GROUP BY 1")
+def annex_summary(spark, sf_dir):
+    """A7"""
+    return worklog.annex_summary(_annexes(spark, sf_dir)).withColumn("mean_ratio", F.round("mean_ratio", 8))
+
+
+@query(
+    f"""
+WITH s AS (SELECT doc_type, cast(floor(total_pages / 50) * 50 AS int) AS bucket, count(*) AS samples FROM {_ANNEX} GROUP BY 1, 2),
+r AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' END AS doc_type, p_size * 10 AS total_pages FROM part)
+SELECT r.p_partkey, r.doc_type, coalesce(s.samples, 0) AS samples FROM r LEFT JOIN s ON s.doc_type = r.doc_type AND s.bucket = floor(r.total_pages / 50) * 50"""
+)
+def annex_requests(spark, sf_dir):
+    """J8"""
+    asked = t(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'X' END").alias("doc_type"), (F.col("p_size") * 10).alias("total_pages"))
+    return worklog.annex_requests(asked, _annexes(spark, sf_dir)).select("p_partkey", "doc_type", F.coalesce("samples", F.lit(0)).alias("samples"))
+
+
+@query(
+    """
+WITH x AS (SELECT p_partkey, p_size * 4 AS total, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS samples, CASE p_size % 2 WHEN 0 THEN 'ctps' ELSE 'payslip' END AS kind FROM part),
+m AS (SELECT *, cast(floor(CASE WHEN samples >= 3 THEN 0.5 ELSE CASE kind WHEN 'ctps' THEN 0.82 ELSE 0.87 END END * total) AS int) AS mid, CASE WHEN samples >= 3 THEN 2 ELSE 1 END AS step FROM x)
+SELECT p_partkey, array_to_string(list_sort(list_distinct([greatest(1, least(mid - step, total)), greatest(1, least(mid, total)), greatest(1, least(mid + step, total))])), ',') AS pages FROM m"""
+)
+def candidate_pages(spark, sf_dir):
+    """U4"""
+    p = t(spark, sf_dir, "part")
+    pages = structure.candidate_pages(F.col("p_size") * 4, F.lit(0.5), F.when(F.col("p_partkey") % 2 == 0, 3).otherwise(0), F.when(F.col("p_size") % 2 == 0, "ctps").otherwise("payslip"))
+    return p.select("p_partkey", F.array_join(pages, ",").alias("pages"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10")
+def recent_orders(spark, sf_dir):
+    """O1"""
+    return worklog.recent(t(spark, sf_dir, "orders"), 10, "o_orderdate", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 40")
+def third_page(spark, sf_dir):
+    """O2"""
+    return worklog.page_of(t(spark, sf_dir, "orders"), 3, 20, "o_orderdate", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT p_partkey, (p_size > 25)::int + (p_name LIKE '% %')::int + 1 + CASE WHEN length(p_name) > 9 THEN 2 ELSE 0 END AS weight FROM part")
+def data_weights(spark, sf_dir):
+    """O5"""
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_name", F.expr("CASE WHEN p_size > 25 THEN 'x' END").alias("a"), F.expr("CASE WHEN p_name LIKE '% %' THEN 'y' ELSE ' ' END").alias("b"))
+    return p.select("p_partkey", worklog.data_weight(["a", "b", "p_name"], {"p_name": (9, 2)}).alias("weight"))
+
+
+@query("SELECT d.doc_id, (l.quality IS NULL)::int + (l.toxic IS NULL)::int AS n_missing FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.toxic IS NULL ORDER BY n_missing DESC, d.doc_id LIMIT 20")
+def most_incomplete(spark, sf_dir):
+    """O6"""
+    met = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    return worklog.most_incomplete(met, ["quality", "toxic"], 20, "doc_id").select("doc_id", "n_missing")
+
+
+@query(
+    """
+SELECT d.doc_id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN l.quality IS NULL THEN ['form', 'review'] ELSE [] END, CASE WHEN l.toxic IS NULL THEN ['audit', 'form'] ELSE [] END))), ',') AS doc_types
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.toxic IS NULL"""
+)
+def needed_docs(spark, sf_dir):
+    """J13"""
+    met = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "labels"), "doc_id", "left")
+    asked = quality.with_completeness(met, {"quality": "q", "toxic": "t"}).select(F.col("doc_id").alias("case_id"), "missing")
+    held = spark.sql("SELECT * FROM VALUES ('q', 'form'), ('q', 'review'), ('t', 'form'), ('t', 'audit') AS m(field, doc_type)")
+    return worklog.needed_docs(asked, held).select(F.col("case_id").alias("doc_id"), F.array_join("doc_types", ",").alias("doc_types"))
+
+
+@query(f"SELECT item_id, CASE WHEN status = 'error' THEN 1 ELSE 0 END AS attempt_count, CASE WHEN status = 'error' THEN 'ready' ELSE status END AS status FROM {_ITEMS}")
+def retried(spark, sf_dir):
+    """T6"""
+    items = _items(spark, sf_dir)
+    return worklog.retry(items, items.where("status = 'error'")).select("item_id", "attempt_count", "status")
+
+
+# ---------------------------------------------------------------- matching
+
+
+@query(
+    """
+SELECT p.p_partkey, CASE WHEN p.p_partkey % 3 = 0 THEN 'Unknown Thing' ELSE n.n_name END AS label, CASE WHEN p.p_partkey % 3 = 0 THEN 'none' ELSE 'exact' END AS how
+FROM part p JOIN nation n ON n.n_nationkey = p.p_partkey % 25"""
+)
+def resolved_names(spark, sf_dir):
+    """J4 (exact and unresolved): names that differ from the catalogue in case and accents."""
+    n = t(spark, sf_dir, "nation")
+    p = t(spark, sf_dir, "part").join(F.broadcast(n), F.col("n_nationkey") == F.col("p_partkey") % 25)
+    names = p.select("p_partkey", F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'unknown thing' ELSE concat(' ', translate(lower(n_name), 'ai', 'ãí')) END").alias("name"))
+    catalogue = n.select(F.col("n_name").alias("name"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("ordinal"))
+    return match.resolve_entity(names, catalogue).select("p_partkey", "label", "how")
+
+
+@query()
+def similar_names(spark, sf_dir):
+    """J4 (similar): part names with a letter changed, against all part names."""
+    p = t(spark, sf_dir, "part").select("p_name").distinct()
+    names = p.select(F.concat(F.col("p_name"), F.lit("s")).alias("name"))
+    catalogue = p.select(F.col("p_name").alias("name"), F.col("p_name").alias("label"), F.dense_rank().over(Window.orderBy("p_name")).alias("ordinal"))
+    return match.resolve_entity(names, catalogue, 0.8)
+
+
+@query(
+    """
+WITH a(alias, label, ordinal) AS (VALUES ('red', 'Red', 1), ('bolt', 'Bolt', 2), ('ring', 'Ring', 3)),
+m AS (SELECT p_partkey, label, CASE WHEN contains(p_name, alias) THEN 2 WHEN contains(lower(p_type), alias) THEN 1 END AS score, ordinal FROM part, a WHERE contains(p_name, alias) OR contains(lower(p_type), alias))
+SELECT p_partkey AS doc_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, ordinal, label) AS n FROM m) WHERE n = 1"""
+)
+def contained_aliases(spark, sf_dir):
+    """J3, S6"""
+    low = spark.sql("SELECT * FROM VALUES ('red', 'Red'), ('Bólt', 'Bolt') AS a(alias, label)")
+    more = spark.sql("SELECT * FROM VALUES ('bolt', 'Other'), ('ring', 'Ring') AS a(alias, label)")
+    order = F.expr("array_position(array('RED', 'BOLT', 'RING'), alias)").alias("ordinal")
+    aliases = match.merge_alias_sources(low, more).select("alias", "label", order)
+    return match.alias_containment(t(spark, sf_dir, "part").withColumnRenamed("p_partkey", "doc_id"), aliases, {"p_name": 2, "p_type": 1})
+
+
+@query("SELECT c.c_custkey, CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'pattern' WHEN c.c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') THEN lower(c.c_mktsegment) ELSE 'Em Segredo' END AS cell FROM customer c")
+def client_cells(spark, sf_dir):
+    """J5, J7"""
+    catalogue = spark.sql("SELECT * FROM VALUES ('machinery', 'machinery'), ('Household', 'household') AS m(client, cell)")
+    return match.label_by_key(t(spark, sf_dir, "customer"), catalogue, "c_mktsegment", "client", "cell", "cell", "Em Segredo", (("build", "pattern"),)).select("c_custkey", "cell")
+
+
+@query(
+    """
+SELECT c_custkey, CASE WHEN c_nationkey = 10 AND c_custkey % 2 = 0 THEN 'TO' WHEN c_nationkey = 10 THEN 'DF' WHEN c_nationkey = 13 THEN 'PB' END AS region_state FROM customer"""
+)
+def case_regions(spark, sf_dir):
+    """J6"""
+    regions = spark.sql("SELECT * FROM VALUES ('13', 'PB', array('PB'), cast(map() AS map<string, array<string>>)), ('10', NULL, array('DF', 'TO'), map('TO', array('Palmas'), 'DF', array('Brasília'))) AS r(code, uf, ufs, place_words)")
+    cases = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.lit("-00.2024.5."), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit(".0001")).alias("n"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'vara de PALMAS' ELSE 'vara' END").alias("body"))
+    return match.region_by_code(cases, regions, "n", "body").select("c_custkey", "region_state")
+
+
+@query(
+    """
+SELECT e.event_id, CASE WHEN user_id % 2 = 0 AND event_type = 'view' THEN 'Réu' WHEN event_type = 'view' THEN 'Reclamado' WHEN event_type = 'click' THEN 'Reclamante' ELSE upper(event_type) END AS position FROM events e"""
+)
+def positions(spark, sf_dir):
+    """J11"""
+    table = spark.sql("SELECT * FROM VALUES ('labour', 'view', 'Reclamado', '1'), ('civil', 'view', 'Réu', '2'), ('labour', 'click', 'Reclamante', '3') AS p(context, synonym, label, label_id)")
+    e = t(spark, sf_dir, "events").select("event_id", F.initcap("event_type").alias("said"), F.expr("CASE WHEN user_id % 2 = 0 THEN 'civil' ELSE 'labour' END").alias("area"))
+    return match.resolve_position(e, table, "said", "area").select("event_id", "position")
+
+
+@query(
+    """
+WITH o(value, text, ordinal) AS (VALUES ('1', 'small ring', 1), ('2', 'red widget', 2), ('3', 'blue bolt', 3)),
+p AS (SELECT DISTINCT p_name FROM part),
+s AS (SELECT p_name, value, ordinal, CASE WHEN p_name = text THEN 100 ELSE cast(floor(70 * len(list_intersect(string_split(p_name, ' '), string_split(text, ' '))) / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(text, ' '))))) AS int) + CASE WHEN contains(text, p_name) THEN 15 ELSE 0 END END AS score FROM p, o),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, ordinal) AS n FROM s)
+SELECT p.p_name, b.value AS option_value FROM p LEFT JOIN b ON b.p_name = p.p_name AND n = 1 AND score >= 20"""
+)
+def best_options(spark, sf_dir):
+    """F15, E37, E46"""
+    options = spark.sql("SELECT * FROM VALUES ('1', 'Small ring', 1), ('2', 'Red widget', 2), ('3', 'Blue bolt', 3) AS o(value, text, ordinal)")
+    return match.best_option(t(spark, sf_dir, "part").select("p_name").distinct(), options, "p_name", [], 20).select("p_name", "option_value")
+
+
+@query(
+    """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, 'Brand#' || (l_suppkey % 5) AS name FROM lineitem),
+d AS (SELECT l_orderkey, name, min((l_linenumber, l_partkey)) AS o FROM r GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE name WHEN 'Brand#3' THEN 0 WHEN 'Brand#1' THEN 1 ELSE 999 END, o, name) AS n FROM d)
+SELECT l_orderkey, max(name) FILTER (n = 1) AS "primary", max(name) FILTER (n = 2) AS secondary FROM k GROUP BY 1"""
+)
+def ranked_parties(spark, sf_dir):
+    """W7"""
+    r = t(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5).cast("string"))).alias("ordinal"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5).cast("string")).alias("name"))
+    priority = spark.sql("SELECT * FROM VALUES ('BRAND#3', 0), ('brand#1', 1) AS p(name, priority)")
+    return match.primary_secondary(r, priority, ["l_orderkey"], threshold=0.99)
+
+
+@query(
+    """
+WITH k(keyword, term, category, priority) AS (VALUES ('rings', 'ring', 'jewel', 3), ('reds', 'red', 'colour', 5), ('bolts', 'bolt', 'tool', 1)),
+ty(value, text, ordinal) AS (VALUES ('T1', 'all ring things', 1), ('T2', 'red or bolt', 2)),
+kt AS (SELECT keyword, arg_min(value, ordinal) AS value, min(ordinal) AS o FROM k JOIN ty ON contains(ty.text, k.term) GROUP BY 1),
+h AS (SELECT p_brand, k.keyword, category, priority, count(DISTINCT p_partkey) AS score FROM part JOIN k ON contains(p_name, term) GROUP BY 1, 2, 3, 4),
+m AS (SELECT p_brand, value, o, category, priority, score, row_number() OVER (PARTITION BY p_brand, value ORDER BY priority DESC, score DESC, h.keyword) AS n FROM h JOIN kt ON kt.keyword = h.keyword)
+SELECT p_brand, value, category, score, row_number() OVER (PARTITION BY p_brand ORDER BY priority DESC, score DESC, o) AS rank FROM m WHERE n = 1"""
+)
+def mapped_claims(spark, sf_dir):
+    """E38, W8"""
+    k = spark.sql("SELECT * FROM VALUES ('rings', 'ring', 'jewel', 3), ('reds', 'red', 'colour', 5), ('bolts', 'bolt', 'tool', 1) AS k(keyword, term, category, priority)")
+    ty = spark.sql("SELECT * FROM VALUES ('T1', 'All ring things', 1), ('T2', 'Red or bolt', 2) AS y(value, text, ordinal)")
+    claims = t(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("claim"), F.col("p_partkey").alias("ordinal"))
+    return match.map_claims(claims, k, ty, "p_brand")[0].select("p_brand", "value", "category", "score", "rank")
+
+
+@query(
+    """
+WITH k(keyword, term, category) AS (VALUES ('rings', 'ring', 'jewel'), ('reds', 'red', 'colour'))
+SELECT p_brand, category, count(DISTINCT keyword) AS n FROM part JOIN k ON contains(p_name, term) GROUP BY 1, 2"""
+)
+def claim_categories(spark, sf_dir):
+    """A12"""
+    k = spark.sql("SELECT * FROM VALUES ('rings', 'ring', 'jewel', 3), ('reds', 'red', 'colour', 5) AS k(keyword, term, category, priority)")
+    ty = spark.sql("SELECT * FROM VALUES ('T1', 'ring', 1), ('T2', 'red', 2) AS y(value, text, ordinal)")
+    claims = t(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("claim"), F.col("p_partkey").alias("ordinal"))
+    return match.category_counts(match.map_claims(claims, k, ty, "p_brand")[0], "p_brand")
+
+
+@query("SELECT c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN '/in/b' || c_nationkey || '/f' || c_custkey || '.pdf' END AS path FROM customer")
+def linked_files(spark, sf_dir):
+    """J15"""
+    c = t(spark, sf_dir, "customer")
+    cases = c.select(F.col("c_custkey").alias("case_id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("source_filename"), F.concat(F.lit("b"), F.col("c_nationkey").cast("string")).alias("batch_folder"), F.lit("").alias("numero_processo"))
+    files = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("/in/b"), F.col("c_nationkey").cast("string"), F.lit("/f"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("path"))
+    return match.link_files(cases, files).select("case_id", "path")
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CASE l_suppkey % 3 WHEN 0 THEN 'ALFA LTDA' WHEN 1 THEN 'BETA SA' ELSE 'GAMA ME' END))), ',') AS names FROM lineitem GROUP BY 1")
+def distinct_parties(spark, sf_dir):
+    """Names in many spellings, one of each left."""
+    name = F.expr("CASE l_suppkey % 3 WHEN 0 THEN 'ALFA LTDA' WHEN 1 THEN 'BETA SA' ELSE 'GAMA ME' END")
+    r = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(name)).alias("names"))
+    spelled = F.concat("names", F.transform("names", lambda n: F.concat(F.initcap(n), F.lit("."))))
+    return r.select("l_orderkey", F.array_join(match.distinct_names(spelled), ",").alias("names"))
+
+
+# ---------------------------------------------------------------- structure
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "text", "role")
+
+
+_PAGES = "(SELECT conv_id AS doc_id, cast(turn + 1 AS int) AS page_no, text, role FROM conversations)"
+
+
+@query(
+    f"""
+WITH x AS (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS total FROM {_PAGES}),
+y AS (SELECT doc_id, page_no, '[PAGE ' || page_no || ']' || chr(10) || coalesce(text, '') || CASE WHEN total > 3 AND page_no = 2 THEN chr(10) || '[...]' ELSE '' END AS b FROM x WHERE page_no <= 2 OR page_no > total - 1)
+SELECT doc_id, left(string_agg(b, chr(10) ORDER BY page_no), 500) AS text FROM y GROUP BY doc_id"""
+)
+def zones(spark, sf_dir):
+    """E30"""
+    return structure.select_zone(_pages(spark, sf_dir), 2, 1, 500)
+
+
+@query(f"SELECT doc_id, count(*) AS pages, sum(length(trim(coalesce(text, '')))) AS chars, sum(length(trim(coalesce(text, '')))) / count(*) AS density, sum(length(trim(coalesce(text, '')))) / count(*) < 200 AS is_scanned FROM {_PAGES} GROUP BY doc_id")
+def text_densities(spark, sf_dir):
+    """F17"""
+    return structure.text_density(_pages(spark, sf_dir))
+
+
+@query(
+    f"""
+SELECT doc_id, array_to_string(coalesce(list(page_no ORDER BY page_no) FILTER (length(trim(text)) < 200), []), ',') AS scanned_pages, max(page_no) AS total_pages,
+  array_to_string(coalesce(list(page_no ORDER BY page_no) FILTER (contains(lower(text), ' the ')), []), ',') AS english FROM {_PAGES} GROUP BY doc_id"""
+)
+def page_kinds(spark, sf_dir):
+    """E27"""
+    kinds = spark.sql("SELECT * FROM VALUES ('english', ' the ') AS k(kind, keyword)").select("kind", F.lit("xx").alias("k"), "keyword")
+    rows = _pages(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\s", "_"))
+    found = structure.classify_pages(rows.withColumn("text", F.regexp_replace("text", "_", "-")), kinds.select("kind", F.lit("-the-").alias("keyword")))
+    flat = _pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.contains(F.lower("text"), F.lit(" the ")), F.col("page_no")))).alias("english"))
+    return found.join(flat, "doc_id").select("doc_id", F.array_join("scanned_pages", ",").alias("scanned_pages"), "total_pages", F.array_join("english", ",").alias("english"))
+
+
+@query(
+    f"""
+SELECT doc_id, arg_min(role, page_no) FILTER (trim(role) <> '') AS role, arg_max(text, (length(text), -page_no)) FILTER (trim(text) <> '') AS text, count(*) AS num_sections, count(*) > 1 AS multi_document FROM {_PAGES} GROUP BY doc_id"""
+)
+def merged_sections(spark, sf_dir):
+    """First and longest values."""
+    return structure.merge_sections(_pages(spark, sf_dir), first=["role"], longest=["text"], order="page_no")
+
+
+@query(
+    f"""
+WITH x AS (SELECT doc_id, page_no, role, text FROM {_PAGES}), d AS (SELECT doc_id, lower(role) AS r, arg_min(role, page_no) AS role, min(page_no) AS p FROM x GROUP BY 1, 2)
+SELECT x.doc_id, (SELECT string_agg(role, ', ' ORDER BY p) FROM d WHERE d.doc_id = x.doc_id) AS role, arg_max(text, page_no) AS text, count(*) AS num_sections FROM x GROUP BY x.doc_id"""
+)
+def merged_values(spark, sf_dir):
+    """Distinct and last values."""
+    return structure.merge_sections(_pages(spark, sf_dir), distinct=["role"], last=["text"], order="page_no").drop("multi_document")
+
+
+@query(f"SELECT doc_id, left(string_agg(left(text, 50), chr(10) ORDER BY page_no), 300) AS summary, count(*) AS total_chunks, sum(page_no) AS total_tokens FROM {_PAGES} GROUP BY doc_id")
+def chunk_rollup(spark, sf_dir):
+    """A14"""
+    rows = _pages(spark, sf_dir).select("doc_id", F.col("page_no").alias("chunk_no"), F.left("text", F.lit(50)).alias("summary"), F.array("role").alias("entities"), F.array("role").alias("concepts"), F.col("page_no").alias("token_count"))
+    return structure.analysis_rollup(rows, summary_chars=300).select("doc_id", "summary", "total_chunks", "total_tokens")
+
+
+@query(f"SELECT doc_id, arg_min(text, page_no) FILTER (role = 'assistant') AS answer, arg_min(text, page_no) FILTER (page_no % 2 = 1) AS odd FROM {_PAGES} GROUP BY doc_id")
+def first_values(spark, sf_dir):
+    """E35"""
+    rows = _pages(spark, sf_dir).select("doc_id", F.col("page_no").alias("window_no"), F.expr("CASE WHEN role = 'assistant' THEN text ELSE ' ' END").alias("answer"), F.expr("CASE WHEN page_no % 2 = 1 THEN text END").alias("odd"))
+    return structure.progressive_fill(rows, ["answer", "odd"])
+
+
+@query(
+    """
+WITH d AS (SELECT doc_id, text, greatest(1, cast(ceil((length(text) - 300) / 1700) AS int)) AS n FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
+w AS (SELECT doc_id, text, unnest(range(0, n)) AS window_no FROM d)
+SELECT doc_id, window_no, substring(text, window_no * 1700 + 1, 2000) AS content FROM w"""
+)
+def char_windows(spark, sf_dir):
+    """E34"""
+    return structure.windows(t(spark, sf_dir, "documents"), width=2000, step=1700)
+
+
+@query()
+def sentence_chunks(spark, sf_dir):
+    """E34, W9"""
+    return structure.chunks(t(spark, sf_dir, "documents"), budget=200)
+
+
+_GENERIC_BREAKS = ((r"The\s", "the"), (r"And\s", "and"))
+
+
+@query(
+    r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
+b AS (SELECT doc_id, cast(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS int) AS start, CASE WHEN regexp_matches(ls[i], '(?i)^\s*The\s') THEN 'the' WHEN regexp_matches(ls[i], '(?i)^\s*And\s') THEN 'and' END AS kind FROM p)
+SELECT doc_id, start, kind FROM b WHERE kind IS NOT NULL AND start > 0"""
+)
+def line_breaks(spark, sf_dir):
+    """Positions of lines that begin a part."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(structure.section_breaks("text", _GENERIC_BREAKS)).alias("b"))
+    return rows.select("doc_id", "b.start", "b.kind")
+
+
+@query(
+    r"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), p AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
+q AS (SELECT doc_id, cast(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS int) AS start, ls[i] AS line FROM p),
+b AS MATERIALIZED (SELECT doc_id, start FROM q WHERE start > 0 AND regexp_matches(line, '(?i)^\s*(The|And)\s')),
+r AS (SELECT doc_id, min(start) AS start FROM b GROUP BY doc_id UNION ALL SELECT r.doc_id, (SELECT min(b.start) FROM b WHERE b.doc_id = r.doc_id AND b.start > r.start + 200) FROM r WHERE r.start IS NOT NULL)
+SELECT doc_id, start FROM r WHERE start IS NOT NULL"""
+)
+def thinned_breaks(spark, sf_dir):
+    """W5"""
+    rows = t(spark, sf_dir, "documents").withColumn("b", structure.section_breaks("text", _GENERIC_BREAKS))
+    return rows.select("doc_id", F.explode(structure.thin_breaks(F.transform("b", lambda r: r["start"]))).alias("start"))
+
+
+@query()
+def document_sections(spark, sf_dir):
+    """E33, W4, W5 together"""
+    rows = t(spark, sf_dir, "documents").withColumn("breaks", structure.section_breaks("text", _GENERIC_BREAKS))
+    return structure.section_spans(rows)
+
+
+@query(
+    """
+WITH x AS (SELECT p_partkey, p_size AS a, p_size + p_partkey % 9 AS b, range(1, p_size + 1) AS s FROM part)
+SELECT p_partkey, array_to_string(range(a, least(b, a + 4) + 1), ',') AS expanded, array_to_string(CASE WHEN len(s) <= 10 THEN s ELSE list_distinct(list_concat(s[1:5], s[cast(floor(len(s) / 3) AS int) + 1:cast(floor(len(s) / 3) AS int) + 3])) END, ',') AS scanned FROM x WHERE false
+UNION ALL SELECT p_partkey, array_to_string(range(a, least(b, a + 4) + 1), ','), array_to_string(CASE WHEN len(s) <= 10 THEN s ELSE list_sort(list_distinct(list_concat(s[1:5], s[cast(floor(len(s) / 3) AS int) + 1:cast(floor(len(s) / 3) AS int) + 3]))) END, ',') FROM x"""
+)
+def page_ranges(spark, sf_dir):
+    """U5, U6"""
+    p = t(spark, sf_dir, "part")
+    expanded = structure.expand_range(F.col("p_size"), (F.col("p_size") + F.col("p_partkey") % 9).cast("int"))
+    scanned = structure.scanned_candidates(F.sequence(F.lit(1), F.col("p_size")))
+    return p.select("p_partkey", F.array_join(expanded, ",").alias("expanded"), F.array_join(scanned, ",").alias("scanned"))
+
+
+@query(f"SELECT doc_id, CASE WHEN page_no % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, min(page_no) AS page_no FROM {_PAGES} GROUP BY 1, 2")
+def bookmark_pages(spark, sf_dir):
+    """E28a"""
+    marks = _pages(spark, sf_dir).select("doc_id", F.col("page_no").alias("ordinal"), F.expr("CASE WHEN page_no % 2 = 0 THEN 'An Évén page' ELSE 'An odd page' END").alias("title"), "page_no")
+    return structure.bookmark_pages(marks, [("even", "even"), ("odd", "odd")])
+
+
+@query(f"SELECT doc_id, 'salary' AS kind, array_to_string(list_sort(list_distinct([greatest(2, page_no)])), ',') AS pages FROM (SELECT doc_id, max(page_no) AS page_no FROM {_PAGES} GROUP BY 1) WHERE page_no >= 2")
+def contents_pages(spark, sf_dir):
+    """A contents line that points at the last page."""
+    last = _pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("n"))
+    rows = _pages(spark, sf_dir).drop("text").join(last, "doc_id").withColumn("text", F.when(F.col("page_no") == 1, F.concat(F.lit("Índice\nSalário e holerite ........ "), F.col("n").cast("string"))).otherwise("x")).where("n >= 2")
+    found = structure.contents_entries(rows, [("salario", "salary")])
+    return found.select("doc_id", "kind", F.array_join("pages", ",").alias("pages"))
+
+
+@query(
+    f"""
+WITH n AS (SELECT doc_id, max(page_no) AS total FROM {_PAGES} GROUP BY 1)
+SELECT doc_id, 'ctps' AS kind, CASE WHEN doc_id % 3 = 0 THEN '1' WHEN doc_id % 3 = 1 THEN '1,2' ELSE array_to_string(list_sort(list_distinct(list_transform([-1, 0, 1], lambda s: greatest(1, least(cast(floor(0.82 * total) AS int) + s, total))))), ',') END AS pages,
+  CASE doc_id % 3 WHEN 0 THEN 'bookmark' WHEN 1 THEN 'contents' ELSE 'usual' END AS source FROM n"""
+)
+def page_plans(spark, sf_dir):
+    """E29"""
+    totals = _pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("total_pages"))
+    need = totals.select("doc_id", F.lit("ctps").alias("kind"))
+    marks = need.where("doc_id % 3 = 0").withColumn("page_no", F.lit(1))
+    contents = need.where("doc_id % 3 < 2").withColumn("pages", F.array(F.lit(1), F.lit(2)))
+    history = spark.sql("SELECT 'x' AS kind, 0 AS bucket, 0.5D AS mean_ratio, 9L AS samples")
+    return structure.page_plan(need, marks, contents, history, totals).select("doc_id", "kind", F.array_join("pages", ",").alias("pages"), "source")
+
+
+@query(f"SELECT doc_id, 'k' AS kind, string_agg(text, chr(10) ORDER BY page_no DESC) AS text FROM {_PAGES} WHERE page_no <= 2 GROUP BY doc_id")
+def planned_text(spark, sf_dir):
+    """Pages in the order of the plan."""
+    p = _pages(spark, sf_dir)
+    plan = p.select("doc_id").distinct().select("doc_id", F.lit("k").alias("kind"), F.array(F.lit(2), F.lit(1), F.lit(2)).alias("pages"))
+    return structure.restricted_text(p, plan)
+
+
+@query(
+    r"""
+WITH x AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), '. '), lambda s: length(s) > 10), lambda s: lower(left(s, 5)))) AS k FROM documents)
+SELECT doc_id, least(len(k), 15) AS n FROM x"""
+)
+def distinct_claims(spark, sf_dir):
+    """Sentences distinct by a folded beginning, at most 15."""
+    claims = F.filter(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda s: F.length(s) > 10)
+    short = F.transform(claims, lambda s: F.left(s, F.lit(5)))
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(labour_br.distinct_claims(short)).cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS text FROM documents WHERE contains(lower(text), 'licensed') ORDER BY doc_id LIMIT 5")
+def keyword_hits(spark, sf_dir):
+    """E43, O10"""
+    return find.keyword_search(t(spark, sf_dir, "documents"), "LICENSED", "doc_id", "text").select("doc_id", "text")
+
+
+@query(
+    """
+WITH q AS (SELECT list_transform(embedding, lambda x: x::double) AS q FROM embeddings WHERE vec_id = 7)
+SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::double), q), 9) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 5"""
+)
+def vector_hits(spark, sf_dir):
+    """E44"""
+    v = t(spark, sf_dir, "embeddings")
+    return find.vector_search(v, v.where("vec_id = 7").select(F.col("embedding").alias("q"))).withColumn("score", F.round("score", 9))
+
+
+# ---------------------------------------------------------------- streams and their batch twins
+
+
+def _events(df: DataFrame) -> DataFrame:
+    status = F.expr("CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'error' WHEN 'click' THEN 'retry' ELSE 'completed' END")
+    return df.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("step"), status.alias("status"), F.col("event_id").cast("string").alias("message"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_EVENTS = "(SELECT user_id AS case_id, event_type AS step, CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'error' WHEN 'click' THEN 'retry' ELSE 'completed' END AS status, cast(event_id AS varchar) AS message, ts FROM events)"
+_STATES = f"(SELECT case_id, arg_max(status, (ts, step, message)) AS status, arg_max(step, (ts, step, message)) AS step, max(ts) AS updated_at, count(*) AS n_events FROM {_EVENTS} GROUP BY case_id)"
+
+
+@query(f"SELECT case_id, status, step, updated_at, n_events FROM {_STATES}")
+def latest_states(spark, sf_dir):
+    """T1, as a batch"""
+    return jobs.latest_state(_events(t(spark, sf_dir, "events"))).drop("message")
+
+
+@query(f"SELECT case_id, status, step, updated_at, n_events FROM {_STATES}")
+def streamed_states(spark, sf_dir):
+    """T1, T3 as a stream of files, merged batch by batch into a table of states."""
+    top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
+    stream = stream_of(t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet")
+    jobs.merge_states(f"{top}/states", _events(stream), f"{top}/checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{top}/states").agg(F.max("batch").alias("n")).first()["n"]
+    return spark.read.parquet(f"{top}/states/batch={last}").drop("message")
+
+
+@query(f"SELECT case_id, array_to_string(list(step || ':' || message ORDER BY ts, step, message), ',') AS history FROM {_EVENTS} GROUP BY case_id")
+def status_history(spark, sf_dir):
+    """The ordered history"""
+    h = jobs.history(_events(t(spark, sf_dir, "events")))
+    return h.select("case_id", F.array_join(F.transform("history", lambda x: F.concat_ws(":", x["step"], x["message"])), ",").alias("history"))
+
+
+@query(f"SELECT case_id, CASE WHEN status = 'running' AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE THEN 'error' ELSE status END AS status FROM {_STATES}")
+def stuck_states(spark, sf_dir):
+    """T2"""
+    events = _events(t(spark, sf_dir, "events"))
+    now = events.agg(F.max("ts").alias("now"))
+    states = jobs.latest_state(events).join(F.broadcast(now), F.lit(True))  # one row
+    return jobs.stuck_states(states, F.col("now")).select("case_id", "status")
+
+
+@query(f"SELECT case_id, status FROM {_STATES} WHERE NOT (status IN ('completed', 'error') AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)")
+def retained_states(spark, sf_dir):
+    """T3"""
+    events = _events(t(spark, sf_dir, "events"))
+    now = events.agg(F.max("ts").alias("now"))
+    return jobs.retained(jobs.latest_state(events).join(F.broadcast(now), F.lit(True)), F.col("now"), 1).select("case_id", "status")
+
+
+@query(f"SELECT case_id, count(*) FILTER (status = 'retry') AS attempts, arg_max(status, (ts, step, message)) AS status FROM {_EVENTS} GROUP BY case_id")
+def retry_counts(spark, sf_dir):
+    """T6"""
+    return jobs.attempts(_events(t(spark, sf_dir, "events")))
+
+
+@query(
+    """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, upper(event_type) AS action, count(*) AS n, count(*) FILTER (user_id % 5 = 0) AS errors, sum(user_id * 10) AS total_ms, max(user_id * 10) AS max_ms FROM events GROUP BY 1, 2"""
+)
+def activity_metrics(spark, sf_dir):
+    """T7"""
+    line = F.expr("concat('[', upper(event_type), '][', CASE WHEN user_id % 5 = 0 THEN 'ERROR' ELSE 'END' END, '] done | user=', cast(user_id AS string), ' | duration=', cast(user_id * 10 AS string), 'ms')")
+    lines = t(spark, sf_dir, "events").select(line.alias("line"), F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.activity_metrics(jobs.parse_activity(lines), "1 hour")
+
+
+@query("SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2")
+def deduplicated_events(spark, sf_dir):
+    """T8, as a batch"""
+    e = t(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.deduplicated(e, ["user_id", "event_type"])

@@ -31,7 +31,7 @@ def read_page_files(spark: SparkSession, path: str, marker: str = r"\[P[ÁA]GINA
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     numbers, bodies = F.regexp_extract_all("value", F.lit(marker), F.lit(1)), F.slice(F.split("value", marker, -1), 2, 1_000_000)
     page = F.explode(F.arrays_zip(numbers.alias("no"), bodies.alias("text")))
-    return whole.select("path", page.alias("p")).select("path", F.col("p.no").cast("int").alias("page_no"), F.trim("p.text").alias("text"))
+    return whole.select("path", page.alias("p")).select("path", F.col("p.no").cast("int").alias("page_no"), F.regexp_replace("p.text", r"^\s+|\s+$", "").alias("text"))
 
 
 def file_listing(spark: SparkSession, path: str) -> DataFrame:
