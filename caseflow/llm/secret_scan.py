@@ -163,8 +163,8 @@ def _of_kind(number: int):
     return lambda s: s["kind_no"] == number
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` and ``secrets``: array<struct<start, kind_no, end, kind>>, by start, then rule order."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id", name: str = "secrets") -> DataFrame:
+    """All columns of ``docs`` and ``name``: array<struct<start, kind_no, end, kind>>, by start, then rule order."""
     spark: SparkSession = docs.sparkSession
     index = stash(postings(docs, rules, text, doc_id), "postings") if any(map(has_trigrams, rules)) else spark.createDataFrame([], "doc_id long, trigram string")
     found = candidates(index, rules).withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("kinds", "__kinds")
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", d
         if has_trigrams(rule):
             spans = F.when(F.array_contains("__kinds", F.lit(rule.kind)), spans)
         each.append(F.coalesce(spans, F.array().cast("array<struct<start: bigint, kind_no: int, end: bigint, kind: string>>")))
-    return met.withColumn("secrets", F.array_sort(F.concat(*each))).drop("__kinds")
+    return met.withColumn(name, F.array_sort(F.concat(*each))).drop("__kinds")
 
 
 def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:

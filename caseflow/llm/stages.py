@@ -48,8 +48,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced by a mark."""
-    found = secret_scan.scan(docs)
-    return _measured(found.withColumn("text", secret_scan.redact(F.col("text"), F.col("secrets"))).select(*docs.columns))
+    found = secret_scan.scan(docs, name="__secrets")
+    return _measured(found.withColumn("text", secret_scan.redact(F.col("text"), F.col("__secrets"))).select(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ def class_texts(keyed: DataFrame, wanted: DataFrame, s: Settings, text: str) ->
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("khash", "shash", "n", "group", "base", "windows", "body")}
             texts, held = b.column(text), 0
-            for k, cuts in enumerate(b.column("cuts").to_pylist()):
+            for k, cuts in enumerate(b.column("__cuts").to_pylist()):
                 raw = (texts[k].as_py() or "").encode()
                 for c in cuts:
                     parts = [(0, c["windows"], c["khash"])]
@@ -250,8 +250,8 @@ def class_texts(keyed: DataFrame, wanted: DataFrame, s: Settings, text: str) ->
             yield _class_batch(out)
 
     ddl = "khash long, shash long, n long, group long, base int, windows int, body binary"
-    each = wanted.groupBy("__id", "__tag").agg(F.collect_list(F.struct("first", "windows", "anchor", "khash", "shash", "n", "hot")).alias("cuts")).withColumnsRenamed({"__id": "c_id", "__tag": "c_tag"})
-    return keyed.join(each, (keyed["__id"] == each["c_id"]) & (keyed["__tag"] == each["c_tag"])).mapInArrow(run, ddl)
+    each = wanted.groupBy("__id", "__tag").agg(F.collect_list(F.struct("first", "windows", "anchor", "khash", "shash", "n", "hot")).alias("__cuts")).withColumnsRenamed({"__id": "__c_id", "__tag": "__c_tag"})
+    return keyed.join(each, (keyed["__id"] == each["__c_id"]) & (keyed["__tag"] == each["__c_tag"])).mapInArrow(run, ddl)
 
 
 def _parts(raw: bytes, c: dict, s: Settings, slices: int = 8) -> list[tuple[int, int, int]]:
@@ -278,7 +278,7 @@ def _class_batch(out: dict[str, list]) -> pa.RecordBatch:
 
 
 def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``repeats``: array<struct<start, end>> of repeated bytes (null if none), unmerged.
+    """All columns of ``docs`` and ``__repeats``: array<struct<start, end>> of repeated bytes (null if none), unmerged.
 
     Rows are known by two hashes of their id and text, so repeated and null ids do no harm.
     """
@@ -296,9 +296,9 @@ def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_i
     runs = bodies.groupBy(F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: repeated_windows(pdf, s), "khash long, shash long, low int, high int")
     verdict = runs.groupBy("khash", "shash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     found = again.join(verdict, ["khash", "shash"]).select("__id", "__tag", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("start"), (F.col("first") + r["high"] - 1 + s.length).alias("end")))).alias("span"))
-    found = found.groupBy(F.col("__id").alias("f_id"), F.col("__tag").alias("f_tag")).agg(F.collect_list("span").alias("repeats"))
-    met = keyed.join(found, (keyed["__id"] == found["f_id"]) & (keyed["__tag"] == found["f_tag"]), "left")
-    return met.drop("__id", "__tag", "f_id", "f_tag")
+    found = found.groupBy(F.col("__id").alias("__f_id"), F.col("__tag").alias("__f_tag")).agg(F.collect_list("span").alias("__repeats"))
+    met = keyed.join(found, (keyed["__id"] == found["__f_id"]) & (keyed["__tag"] == found["__f_tag"]), "left")
+    return met.drop("__id", "__tag", "__f_id", "__f_tag")
 
 
 def cut_out(raw: bytes, repeats: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -322,14 +322,14 @@ def measure_repeats(found: DataFrame, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts = [], b.column("__text")
-            for k, repeats in enumerate(b.column("repeats").to_pylist()):
+            for k, repeats in enumerate(b.column("__repeats").to_pylist()):
                 raw = (texts[k].as_py() or "").encode()
                 left, runs = cut_out(raw, repeats)
                 rows.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()]))], [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    src = found.select(*keep, F.col(text).alias("__text"), "repeats")
+    src = found.select(*keep, F.col(text).alias("__text"), "__repeats")
     ddl = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
     return src.mapInArrow(run, ddl)
 
@@ -341,11 +341,11 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, out = b.column(text), []
-            for k, repeats in enumerate(b.column("repeats").to_pylist()):
+            for k, repeats in enumerate(b.column("__repeats").to_pylist()):
                 t = texts[k].as_py()
                 out.append(t if t is None or not repeats else cut_out(t.encode(), repeats)[0].decode("utf-8", "ignore"))
-            columns = [pa.array(out, b.schema.field(c).type) if c == text else b.column(c) for c in b.schema.names if c != "repeats"]
-            yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "repeats"])
+            columns = [pa.array(out, b.schema.field(c).type) if c == text else b.column(c) for c in b.schema.names if c != "__repeats"]
+            yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "__repeats"])
 
     return found.mapInArrow(run, docs.schema)
 
