@@ -65,7 +65,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     first = np.searchsorted(start, offset)
     rolled = np.zeros(len(h), np.uint64)
     for k in range(words):
-        rolled[: len(h) - k] = mixed(rolled[: len(h) - k] + np.uint64(k + 1)) + h[k:]
+        n = max(0, len(h) - k)
+        rolled[:n] = mixed(rolled[:n] + np.uint64(k + 1)) + h[k:]
     rolled = mixed(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -138,8 +139,11 @@ def least_overlap(a, b, st: Settings):
     return -(-st.at_least * (a + b) // (st.at_least + st.of))
 
 
-def meet(x: SignatureTree, y: SignatureTree, st: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Members of two trees (or of one, with itself) that could link, leaf pair by leaf pair."""
+def meet(x: SignatureTree, y: SignatureTree, st: Settings, settled) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of two trees (or of one, with itself) that could link, leaf pair by leaf pair.
+
+    ``settled(members, members)`` says that a leaf pair has nothing more to tell.
+    """
     todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while todo:
         lx, i, ly, k = todo.pop()
@@ -159,6 +163,8 @@ def meet(x: SignatureTree, y: SignatureTree, st: Settings) -> Iterator[tuple[np.
                 todo += [(lx, i, ly - 1, q) for q in y.below(ly, k)]
             continue
         a, b = np.arange(fx[i], tx[i]), np.arange(fy[k], ty[k])
+        if settled(x.members[a], y.members[b]):
+            continue
         overlap = np.bitwise_count(x.bits[a][:, None, :] & y.bits[b][None, :, :]).sum(2, dtype=np.int64)
         overlap += np.minimum(x.shared[a][:, None], y.shared[b][None, :])
         ok = np.minimum(overlap, np.minimum(x.size[a][:, None], y.size[b][None, :])) >= least_overlap(x.size[a][:, None], y.size[b][None, :], st)
@@ -169,22 +175,22 @@ def meet(x: SignatureTree, y: SignatureTree, st: Settings) -> Iterator[tuple[np.
             yield x.members[a[p]], y.members[b[q]]
 
 
-def possible_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], st: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def possible_pairs(sizes: np.ndarray, bitmaps: list[np.ndarray], st: Settings, settled=lambda a, b: False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs that the bitmaps allow: a tree for each bitmap length, joined with itself and the next length's."""
     words = np.array([len(b) for b in bitmaps])
     for w in np.unique(words).tolist():
         here = SignatureTree(np.flatnonzero(words == w), sizes, bitmaps, w, st)
-        yield from meet(here, here, st)
+        yield from meet(here, here, st, settled)
         longer = np.flatnonzero(words == 2 * w)  # sets that could link differ by less than a factor of two
         if len(longer):
-            yield from meet(here, SignatureTree(longer, sizes, bitmaps, w, st), st)
+            yield from meet(here, SignatureTree(longer, sizes, bitmaps, w, st), st, settled)
 
 
 def possible_partners(sizes: np.ndarray, bitmaps: list[np.ndarray], st: Settings) -> np.ndarray:
     """Which classes have a partner that the bitmaps allow."""
     hit = np.zeros(len(sizes), bool)
     if len(sizes) > 1:
-        for a, b in possible_pairs(sizes, bitmaps, st):
+        for a, b in possible_pairs(sizes, bitmaps, st, lambda a, b: hit[a].all() and hit[b].all()):
             hit[a] = True
             hit[b] = True
     return hit
@@ -196,30 +202,23 @@ def linked(a: np.ndarray, b: np.ndarray, st: Settings) -> bool:
 
 
 def connect(sets: list[np.ndarray], st: Settings, hub: int | None = None) -> np.ndarray:
-    """The smallest position connected to each set, by exactly verified links."""
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    """The smallest position connected to each set, by exactly verified links; connected pairs aren't looked at again."""
+    label = np.arange(len(sets))
 
     def join(i: int, k: int) -> None:
-        x, y = find(i), find(k)
+        x, y = sorted((label[i], label[k]))
         if x != y and linked(sets[i], sets[k], st):
-            parent[max(x, y)] = min(x, y)
+            label[label == y] = x
 
     if hub is not None:
         for k in range(len(sets)):
-            if k != hub:
-                join(hub, k)
-    if len({find(x) for x in range(len(sets))}) > 1:
-        for a, b in possible_pairs(np.array([len(s) for s in sets]), [bitmap_of(s) for s in sets], st):
-            for i, k in zip(a.tolist(), b.tolist()):
-                if find(i) != find(k):
-                    join(i, k)
-    return np.array([find(x) for x in range(len(sets))])
+            join(hub, k)
+    if (label != label[0]).any():
+        settled = lambda a, b: (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all()
+        for a, b in possible_pairs(np.array([len(s) for s in sets]), [bitmap_of(s) for s in sets], st, settled):
+            for n in np.flatnonzero(label[a] != label[b]).tolist():
+                join(int(a[n]), int(b[n]))
+    return label
 
 
 # ---- the jobs
@@ -258,6 +257,18 @@ def sets_and_frequent(keyed: DataFrame, st: Settings, task_shingles: int = 1 <<
     return keyed.mapInArrow(run, "__id long, __tag int, n long, class long, shingle long, times long")
 
 
+def _most_frequent(often: DataFrame, st: Settings) -> np.ndarray:
+    """The shingles of the highest powers of two of ``times`` that together are ``st.frequent`` at most."""
+    power = F.floor(F.log2("times")).cast("int")
+    held, least = 0, 64
+    for r in sorted(often.groupBy(power.alias("power")).count().collect(), key=lambda r: -r["power"]):  # 64 rows at most
+        held += r["count"]
+        if held > st.frequent:
+            break
+        least = r["power"]
+    return often.where(power >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+
+
 def prefixes(keyed: DataFrame, frequent: np.ndarray, st: Settings, remember: int = 1 << 19) -> DataFrame:
     """(key, class) for the prefix of every set; a task gives equal sets once."""
     shared = keyed.sparkSession.sparkContext.broadcast(np.sort(frequent))  # at most ``frequent`` numbers
@@ -322,7 +333,7 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
     seen = stash(sets_and_frequent(keyed, st), "sets")
     rows = seen.where("shingle is null").select("__id", "__tag", "n", "class")
     often = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= st.frequent_from)
-    often = often.orderBy(F.desc("times"), "shingle").limit(st.frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    often = _most_frequent(often, st)
     by_key = Window.partitionBy("key")
     keys = prefixes(keyed, often, st).withColumn("hub", F.min("class").over(by_key)).withColumn("last", F.max("class").over(by_key))
     edges = stash(keys.where("hub < last and class <> hub").select("hub", "class").distinct(), "edges")
