@@ -231,8 +231,25 @@ def pick_region(*cols, codes: tuple[str, ...], default: str | None = None) -> Co
 
 
 def context_of(c, pattern: str, chars: int = 50) -> Column:
-    """The first match of ``pattern`` with up to ``chars`` characters on either side."""
-    return F.regexp_extract(_c(c), rf"(?s).{{0,{chars}}}(?:{pattern}).{{0,{chars}}}", 0)
+    """The first match of ``pattern`` with up to ``chars`` characters on either side; empty if there is none."""
+    c = _c(c)
+    found, before = F.regexp_extract(c, pattern, 0), F.split(c, pattern, 2)[0]
+    after = F.substr(c, F.length(before) + F.length(found) + 1, F.lit(chars))
+    return F.when(found != "", F.concat(F.right(before, F.lit(chars)), found, after)).otherwise("")
+
+
+def matches_at(c, pattern: str) -> Column:
+    """array<struct<at, value>> of all matches; the texts between them give the positions."""
+    c = _c(c)
+    parts = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("value"))
+    start = F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at: int, out: array<struct<at: int, value: string>>>")
+
+    def step(acc: Column, z: Column) -> Column:
+        at = acc["at"] + F.length(z["gap"])
+        out = F.when(z["value"].isNotNull(), F.concat(acc["out"], F.array(F.struct(at.alias("at"), z["value"].alias("value"))))).otherwise(acc["out"])
+        return F.struct((at + F.coalesce(F.length(z["value"]), F.lit(0))).alias("at"), out.alias("out"))
+
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
 def parse_json_array(c, element: str = "string") -> Column:

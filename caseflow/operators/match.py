@@ -71,8 +71,16 @@ def resolve_entity(names: DataFrame, catalogue: DataFrame, threshold: float = 0.
     near = first_by(scored_candidates(rest, catalogue, threshold), ["name"], F.desc("score"), F.col("ordinal"), F.col("label")).select("name", "label", "score", F.lit("similar").alias("how"))
     found = exact.unionByName(near)
     out = names.join(found.withColumnRenamed("name", "__name"), names[name] == F.col("__name"), "left").drop("__name")
-    other = F.initcap(F.lower(F.trim(name))) if fallback == "title" else F.lit(None).cast("string")
-    return out.withColumn("how", F.coalesce("how", F.lit("none"))).withColumn("label", F.coalesce("label", other))
+    out = out.withColumn("how", F.coalesce("how", F.lit("none")))
+    return out.withColumn("label", F.coalesce("label", F.initcap(F.lower(F.trim(name))))) if fallback == "title" else out
+
+
+def dictionary_enrich(df: DataFrame, dictionary: DataFrame, name: str, fields: list[str], threshold: float = 0.9) -> DataFrame:
+    """Fields of the dictionary's entry equal or similar to the name, only where they are blank."""
+    entries = dictionary.withColumn("label", F.struct(*(F.col(f).alias(f) for f in fields)))
+    found = resolve_entity(df.select(name).distinct(), entries, threshold, name, fallback=None).where("label is not null").select(F.col(name).alias("__name"), F.col("label").alias("__entry"))
+    met = df.join(found, df[name] == F.col("__name"), "left")
+    return met.withColumns({f: F.coalesce(T.unblank(f), F.col(f"__entry.{f}")) for f in fields}).drop("__name", "__entry")
 
 
 def label_by_key(df: DataFrame, catalogue: DataFrame, column: str, key: str, value: str, out: str, default: str | None = None, patterns: tuple[tuple[str, str], ...] = ()) -> DataFrame:

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from caseflow.functions import text as T
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 @dataclass(frozen=True)
 class Rule:
     field: str
@@ -41,7 +46,7 @@ class Rule:
         x = F.left(source, F.lit(self.head)) if self.head else source
         if self.scan_all:
             found = F.regexp_extract_all(x, F.lit(self.pattern), F.lit(self.group if isinstance(self.group, int) else self.group[0]))
-            made = F.transform(found, lambda v: self._formed(v))
+            made = F.transform(found, self._formed)
             return F.try_element_at(F.filter(made, lambda v: v.isNotNull()), F.lit(1))
         groups = (self.group,) if isinstance(self.group, int) else self.group
         raw = F.concat_ws(" ", *(F.nullif(F.regexp_extract(x, self.pattern, g), F.lit("")) for g in groups))
@@ -49,12 +54,12 @@ class Rule:
         if self.veto:
             words = "|".join(self.veto)
             near = T.context_of(x, self.pattern, self.around)
-            value = F.when(~F.lower(near).rlike(f"(?u){words}"), value)
+            value = bind(value, lambda v: F.when(v.isNotNull() & ~F.lower(near).rlike(f"(?u){words}"), v))
         return value
 
     def _formed(self, raw: Column) -> Column:
-        value = self.form(raw) if self.form else F.trim(raw)
-        return F.when(self.accept(value), value) if self.accept else F.when(value != "", value)
+        form = self.form or F.trim
+        return bind(raw, lambda r: bind(form(r), lambda v: F.when(self.accept(v) if self.accept else v != "", v)))
 
 
 @dataclass(frozen=True)
@@ -97,7 +102,7 @@ def extract(docs: DataFrame, pack: RulePack, text: str = "text", fields: Iterabl
     out = []
     for f in wanted:
         rules = [(k, r) for k, r in enumerate(r for r in pack.rules if r.field == f)]
-        tried = [F.when((v := r.value(F.col(f"__{r.source}"))).isNotNull(), F.struct(v.cast("string").alias("value"), F.lit(k).alias("rule"))) for k, r in rules]
+        tried = [_numbered(r.value(F.col(f"__{r.source}")), k) for k, r in rules]
         out.append(F.coalesce(*tried).alias(f"__v_{f}"))
     found = base.select(*keep, *out)
     columns = [F.col(f"__v_{f}.value").alias(f) for f in wanted]
@@ -106,6 +111,12 @@ def extract(docs: DataFrame, pack: RulePack, text: str = "text", fields: Iterabl
     return found.select(*keep, *columns)
 
 
+def _numbered(value: Column, rule: int) -> Column:
+    """struct(value, rule), or null without a value."""
+    there = F.filter(F.array(value), lambda v: v.isNotNull())
+    return F.try_element_at(F.transform(there, lambda v: F.struct(v.cast("string").alias("value"), F.lit(rule).alias("rule"))), F.lit(1))
+
+
 def extract_all(docs: DataFrame, field_patterns: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(``keep``, field, ordinal, value): every match of every pattern, in order, distinct within a document."""
     parts = [F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0))), _tag(f)) for f, p in field_patterns.items()]
@@ -138,9 +149,9 @@ def last_of_all(text: Column, patterns: Iterable[str], clean: Callable[[Column],
 
 def guarded_first(text: Column, pattern: str, positive: str, negative: str, around: int = 200, group: int = 0) -> Column:
     """The first match with a positive marker and no negative one within ``around`` characters."""
-    near = F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{around}}}(?:{pattern}).{{0,{around}}}"), F.lit(0))
-    good = F.try_element_at(F.filter(near, lambda n: n.rlike(positive) & ~n.rlike(negative)), F.lit(1))
-    return F.nullif(F.regexp_extract(F.coalesce(good, F.lit("")), pattern, group), F.lit(""))
+    near = lambda m: F.substr(text, F.greatest(F.lit(1), m["at"] + 1 - around), F.least(F.lit(around), m["at"]) + F.length(m["value"]) + around)
+    good = F.filter(T.matches_at(text, pattern), lambda m: near(m).rlike(positive) & ~near(m).rlike(negative))
+    return F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(good, F.lit(1))["value"], F.lit("")), pattern, group), F.lit(""))
 
 
 def union_of(columns: Iterable[Column]) -> Column:

@@ -293,6 +293,43 @@ def contact(pattern: str, skip: str | None = None):
     return make
 
 
+#: Words that speak for, and against, a city being the court's.
+JUDICIAL = r"(?iu)\b(vara|comarca|foro|f[óo]rum|ju[íi]zo|tribunal|justi[çc]a|ju[íi]z)\b"
+PLACE_OF_LIVING = r"(?iu)\b(rua|avenida|av|residente|domiciliad[oa]|endere[çc]o|bairro|cep|sede)\b"
+
+
+def city_candidates(text: Column, look_back: int = 300) -> Column:
+    """array<struct<score, at, city, state>> of "City - UF", best first: court words before it less twice the address words, if more than none."""
+    p = rf"(?u)([A-ZÀ-Ú][\wÀ-ú']+(?:\s(?:d[aeo]s?\s)?[A-ZÀ-Ú][\wÀ-ú']+){{0,4}})\s*[-/–]\s*({'|'.join(STATES)})\b"
+    take = lambda g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    parts = F.arrays_zip(F.split(text, p, -1).alias("gap"), take(0).alias("whole"), take(1).alias("city"), take(2).alias("state"))
+    count = lambda c, words: F.size(F.regexp_extract_all(c, F.lit(words), F.lit(0)))
+    start = F.from_json(F.lit('{"at":0,"tail":"","out":[]}'), "struct<at: int, tail: string, out: array<struct<score: int, at: int, city: string, state: string>>>")
+
+    def step(acc: Column, z: Column) -> Column:
+        before = F.right(F.concat(acc["tail"], z["gap"]), F.lit(look_back))
+        whole, at = F.coalesce(z["whole"], F.lit("")), acc["at"] + F.length(z["gap"])
+        score = count(before, JUDICIAL) - 2 * count(before, PLACE_OF_LIVING)
+        found = F.struct(score.alias("score"), at.alias("at"), z["city"].alias("city"), z["state"].alias("state"))
+        out = F.when(z["city"].isNotNull() & (score > 0), F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
+        return F.struct((at + F.length(whole)).alias("at"), F.right(F.concat(before, whole), F.lit(look_back)).alias("tail"), out.alias("out"))
+
+    order = lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).otherwise(a["at"] - b["at"])
+    return F.array_sort(F.aggregate(parts, start, step, lambda acc: acc["out"]), order)
+
+
+def court_city(text: Column) -> Column:
+    best = F.try_element_at(city_candidates(text), F.lit(1))
+    return F.when(best.isNotNull(), F.concat_ws(" - ", best["city"], best["state"]))
+
+
+def procedure_type(filename: Column, text: Column) -> Column:
+    """A file name's prefix beats the text's first 3000 characters; the most specific comes first."""
+    by_name = T.first_match(filename, [("^atord", "ATOrd"), ("^atsum", "ATSum"), ("^acp", "ACP"), ("^cumsen", "CumSen"), ("^rot", "ROT"), ("^rorsum", "RORSum")])
+    by_text = T.first_match(F.left(text, F.lit(3000)), [("rito sumarissimo", "ATSum"), ("acao civil publica", "ACP"), ("cumprimento de sentenca", "CumSen"), ("recurso ordinario", "ROT"), ("acao trabalhista|reclamacao trabalhista", "ATOrd")])
+    return F.coalesce(by_name, by_text)
+
+
 def decision_type(text: Column) -> Column:
     x = F.lower(text)
     return F.when(x.rlike(r"(?su)sentença\s+(proferida|publicada|transitada)|julgo\s+(im)?procedente|dispositivo.*sentença|sentença.*julg"), "Sentença").when(x.rlike(r"(?su)acórdão\s+(proferido|publicado)|acordam\s+os\s+desembargadores|vistos.*relatados.*e\s+discutidos"), "Acórdão")
@@ -340,6 +377,7 @@ PACK = register(
             Rule("origin", "", column=lambda x: court(x)["origin"]),
             Rule("instance", "", column=lambda x: court(x)["instance"]),
             *(Rule("district", I + p, (1, 2), "clean", form=lambda v: F.regexp_replace(v, r"\s+([A-Za-z]{2})$", " - $1")) for p in DISTRICT),
+            Rule("district", "", column=court_city),
             *(Rule("bench", I + p, 1, "clean", form=T.clean_value) for p in BENCH),
             *_dates("filing_date", FILING),
             *(Rule("claim_value", I + p, 1) for p in VALUE),

@@ -110,6 +110,51 @@ def labour_cases(spark, sf_dir):
     return rules.extract(_case_texts(spark, sf_dir), labour_br.PACK, fields=fields, provenance=False)
 
 
+_DETAIL_TEXT = """concat('Vara do Trabalho de Cidade ', chr(65 + cast(o_custkey % 26 AS int)), 'x - SP', chr(10), 'RECLAMANTE: Pessoa ', cast(o_custkey AS string), chr(10), 'ADVOGADO: Nome ', cast(o_custkey AS string), ' - OAB/SP ', cast(100000 + o_custkey AS string), chr(10),
+ 'foi admitido em ', date_format(o_orderdate, 'dd/MM/yyyy'), chr(10), 'foi demitido sem justa causa em ', date_format(date_add(o_orderdate, 100), 'dd-MM-yyyy'), chr(10), 'exercia a função de operador de linha ', cast(o_custkey % 9 AS string), ', residente na Rua B, Outra - RJ', chr(10), 'local de trabalho: Rua ', cast(o_custkey AS string), ' bairro Centro', chr(10),
+ 'Audiência UNA designada em ', date_format(date_add(o_orderdate, 400), 'dd/MM/yyyy'), ' às 8:', lpad(cast(o_custkey % 60 AS string), 2, '0'), chr(10), 'no prazo de ', cast(o_custkey % 30 + 1 AS string), ' dias', chr(10), 'CTPS nº ', cast(10000 + o_custkey AS string))"""
+
+
+@query(
+    r"""
+SELECT o_orderkey AS doc_id, 'Cidade ' || chr(65 + cast(o_custkey % 26 AS int)) || 'x - SP' AS district, 'Nome ' || o_custkey AS plaintiff_lawyer, 'OAB/SP ' || (100000 + o_custkey) AS bar_number, strftime(o_orderdate, '%d/%m/%Y') AS hire_date,
+  strftime(o_orderdate + INTERVAL 100 DAY, '%d/%m/%Y') AS dismissal_date, strftime(o_orderdate + INTERVAL 400 DAY, '%d/%m/%Y') || ' 08:' || lpad(cast(o_custkey % 60 AS varchar), 2, '0') AS hearing, 'Una' AS hearing_kind, (o_custkey % 30 + 1) || ' dias' AS deadline,
+  cast(10000 + o_custkey AS varchar) AS ctps, 'operador de linha ' || (o_custkey % 9) AS job_title, 'Rua ' || o_custkey || ' bairro Centro' AS workplace FROM orders"""
+)
+def labour_details(spark, sf_dir):
+    """E4, O8, E9, E10, E13, E15, E16, E17, E19, E21, E22"""
+    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_DETAIL_TEXT).alias("text"))
+    fields = ["district", "plaintiff_lawyer", "bar_number", "hire_date", "dismissal_date", "hearing", "hearing_kind", "deadline", "ctps", "job_title", "workplace"]
+    return rules.extract(docs, labour_br.PACK, fields=fields, provenance=False)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'ATSum' WHEN o_orderstatus = 'F' THEN 'ATOrd' END AS kind, CASE WHEN o_custkey % 3 = 0 THEN 3 WHEN o_custkey % 3 = 1 THEN 2 ELSE 0 END AS n_claims FROM orders")
+def procedures_and_claims(spark, sf_dir):
+    """E6, E24"""
+    o = t(spark, sf_dir, "orders")
+    name = F.expr("CASE WHEN o_orderstatus = 'O' THEN 'ATSum_1.pdf' ELSE 'x.pdf' END")
+    text = F.expr("concat(CASE WHEN o_orderstatus IN ('O', 'F') THEN 'Reclamação Trabalhista ' ELSE '' END, CASE o_custkey % 3 WHEN 0 THEN 'DOS PEDIDOS: a) pagamento de horas extras; b) multa do artigo 477; c) reflexos em verbas. Termos em que pede' WHEN 1 THEN 'DOS PEDIDOS: a) pagamento de horas extras; b) PAGAMENTO de horas extras; c) saldo de salário' ELSE 'nada' END)")
+    return o.select("o_orderkey", labour_br.procedure_type(name, text).alias("kind"), F.size(labour_br.claims(text)).alias("n_claims"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'own' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'from ' || lower(c_mktsegment) END AS cell FROM customer")
+def enriched_cells(spark, sf_dir):
+    """J14"""
+    book = spark.sql("SELECT * FROM VALUES ('Building', 'from building', 1), ('machinery', 'from machinery', 2) AS d(name, cell, ordinal)")
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'own' END").alias("cell"))
+    return match.dictionary_enrich(c, book, "c_mktsegment", ["cell"]).select("c_custkey", "cell")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'kept' WHEN p_size % 4 = 1 THEN p_name || ',' || p_brand ELSE p_name END AS names FROM part")
+def defendant_lists(spark, sf_dir):
+    """E47"""
+    p = t(spark, sf_dir, "part")
+    found = F.expr("CASE WHEN p_size % 4 = 0 THEN array('kept', 'two') ELSE array('only') END")
+    second = F.expr("CASE WHEN p_size % 4 = 1 THEN p_brand WHEN p_size % 4 = 2 THEN upper(p_name) END")
+    names = match.defendants_or_stored(found, F.col("p_name"), second)
+    return p.select("p_partkey", F.when(F.col("p_size") % 4 == 0, names[0]).otherwise(F.array_join(names, ",")).alias("names"))
+
+
 @query(
     r"""
 SELECT o_orderkey AS doc_id, 'Ata de Audiência' AS type, 0.95 AS confidence FROM orders WHERE o_orderstatus = 'F'
