@@ -37,8 +37,8 @@ def merge_alias_sources(*sources: DataFrame) -> DataFrame:
 def alias_containment(docs: DataFrame, aliases: DataFrame, weights: dict[str, int], keep: str = "doc_id", whole: str | None = None, whole_weight: int = 2) -> DataFrame:
     """The label whose alias a field contains; the heaviest field wins, the alias' ordinal breaks ties.
 
-    An alias' longest word must be a word of the field, which turns the containment test into an equi-join;
-    aliases without a whole word in the field are found by ``blocked=False`` callers through ``contains_join``.
+    Both sides are folded first. Containment has no join key, so the aliases are a catalogue that every task reads
+    (sent to the executors behind a count); a large alias list belongs into ``resolve_entity``, which blocks on words.
     """
     fields = dict(weights) | ({whole: whole_weight} if whole else {})
     stacked = docs.select(keep, F.explode(F.array(*(F.struct(T.fold(c).alias("body"), F.lit(w).alias("weight")) for c, w in fields.items()))).alias("f")).select(keep, "f.*").where("body <> ''")

@@ -29,7 +29,8 @@ def extract_cases(pages: DataFrame, pack: RulePack, as_of: Column, regions: Data
     first, last = structure.zone_sizes(F.coalesce(F.col("file_bytes"), F.lit(0)))
     text = structure.select_zone(pages, first, last)
     typed = text.withColumn("doc_type", classify.document_type("text"))
-    rows = extract(typed, pack, keep=("doc_id", "doc_type"), provenance=True).withColumnsRenamed({}).select("*", F.col("doc_type.type").alias("type"), F.col("doc_type.confidence").alias("type_confidence")).drop("doc_type")
+    rows = extract(typed, pack, keep=("doc_id", "doc_type"))
+    rows = rows.select("*", F.col("doc_type.type").alias("type"), F.col("doc_type.confidence").alias("type_confidence")).drop("doc_type")
     if mask is not None:
         rows = classify.mask_fields(rows, mask, pack.fields())
     dates = {f: T.to_date_br(F.col(f)) for f in ("filing_date", "hire_date", "dismissal_date") if f in rows.columns}
