@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
+from caseflow.operators.match import small
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ def document_type(text, classes=LABOUR_CLASSES, other: str = "Outros") -> Column
 
 def mask_fields(df: DataFrame, mask: DataFrame, fields: list[str], type_column: str = "type") -> DataFrame:
     """Fields that aren't listed for the row's type become null; types without a list keep all."""
-    listed = F.broadcast(mask.groupBy("type").agg(F.collect_set("field").alias("__f")))
+    listed = small(mask.groupBy("type").agg(F.collect_set("field").alias("__f")))
     met = df.join(listed.withColumnRenamed("type", "__type"), F.col(type_column) == F.col("__type"), "left")
     return met.withColumns({f: F.when(F.col("__f").isNull() | F.array_contains("__f", f), F.col(f)) for f in fields}).drop("__f", "__type")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
+from caseflow.operators.match import small
 
 
 def _c(c) -> Column:
@@ -43,7 +44,7 @@ def text_density(pages: DataFrame, least: int = 200, doc: str = "doc_id", text:
 def classify_pages(pages: DataFrame, kinds: DataFrame, least: int = 200, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """Per document the pages of each kind (by keyword), the scanned pages, all in order."""
     body = pages.select(doc, page, T.fold(text, "lower").alias("__b"), T.scanned(F.length(F.trim(text)), least).alias("__scanned"))
-    words = F.broadcast(kinds.select("kind", T.fold("keyword", "lower").alias("keyword")))
+    words = small(kinds.select("kind", T.fold("keyword", "lower").alias("keyword")))
     by_kind = body.join(words, F.contains(F.col("__b"), F.col("keyword"))).groupBy(doc, "kind").agg(F.array_sort(F.collect_set(page)).alias("pages"))
     maps = by_kind.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "pages")))).alias("pages_by_kind"))
     scans = body.groupBy(doc).agg(F.array_sort(F.collect_list(F.when(F.col("__scanned"), F.col(page)))).alias("scanned_pages"), F.max(page).alias("total_pages"))
@@ -106,7 +107,7 @@ def page_plan(needed: DataFrame, bookmark: DataFrame, contents: DataFrame, histo
     """The pages to read for each (doc, kind): from bookmarks, else contents, else history or the usual place."""
     plan = needed.select(doc, "kind").distinct().join(totals.select(doc, "total_pages"), doc)
     plan = plan.join(bookmark.select(doc, "kind", F.array("page_no").alias("p1")), [doc, "kind"], "left").join(contents.select(doc, "kind", F.col("pages").alias("p2")), [doc, "kind"], "left")
-    plan = plan.withColumn("bucket", T.size_bucket("total_pages")).join(F.broadcast(history.select("kind", "bucket", "mean_ratio", "samples")), ["kind", "bucket"], "left")
+    plan = plan.withColumn("bucket", T.size_bucket("total_pages")).join(history.select("kind", "bucket", "mean_ratio", "samples"), ["kind", "bucket"], "left")
     p3 = candidate_pages("total_pages", "mean_ratio", "samples", "kind")
     source = F.when(F.col("p1").isNotNull(), "bookmark").when(F.col("p2").isNotNull(), "contents").when(F.coalesce("samples", F.lit(0)) >= 3, "history").when(p3.isNotNull(), "usual")
     return plan.select(doc, "kind", F.coalesce("p1", "p2", p3).alias("pages"), source.alias("source"))

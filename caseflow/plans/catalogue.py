@@ -673,7 +673,7 @@ FROM part p JOIN nation n ON n.n_nationkey = p.p_partkey % 25"""
 def resolved_names(spark, sf_dir):
     """J4 (exact and unresolved): names that differ from the catalogue in case and accents."""
     n = t(spark, sf_dir, "nation")
-    p = t(spark, sf_dir, "part").join(F.broadcast(n), F.col("n_nationkey") == F.col("p_partkey") % 25)
+    p = t(spark, sf_dir, "part").join(n, F.col("n_nationkey") == F.col("p_partkey") % 25)
     names = p.select("p_partkey", F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'unknown thing' ELSE concat(' ', translate(lower(n_name), 'ai', 'ãí')) END").alias("name"))
     catalogue = n.select(F.col("n_name").alias("name"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("ordinal"))
     return match.resolve_entity(names, catalogue).select("p_partkey", "label", "how")
