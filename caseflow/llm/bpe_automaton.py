@@ -34,6 +34,8 @@ from caseflow.llm._common import read, steps
 
 #: Bits for a token's number within a key.
 BITS = 20
+#: Symbols up to which words walk in step with others.
+IN_STEP = 512
 #: Words that a task remembers; beyond that it starts afresh, so memory is bounded.
 REMEMBER = 150_000
 
@@ -131,6 +133,24 @@ class Automaton:
         k = np.searchsorted(self.low, key, "right") - 1
         return (k < 0) | (self.high[np.maximum(k, 0)] <= key)
 
+    def _walk(self, found: list[np.ndarray], last: np.ndarray) -> None:
+        """The path of one word, over its tokens by where they end."""
+        starts = [np.flatnonzero(row >= 0) for row in found]
+        end = np.concatenate([s + k for k, s in enumerate(starts)])  # the last symbol of each token
+        size = np.repeat(np.arange(1, len(found) + 1), [len(s) for s in starts])
+        token = np.concatenate([row[s] for row, s in zip(found, starts)])
+        order = np.argsort(end, kind="stable")
+        end, size, token = end[order], size[order], token[order]
+        numbers = self.number[token].tolist()
+        path = [-1] * len(last)
+        for e, n, t, number in zip(end.tolist(), size.tolist(), token.tolist(), numbers):
+            if path[e] < 0:
+                key = number if e < n else (int(self.state_of[path[e - n]]) << BITS) + number
+                k = int(np.searchsorted(self.low, key, "right")) - 1
+                if k < 0 or self.high[k] <= key:
+                    path[e] = t
+        last[:] = path
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The tokens of each word as little-endian unsigned 32-bit integers, all words in step."""
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -155,8 +175,11 @@ class Automaton:
             row[alive] = self.trie_token[node]
             found.append(row)
         last = np.full(len(symbols), -1, np.int32)  # the token that ends with this symbol on the path
-        for i in range(1, int(length[0]) + 1 if len(length) else 0):
-            todo = start[: np.searchsorted(-length, -i, "right")] + i  # words with at least i symbols
+        alone = int(np.searchsorted(-length, -IN_STEP, "left"))  # longer words walk one by one
+        for a, n in zip(start[:alone].tolist(), length[:alone].tolist()):
+            self._walk([row[a : a + n] for row in found[1:]], last[a : a + n])
+        for i in range(1, int(length[alone]) + 1 if len(length) > alone else 0):
+            todo = start[alone : np.searchsorted(-length, -i, "right")] + i  # words with at least i symbols
             for L in range(min(i, len(found) - 1), 0, -1):
                 token = found[L][todo - L]
                 some = np.flatnonzero(token >= 0)

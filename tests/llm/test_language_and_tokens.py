@@ -94,10 +94,10 @@ def test_automaton_of_a_few_merges_equals_merging():
 
 def test_documents_and_edge_rows(spark, words):
     theirs, _, path = words
-    rows = [(1, None, "x"), (2, "", "x"), (3, "A <|endoftext|> b", "x"), (3, "A <|endoftext|> b", "y"), (None, "word " * 5000, "z")]
+    rows = [(1, None, "x"), (2, "", "x"), (3, "A <|endoftext|> b", "x"), (3, "A <|endoftext|> b", "y"), (None, "word " * 5000, "z"), (4, "thelonging" * 300 + " aa", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     out = bpe_automaton.encode_documents(docs, path, with_ids=True).collect()
-    assert len(out) == 5
+    assert len(out) == 6
     for r, (_, text, _) in zip(out, rows):
         ids = theirs.encode(text or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["n_tokens"] == len(ids)
