@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm._common import read, stash, steps
@@ -284,8 +284,9 @@ def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_i
     """
     keyed = docs.select("*", F.xxhash64(doc_id, text).alias("__id"), F.hash(text).alias("__tag"))
     all_stretches = anchored(keyed.select("__id", "__tag", F.col(text).alias("__text")), s)
-    again = all_stretches.withColumn("times", F.count("*").over(Window.partitionBy("khash"))).where("times > 1").drop("times")
-    again = stash(again, "stretches")
+    # counts combine before they are exchanged; as both sides of the join are plain tables, Spark can split its large partitions
+    recurring = stash(all_stretches.groupBy("khash").agg(F.count("*").alias("times")).where("times > 1").select("khash"), "anchors")
+    again = stash(all_stretches.join(recurring, "khash"), "stretches")
     classes = again.groupBy("khash", "shash").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__tag", "first", "windows", "anchor")).alias("rep"))
     classes = stash(classes, "classes")
     windows = classes.agg(F.sum("rep.windows")).first()[0] or 0
@@ -294,8 +295,8 @@ def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_i
     wanted = classes.join(hot, "khash", "left").select("khash", "shash", "n", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     bodies = class_texts(keyed, wanted, s, text)
     runs = bodies.groupBy(F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: repeated_windows(pdf, s), "khash long, shash long, low int, high int")
-    verdict = runs.groupBy("khash", "shash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    found = again.join(verdict, ["khash", "shash"]).select("__id", "__tag", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("start"), (F.col("first") + r["high"] - 1 + s.length).alias("end")))).alias("span"))
+    span = F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") - 1 + s.length).alias("end"))
+    found = again.join(runs, ["khash", "shash"]).select("__id", "__tag", span.alias("span"))  # a row per run, so that this join can be split as well
     found = found.groupBy(F.col("__id").alias("__f_id"), F.col("__tag").alias("__f_tag")).agg(F.collect_list("span").alias("__repeats"))
     met = keyed.join(found, (keyed["__id"] == found["__f_id"]) & (keyed["__tag"] == found["__f_tag"]), "left")
     return met.drop("__id", "__tag", "__f_id", "__f_tag")
