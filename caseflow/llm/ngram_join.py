@@ -404,7 +404,8 @@ def near_duplicates(docs: DataFrame, st: Settings = Settings(), doc_id: str = "d
     # one row per class first: a class may hold a third of all rows
     named = rows.where("n > 0").groupBy("class").agg(F.min("__id").alias("least")).join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = named.join(least, "label").select("class", "component")
+    # as a plain table, so that Spark can split the partition of a class that holds many rows
+    named = stash(named.join(least, "label").select("class", "component"), "named")
     out = rows.join(named, "class", "left")
     return out.select("__id", "__tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id"))
 
