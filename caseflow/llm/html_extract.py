@@ -40,6 +40,9 @@ CLOSES = {
 }
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Where raw text ends: its own end tag only. Within a script, ``<!-- <script`` makes one more end tag part of the text.
+RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I | re.A) for t in RAW}
+SCRIPT_MARK = re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f\r />])", re.I | re.A)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]{2,}")
 SPACES = re.compile(r"\s+")
@@ -60,6 +63,39 @@ class _Open:
     names: frozenset[str]
 
 
+def script_end(page: str, at: int) -> int:
+    """The position of the end tag of the script whose text starts at ``at``, by HTML's escaped states."""
+    escaped = nested = False
+    while m := SCRIPT_MARK.search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            at -= 2  # "<!-->" is open and closed
+            escaped = True
+        elif m[0] == "-->":
+            escaped = nested = False
+        elif not m[1]:
+            nested = escaped
+        elif nested:
+            nested = False
+        else:
+            return m.start()
+    return len(page)
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """The page's tags, texts and comments; of raw elements only the tags."""
+    at = 0
+    while at < len(page):
+        for m in TOKEN.finditer(page, at):
+            yield m
+            if m[2] and not m[1] and (tag := m[2].lower()) in RAW:
+                end = RAW_END[tag].search(page, m.end()) if tag != "script" else None
+                at = script_end(page, m.end()) if tag == "script" else end.start() if end else len(page)
+                break
+        else:
+            return
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's leaf blocks in order, with references decoded and white space made single."""
     stack: list[_Open] = []
@@ -77,7 +113,7 @@ def blocks_of(page: str | None) -> list[Block]:
         parts.clear()
         links = 0
 
-    for m in TOKEN.finditer(page or ""):
+    for m in tokens(page or ""):
         closing, tag, attributes, text = m.groups()
         if text is not None:
             if not hidden and not skip_until:

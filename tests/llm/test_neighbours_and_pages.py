@@ -105,6 +105,33 @@ def test_blocks(page, blocks):
     assert [b.text for b in html_extract.blocks_of(page)] == blocks
 
 
+@pytest.mark.parametrize(
+    ("raw", "left"),
+    [
+        ("<script>for(i=0;i<n;i++){f(i)}</script>", []),
+        ("<SCRIPT>if(a<b){x='</scripted>'}</Script >", []),
+        ("<script>var a = '<!--';</script>", []),
+        ("<script><!--\nf(i<n)\n//--></script>", []),
+        ("<script><!-- <script>f()</script> no --></script>", []),
+        ("<script>a = '<!-->'; b = '<script>'</script>", []),
+        ("<style>a::before{content:'<b'}<!-- p{}</style>", []),
+        ("<textarea>1 <b 2</textarea><title>x <y <!-- z</title>", []),
+        ("<script>i<n</script", None),
+        ("<style>never closed <p>", None),
+    ],
+)
+def test_raw_text_ends_at_its_own_end_tag(raw, left):
+    blocks = [b.text for b in html_extract.blocks_of(f"<p>before</p>{raw}<article><p>Main text</p></article>")]
+    assert blocks == (["before"] if left is None else ["before", "Main text"])
+
+
+def test_pages_with_scripts_keep_their_text(spark, chain):
+    article = "<article><h1>Title of it</h1><p>" + "A sentence with words, and more. " * 30 + "</p></article>"
+    rows = [(k, "u", f"<html><body>{script}{article}<footer>© x</footer></body></html>") for k, script in enumerate(["", "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>var a = '<!--';</script>"])]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), chain).collect()}
+    assert len(out[0]) > 900 and out[0] == out[1] == out[2]
+
+
 def test_edge_pages(spark, chain):
     rows = [(1, "u", None), (1, "u", ""), (2, None, "<nav><a href=x>menu</a></nav>"), (3, "u", "<article><h1>Title of it</h1><p>" + "A sentence with words, and more. " * 3000 + "</p></article><footer>© x</footer>")]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")), chain).collect()
