@@ -225,7 +225,7 @@ def connect(sets: list[np.ndarray], st: Settings, hub: int | None = None) -> np.
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("__id"), F.hash(text).alias("__tag"), F.col(text).alias("__text"))
+    return docs.select(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(text).alias("__tag"), F.col(text).alias("__text"))
 
 
 def sets_and_frequent(keyed: DataFrame, st: Settings, task_shingles: int = 1 << 21) -> DataFrame:
@@ -239,7 +239,7 @@ def sets_and_frequent(keyed: DataFrame, st: Settings, task_shingles: int = 1 <<
             value, times = np.unique(np.concatenate(held), return_counts=True)
             value, times = value[times > 2].view(np.int64), times[times > 2]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(value), pa.int32()), none, none, pa.array(value), pa.array(times.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value), pa.array(times.astype(np.int64))], names)
 
         for whole in batches:
             for b in steps(whole, "__text"):
@@ -254,7 +254,7 @@ def sets_and_frequent(keyed: DataFrame, st: Settings, task_shingles: int = 1 <<
         if held:
             yield often()
 
-    return keyed.mapInArrow(run, "__id long, __tag int, n long, class long, shingle long, times long")
+    return keyed.mapInArrow(run, "__id long, __tag long, n long, class long, shingle long, times long")
 
 
 def _most_frequent(often: DataFrame, st: Settings) -> np.ndarray:
@@ -398,16 +398,20 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """__id, __tag, n_shingles and component_id of every row of ``docs``."""
+    """__id, __tag, n_shingles, component_id and component of every row of ``docs``.
+
+    ``component_id`` is null for components of null ids, and shared by components that share an id; ``component`` is their
+    own (null without shingles).
+    """
     rows, pairs = links(docs, st, doc_id, text)
     labels = components(pairs)
     # one row per class first: a class may hold a third of all rows
     named = rows.where("n > 0").groupBy("class").agg(F.min("__id").alias("least")).join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     # as a plain table, so that Spark can split the partition of a class that holds many rows
-    named = stash(named.join(least, "label").select("class", "component"), "named")
+    named = stash(named.join(least, "label").select("class", "component", "label"), "named")
     out = rows.join(named, "class", "left")
-    return out.select("__id", "__tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id"))
+    return out.select("__id", "__tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("component"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

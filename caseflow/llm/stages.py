@@ -14,7 +14,7 @@ from caseflow.llm._common import read
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__tag", F.hash("text"))
+    return docs.withColumn("__tag", F.xxhash64("text"))
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Documents without words all stay."""
     found = ngram_join.near_duplicates(docs)
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("__id", "__tag")).alias("r"))
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("__id", "__tag")).alias("r"))
     stay = first.select(F.col("r.__id").alias("s_id"), F.col("r.__tag").alias("s_tag"), F.lit(True).alias("one"))
     stay = stay.unionByName(found.where("n_shingles = 0").select(F.col("__id").alias("s_id"), F.col("__tag").alias("s_tag"), F.lit(False).alias("one")).distinct())
     own = _tagged(docs)

@@ -174,3 +174,23 @@ def test_stages_keep_one_of_repeated_rows(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = stages.drop_near_duplicates(spark, docs, sf_dir).collect()
     assert sorted((r["doc_id"] or -1, r["text"] is None) for r in out) == [(-1, False), (1, False), (3, True), (3, True)]
+
+
+def test_stage_keeps_different_texts_of_null_and_shared_ids(spark, sf_dir):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(None, text(k)) for k in range(8)] + [(None, text(0)), (None, text(1) + " more")]
+    rows += [(7, text(k)) for k in range(20, 24)] + [(7, text(20)), (8, text(21)), (9, text(30)), (None, None), (None, "")]
+    out = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    kept = sorted((r["text"] or "").removesuffix(" more") for r in out)
+    assert kept == sorted(["", "", *(text(k) for k in [*range(8), *range(20, 24), 30])])
+
+
+def test_stage_tells_texts_of_one_32_bit_hash_apart(spark, sf_dir):
+    from pyspark.sql import Window
+
+    made = spark.range(150_000).select(F.concat_ws(" ", *(F.concat(F.lit(f"w{j}x"), "id") for j in range(6))).alias("text"))
+    same = made.withColumn("n", F.count("*").over(Window.partitionBy(F.hash("text")))).where("n > 1").select(F.lit(None).cast("long").alias("doc_id"), "text")
+    rows = same.collect()
+    assert len(rows) > 1
+    out = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, same.schema), sf_dir)
+    assert sorted(r["text"] for r in out.collect()) == sorted(r["text"] for r in rows)
