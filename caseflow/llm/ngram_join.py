@@ -11,7 +11,7 @@ OR of their token bitmaps and their size range. A dual traversal drops node pair
 possible overlap is too small. It runs on bitmaps first, which leaves the classes with a possible
 partner, then on the sets of those, where pairs are verified exactly and pairs that are connected
 already are skipped. Blocks are dealt in chunks of bounded size. Every chunk holds the hub; what it
-doesn't connect to the hub meets the other chunks of the block.
+doesn't connect to the hub meets the other chunks of the block, pair of chunks by pair of chunks.
 
 Defined results: null, empty and wordless text has no shingles and links with nothing; with fewer than
 ``words`` words the whole sequence is the only shingle; rows that repeat a doc_id are joined one by
@@ -201,9 +201,13 @@ def linked(a: np.ndarray, b: np.ndarray, st: Settings) -> bool:
     return both > 0 and st.of * both >= st.at_least * (len(a) + len(b) - both)
 
 
-def connect(sets: list[np.ndarray], st: Settings, hub: int | None = None) -> np.ndarray:
-    """The smallest position connected to each set, by exactly verified links; connected pairs aren't looked at again."""
-    label = np.arange(len(sets))
+def connect(sets: list[np.ndarray], st: Settings, hub: int | None = None, known: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """The smallest position connected to each set, by exactly verified links; connected pairs aren't looked at again.
+
+    ``known`` holds the positions that are connected already; only sets of different ``side`` are compared.
+    """
+    label = np.arange(len(sets)) if known is None else known.copy()
+    side = np.arange(len(sets)) if side is None else side
 
     def join(i: int, k: int) -> None:
         x, y = sorted((label[i], label[k]))
@@ -214,9 +218,9 @@ def connect(sets: list[np.ndarray], st: Settings, hub: int | None = None) -> np.
         for k in range(len(sets)):
             join(hub, k)
     if (label != label[0]).any():
-        settled = lambda a, b: (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all()
+        settled = lambda a, b: any((x[a] == x[a[0]]).all() and (x[b] == x[a[0]]).all() for x in (label, side))
         for a, b in possible_pairs(np.array([len(s) for s in sets]), [bitmap_of(s) for s in sets], st, settled):
-            for n in np.flatnonzero(label[a] != label[b]).tolist():
+            for n in np.flatnonzero((label[a] != label[b]) & (side[a] != side[b])).tolist():
                 join(int(a[n]), int(b[n]))
     return label
 
@@ -317,14 +321,27 @@ def _dealt(members: DataFrame, weight: str, most: int) -> DataFrame:
     return rows.withColumn("chunk", F.explode(F.when(F.col("class") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own))).select("hub", "class", "chunks", "chunk")
 
 
-def _run_blocks(members: DataFrame, keys: list[str], work, schema: str, parts: int) -> DataFrame:
-    """``work(pdf)`` per block; a task takes many blocks."""
+def _run_blocks(members: DataFrame, keys: list[str], work, schema: str, parts: int, alone: str = "false") -> DataFrame:
+    """``work(pdf)`` per block; many small blocks are held at once, of those that are ``alone`` one."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         done = [work(block.drop_duplicates("class")) for _, block in pdf.groupby(keys, sort=False)]
         return pd.concat(done) if done else pd.DataFrame()
 
-    return members.groupBy(F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("__part")).applyInPandas(run, schema)
+    return members.groupBy(F.when(F.expr(alone), F.xxhash64(*keys)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(parts))).alias("__part")).applyInPandas(run, schema)
+
+
+def _across(chunks: DataFrame, first: DataFrame) -> DataFrame:
+    """(hub, class, b, chunk, i, k): the pairs of chunks in which classes of blocks in several chunks meet.
+
+    What its own chunk doesn't connect to the hub meets all of every other chunk; a pair holds its two chunks at most.
+    """
+    state = chunks.where("chunks > 1 and class <> hub").join(first.select("hub", F.col("a").alias("class"), "b", "to_hub"), ["hub", "class"])
+    asks = state.where("not to_hub").select("hub", F.col("chunk").alias("other")).distinct()
+    every = state.where("not to_hub").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asked = state.where("to_hub").join(asks, "hub")
+    met = every.unionByName(asked.select(every.columns)).where("other <> chunk")
+    return met.select("hub", "class", "b", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("k"))
 
 
 def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -347,8 +364,8 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
     bits = _sets(_class_texts(keyed, rows, members.select("class").distinct()), st, "bits", bitmap_of)
     dealt = _dealt(members.withColumn("one", F.lit(1)), "one", st.chunk_classes)
     meet = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("k")))
-    pairs = dealt.select("hub", "class", F.explode(meet).alias("pair")).select("hub", "class", "pair.i", "pair.k").distinct()
-    kept = _run_blocks(pairs.join(bits, "class"), ["hub", "i", "k"], partners, "hub long, class long", parts).distinct()
+    pairs = dealt.select("hub", "class", "chunks", F.explode(meet).alias("pair")).select("hub", "class", "chunks", "pair.i", "pair.k").distinct()
+    kept = _run_blocks(pairs.join(bits, "class"), ["hub", "i", "k"], partners, "hub long, class long", parts, "chunks > 1").distinct()
     kept = stash(kept.unionByName(kept.select("hub", F.col("hub").alias("class"))).distinct(), "kept")
 
     # on sets: verified links; each class gets the smallest class it is connected to within its chunk
@@ -360,20 +377,25 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
         to_hub = root == root[at[0]] if len(at) else np.zeros(len(root), bool)
         return pd.DataFrame({"hub": pdf["hub"].to_numpy(), "a": names, "b": names[root], "to_hub": to_hub})
 
+    def met_across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("class")
+        names = pdf["class"].to_numpy()
+        _, at, which = np.unique(pdf["b"].to_numpy(), return_index=True, return_inverse=True)
+        known = at[which]  # as the chunks found it
+        root = connect([np.frombuffer(x, np.uint64) for x in pdf["items"]], st, None, known, pdf["chunk"].to_numpy())
+        new = root != known
+        return pd.DataFrame({"a": names[new], "b": names[root[new]]})
+
     found = "hub long, a long, b long, to_hub boolean"
     sizes = rows.groupBy("class").agg(F.first("n").alias("n"))
     chunks = stash(_dealt(kept.join(sizes, "class"), "n", st.chunk_shingles), "chunks")
     items = stash(_sets(_class_texts(keyed, rows, kept.select("class").distinct()), st, "items", lambda s: s), "items").select("class", "items")
-    first = stash(_run_blocks(chunks.join(items, "class"), ["hub", "chunk"], joined, found, parts), "links")
-    # classes of blocks in several chunks that aren't connected to the hub meet every other chunk
-    several = chunks.where("chunks > 1")
-    apart = several.join(first.where("not to_hub").select("hub", F.col("a").alias("class")).distinct(), ["hub", "class"], "left_semi")
-    if apart.limit(1).count():
-        moved = apart.select("hub", "class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("to"), "chunk").where("to <> chunk").select("hub", "class", "to")
-        home = several.select("hub", "class", F.col("chunk").alias("to")).join(moved.select("hub", "to").distinct(), ["hub", "to"], "left_semi")
-        across = moved.unionByName(home).distinct().join(items, "class")
-        first = first.unionByName(_run_blocks(across, ["hub", "to"], joined, found, parts))
-    return rows, first.where("a <> b").select("a", "b").distinct()
+    first = stash(_run_blocks(chunks.join(items, "class"), ["hub", "chunk"], joined, found, parts, "chunks > 1"), "links")
+    pairs = first.select("a", "b")
+    if first.where("not to_hub").join(chunks.where("chunks > 1").select("hub", F.col("class").alias("a")), ["hub", "a"], "left_semi").limit(1).count():
+        met = _across(chunks, first).join(items, "class")
+        pairs = pairs.unionByName(_run_blocks(met, ["hub", "i", "k"], met_across, "a long, b long", parts, "true"))
+    return rows, pairs.where("a <> b").distinct()
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -194,3 +194,33 @@ def test_stage_tells_texts_of_one_32_bit_hash_apart(spark, sf_dir):
     assert len(rows) > 1
     out = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, same.schema), sf_dir)
     assert sorted(r["text"] for r in out.collect()) == sorted(r["text"] for r in rows)
+
+
+def test_a_meeting_holds_two_chunks_at_most(spark):
+    from itertools import combinations
+
+    hub, size = 0, 6
+    state = {c: (1 + (c - 1) // size - 1, c in (1, 2) or c > 3 * size) for c in range(1, 4 * size + 1)}  # class: chunk, apart
+    chunks = spark.createDataFrame([(hub, c, 4, chunk) for c, (chunk, _) in state.items()] + [(hub, hub, 4, k) for k in range(4)] + [(100, 100, 1, 0), (100, 101, 1, 0)], "hub long, class long, chunks int, chunk int")
+    first = spark.createDataFrame([(hub, c, c if apart else hub, not apart) for c, (_, apart) in state.items()] + [(hub, hub, hub, True), (100, 101, 101, False)], "hub long, a long, b long, to_hub boolean")
+    groups = {}
+    for r in ngram_join._across(chunks, first).collect():
+        groups.setdefault((r["i"], r["k"]), []).append(r["class"])
+        assert r["hub"] == hub and (r["chunk"], r["b"]) == (state[r["class"]][0], r["class"] if state[r["class"]][1] else hub)
+    assert all(len(g) == len(set(g)) and {state[c][0] for c in g} <= set(pair) and len(g) <= 2 * size for pair, g in groups.items())
+    together = {p for g in groups.values() for p in combinations(sorted(g), 2)}
+    assert all((a, b) in together for a, b in combinations(state, 2) if state[a][0] != state[b][0] and (state[a][1] or state[b][1]))
+
+
+def test_many_clusters_under_one_prefix_equal_brute_force(spark):
+    r = random.Random(8)
+    head, rows = "one two three four five", []
+    for k in range(25):
+        base = [f"c{k}w{j}" for j in range(30)]
+        for copy in range(4):
+            edited = list(base)
+            edited[r.randrange(len(base))] = f"e{k}{copy}"
+            rows.append((4 * k + copy, f"{head} {' '.join(edited if copy else base)}"))
+    r.shuffle(rows)
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Settings(chunk_shingles=300, chunk_classes=16, frequent=0))
+    assert sorted(map(tuple, found.select("__id", "n_shingles", "component_id").collect()), key=str) == brute_components(rows)
