@@ -7,7 +7,8 @@ are crossed). The candidates of all tables are merged and ranked by exact cosine
 vectors.
 
 Equal vectors are one class with its smallest ids, so copies can't fill a bucket; a bucket with more
-than ``bucket_rows`` classes is split, and a probe visits all its parts. The number of functions and
+than ``bucket_rows`` classes is split, and a probe visits all its parts. The queries that visit a block
+are dealt to lots of bounded size, each of which meets the block's rows. The number of functions and
 of probes is measured: on a bounded sample of queries, against brute force over all rows, until the
 wanted recall is met. With no functions left, one bucket holds everything and the search is exact.
 
@@ -40,6 +41,9 @@ class Settings:
     #: Rows that a bucket should hold on average; sets the number of functions a table starts with.
     bucket_target: int = 48
     bucket_rows: int = 4096
+    #: Queries, and their visits to buckets, that one block should meet at once.
+    lot_queries: int = 4096
+    lot_visits: int = 1 << 18
     most_probes: int = 1024
     recall: float = 0.97
     sample_queries: int = 64
@@ -117,10 +121,12 @@ def usable(v: Column) -> Column:
 def classes(vectors: DataFrame, k: int, vec_id: str, vector: str) -> DataFrame:
     """class, v, ids: equal vectors once, with their k + 1 smallest ids.
 
-    The window keeps k + 1 rows a class before the exchange already, whatever the number of copies.
+    Rows that repeat an id count once. The window keeps k + 1 rows a class before the exchange already, whatever the
+    number of copies.
     """
     rows = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(usable(F.col("v")))
     rows = rows.withColumn("class", F.sha2(F.array_join(F.transform("v", lambda x: F.hex(F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string"))), ","), 256))
+    rows = rows.dropDuplicates(["class", "vec_id"])
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     return first.groupBy("class").agg(F.first("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
@@ -202,6 +208,14 @@ def calibrate(index: DataFrame, n: int, dim: int, sample: pd.DataFrame, s: Setti
     return 0, 1
 
 
+def in_lots(asked: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """``asked`` with each query's lot within its block, and (block, lots): queries of a block dealt by their ids."""
+    lots = F.ceil(F.greatest(F.count("*") / s.lot_queries, F.sum(F.size("visits")) / s.lot_visits)).cast("int")
+    loads = asked.groupBy("block").agg(lots.alias("lots"))
+    dealt = asked.join(loads, "block").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
+    return dealt.drop("lots"), loads
+
+
 def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row with ``is_query``."""
     spark, parts = vectors.sparkSession, fanout(vectors)
@@ -243,12 +257,15 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_i
     dealt = rows.join(large, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce("parts", F.lit(1))).cast("int"))
     asked = queries.repartition(parts).mapInPandas(probe_rows, "query_id long, bucket long")
     asked = asked.join(size, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = asked.groupBy(block(), "query_id").agg(F.collect_set(F.struct("bucket", "part")).alias("visits")).join(queries, "query_id")
+    asked = asked.groupBy(block(), "query_id").agg(F.collect_set(F.struct("bucket", "part")).alias("visits"))
+    asked, loads = in_lots(stash(asked, "visits"), s)
+    asked = asked.join(queries, "query_id")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Queries against the rows of one block, query by query."""
+        """A lot of queries against the rows of one block, query by query."""
+        none = pd.DataFrame({"query_id": [], "ids": pd.Series([], dtype=object), "score": []})  # Arrow makes no lists of floats
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "ids": [], "score": []})
+            return none
         where = left.reset_index(drop=True).groupby(["bucket", "part"]).indices
         first = np.array([ids[0] for ids in left["ids"]])
         pick = []
@@ -257,10 +274,12 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_i
             pick.append(rows[np.unique(first[rows], return_index=True)[1]])  # tables hold the same classes
         some = [i for i, p in enumerate(pick) if len(p)]
         if not some:
-            return pd.DataFrame({"query_id": [], "ids": [], "score": []})
+            return none
         return pd.DataFrame(_best(right.iloc[some], left["ids"].reset_index(drop=True), np.array(left["v"].tolist()), s.k, [pick[i] for i in some]))
 
-    found = dealt.select(block(), "bucket", "part", "ids", "v").groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(meet, FOUND)
+    lots = loads.select("block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    dealt = dealt.select(block(), "bucket", "part", "ids", "v").join(lots, "block")
+    found = dealt.groupBy("block", "lot").cogroup(asked.groupBy("block", "lot")).applyInPandas(meet, FOUND)
     return rank(found, s.k)
 
 

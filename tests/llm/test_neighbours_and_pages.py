@@ -48,6 +48,28 @@ def test_few_rows_and_none(spark):
     assert neighbours.search(spark.createDataFrame([], schema), F.lit(True)).count() == 0
 
 
+def test_rows_that_repeat_an_id_hide_no_other(spark):
+    same, rng = [1.0, 2.0, 3.0], np.random.default_rng(4)
+    rows = [(0, same)] + [(10, same)] * 9 + [(k, same) for k in (11, 12, 13, 14, 15)] + [(100 + k, rng.normal(size=3).tolist()) for k in range(20)]
+    out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [10, 11, 12, 13, 14]
+
+
+def test_lots_are_bounded_and_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small = neighbours.Settings(bucket_rows=64, lot_queries=5, lot_visits=40)
+    got = [sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, s).collect())) for s in (neighbours.Settings(bucket_rows=64), small)]
+    assert got[0] == got[1] and len(got[0]) == 500
+    visits = F.transform(F.sequence(F.lit(1), F.col("id") % 3 + 1), lambda x: F.struct(x.alias("bucket"), F.lit(0).alias("part")))
+    asked = spark.range(20_000).select((F.col("id") % 2).cast("int").alias("block"), F.col("id").alias("query_id"), visits.alias("visits"))
+    dealt, loads = neighbours.in_lots(asked, neighbours.Settings(lot_queries=1000, lot_visits=1500))
+    sizes = dealt.groupBy("block", "lot").agg(F.count("*").alias("n"), F.sum(F.size("visits")).alias("v")).collect()
+    assert sum(r["n"] for r in sizes) == 20_000 and max(r["n"] for r in sizes) < 1300 and max(r["v"] for r in sizes) < 1950
+    assert {(r["block"], r["lots"]) for r in loads.collect()} == {(0, 14), (1, 14)}
+
+
 def test_probes_start_at_home_and_differ():
     h = neighbours.Hashing(6, 5, neighbours.Settings())
     p = h.project(np.ones((1, 6)) / np.sqrt(6))[0, 0]
