@@ -1,15 +1,17 @@
 """Main text of web pages: a linear-chain conditional random field over the DOM's leaf blocks.
 
-A page becomes a sequence of blocks of text between block-level tags. Features of a block are its
-ancestors' tags, words of their class, id and role attributes, and shape and content of the text;
-the chain's weights are fitted on labelled pages by maximum likelihood and blocks are labelled by
-Viterbi. Script, style and other invisible elements are no text.
+A page becomes a sequence of blocks of text between block-level tags, in one pass over the page: tags
+and attributes end where HTML says, raw elements (script, style, title and so on) at their own end tag
+only. Features of a block are its ancestors' tags, words of their class, id and role attributes, and
+shape and content of the text; the chain's weights are fitted on labelled pages by maximum likelihood
+and blocks are labelled by Viterbi. Script, style and other invisible elements are no text.
 
 The labelled pages are composed here (``labelled_pages``): layouts of articles among menus, headers,
 sidebars, notices, adverts, forms and comments, with texts drawn from a seeded generator or from texts
 that the caller passes. Their number, ``Settings.training_pages``, is the bound of the fit.
 
-Defined results: null and empty html gives empty text; a page without a block labelled as main text
+Defined results: a tag that never ends hides the rest of the page, as in browsers, but a "<" before a
+word that names no element and is cut off by the next "<" is text; null and empty html gives empty text; a page without a block labelled as main text
 gives empty text; rows that repeat a page_id are extracted one by one; other columns are ignored.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from caseflow.llm._common import read
 
 #: HTML elements by what they do to text.
-INVISIBLE = frozenset("script style noscript template head title svg iframe object textarea select".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+INVISIBLE = frozenset("script style noscript noembed noframes template head title svg iframe object textarea select".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
 #: A start tag that ends an open element of these kinds (HTML's optional end tags).
@@ -39,28 +42,41 @@ CLOSES = {
     **{t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()},
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: The elements of HTML. A tag of another name that is cut off by the next "<" is text, as in "x<y holds".
+KNOWN = VOID | INLINE | INVISIBLE | RAW | frozenset(
+    "address article aside audio blockquote body button canvas caption center colgroup datalist dd details dialog dir div dl dt fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 header hgroup html"
+    " legend li main map marquee math menu menuitem meter nav noembed noframes ol optgroup option output p picture plaintext pre progress rp rt ruby search section slot strike summary table tbody td tfoot th thead tr ul video xmp".split()
+)
+
 #: Where raw text ends: its own end tag only. Within a script, ``<!-- <script`` makes one more end tag part of the text.
 RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I | re.A) for t in RAW}
 SCRIPT_MARK = re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f\r />])", re.I | re.A)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TAG_NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
+BETWEEN = re.compile(r"[\t\n\f\r /]*")
+ATTRIBUTE_NAME = re.compile(r"=?[^\t\n\f\r />=]*")
+EQUALS = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+UNQUOTED = re.compile(r"[^\t\n\f\r >]*")
+COMMENT_END = re.compile(r"--!?>")
 NAME_WORD = re.compile(r"[a-z]{2,}")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    #: The innermost open element that is not inline, the tags of all such elements, and the words of all open elements' names.
+    parent: str
+    tags: frozenset[str]
     names: frozenset[str]
     link_chars: int = 0
-    tag_order: int = 0
 
 
 @dataclass
 class _Open:
     tag: str
     names: frozenset[str]
+    closed: bool = False
 
 
 def script_end(page: str, at: int) -> int:
@@ -82,89 +98,202 @@ def script_end(page: str, at: int) -> int:
     return len(page)
 
 
-def tokens(page: str) -> Iterator[re.Match]:
-    """The page's tags, texts and comments; of raw elements only the tags."""
-    at = 0
-    while at < len(page):
-        for m in TOKEN.finditer(page, at):
-            yield m
-            if m[2] and not m[1] and (tag := m[2].lower()) in RAW:
-                end = RAW_END[tag].search(page, m.end()) if tag != "script" else None
-                at = script_end(page, m.end()) if tag == "script" else end.start() if end else len(page)
-                break
+def attributes_at(page: str, at: int) -> tuple[str, bool, int]:
+    """The class, id and role of the tag whose name ends at ``at``; whether a slash closes it; the place behind it, -1 if it never ends."""
+    found, size = [], len(page)
+    while True:
+        low = at
+        at = BETWEEN.match(page, at).end()
+        if at == size:
+            return "", False, -1
+        if page[at] == ">":
+            return " ".join(found), at > low and page[at - 1] == "/", at + 1
+        m = ATTRIBUTE_NAME.match(page, at)
+        name, at = m[0], m.end()
+        if not (m := EQUALS.match(page, at)):
+            continue
+        at = m.end()
+        quote = page[at : at + 1]
+        if quote in ('"', "'"):
+            end = page.find(quote, at + 1)
+            if end < 0:
+                return "", False, -1
+            value, at = page[at + 1 : end], end + 1
         else:
+            m = UNQUOTED.match(page, at)
+            value, at = m[0], m.end()
+        if name.lower() in ("class", "id", "role"):
+            found.append(value)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(kind, name or text, attributes, closed by a slash), kind being text, start or end; one pass over the page.
+
+    Comments, declarations and the content of raw elements are left out.
+    """
+    at, size = 0, len(page)
+    while at < size:
+        low = page.find("<", at)
+        if low != at:
+            yield "text", page[at : low if low >= 0 else size], "", False
+            if low < 0:
+                return
+        ahead = page[low + 1 : low + 3]
+        closing = ahead[:1] == "/"
+        if ahead[:1] == "!" and page.startswith("<!--", low):
+            if page.startswith((">", "->"), low + 4):
+                at = page.index(">", low) + 1
+            else:
+                m = COMMENT_END.search(page, low + 4)
+                at = m.end() if m else size
+        elif ahead[:1] in ("!", "?") or (closing and len(ahead) == 2 and not (ahead[1].isascii() and ahead[1].isalpha())):
+            end = page.find(">", low + 1)
+            at = end + 1 if end >= 0 else size
+        elif not (m := TAG_NAME.match(page, low + 1 + closing)):
+            yield "text", "<", "", False
+            at = low + 1
+        else:
+            tag, end = m[0].lower(), m.end()
+            if tag not in KNOWN and "-" not in tag and ":" not in tag:
+                following = page.find("<", low + 1)
+                if page.find(">", low + 1, following if following >= 0 else size) < 0:
+                    yield "text", "<", "", False
+                    at = low + 1
+                    continue
+            found, slash, at = ("", False, end + 1) if page[end : end + 1] == ">" else attributes_at(page, end)
+            if at < 0:
+                return  # a tag that never ends
+            yield "end" if closing else "start", tag, found, slash
+            if tag in RAW and not closing:
+                end = RAW_END[tag].search(page, at) if tag != "script" else None
+                at = script_end(page, at) if tag == "script" else end.start() if end else size
+
+
+class _Stack:
+    """Open elements. Closing is linear overall: an inline element under open blocks is marked, not moved."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known, self.open, self.places = known, [], {}
+        self.blocks: list[int] = []  # places of elements that aren't inline
+        self.tags, self.names = Counter(), Counter()
+        self.hidden = self.in_link = 0
+        self.context: tuple | None = None
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        if self.known is not None:
+            names &= self.known
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+            if self.known is None or tag in self.known:
+                self.tags[tag] += 1
+        self.names.update(names)
+        self.open.append(_Open(tag, names))
+        self.hidden += tag in INVISIBLE
+        self.in_link += tag == "a"
+        self.context = None
+
+    def _left(self, o: _Open) -> None:
+        self.hidden -= o.tag in INVISIBLE
+        self.in_link -= o.tag == "a"
+        for counter, keys in ((self.tags, [o.tag] if o.tag in self.tags and o.tag not in INLINE else []), (self.names, o.names)):
+            for k in keys:
+                counter[k] -= 1
+                if not counter[k]:
+                    del counter[k]
+        self.context = None
+
+    def pop(self) -> None:
+        o = self.open.pop()
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
+        if not o.closed:
+            self.places[o.tag].pop()
+            self._left(o)
+
+    def top(self) -> str:
+        while self.open and self.open[-1].closed:
+            self.pop()
+        return self.open[-1].tag if self.open else ""
+
+    def close(self, tag: str) -> None:
+        """Close the innermost ``tag`` and what it holds; an inline one leaves the blocks that it holds open."""
+        at = self.places[tag][-1]
+        if tag in INLINE and self.blocks and self.blocks[-1] > at:
+            self.places[tag].pop()
+            self.open[at].closed = True
+            self._left(self.open[at])
             return
-
-
-def blocks_of(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order, with references decoded and white space made single."""
-    stack: list[_Open] = []
+        while len(self.open) > at:
+            self.pop()
+
+    def holds_block(self, tag: str) -> bool:
+        """Whether closing the innermost ``tag`` closes an element that isn't inline."""
+        return tag not in INLINE and bool(self.places.get(tag))
+
+    def reveal(self) -> None:
+        """Invisible elements that are still open end."""
+        for o in self.open:
+            if o.tag in INVISIBLE and not o.closed:
+                self.places[o.tag].pop()
+                self._left(o)
+                o.closed = True
+
+    def here(self) -> tuple[str, frozenset[str], frozenset[str]]:
+        if self.context is None:
+            while self.blocks and self.open[self.blocks[-1]].closed:
+                self.blocks.pop()
+            parent = self.open[self.blocks[-1]].tag if self.blocks else ""
+            self.context = (parent, frozenset(self.tags), frozenset(self.names))
+        return self.context
+
+
+def blocks_of(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's leaf blocks in order, with references decoded and white space made single.
+
+    ``known`` are the tags and name words that matter to the caller (all, if not given); with it, what a block
+    holds is bounded however deep the page is nested.
+    """
+    stack, seen_body = _Stack(known), False
     blocks: list[Block] = []
     parts: list[str] = []
-    hidden = links = in_link = 0
-    skip_until = ""
+    links = 0
 
     def flush() -> None:
         nonlocal links
-        text = SPACES.sub(" ", html_lib.unescape("".join(parts))).strip()
-        if text:
-            outer = [o for o in stack if o.tag not in INLINE]
-            blocks.append(Block(text, tuple(o.tag for o in outer), frozenset().union(*(o.names for o in stack)) if stack else frozenset(), links, len(blocks)))
-        parts.clear()
+        if parts:
+            text = SPACES.sub(" ", "".join(parts)).strip()
+            if text:
+                blocks.append(Block(text, *stack.here(), links))
+            parts.clear()
         links = 0
 
-    for m in tokens(page or ""):
-        closing, tag, attributes, text = m.groups()
-        if text is not None:
-            if not hidden and not skip_until:
+    for kind, tag, found, slash in tokens(page or ""):
+        if kind == "text":
+            if not stack.hidden:
+                text = html_lib.unescape(tag) if "&" in tag else tag
                 parts.append(text)
-                links += len(text) if in_link else 0
-            continue
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if skip_until:
-            if closing and tag == skip_until:
-                skip_until = ""
-            continue
-        if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if depth is None:
-                continue
-            if any(o.tag not in INLINE for o in stack[depth:]):
-                if tag in INLINE:  # an inline end tag doesn't close blocks around it
-                    o = stack.pop(depth)
-                    in_link -= o.tag == "a"
-                    continue
-                flush()
-            for o in stack[depth:]:
-                hidden -= o.tag in INVISIBLE
-                in_link -= o.tag == "a"
-            del stack[depth:]
-            continue
-        if tag == "br":
+                links += len(text) if stack.in_link else 0
+        elif kind == "end":
+            if stack.places.get(tag):
+                if stack.holds_block(tag):
+                    flush()
+                stack.close(tag)
+        elif tag == "br":
             parts.append(" ")
-            continue
-        if tag in RAW:
-            skip_until = tag
-            continue
-        if tag not in INLINE:
-            flush()
-            closes = CLOSES.get(tag, ())
-            while stack and (stack[-1].tag in closes or stack[-1].tag in INLINE):
-                hidden -= stack[-1].tag in INVISIBLE
-                in_link -= stack[-1].tag == "a"
-                stack.pop()
-            if tag == "body":  # what the head left open ends here
-                for o in stack:
-                    hidden -= o.tag in INVISIBLE
-                stack = [o for o in stack if o.tag not in INVISIBLE]
-        if tag not in VOID and not attributes.rstrip().endswith("/"):
-            found = " ".join(next(filter(None, a.groups()[1:]), "") for a in ATTRIBUTE.finditer(attributes)) if attributes else ""
-            names = frozenset(NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower())) if found else frozenset()
-            stack.append(_Open(tag, names))
-            hidden += tag in INVISIBLE
-            in_link += tag == "a"
+        elif tag not in RAW:
+            if tag not in INLINE:
+                flush()
+                closes = CLOSES.get(tag, ())
+                while (top := stack.top()) and (top in closes or top in INLINE):
+                    stack.pop()
+                if tag == "body":
+                    if seen_body:
+                        continue
+                    seen_body = True
+                    stack.reveal()  # what the head left open ends here
+            if tag not in VOID and not slash:
+                stack.push(tag, frozenset(NAME_WORD.findall(CAMEL.sub(" ", found).lower())) if found else frozenset())
     flush()
     return blocks
 
@@ -179,15 +308,15 @@ MARKS = re.compile(r"©|\(c\)|[|»›·•]")
 def features_of(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
-    articles = sum("article" in b.path or "main" in b.path for b in blocks)
+    articles = sum("article" in b.tags or "main" in b.tags for b in blocks)
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         size = min(7, words.bit_length())
         links = b.link_chars / max(1, len(b.text))
-        f = ["bias", f"words={size}", f"links={int(min(links, 0.99) * 4)}", f"parent={b.path[-1] if b.path else ''}"]
-        f += {f"in={t}" for t in b.path if t not in ("html", "body", "div", "span")}
+        f = ["bias", f"words={size}", f"links={int(min(links, 0.99) * 4)}", f"parent={b.parent}"]
+        f += [f"in={t}" for t in b.tags if t not in ("html", "body", "div", "span")]
         f += [f"name={n}" for n in b.names]
-        if "article" in b.path or "main" in b.path:
+        if "article" in b.tags or "main" in b.tags:
             f.append(f"article,words={size}")
         elif articles:
             f.append("beside the article")
@@ -218,6 +347,8 @@ class Chain:
 
     def __post_init__(self):
         self.gain = {}
+        #: Tags and name words of which a weight depends.
+        self.known = frozenset(f.partition("=")[2] for f in self.index if f.startswith(("in=", "name="))) | {"article", "main"}
 
     def _gains(self) -> dict[str, float]:
         if not self.gain:
@@ -308,7 +439,7 @@ def fit_chain(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60,
 
 
 class Composer:
-    """Pages of known main text, in layouts that vary: semantic tags, bare divs, tables, unclosed tags."""
+    """Pages of known main text, in layouts that vary: semantic tags, bare divs, nested wrappers, tables, unclosed and misspelt tags."""
 
     def __init__(self, seed: int, texts: list[str] | None = None):
         self.r, self.glue = random.Random(seed), " "
@@ -391,6 +522,8 @@ class Composer:
                 out.append("<table><tr>" + "".join(f"<td>{mark}{self.words(1, 4)}</td>" for _ in range(3)) + "</tr></table>")
             elif kind < 0.33:
                 out.append(f"<p>{mark}{self.words(1, 7)}{'<br>' if unclosed else '</p>'}")
+            elif kind < 0.36:
+                out.append(self.r.choice([f"<figure><img src=i.png alt='{self.words(1, 3)}'><figcaption>{mark}{self.words(3, 14)}</figcaption></figure>", f"<dl><dt>{mark}{self.words(1, 3)}<dd>{mark}{self.sentence()}</dl>", f"<pre><code>{mark}if a &lt; {self.words(1, 4)} {{ {self.words(1, 8)}; }}</code></pre>", f"<h3 id=part-{self.r.randint(1, 9)}>{mark}{self.words(1, 7)}</h3>", f"<ol><li><p>{mark}{self.prose(1, 2)}</p><li>{mark}{self.words(2, 12)}</ol>"]))
             elif kind < 0.42:
                 out.append(f"<p>{mark}{self.r.choice([self.words(1, 2), self.words(1, 5), self.sentence()])}.{'' if unclosed else '</p>'}")
             else:
@@ -413,12 +546,29 @@ class Composer:
                     inner = inner[:k] + make() + inner[k:]
         if r.random() < 0.15:
             inner += self.comments()
-        wrap = r.choice(["<article>%s</article>"] * 4 + ["<main>%s</main>", "<main><article>%s</article></main>", f"<div{self.pick('content', 'article', 'post', 'entry', 'story', 'article-body')}>%s</div>", f"<div{self.pick('content', 'article', 'post', 'entry')}>%s</div>", f"<article{self.pick('post', 'entry')}>%s</article>", "<div>%s</div>"])
+        wrap = r.choice(["<article>%s</article>"] * 4 + ["<main>%s</main>", "<main><article>%s</article></main>", f"<div{self.pick('content', 'article', 'post', 'entry', 'story', 'article-body')}>%s</div>", f"<div{self.pick('content', 'article', 'post', 'entry')}>%s</div>", f"<article{self.pick('post', 'entry')}>%s</article>", "<div>%s</div>", f"<main id=main><article class='hentry'><div class='entry-content'>%s</div></article></main>", f"<div{self.pick('main', 'content', 'body-text', 'text')}><section>%s</section></div>"])
         body = wrap.replace("%s", inner)
         before = [m() for m, c in ((self.header, 0.5), (self.menu, 0.8), (self.notice, 0.3), (self.advert, 0.4), (self.form, 0.15), (self.sidebar, 0.15)) if r.random() < c]
         after = [m() for m, c in ((self.comments, 0.35), (self.sidebar, 0.4), (self.advert, 0.3), (self.notice, 0.2), (self.form, 0.15), (self.menu, 0.15), (self.footer, 0.85)) if r.random() < c]
-        head = f"<head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        return f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{body}{''.join(after)}</body></html>"
+        kind = r.random()
+        if kind < 0.08:  # columns of a table
+            body = f"<table width=100%><tr><td colspan=3>{''.join(before)}<tr><td{self.pick('left', 'nav')}>{self.menu()}<td>{body}<td{self.pick('right', 'side')}>{self.sidebar()}</table>{''.join(after)}"
+        elif kind < 0.25:  # wrappers around parts or all
+            body = f"{''.join(before)}<div{self.pick('wrapper', 'container', 'page', 'site')}><div{self.pick('row', 'inner', 'layout')}>{body}</div></div>{''.join(after)}"
+            body = f"<div id=root>{body}</div>" if r.random() < 0.5 else body
+        else:
+            body = f"{''.join(before)}{body}{''.join(after)}"
+        page = f"<!DOCTYPE html><html>{self.head()}<body>{body}</body></html>"
+        if r.random() < 0.1:  # tags in capitals
+            page = re.sub(r"</?[a-z]+", lambda m: m[0].upper(), page)
+        if r.random() < 0.1:  # end tags that close nothing
+            page = page.replace("</p>", "</p></span></font>")
+        return page
+
+    def head(self) -> str:
+        scripts = ["<script>var t='</p>';</script>", "<script>for (i = 0; i < n; i++) { f(i) }</script>", "<script><!--\nif (a<b) g();\n//--></script>", '<script type="application/ld+json">{"headline": "<p>x"}</script>', "<script src=/a.js async></script>", ""]
+        styles = ["<style>p{margin:0}</style>", "<style>a > b::before { content: '<' }</style>", "<link rel=stylesheet href=/s.css>", ""]
+        return f"<head><meta charset=utf-8><title>{self.words(2, 8)}</title>{self.r.choice(styles)}{self.r.choice(scripts)}{self.r.choice(['', '<noscript><p>no script</p></noscript>'])}</head>"
 
 
 def labelled_pages(n: int, seed: int = 41, texts: list[str] | None = None) -> list[tuple[str, list[int]]]:
@@ -435,7 +585,7 @@ def labelled_pages(n: int, seed: int = 41, texts: list[str] | None = None) -> li
 
 @dataclass(frozen=True)
 class Settings:
-    training_pages: int = 600
+    training_pages: int = 800
     rounds: int = 60
     seed: int = 41
 
@@ -447,7 +597,7 @@ def train(settings: Settings = Settings(), pages: list[tuple[str, list[int]]] |
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    blocks = blocks_of(page)
+    blocks = blocks_of(page, chain.known)
     return "\n\n".join(b.text for b, y in zip(blocks, chain.label(features_of(blocks))) if y)
 
 

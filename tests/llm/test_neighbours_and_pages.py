@@ -1,7 +1,10 @@
 """Neighbours against brute force; extraction by held-out pages."""
 
+from functools import lru_cache
+
 import numpy as np
 import pytest
+from golden_pages import GOLDEN
 from pyspark.sql import functions as F
 
 from caseflow.llm import html_extract, neighbours
@@ -81,7 +84,7 @@ def test_probes_start_at_home_and_differ():
 
 @pytest.fixture(scope="module")
 def chain():
-    return html_extract.train(html_extract.Settings(training_pages=400))
+    return trained()
 
 
 def test_held_out_pages(chain):
@@ -121,6 +124,13 @@ def test_articles_of_the_table(spark, sf_dir, chain):
         ("<b><p>x</b>y</p>", ["xy"]),
         ("<head><title>t</title></head><body>a < b</body>", ["a < b"]),
         ("<p title='<p>'>q</p></div></section>", ["q"]),
+        ("<p title=it's>One</p><p>Don't</p><p>x</p>", ["One", "Don't", "x"]),
+        ("<p>x<y is text</p><p>a <b c", ["x<y is text", "a"]),
+        ("<P CLASS = 'a' ID=b/>1</P><p a=\"1\"b='2'c>2</p >3<!-->4<!-- -- > --!>5</>6</ p>7<?php x ?>8<!x>9", ["1", "2", "3456789"]),
+        ("&amp;lt; &lt;p&gt; &am<b>p;</b>", ["&lt; <p> &amp;"]),
+        ("<a><div>in</div></a>out", ["in", "out"]),
+        ("<svg><title>no</title><text>no</text></svg>yes<select><option>no</select>", ["yes"]),
+        ("<noscript><p>no</p></noscript><iframe><p>no</iframe><x-card>a<i>b</i></x-card>c", ["ab", "c"]),
     ],
 )
 def test_blocks(page, blocks):
@@ -147,6 +157,35 @@ def test_raw_text_ends_at_its_own_end_tag(raw, left):
     assert blocks == (["before"] if left is None else ["before", "Main text"])
 
 
+@pytest.mark.parametrize("junk", ["<a ", "<y ", "</", "<b>", "<div><b>x</b>", "<div class=abc>x", "<a x='", "<!--", "<p>x<", "<a><div></a>x", "<svg>x</b>", "<body>x<head>", "<script>", "&#", "word "])
+def test_a_megabyte_takes_seconds(junk):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(junk * (1_000_000 // len(junk)), CHAIN_OF_ONE)
+    assert time.perf_counter() - began < 20  # about 3 s; what is not linear takes minutes
+
+
+CHAIN_OF_ONE = html_extract.Chain({"in=div": 0, "name=abc": 1, "stop": 2}, np.zeros((3, 2)))
+
+
+def test_known_words_change_no_label(chain):
+    for page, _ in html_extract.labelled_pages(60, seed=31):
+        every = chain.label(html_extract.features_of(html_extract.blocks_of(page)))
+        assert chain.label(html_extract.features_of(html_extract.blocks_of(page, chain.known))) == every
+
+
+@pytest.mark.parametrize("name", list(GOLDEN))
+def test_pages_written_by_hand(name):
+    page, want = GOLDEN[name]
+    assert html_extract.main_text(page, trained()).split("\n\n") == want
+
+
+@lru_cache(1)
+def trained():
+    return html_extract.train()
+
+
 def test_pages_with_scripts_keep_their_text(spark, chain):
     article = "<article><h1>Title of it</h1><p>" + "A sentence with words, and more. " * 30 + "</p></article>"
     rows = [(k, "u", f"<html><body>{script}{article}<footer>© x</footer></body></html>") for k, script in enumerate(["", "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>var a = '<!--';</script>"])]
@@ -154,6 +193,11 @@ def test_pages_with_scripts_keep_their_text(spark, chain):
     assert len(out[0]) > 900 and out[0] == out[1] == out[2]
 
 
+def test_no_pages(spark, chain):
+    none = html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), chain)
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_edge_pages(spark, chain):
     rows = [(1, "u", None), (1, "u", ""), (2, None, "<nav><a href=x>menu</a></nav>"), (3, "u", "<article><h1>Title of it</h1><p>" + "A sentence with words, and more. " * 3000 + "</p></article><footer>© x</footer>")]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")), chain).collect()
