@@ -238,18 +238,45 @@ def context_of(c, pattern: str, chars: int = 50) -> Column:
     return F.when(found != "", F.concat(F.right(before, F.lit(chars)), found, after)).otherwise("")
 
 
-def matches_at(c, pattern: str) -> Column:
-    """array<struct<at, value>> of all matches; the texts between them give the positions."""
-    c = _c(c)
-    parts = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at: int, out: array<struct<at: int, value: string>>>")
+def running_rows(items, value, combine, zero, row, at_once: int = 128) -> Column:
+    """``row(state, item)`` for each item, the state being ``combine`` over the ``value`` of all items before; null rows go.
+
+    ``combine`` is associative with ``zero`` as its neutral element (a sum, a maximum). Spark copies what ``aggregate``
+    holds at every step, so one array of all rows would cost the square of their number. Items are taken in pieces of
+    ``at_once``: the state before each piece first, then the rows of each piece.
+    """
+
+    def over(all_items: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(all_items) / at_once), F.lit(1)).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(all_items, k * at_once + 1, at_once))
+        add = lambda acc, x: combine(acc, value(x))
+        later = lambda acc, t: F.struct(combine(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        none = F.slice(F.array(row(zero, F.try_element_at(all_items, F.lit(1)))), 2, 1)
+
+        def rows(piece: Column, before: Column) -> Column:
+            step = lambda acc, x: F.struct(combine(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(row(acc["at"], x))).alias("out"))
+            return F.aggregate(piece, F.struct(before.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+        totals = F.transform(pieces, lambda piece: F.aggregate(piece, zero, add))
+        before = F.aggregate(totals, F.struct(zero.alias("at"), F.slice(F.array(zero), 2, 1).alias("out")), later, lambda acc: acc["out"])
+        return F.filter(F.flatten(F.zip_with(pieces, before, rows)), lambda r: r.isNotNull())
 
-    def step(acc: Column, z: Column) -> Column:
-        at = acc["at"] + F.length(z["gap"])
-        out = F.when(z["value"].isNotNull(), F.concat(acc["out"], F.array(F.struct(at.alias("at"), z["value"].alias("value"))))).otherwise(acc["out"])
-        return F.struct((at + F.coalesce(F.length(z["value"]), F.lit(0))).alias("at"), out.alias("out"))
+    return bind(F.transform(items, lambda x: x), over)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
+def matches_at(c, pattern: str, group: int = 0) -> Column:
+    """array<struct<at, size, value>> of all matches, ``value`` being their group; the texts between them give the positions."""
+    c = _c(c)
+    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), whole.alias("whole"), (F.regexp_extract_all(c, F.lit(pattern), F.lit(group)) if group else whole).alias("value"))
+    place = lambda at, z: at + F.length(z["gap"])
+    row = lambda at, z: F.when(z["whole"].isNotNull(), F.struct(place(at, z).alias("at"), F.length(z["whole"]).alias("size"), z["value"].alias("value")))
+    return running_rows(parts, lambda z: F.length(z["gap"]) + F.coalesce(F.length(z["whole"]), F.lit(0)), lambda a, b: a + b, F.lit(0), row)
 
 
 def parse_json_array(c, element: str = "string") -> Column:

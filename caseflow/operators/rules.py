@@ -15,11 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+from caseflow.functions.text import bind
 
 
 @dataclass(frozen=True)

@@ -126,9 +126,7 @@ def restricted_text(pages: DataFrame, plan: DataFrame, most: int = 8, doc: str =
 def line_positions(text) -> Column:
     """array<struct<start, line>>: running sums of line lengths."""
     lines = F.split(F.coalesce(_c(text), F.lit("")), r"\n")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, line: string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("line")))).alias("out"))
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    return T.running_rows(lines, lambda x: F.length(x) + 1, lambda a, b: a + b, F.lit(0), lambda at, x: F.struct(at.alias("start"), x.alias("line")))
 
 
 #: Line beginnings that start a new part, in either case, with their kind.
