@@ -11,6 +11,7 @@ scanned one by one; spans are code points, end exclusive; other columns are igno
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.functions import text as T
 from caseflow.llm._common import read, stash
 
 
@@ -115,12 +117,22 @@ def has_trigrams(rule: Rule) -> bool:
 # ---- the index
 
 
+def any_of(trigrams: list[str]) -> str:
+    """A regex whose group 1 is, at each place of a text, the one of ``trigrams`` that begins there, in either case of a-z."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in sorted(trigrams):
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    one = lambda c: re.escape(c)
+    ends = lambda cs: one(cs[0]) if len(cs) == 1 else f"[{''.join(map(one, cs))}]"
+    middle = lambda below: "|".join(one(b) + ends(cs) for b, cs in below.items())
+    return f"(?is)(?=({'|'.join(f'{one(a)}(?:{middle(below)})' for a, below in tree.items())}))"
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(trigram, doc_id) for every trigram that a rule asks for."""
+    """(trigram, doc_id) for every trigram that a rule asks for. Each text is read once, for all trigrams."""
     wanted = sorted({t for r in rules if has_trigrams(r) for clause in trigram_query(r.pattern) for t in clause})
-    low = F.lower(F.col("__text"))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted))) if wanted else F.array().cast("array<string>")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).select("doc_id", F.explode(held).alias("trigram"))
+    held = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(any_of(wanted)), F.lit(1)), F.lower)) if wanted else F.array().cast("array<string>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -139,19 +151,10 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of the rule's matches: the texts between matches give the positions."""
-    split, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    """array<struct<start, end>> of the rule's matches."""
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["gap"])
-        end = start + F.coalesce(F.length(z["whole"]), F.lit(0))
-        span = F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(F.length(z["judged"]) >= max(1, rule.least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    parts = F.arrays_zip(split.alias("gap"), whole.alias("whole"), judged.alias("judged"))
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    long_enough = F.filter(T.matches_at(text, rule.pattern, rule.group), lambda m: F.length(m["value"]) >= max(1, rule.least))
+    found = F.transform(long_enough, lambda m: F.struct(m["at"].cast("bigint").alias("start"), (m["at"] + m["size"]).cast("bigint").alias("end")))
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
@@ -178,17 +181,27 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", d
     return met.withColumn(name, F.array_sort(F.concat(*each))).drop("__kinds")
 
 
-def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span of ``secrets`` replaced; overlapping spans become one mark."""
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = (s["start"] >= acc["at"]) & ~((s["start"] == acc["at"]) & (acc["at"] > 0))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+def redact(text: Column, secrets: Column, mark: str = "[SECRET]", block: int = 256) -> Column:
+    """``text`` with every span of ``secrets`` replaced; overlapping spans become one mark.
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int")))
-    return F.when(F.size(secrets) > 0, F.aggregate(secrets, start, step, rest)).otherwise(text)
+    Text is cut into blocks once, so what lies between two secrets is taken from its own blocks: a substring of the
+    whole text would be counted from its start every time.
+    """
+    def between(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / block).cast("int")
+        held = F.slice(blocks, first + 1, F.ceil(end / block).cast("int") - first)
+        return F.when(end > start, F.substr(F.array_join(held, ""), (start - first * block + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    def redacted(x: Column) -> Column:
+        blocks, spans = x["blocks"], x["spans"]
+        # the text before a secret, unless the one before it reaches that far
+        part = lambda at, s: F.when((s["start"] > at) | (at == 0), F.concat(between(blocks, at, s["start"]), F.lit(mark)))
+        parts = T.running_rows(spans, lambda s: s["end"], F.greatest, F.lit(0).cast("bigint"), part)
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), between(blocks, end, x["size"]))
+
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"), secrets.alias("spans"), F.length(text).cast("bigint").alias("size"))
+    return F.when(F.size(secrets) > 0, T.bind(whole, redacted)).otherwise(text)
 
 
 def joined(secrets: Column) -> Column:
