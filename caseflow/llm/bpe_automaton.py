@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from caseflow.llm._common import read, steps
 
@@ -212,7 +213,11 @@ class Automaton:
 
 
 class WordTokenizer:
-    """A tokenizers file with word ends: NFC, lower case, a split pattern, then the automaton per word."""
+    """A tokenizers file with word ends: its normalizer and split pattern, then the automaton per word.
+
+    Texts are split by Python's tables where these agree with the library's on every character, else by the library's
+    own objects. The model is the automaton in either case.
+    """
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -235,26 +240,49 @@ class WordTokenizer:
         spelled = {t: s for t, s in spelled.items() if len(s) == 1 or t in reached}
         self.automaton = Automaton(merges, spelled, size)
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        whole = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer, self.letters = whole.normalizer, whole.pre_tokenizer, letters
+        self.same, self.apart = set(), set()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known: dict[str, bytes] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
+    def _usual(self, text: str) -> list[str]:
+        """The split by Python's tables."""
+        return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # letter by letter, there is no final sigma
+
+    def _library(self, text: str) -> list[str]:
+        """The split by the library's own normalizer and pre-tokenizer: exact for all characters, at several times the cost."""
+        words = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(map(self.letters.__getitem__, w)).decode() for w, _ in words]
+
+    def _agree(self, char: str) -> bool:
+        """Whether both know the character alike: its class, its lower case, and its order among combining marks.
+
+        Their tables are of different Unicode versions; characters that both have are alike for good.
+        """
+        probes = (f"a{char}{char}b", f"a\u0345{char}b")
+        return all(self.normalizer.normalize_str(p) == unicodedata.normalize("NFC", " ".join(p.split()) if char.isspace() else p).replace("Σ", "σ").lower() and self._library(p) == self._usual(p) for p in probes)
+
     def pre_split(self, text: str) -> list[str]:
         """Words of the text, and special tokens as they are (each stands for itself in ``known``)."""
         out: list[str] = []
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+        parts = self.cut.split(text) if self.cut and any(map(text.__contains__, self.specials)) else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(part)
-            else:  # lower-casing letter by letter knows no final sigma
-                out += self.split.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                continue
+            new = set(part) - self.same
+            for c in new - self.apart:
+                (self.same if self._agree(c) else self.apart).add(c)
+            out += self._library(part) if new & self.apart else self._usual(part)
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pre_split(t) for t in texts]
+        split = [self.pre_split(t) for t in texts]  # characters are looked up once a task
         if len(self.known) > REMEMBER:
             self.known = {}
         for label, t in self.specials.items():

@@ -73,6 +73,31 @@ def test_tokens_equal_the_library(words):
         assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_characters_of_other_unicode_versions(words):
+    library, ours, _ = words
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x600 or c % 23 == 0 or 0xA7C0 <= c < 0xA800 or 0x10900 <= c < 0x10A00)]
+    rng = random.Random(7)
+    texts = [f"a{c}b" for c in chars] + ["".join(rng.choices(chars, k=20)) for _ in range(2000)]
+    texts += ["".join(rng.choice(["'s", "'LL", "Σ", "ς", "İ", "<|endoftext|>", "<|startoftext|>", " ", "\n", "a", "é", "e\u0301", "\u0345\u0301", "½", "-", "\u088f"]) for _ in range(30)) for _ in range(500)]
+    for got, want in zip(ours.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids
+    assert "\u208f" in ours.apart and "é" in ours.same
+
+
+def test_empty_tables(spark, words, model):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe_automaton.encode_documents(none, words[2]).count() == 0
+    assert language_id.label_spans(none, model).count() == 0
+
+
+def test_very_long_text_and_clashing_columns(spark, model, words):
+    text = "the of and this thing that with. " * 40_000
+    docs = spark.createDataFrame([(1, text, "x", "y")], "doc_id long, text string, lang_pred string, n_tokens string")
+    assert language_id.label_spans(docs, model).first()["lang_pred"] == "en"
+    coded = bpe_automaton.encode_documents(docs, words[2]).first()
+    assert coded["n_tokens"] == len(words[0].encode(text, add_special_tokens=False).ids)
+
+
 def test_automaton_of_a_few_merges_equals_merging():
     """All words over two letters, against merging by rank, also where a token doubles itself."""
     merges = [(0, 0, 2), (0, 1, 3), (2, 2, 4), (3, 0, 5), (1, 1, 6), (6, 1, 7), (2, 3, 8)]
