@@ -10,8 +10,9 @@ A block is joined with itself by a signature tree: leaves of classes of similar
 OR of their token bitmaps and their size range. A dual traversal drops node pairs whose largest
 possible overlap is too small. It runs on bitmaps first, which leaves the classes with a possible
 partner, then on the sets of those, where pairs are verified exactly and pairs that are connected
-already are skipped. Blocks are dealt in chunks of bounded size. Every chunk holds the hub; what it
-doesn't connect to the hub meets the other chunks of the block, pair of chunks by pair of chunks.
+already are skipped. Blocks are dealt in chunks of bounded size. Every chunk holds the hub; only what it
+doesn't connect to the hub visits the other chunks of the block, in lots of bounded size. Sets and
+shingles are known by 64-bit hashes: two different ones of n meet with a chance of n * n / 2 ** 65.
 
 Defined results: null, empty and wordless text has no shingles and links with nothing; with fewer than
 ``words`` words the whole sequence is the only shingle; rows that repeat a doc_id are joined one by
@@ -42,6 +43,8 @@ class Settings:
     #: Frequent shingles that are ordered last; any number gives the same result.
     frequent: int = 200_000
     frequent_from: int = 12
+    #: Parts that the rows of a frequent shingle are dealt to.
+    salts: int = 256
     leaf: int = 32
     fan_out: int = 8
     #: Classes and shingles of one chunk of a block.
@@ -88,12 +91,13 @@ def class_of(s: np.ndarray) -> int:
     return int((mixed(a ^ mixed(np.array([np.bitwise_xor.reduce(s)], np.uint64)))).view(np.int64)[0])
 
 
-def prefix_of(s: np.ndarray, frequent: np.ndarray, st: Settings) -> np.ndarray:
-    """The keys of which a set that links must share one."""
+def prefix_of(s: np.ndarray, frequent: np.ndarray, st: Settings) -> tuple[np.ndarray, int]:
+    """The keys of which a set that links must share one, and how many of them, the first ones, are no frequent ones."""
     n = len(s)
     most = n + (-st.at_least * n) // st.of + 1  # n - ceil(n * similarity) + 1
     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
-    return np.r_[s[~late], s[late]][:most]
+    keys = np.r_[s[~late], s[late]][:most]
+    return keys, min(len(keys), n - int(late.sum()))
 
 
 def bitmap_of(s: np.ndarray) -> np.ndarray:
@@ -274,25 +278,26 @@ def _most_frequent(often: DataFrame, st: Settings) -> np.ndarray:
 
 
 def prefixes(keyed: DataFrame, frequent: np.ndarray, st: Settings, remember: int = 1 << 19) -> DataFrame:
-    """(key, class) for the prefix of every set; a task gives equal sets once."""
+    """(key, class, salt) for the prefix of every set; a task gives equal sets once. Frequent keys have a salt of 1 or more, by class."""
     shared = keyed.sparkSession.sparkContext.broadcast(np.sort(frequent))  # at most ``frequent`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for b in steps(whole, "__text"):
-                keys, names = [], []
+                keys, names, rare = [], [], []
                 for s in shingle_sets(b.column("__text").to_pylist(), st.words):
                     if len(s) and (c := class_of(s)) not in seen:
                         seen.add(c)
-                        keys.append(prefix_of(s, shared.value, st))
-                        names.append(c)
+                        k, first = prefix_of(s, shared.value, st)
+                        keys.append(k), names.append(c), rare.append(first)
                 if len(seen) > remember:
                     seen = set()
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), [len(k) for k in keys]))], ["key", "class"])
+                    salt = [np.repeat((0, 1 + c % st.salts), (r, len(k) - r)) for k, c, r in zip(keys, names, rare)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), [len(k) for k in keys])), pa.array(np.concatenate(salt).astype(np.int32))], ["key", "class", "salt"])
 
-    return keyed.mapInArrow(run, "key long, class long")
+    return keyed.mapInArrow(run, "key long, class long, salt int")
 
 
 def _class_texts(keyed: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -331,17 +336,21 @@ def _run_blocks(members: DataFrame, keys: list[str], work, schema: str, parts: i
     return members.groupBy(F.when(F.expr(alone), F.xxhash64(*keys)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(parts))).alias("__part")).applyInPandas(run, schema)
 
 
-def _across(chunks: DataFrame, first: DataFrame) -> DataFrame:
-    """(hub, class, b, chunk, i, k): the pairs of chunks in which classes of blocks in several chunks meet.
+def _across(chunks: DataFrame, first: DataFrame, weights: DataFrame, most: int) -> DataFrame:
+    """(hub, class, b, chunk, at, lot): where classes of blocks in several chunks meet those of other chunks.
 
-    What its own chunk doesn't connect to the hub meets all of every other chunk; a pair holds its two chunks at most.
+    What its own chunk doesn't connect to the hub visits all other chunks, in lots of about ``most`` weight; the rest
+    stays at home. A group is one chunk and one lot, so it is bounded, and what is connected to the hub is given out once
+    a lot.
     """
-    state = chunks.where("chunks > 1 and class <> hub").join(first.select("hub", F.col("a").alias("class"), "b", "to_hub"), ["hub", "class"])
-    asks = state.where("not to_hub").select("hub", F.col("chunk").alias("other")).distinct()
-    every = state.where("not to_hub").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = state.where("to_hub").join(asks, "hub")
-    met = every.unionByName(asked.select(every.columns)).where("other <> chunk")
-    return met.select("hub", "class", "b", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("k"))
+    several = chunks.where("chunks > 1 and class <> hub")
+    state = several.join(first.select("hub", F.col("a").alias("class"), "b", "to_hub"), ["hub", "class"])
+    apart = state.where("not to_hub").join(weights, "class")
+    lots = apart.groupBy("hub").agg(F.ceil(F.sum("n") / most).cast("int").alias("lots"))
+    visits = apart.join(lots, "hub").withColumn("lot", F.pmod(F.xxhash64("class", F.lit(7)), F.col("lots")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    homes = state.join(lots, "hub").withColumn("at", F.col("chunk")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    columns = ["hub", "class", "b", "chunk", "at", "lot"]
+    return homes.select(*columns).unionByName(visits.where("at <> chunk").select(*columns))
 
 
 def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -351,22 +360,28 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
     rows = seen.where("shingle is null").select("__id", "__tag", "n", "class")
     often = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= st.frequent_from)
     often = _most_frequent(often, st)
-    by_key = Window.partitionBy("key")
+    # keys that may be hot are dealt by class as well; their hubs come from minima that combine before the exchange
+    by_key = Window.partitionBy("key", "salt")
     keys = prefixes(keyed, often, st).withColumn("hub", F.min("class").over(by_key)).withColumn("last", F.max("class").over(by_key))
-    edges = stash(keys.where("hub < last and class <> hub").select("hub", "class").distinct(), "edges")
+    keys = stash(keys.where("salt > 0 or (hub < last and class <> hub)").select("key", "salt", "hub", "class"), "keys")
+    hot = keys.where("salt > 0").select("key", "class")
+    hubs = stash(hot.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("key", "hub"), "hubs")
+    edges = keys.where("salt = 0").select("hub", "class").unionByName(hot.join(hubs, "key").where("class <> hub").select("hub", "class"))
+    edges = stash(edges.distinct(), "edges")
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("class")).distinct())
 
-    # on bitmaps: who has a possible partner, within and across the chunks of a block
+    # on bitmaps: who has a possible partner in its block; blocks of more than a chunk keep all, as each class would meet all chunks
     def partners(pdf: pd.DataFrame) -> pd.DataFrame:
         hit = possible_partners(pdf["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["bits"]], st)
         return pdf.loc[hit, ["hub", "class"]]
 
-    bits = _sets(_class_texts(keyed, rows, members.select("class").distinct()), st, "bits", bitmap_of)
-    dealt = _dealt(members.withColumn("one", F.lit(1)), "one", st.chunk_classes)
-    meet = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("k")))
-    pairs = dealt.select("hub", "class", "chunks", F.explode(meet).alias("pair")).select("hub", "class", "chunks", "pair.i", "pair.k").distinct()
-    kept = _run_blocks(pairs.join(bits, "class"), ["hub", "i", "k"], partners, "hub long, class long", parts, "chunks > 1").distinct()
-    kept = stash(kept.unionByName(kept.select("hub", F.col("hub").alias("class"))).distinct(), "kept")
+    size = stash(members.groupBy("hub").agg((F.count("*") > st.chunk_classes).alias("large")), "blocks")
+    members = members.join(size, "hub")
+    one_chunk = members.where("not large").select("hub", "class")
+    bits = _sets(_class_texts(keyed, rows, one_chunk.select("class").distinct()), st, "bits", bitmap_of)
+    kept = _run_blocks(one_chunk.join(bits, "class"), ["hub"], partners, "hub long, class long", parts)
+    kept = kept.unionByName(kept.select("hub", F.col("hub").alias("class"))).unionByName(members.where("large").select("hub", "class"))
+    kept = stash(kept.distinct(), "kept")
 
     # on sets: verified links; each class gets the smallest class it is connected to within its chunk
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -393,30 +408,38 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
     first = stash(_run_blocks(chunks.join(items, "class"), ["hub", "chunk"], joined, found, parts, "chunks > 1"), "links")
     pairs = first.select("a", "b")
     if first.where("not to_hub").join(chunks.where("chunks > 1").select("hub", F.col("class").alias("a")), ["hub", "a"], "left_semi").limit(1).count():
-        met = _across(chunks, first).join(items, "class")
-        pairs = pairs.unionByName(_run_blocks(met, ["hub", "i", "k"], met_across, "a long, b long", parts, "true"))
+        met = _across(chunks, first, sizes, st.chunk_shingles).join(items, "class")
+        pairs = pairs.unionByName(_run_blocks(met, ["hub", "at", "lot"], met_across, "a long, b long", parts, "true"))
     return rows, pairs.where("a <> b").distinct()
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node connected to each node that has a pair.
 
-    Every round takes the smallest label among neighbours and then the label of the label, so rounds
-    grow with the logarithm of the longest chain.
+    Large-star and small-star in turn, until the edges stay as they are: every node's larger neighbours, then all of
+    them, are tied to its smallest one. The edges then join each node to the smallest of its component; the number of
+    rounds grows with the square of the logarithm of the nodes at most. A node with very many neighbours is only ever
+    aggregated to its smallest one, combined before the exchange, and met by a plain join, which Spark can split.
     """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stash(both, "graph")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = lower.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label"))
-        moved = stash(moved, "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("label < old").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        """Edges (a, b), a > b: ties every node's neighbours that are larger (or not) than it to the smallest of all."""
+        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+        least = around.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("n"), F.least("a", "b").alias("m"))
+        met = around.join(least, F.col("a") == F.col("n"))
+        if large:
+            return met.where("b > n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        return met.select("b", "m").unionByName(least.select(F.col("n").alias("b"), "m")).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+    edges = stash(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "graph")
+    state = None
+    while True:
+        edges = stash(star(stash(star(edges, True), "graph"), False), "graph")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def near_duplicates(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
