@@ -164,6 +164,19 @@ def ratio(a, b) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def partial_ratio(a, b) -> Column:
+    """The best ratio of the shorter text with the windows of its length in the longer one, both folded."""
+    a, b = fold(a), fold(b)
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+
+    def best(x: Column) -> Column:
+        s, t = x["short"], x["long"]
+        places = F.sequence(F.lit(1), F.length(t) - F.length(s) + 1)
+        return F.when(F.length(s) == 0, 0.0).when(F.contains(t, s), 1.0).otherwise(F.array_max(F.transform(places, lambda at: 1 - F.levenshtein(F.substr(t, at, F.length(s)), s) / F.length(s))))
+
+    return bind(F.struct(short.alias("short"), long.alias("long")), best)
+
+
 def token_set_ratio(a, b) -> Column:
     """1 if the words of one are all in the other, else the better of word overlap and edit ratio of the sorted words."""
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))

@@ -11,12 +11,25 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
 
-#: Rows up to which a catalogue is sent to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their JSON, up to which a catalogue is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _fits(df: DataFrame) -> bool:
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """For joins with a key: broadcast behind a check of its size; beyond it Spark picks the join."""
+    return F.broadcast(df) if _fits(df) else df
+
+
+def bounded(df: DataFrame, what: str) -> DataFrame:
+    """For joins without a key, in which every row meets the whole catalogue: too large a catalogue is an error."""
+    if not _fits(df):
+        raise ValueError(f"{what} must be a catalogue of at most {BROADCAST_ROWS} rows and {BROADCAST_BYTES} bytes")
+    return F.broadcast(df)
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -37,25 +50,64 @@ def merge_alias_sources(*sources: DataFrame) -> DataFrame:
 def alias_containment(docs: DataFrame, aliases: DataFrame, weights: dict[str, int], keep: str = "doc_id", whole: str | None = None, whole_weight: int = 2) -> DataFrame:
     """The label whose alias a field contains; the heaviest field wins, the alias' ordinal breaks ties.
 
-    Both sides are folded first. Containment has no join key, so the aliases are a catalogue that every task reads
-    (sent to the executors behind a count); a large alias list belongs into ``resolve_entity``, which blocks on words.
+    Both sides are folded first. Containment has no join key, so the aliases are a catalogue of bounded size that every
+    task reads; a larger list is an error and belongs into ``resolve_entity``, which has keys.
     """
     fields = dict(weights) | ({whole: whole_weight} if whole else {})
     stacked = docs.select(keep, F.explode(F.array(*(F.struct(T.fold(c).alias("body"), F.lit(w).alias("weight")) for c, w in fields.items()))).alias("f")).select(keep, "f.*").where("body <> ''")
-    named = small(aliases.select(T.fold("alias").alias("alias"), "label", "ordinal").where("alias <> ''"))
+    named = bounded(aliases.select(T.fold("alias").alias("alias"), "label", "ordinal").where("alias <> ''"), "aliases")
     met = stacked.join(named, F.contains(stacked["body"], F.col("alias")))
     return first_by(met, [keep], F.desc("weight"), F.col("ordinal"), F.col("label")).select(keep, "label", F.col("weight").alias("score"))
 
 
+def _ranked_words(rows: DataFrame, keys: list[str], often: DataFrame) -> DataFrame:
+    """``keys``, word, k, n: the words of each row, the rarest first, and their number."""
+    each = rows.select(*keys, F.explode(F.array_distinct(T.tokens(keys[0]))).alias("word")).join(often, "word", "left")
+    w = Window.partitionBy(*keys)
+    return each.withColumn("k", F.row_number().over(w.orderBy(F.coalesce("times", F.lit(0)), "word"))).withColumn("n", F.count("*").over(w)).drop("times")
+
+
+def _segment(length: Column, count: Column, i: Column) -> tuple[Column, Column]:
+    """Start and size of the i-th of ``count`` nearly equal segments."""
+    start = F.floor(i * length / count)
+    return start.cast("int"), (F.floor((i + 1) * length / count) - start).cast("int")
+
+
+def _edits(length: Column, threshold: float) -> Column:
+    """The most edits that a string of this length can be away from one that reaches the ratio."""
+    return F.floor(F.floor(length / threshold + 1e-9) * (1 - threshold) + 1e-9).cast("int")
+
+
+def similar_pairs(names: DataFrame, catalogue: DataFrame, threshold: float) -> DataFrame:
+    """(name, entry): every pair whose token-set ratio can reach the threshold, and some more; nothing is capped.
+
+    Words of one all in the other: then its rarest word is among the other's. Word overlap: the rarest
+    ``n - ceil(threshold n) + 1`` words of both share one. Edit ratio of the sorted words: with at most ``k`` edits, one of
+    ``k + 1`` segments of the entry stands in the name, at most ``k`` places away.
+    """
+    left, right = names.select("name").distinct(), catalogue.select(F.col("name").alias("entry")).distinct()
+    often = right.select(F.explode(F.array_distinct(T.tokens("entry"))).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    a, b = _ranked_words(left, ["name"], often), _ranked_words(right, ["entry"], often)
+    prefix = F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    met = lambda x, y: x.select("name", "word").join(y.select("entry", "word"), "word").select("name", "entry")
+    pairs = met(a.where("k = 1"), b).unionByName(met(a, b.where("k = 1"))).unionByName(met(a.where(prefix), b.where(prefix)))
+
+    joined = lambda c: T.fold(F.array_join(F.array_sort(F.array_distinct(T.tokens(c))), " "))
+    e = right.select("entry", joined("entry").alias("s")).withColumn("size", F.length("s")).withColumn("edits", _edits(F.col("size"), threshold)).where("size > 0")
+    start, size = _segment(F.col("size"), F.col("edits") + 1, F.col("i"))
+    segments = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).select("entry", "size", "i", F.substr("s", start + 1, size).alias("segment"))
+    p = left.select("name", joined("name").alias("s")).withColumn("m", F.length("s")).where("m > 0")
+    p = p.withColumn("size", F.explode(F.sequence(F.ceil(F.col("m") * threshold - 1e-9).cast("int"), F.floor(F.col("m") / threshold + 1e-9).cast("int"))))
+    p = p.withColumn("edits", _edits(F.col("size"), threshold)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    shift = F.explode(F.sequence(F.greatest(-F.col("edits"), -start), F.least(F.col("edits"), F.greatest(F.col("m") - start - size, -start)))).alias("shift")
+    p = p.select("*", shift).select("name", "size", "i", F.substr("s", start + F.col("shift") + 1, size).alias("segment")).distinct()
+    return pairs.unionByName(p.join(segments, ["size", "i", "segment"]).select("name", "entry")).distinct()
+
+
 def scored_candidates(names: DataFrame, catalogue: DataFrame, threshold: float) -> DataFrame:
-    """(name, entry, label, ordinal, score): pairs that share a word and reach the threshold."""
-    left = names.select("name", F.explode(F.array_distinct(T.tokens("name"))).alias("word"))
-    right = catalogue.select(F.col("name").alias("entry"), "label", "ordinal", F.explode(F.array_distinct(T.tokens("name"))).alias("word"))
-    # words that many entries share say little; entries keep their rarest ones
-    often = right.groupBy("word").count()
-    rare = right.join(often, "word").withColumn("k", F.row_number().over(Window.partitionBy("entry", "label").orderBy("count", "word"))).where("k <= 3")
-    pairs = left.join(small(rare.select("entry", "label", "ordinal", "word")), "word").select("name", "entry", "label", "ordinal").distinct()
-    return pairs.withColumn("score", T.token_set_ratio("name", "entry")).where(F.col("score") >= threshold)
+    """(name, entry, label, ordinal, score): all pairs whose token-set ratio reaches the threshold."""
+    pairs = similar_pairs(names, catalogue, threshold).withColumn("score", T.token_set_ratio("name", "entry")).where(F.col("score") >= threshold)
+    return pairs.join(catalogue.select(F.col("name").alias("entry"), "label", "ordinal"), "entry")
 
 
 def resolve_entity(names: DataFrame, catalogue: DataFrame, threshold: float = 0.85, name: str = "name", fallback: str | None = "title") -> DataFrame:
@@ -122,9 +174,9 @@ def resolve_position(df: DataFrame, positions: DataFrame, column: str, context:
     usual = own.join(syn.where(F.col("context") == default_context).select(F.col("s").alias("__k"), F.col("label").alias("l2")), "__k", "left")
     official = first_by(positions.select(T.fold("label").alias("__k"), F.col("label").alias("l3")), ["__k"], F.col("l3"))
     met = usual.join(small(official), "__k", "left")
-    labels = positions.select(F.col("label").alias("name"), "label").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("label")))
+    labels = positions.select(F.col("label").alias("name"), "label").distinct().withColumn("ordinal", F.lit(1))
     rest = met.where(F.coalesce("l1", "l2", "l3").isNull() & (F.col("__k") != "")).select(F.col(column).alias("name")).distinct()
-    near = first_by(scored_candidates(rest, labels, threshold), ["name"], F.desc("score"), F.col("ordinal")).select(F.col("name").alias("__near"), F.col("label").alias("l4"))
+    near = first_by(scored_candidates(rest, labels, threshold), ["name"], F.desc("score"), F.col("label")).select(F.col("name").alias("__near"), F.col("label").alias("l4"))
     met = met.join(near, F.col(column) == F.col("__near"), "left").withColumn("position", F.coalesce("l1", "l2", "l3", "l4", F.nullif(F.col("__k"), F.lit(""))))
     ids = small(first_by(positions.select(F.col("label").alias("position"), F.col("label_id").alias("position_id")), ["position"], F.col("position_id")))
     return met.drop("__k", "__x", "l1", "l2", "l3", "l4", "__near").join(ids, "position", "left")
@@ -148,7 +200,7 @@ def best_option(df: DataFrame, options: DataFrame, wanted: str, keys: list[str],
     Options are a catalogue of at most ``BROADCAST_ROWS`` rows and meet distinct wanted values only.
     """
     asked = df.select(F.col(wanted).alias("__w")).distinct()
-    met = asked.join(small(options.select("value", "text", "ordinal")), F.lit(True)).withColumn("score", option_score("__w", "text", preferred))
+    met = asked.join(bounded(options.select("value", "text", "ordinal"), "options"), F.lit(True)).withColumn("score", option_score("__w", "text", preferred))
     best = first_by(met, ["__w"], F.desc("score"), F.col("ordinal")).where(F.col("score") >= threshold)
     return df.join(best.select("__w", F.col("value").alias("option_value"), F.col("text").alias("option_text"), F.col("score").alias("option_score")), df[wanted].eqNullSafe(F.col("__w")), "left").drop("__w")
 
@@ -174,7 +226,7 @@ def primary_secondary(parties: DataFrame, priority: DataFrame, keys: list[str],
     ``longest_match``), else the most similar one, else the last place; ties keep the order of arrival.
     """
     distinct = parties.select(F.col(name).alias("__name")).distinct()
-    met = distinct.join(small(priority.select(F.col("name").alias("entry"), F.col("priority").cast("int").alias("priority"))), F.lit(True))
+    met = distinct.join(bounded(priority.select(F.col("name").alias("entry"), F.col("priority").cast("int").alias("priority")), "priorities"), F.lit(True))
     a, b = T.fold("__name"), T.fold("entry")
     inside = F.contains(a, b) | F.contains(b, a)
     close = T.ratio("__name", "entry")
@@ -187,22 +239,53 @@ def primary_secondary(parties: DataFrame, priority: DataFrame, keys: list[str],
     return rows.groupBy(*keys).agg(F.max(F.when(F.col("__n") == 1, F.col(name))).alias("primary"), F.max(F.when(F.col("__n") == 2, F.col(name))).alias("secondary"))
 
 
-def map_claims(claims: DataFrame, keywords: DataFrame, types: DataFrame, key: str = "doc_id", claim: str = "claim", ordinal: str = "ordinal", most: int = 30) -> tuple[DataFrame, DataFrame]:
+GIVEN = "array<struct<value: string, type_text: string, type_ordinal: bigint, keyword: string, category: string, priority: bigint, score: bigint>>"
+
+
+def map_claims(claims: DataFrame, keywords: DataFrame, types: DataFrame, key: str = "doc_id", claim: str = "claim", ordinal: str = "ordinal", most: int = 30, enough: int = 5, close: float = 0.75, tried: int = 10, head: int = 100) -> tuple[DataFrame, DataFrame]:
     """(chosen, omitted) claim types per document.
 
-    A keyword counts if one of its terms is in a claim and in a type's text; a keyword gives the first such
-    type by order, and a type stays with the keyword of the highest priority. Chosen are the first ``most``
-    by priority, then number of claims, then the types' order.
+    Types take turns in the catalogue's order. Each takes the first keyword (by ``ordinal``, if there is one, then name)
+    that is not taken yet and has terms both in a claim and in the type's text; it scores 20 x the keyword's priority.
+    Where that gives fewer than ``enough`` types, the first ``tried`` claims take turns: each takes the first type left
+    whose partial ratio with the claim's first ``head`` characters reaches ``close``; it has priority 0. Chosen are the
+    first ``most`` by priority, then score, then turn. Keywords and types are catalogues of bounded size.
     """
-    k = small(keywords.select("keyword", T.fold("term").alias("term"), "category", "priority"))
-    t = types.select("value", F.col("text").alias("type_text"), F.col("ordinal").alias("type_ordinal"))
-    kt = first_by(k.join(small(t), F.contains(T.fold("type_text"), F.col("term"))), ["keyword"], F.col("type_ordinal")).select("keyword", "value", "type_text", "type_ordinal")
-    hits = claims.join(k, F.contains(T.fold(claim), F.col("term"))).groupBy(key, "keyword", "category", "priority").agg(F.countDistinct(ordinal).alias("score"))
-    mapped = first_by(hits.join(small(kt), "keyword"), [key, "value"], F.desc("priority"), F.desc("score"), F.col("keyword"))
-    ranked = mapped.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("priority"), F.desc("score"), "type_ordinal")))
+    at = F.col("ordinal") if "ordinal" in keywords.columns else F.lit(0)
+    k = bounded(keywords.select("keyword", T.fold("term").alias("term"), "category", F.col("priority").cast("bigint").alias("priority"), at.alias("k_ordinal")), "keywords")
+    t = types.select("value", F.col("text").alias("type_text"), F.col("ordinal").cast("bigint").alias("type_ordinal"))
+    fits = bounded(t, "types").join(k.select("keyword", "term"), F.contains(T.fold("type_text"), F.col("term")), "left")
+    fits = fits.groupBy("type_ordinal", "value", "type_text").agg(F.collect_set("keyword").alias("fits"))
+    every = fits.agg(F.array_sort(F.collect_list(F.struct("type_ordinal", "value", "type_text", "fits"))).alias("every"))
+    named = claims.join(k, F.contains(T.fold(claim), F.col("term"))).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("k_ordinal", "keyword", "category", "priority"))).alias("keywords"))
+    first = claims.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(ordinal, claim))).where(F.col("__n") <= tried)
+    order = F.array_sort(F.collect_list(F.struct("__n", F.left(claim, F.lit(head)).alias("c"))))
+    docs = first.groupBy(key).agg(order.alias("claims")).join(named, key, "left").join(F.broadcast(every), F.lit(True))  # every: one row
+    free = lambda acc, x: ~F.exists(acc, lambda g: g["value"] == x["value"])
+
+    def turn(acc: Column, kind: Column) -> Column:
+        left = F.filter("keywords", lambda w: F.array_contains(kind["fits"], w["keyword"]) & ~F.exists(acc, lambda g: g["keyword"] == w["keyword"]))
+        w = F.try_element_at(left, F.lit(1))
+        return F.when(w.isNull() | ~free(acc, kind), acc).otherwise(F.concat(acc, _given(kind, w["keyword"], w["category"], w["priority"], w["priority"] * 20)))
+
+    def near(acc: Column, c: Column) -> Column:
+        close_by = F.filter(F.transform(F.filter("every", lambda x: free(acc, x)), lambda x: F.struct(x["value"].alias("value"), x["type_text"].alias("type_text"), x["type_ordinal"].alias("type_ordinal"), T.partial_ratio(x["type_text"], c["c"]).alias("ratio"))), lambda x: x["ratio"] >= close)
+        first = F.try_element_at(close_by, F.lit(1))
+        return F.when(first.isNull(), acc).otherwise(F.concat(acc, _given(first, F.lit(None), F.lit("fuzzy"), F.lit(0), F.round(first["ratio"] * 100))))
+
+    by_word = F.coalesce(F.aggregate("every", F.array().cast(GIVEN), turn), F.array().cast(GIVEN))
+    docs = docs.withColumn("__given", F.when(F.col("keywords").isNull(), F.array().cast(GIVEN)).otherwise(by_word))
+    docs = docs.withColumn("__given", F.when(F.size("__given") >= enough, F.col("__given")).otherwise(F.aggregate("claims", F.col("__given"), near)))
+    found = docs.select(key, F.posexplode("__given").alias("turn", "g")).select(key, "turn", "g.*")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("priority"), F.desc("score"), "turn"))).drop("turn")
     return ranked.where(F.col("rank") <= most), ranked.where(F.col("rank") > most)
 
 
+def _given(kind: Column, keyword: Column, category: Column, priority: Column, score: Column) -> Column:
+    row = F.struct(kind["value"].alias("value"), kind["type_text"].alias("type_text"), kind["type_ordinal"].alias("type_ordinal"), keyword.alias("keyword"), category.alias("category"), priority.alias("priority"), score.alias("score"))
+    return F.array(row).cast(GIVEN)
+
+
 def category_counts(mapped: DataFrame, key: str = "doc_id") -> DataFrame:
     """A12"""
     return mapped.groupBy(key, "category").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
+from caseflow.functions.grammar import either, phrase, spaced_letters
 from caseflow.operators.match import small
 
 
@@ -129,16 +130,16 @@ def line_positions(text) -> Column:
     return T.running_rows(lines, lambda x: F.length(x) + 1, lambda a, b: a + b, F.lit(0), lambda at, x: F.struct(at.alias("start"), x.alias("line")))
 
 
-#: Line beginnings that start a new part, in either case, with their kind.
+#: What a line begins with where a new part starts, and the part's kind.
 BREAKS = (
-    (r"EXMO\.?\s+SR\.?\s+DR\.?\s+JUIZ|PETIÇÃO\s+INICIAL", "peticao_inicial"),
-    (r"INTIMAÇÃO|NOTIFICAÇÃO|FICA\s+.*\s+INTIMAD[OA]", "notificacao"),
-    (r"DECISÃO\s*(INTERLOCUTÓRIA)?|DESPACHO|VISTOS?\.?\s*$", "decisao"),
-    (r"S\s*E\s*N\s*T\s*E\s*N\s*[ÇC]\s*A", "sentenca"),
-    (r"AC[OÓ]RD[ÃA]O|TRIBUNAL\s+REGIONAL", "acordao"),
-    (r"(?:ATA|TERMO)\s+DE\s+AUDI[ÊE]NCIA", "ata_audiencia"),
-    (r"CONTESTAÇÃO|IMPUGNAÇÃO|RESPOSTA\s+[AÀ]", "manifestacao"),
-    (r"PROCESSO\s+N[º°]", "novo_processo"),
+    (either("exmo. sr. dr. juiz", "excelentíssimo senhor", "petição inicial"), "peticao_inicial"),
+    (either("intimação", "notificação", "fica intimad@", "fica a parte", "fica vossa excelência"), "notificacao"),
+    (either("decisão", "despacho") + r"|vistos?\.?\s*$", "decisao"),
+    (spaced_letters("sentença"), "sentenca"),
+    (either("acórdão", "tribunal regional"), "acordao"),
+    (either("ata de audiência", "termo de audiência"), "ata_audiencia"),
+    (either("contestação", "impugnação", "resposta à"), "manifestacao"),
+    (phrase("processo") + r"\s+n[º°o.]", "novo_processo"),
 )
 
 

@@ -36,6 +36,12 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer scan tasks than there are cores, dealt out: costly projections on a table of one small file would be one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 # ---------------------------------------------------------------- corpus extraction
 
 _EMAIL, _IP, _PHONE = generic.EMAIL, generic.IPV4, generic.PHONE
@@ -91,7 +97,7 @@ _CASE_TEXT = "concat('Processo ', lpad(cast(o_orderkey AS string), 7, '0'), '-01
 
 
 def _case_texts(spark, sf_dir) -> DataFrame:
-    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_CASE_TEXT).alias("text"))
+    return spread(t(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.expr(_CASE_TEXT).alias("text"))
 
 
 @query(
@@ -123,7 +129,7 @@ SELECT o_orderkey AS doc_id, 'Cidade ' || chr(65 + cast(o_custkey % 26 AS int))
 )
 def labour_details(spark, sf_dir):
     """E4, O8, E9, E10, E13, E15, E16, E17, E19, E21, E22"""
-    docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_DETAIL_TEXT).alias("text"))
+    docs = spread(t(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.expr(_DETAIL_TEXT).alias("text"))
     fields = ["district", "plaintiff_lawyer", "bar_number", "hire_date", "dismissal_date", "hearing", "hearing_kind", "deadline", "ctps", "job_title", "workplace"]
     return rules.extract(docs, labour_br.PACK, fields=fields, provenance=False)
 
@@ -216,12 +222,13 @@ def masked_fields(spark, sf_dir):
 
 @query(
     r"""
-SELECT doc_id, trim(regexp_replace(strip_accents(lower(regexp_replace(left(coalesce(text, ''), 200), '[^a-zA-Zà-üÀ-Ü ]', ' ', 'g'))), '\s+', ' ', 'g')) AS folded FROM documents"""
+WITH f AS (SELECT doc_id, trim(regexp_replace(strip_accents(lower(regexp_replace(coalesce(text, ''), '[^a-zA-Zà-üÀ-Ü ]', ' ', 'g'))), '\s+', ' ', 'g')) AS x FROM documents)
+SELECT doc_id, md5(x) AS folded_md5, length(x) AS n_chars FROM f"""
 )
-def folded_heads(spark, sf_dir):
-    """F1"""
-    head = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(200)), "[^a-zA-Zà-üÀ-Ü ]", " ")
-    return t(spark, sf_dir, "documents").select("doc_id", T.fold(head, "lower").alias("folded"))
+def folded_texts(spark, sf_dir):
+    """whole texts, as hash and length."""
+    x = T.fold(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Zà-üÀ-Ü ]", " "), "lower")
+    return t(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", F.md5("x").alias("folded_md5"), F.length("x").alias("n_chars"))
 
 
 @query(
@@ -679,13 +686,28 @@ def resolved_names(spark, sf_dir):
     return match.resolve_entity(names, catalogue).select("p_partkey", "label", "how")
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) >= 2))"
+
+
+@query(
+    f"""
+WITH e AS (SELECT DISTINCT p_name AS entry FROM part),
+n AS (SELECT entry || 's' AS name FROM e UNION SELECT entry[1:1] || entry[3:] FROM e UNION SELECT string_split(entry, ' ')[2] || ' ' || string_split(entry, ' ')[1] || ' x9' FROM e),
+p AS (SELECT name, entry, {_WORDS.format('name')} AS x, {_WORDS.format('entry')} AS y FROM n, e),
+q AS (SELECT *, array_to_string(list_sort(x), ' ') AS a, array_to_string(list_sort(y), ' ') AS b, len(list_intersect(x, y)) AS k FROM p),
+s AS (SELECT name, entry, CASE WHEN least(len(x), len(y)) > 0 AND k = least(len(x), len(y)) THEN 1.0 ELSE greatest(k::double / greatest(len(list_distinct(list_concat(x, y))), 1), 1 - levenshtein(a, b)::double / greatest(length(a), length(b), 1)) END AS score, upper(name) = upper(entry) AS exact FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY exact DESC, score DESC, entry) AS no FROM s WHERE score >= 0.8)
+SELECT n.name, coalesce(r.entry, array_to_string(list_transform(string_split(lower(trim(n.name)), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')) AS label, round(r.score, 9) AS score, CASE WHEN r.exact THEN 'exact' WHEN r.entry IS NOT NULL THEN 'similar' ELSE 'none' END AS how
+FROM n LEFT JOIN r ON r.name = n.name AND no = 1"""
+)
 def similar_names(spark, sf_dir):
-    """J4 (similar): part names with a letter changed, against all part names."""
+    """J4 (similar), F16: part names with letters added or lost, or words turned, against all part names; the SQL looks at all pairs."""
     p = t(spark, sf_dir, "part").select("p_name").distinct()
-    names = p.select(F.concat(F.col("p_name"), F.lit("s")).alias("name"))
-    catalogue = p.select(F.col("p_name").alias("name"), F.col("p_name").alias("label"), F.dense_rank().over(Window.orderBy("p_name")).alias("ordinal"))
-    return match.resolve_entity(names, catalogue, 0.8)
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    forms = F.array(F.concat("p_name", F.lit("s")), F.concat(F.left("p_name", F.lit(1)), F.substring("p_name", 3, 1000)), F.concat_ws(" ", word(2), word(1), F.lit("x9")))
+    names = p.select(F.explode(forms).alias("name")).distinct()
+    catalogue = p.select(F.col("p_name").alias("name"), F.col("p_name").alias("label"), F.lit(1).alias("ordinal"))
+    return match.resolve_entity(names, catalogue, 0.8).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -762,17 +784,20 @@ def ranked_parties(spark, sf_dir):
 
 @query(
     """
-WITH k(keyword, term, category, priority) AS (VALUES ('rings', 'ring', 'jewel', 3), ('reds', 'red', 'colour', 5), ('bolts', 'bolt', 'tool', 1)),
-ty(value, text, ordinal) AS (VALUES ('T1', 'all ring things', 1), ('T2', 'red or bolt', 2)),
-kt AS (SELECT keyword, arg_min(value, ordinal) AS value, min(ordinal) AS o FROM k JOIN ty ON contains(ty.text, k.term) GROUP BY 1),
-h AS (SELECT p_brand, k.keyword, category, priority, count(DISTINCT p_partkey) AS score FROM part JOIN k ON contains(p_name, term) GROUP BY 1, 2, 3, 4),
-m AS (SELECT p_brand, value, o, category, priority, score, row_number() OVER (PARTITION BY p_brand, value ORDER BY priority DESC, score DESC, h.keyword) AS n FROM h JOIN kt ON kt.keyword = h.keyword)
-SELECT p_brand, value, category, score, row_number() OVER (PARTITION BY p_brand ORDER BY priority DESC, score DESC, o) AS rank FROM m WHERE n = 1"""
+WITH c AS (SELECT p_brand, upper(p_name) AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, p_name) AS n FROM part),
+h AS (SELECT p_brand, bool_or(contains(c, 'RING')) AS ring, bool_or(contains(c, 'BOLT')) AS bolt, bool_or(contains(c, 'RED')) AS red FROM c GROUP BY 1),
+x AS (SELECT p_brand, n, CASE WHEN length(c) <= 13 THEN c ELSE 'STEEL WIDGETS' END AS s, CASE WHEN length(c) <= 13 THEN 'STEEL WIDGETS' ELSE c END AS l FROM c WHERE n <= 10),
+f AS (SELECT p_brand, n, list_max(list_transform(range(1, length(l) - length(s) + 2), lambda i: 1 - levenshtein(substring(l, i, length(s)), s)::double / length(s))) AS r FROM x),
+g AS (SELECT p_brand, arg_min(r, n) AS r FROM f WHERE r >= 0.75 GROUP BY 1),
+u AS (SELECT p_brand, 'T1' AS value, 'jewel' AS category, 3 AS priority, 60 AS score, 1 AS turn FROM h WHERE ring
+  UNION ALL SELECT p_brand, 'T2', CASE WHEN bolt THEN 'tool' ELSE 'colour' END, CASE WHEN bolt THEN 1 ELSE 5 END, CASE WHEN bolt THEN 20 ELSE 100 END, 2 FROM h WHERE bolt OR red
+  UNION ALL SELECT p_brand, 'T3', 'fuzzy', 0, cast(round(100 * r) AS int), 3 FROM g)
+SELECT p_brand, value, category, score, row_number() OVER (PARTITION BY p_brand ORDER BY priority DESC, score DESC, turn) AS rank FROM u"""
 )
 def mapped_claims(spark, sf_dir):
-    """E38, W8"""
+    """Types take turns; the third one has no keyword and comes by similarity."""
     k = spark.sql("SELECT * FROM VALUES ('rings', 'ring', 'jewel', 3), ('reds', 'red', 'colour', 5), ('bolts', 'bolt', 'tool', 1) AS k(keyword, term, category, priority)")
-    ty = spark.sql("SELECT * FROM VALUES ('T1', 'All ring things', 1), ('T2', 'Red or bolt', 2) AS y(value, text, ordinal)")
+    ty = spark.sql("SELECT * FROM VALUES ('T1', 'Qqqqqqqq wwwwwww ring zzzzzzzz', 1), ('T2', 'Qqqqqqqq wwwwwww red or bolt zzzzzzzz', 2), ('T3', 'Steel Widgets', 3) AS y(value, text, ordinal)")
     claims = t(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("claim"), F.col("p_partkey").alias("ordinal"))
     return match.map_claims(claims, k, ty, "p_brand")[0].select("p_brand", "value", "category", "score", "rank")
 
@@ -785,7 +810,7 @@ SELECT p_brand, category, count(DISTINCT keyword) AS n FROM part JOIN k ON conta
 def claim_categories(spark, sf_dir):
     """A12"""
     k = spark.sql("SELECT * FROM VALUES ('rings', 'ring', 'jewel', 3), ('reds', 'red', 'colour', 5) AS k(keyword, term, category, priority)")
-    ty = spark.sql("SELECT * FROM VALUES ('T1', 'ring', 1), ('T2', 'red', 2) AS y(value, text, ordinal)")
+    ty = spark.sql("SELECT * FROM VALUES ('T1', 'qqqqqqqqqq ring zzzzzzzzzz', 1), ('T2', 'qqqqqqqqqq red zzzzzzzzzz', 2) AS y(value, text, ordinal)")
     claims = t(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("claim"), F.col("p_partkey").alias("ordinal"))
     return match.category_counts(match.map_claims(claims, k, ty, "p_brand")[0], "p_brand")
 
@@ -893,7 +918,16 @@ def char_windows(spark, sf_dir):
     return structure.windows(t(spark, sf_dir, "documents"), width=2000, step=1700)
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\.\s+'), lambda x: trim(x)), lambda x: x <> '') AS xs FROM documents),
+z AS MATERIALIZED (SELECT doc_id, xs, list_transform(xs, lambda x: len(regexp_split_to_array(x, '\s+'))) AS n FROM s WHERE len(xs) > 0),
+r AS (SELECT doc_id, 1 AS i, 0 AS k, 1 AS f, n[1] AS used FROM z
+  UNION ALL SELECT r.doc_id, i + 1, CASE WHEN used + n[i + 1] > 200 THEN k + 1 ELSE k END, CASE WHEN used + n[i + 1] > 200 THEN greatest(f, i - 1) ELSE f END,
+    CASE WHEN used + n[i + 1] > 200 THEN cast(list_sum(n[greatest(f, i - 1):i + 1]) AS bigint) ELSE used + n[i + 1] END FROM r JOIN z ON z.doc_id = r.doc_id WHERE i < len(n)),
+c AS (SELECT doc_id, k, min(f) AS f, max(i) AS e FROM r GROUP BY doc_id, k)
+SELECT c.doc_id, k AS chunk_no, array_to_string(xs[f:e], '. ') AS content, cast(list_sum(n[f:e]) AS int) AS token_count FROM c JOIN z ON z.doc_id = c.doc_id"""
+)
 def sentence_chunks(spark, sf_dir):
     """E34, W9"""
     return structure.chunks(t(spark, sf_dir, "documents"), budget=200)
@@ -929,7 +963,16 @@ def thinned_breaks(spark, sf_dir):
     return rows.select("doc_id", F.explode(structure.thin_breaks(F.transform("b", lambda r: r["start"]))).alias("start"))
 
 
-@query()
+@query(
+    r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l),
+b AS (SELECT doc_id, cast(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS int) AS start, CASE WHEN regexp_matches(ls[i], '(?i)^\s*The\s') THEN 'the' WHEN regexp_matches(ls[i], '(?i)^\s*And\s') THEN 'and' END AS kind FROM p),
+k AS (SELECT * FROM b WHERE kind IS NOT NULL AND start > 0),
+e AS (SELECT * FROM k UNION ALL SELECT doc_id, 0, CASE WHEN doc_id IN (SELECT doc_id FROM k) THEN 'inicio_documento' ELSE 'documento_unico' END FROM documents),
+n AS (SELECT e.doc_id, e.start, e.kind, cast(row_number() OVER w - 1 AS int) AS section_no, coalesce(lead(e.start) OVER w, length(coalesce(d.text, ''))) AS fin, coalesce(d.text, '') AS x FROM e JOIN documents d ON d.doc_id = e.doc_id WINDOW w AS (PARTITION BY e.doc_id ORDER BY e.start))
+SELECT doc_id, section_no, start, cast(fin AS int) AS "end", kind, trim(substring(x, start + 1, fin - start)) AS text FROM n WHERE start = 0 OR length(trim(substring(x, start + 1, fin - start))) > 100"""
+)
 def document_sections(spark, sf_dir):
     """E33, W4, W5 together"""
     rows = t(spark, sf_dir, "documents").withColumn("breaks", structure.section_breaks("text", _GENERIC_BREAKS))
@@ -992,14 +1035,13 @@ def planned_text(spark, sf_dir):
 
 @query(
     r"""
-WITH x AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), '. '), lambda s: length(s) > 10), lambda s: lower(left(s, 5)))) AS k FROM documents)
+WITH x AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), '. '), lambda s: length(s) > 10), lambda s: lower(left(s, 50)))) AS k FROM documents)
 SELECT doc_id, least(len(k), 15) AS n FROM x"""
 )
 def distinct_claims(spark, sf_dir):
-    """Sentences distinct by a folded beginning, at most 15."""
+    """Sentences distinct by their first 50 characters in lower case, at most 15."""
     claims = F.filter(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda s: F.length(s) > 10)
-    short = F.transform(claims, lambda s: F.left(s, F.lit(5)))
-    return t(spark, sf_dir, "documents").select("doc_id", F.size(labour_br.distinct_claims(short)).cast("long").alias("n"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(labour_br.distinct_claims(claims)).cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- search
@@ -1046,8 +1088,27 @@ def streamed_states(spark, sf_dir):
     top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
     stream = stream_of(t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet")
     jobs.merge_states(f"{top}/states", _events(stream), f"{top}/checkpoint").awaitTermination()
-    last = spark.read.parquet(f"{top}/states").agg(F.max("batch").alias("n")).first()["n"]
-    return spark.read.parquet(f"{top}/states/batch={last}").drop("message")
+    return jobs.read_states(spark, f"{top}/states", None).drop("message")
+
+
+@query(f"SELECT case_id, status, n_events FROM {_STATES} WHERE NOT (status IN ('completed', 'error') AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)")
+def streamed_retention(spark, sf_dir):
+    """T3 as a stream: every batch is compacted, and terminal states past retention are gone."""
+    top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
+    stream = stream_of(t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet")
+    jobs.merge_states(f"{top}/states", _events(stream), f"{top}/checkpoint", days=1, compact_every=1).awaitTermination()
+    return jobs.read_states(spark, f"{top}/states", 1).select("case_id", "status", "n_events")
+
+
+@query("SELECT conv_id AS doc_id, cast(turn + 1 AS int) AS page_no, CASE WHEN role = 'user' THEN '05/03/2024' END AS filing_date FROM conversations")
+def arrived_rows(spark, sf_dir):
+    """T4: pages that arrive as files become extracted rows, batch by batch."""
+    top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
+    stream = stream_of(t(spark, sf_dir, "conversations"), f"{sf_dir}/conversations.parquet")
+    pages = stream.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), F.expr("CASE WHEN role = 'user' THEN 'Distribuído em 05.03.2024' ELSE 'nada' END").alias("text"))
+    work = lambda b: rules.extract(b, labour_br.PACK, fields=["filing_date"], keep=("doc_id", "page_no"), provenance=False)
+    jobs.arriving_documents(pages, work, f"{top}/rows", f"{top}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{top}/rows").select("doc_id", "page_no", "filing_date")
 
 
 @query(f"SELECT case_id, array_to_string(list(step || ':' || message ORDER BY ts, step, message), ',') AS history FROM {_EVENTS} GROUP BY case_id")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it names none, as in tests, a folder of our own."""
+    """The session's ``spark.checkpoint.dir``. Where it names none: a folder of our own in local mode, as in tests; an error on a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="caseflow-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -22,3 +26,21 @@ def stream_of(batch: DataFrame, path: str) -> DataFrame:
     reader = spark.readStream.schema(batch.schema)
     single = any(f.rstrip("/").endswith("/" + name) for f in batch.inputFiles())
     return reader.option("pathGlobFilter", name).parquet(path.rsplit("/", 1)[0]) if single else reader.parquet(path)
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file: a URI, or a plain path on a mounted store."""
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def numbered_folders(path: str, prefix: str = "batch=") -> list[int]:
+    """The numbers n of the complete tables ``path``/``prefix``n, in order."""
+    store, top = open_store(path)
+    found = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+    numbers = [int(f.base_name.removeprefix(prefix)) for f in found if f.base_name.startswith(prefix)]
+    return sorted(n for n in numbers if store.get_file_info(f"{top}/{prefix}{n}/_SUCCESS").type != fs.FileType.NotFound)
+
+
+def drop_folder(path: str) -> None:
+    store, top = open_store(path)
+    store.delete_dir(top)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.functions import text as X
+from caseflow.operators.match import bounded
 from caseflow.operators.quality import fill_defaults
 
 #: Column names and types of the work-tracking tables.
@@ -40,16 +41,16 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value) of a JSON object in a file; keys that begin with _ are comments."""
+    """(place, key, value) of a JSON object in a file, in its order; keys that begin with _ are comments."""
     body = spark.read.text(path, wholetext=True)
-    return body.select(F.explode(F.map_filter(F.from_json("value", f"map<string, {value}>"), lambda k, v: ~k.startswith("_"))).alias("key", "value"))
+    return body.select(F.posexplode(F.map_filter(F.from_json("value", f"map<string, {value}>"), lambda k, v: ~k.startswith("_"))).alias("place", "key", "value"))
 
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """S3: (name, client, cell, ordinal): a party per row, of an object client -> {nome_cliente, partes, celula}."""
+    """S3: (name, client, cell, ordinal): a party per row, of an object client -> {nome_cliente, partes, celula}; ``ordinal`` follows the file."""
     rows = _json_map(spark, path, "struct<nome_cliente: string, partes: array<string>, celula: string>")
-    parts = rows.select(F.coalesce("value.nome_cliente", "key").alias("client"), F.col("value.celula").alias("cell"), F.posexplode("value.partes").alias("ordinal", "name"))
-    return parts.select("name", "client", "cell", "ordinal")
+    parts = rows.select(F.coalesce("value.nome_cliente", "key").alias("client"), F.col("value.celula").alias("cell"), "place", F.posexplode("value.partes").alias("k", "name"))
+    return parts.select("name", "client", "cell", (F.col("place").cast("long") * (1 << 24) + F.col("k")).alias("ordinal"))
 
 
 def load_region_map(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +67,14 @@ def load_options(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_options(options: DataFrame, path: str) -> None:
-    options.select("value", "text", X.fold("text", "slug").alias("normalized")).write.mode("overwrite").json(path)
+    """A JSON array in one file, as ``load_options`` reads it, in the order of ``ordinal`` (if there is one, else of text and value).
+
+    Options are a catalogue of bounded size; more is an error.
+    """
+    order = [F.col("ordinal")] if "ordinal" in options.columns else []
+    row = F.struct("value", "text", X.fold("text", "slug").alias("normalized"))
+    rows = bounded(options.select(*order, "value", "text"), "options").agg(F.array_sort(F.collect_list(F.struct(*(o.alias("o") for o in order), "text", "value", row.alias("row")))).alias("rows"))
+    rows.select(F.to_json(F.transform("rows", lambda r: r["row"])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def parse_json_column(df: DataFrame, column: str, element: str = "string") -> DataFrame:
@@ -74,8 +82,6 @@ def parse_json_column(df: DataFrame, column: str, element: str = "string") -> Da
     return df.withColumn(column, X.parse_json_array(column, element))
 
 
-
-
 def case_defaults() -> dict[str, list]:
     """What a case row holds where nothing was found: columns in order, then a literal."""
     return {"tipo_processo": ["tipo_processo", F.lit("Eletrônico")], "sistema_eletronico": ["sistema_eletronico", F.lit("PJE")], "instancia": ["instancia", F.lit("Primeira Instância")], "celula": ["celula", "escritorio", "cliente", F.lit("Em Segredo")]}

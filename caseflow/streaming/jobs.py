@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caseflow.operators.worklog import TERMINAL
+from caseflow.sources.shared import drop_folder, numbered_folders
 
 # ---- batch twins
 
@@ -59,10 +60,11 @@ def activity_metrics(activity: DataFrame, width: str = "5 minutes", at: str = "t
 
 
 def deduplicated(rows: DataFrame, keys: list[str], at: str = "ts", watermark: str = "1 hour") -> DataFrame:
-    """The first row of each key; as a stream, within the watermark."""
+    """The first row of each key (by the other columns, where times are equal); as a stream, within the watermark."""
     if rows.isStreaming:
         return rows.withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).where("__n = 1").drop("__n")
+    order = [at, *(c for c in rows.columns if c != at and c not in keys and "map<" not in rows.schema[c].dataType.simpleString())]
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
 # ---- streams
@@ -71,10 +73,11 @@ def deduplicated(rows: DataFrame, keys: list[str], at: str = "ts", watermark: st
 STATE = "case_id long, status string, step string, message string, updated_at timestamp, n_events long"
 
 
-def state_stream(events: DataFrame, minutes: int = 10) -> DataFrame:
-    """A row per change of a key's state; a running key without events for ``minutes`` of event time ends in error.
+def state_stream(events: DataFrame, minutes: int = 10, days: int = 7) -> DataFrame:
+    """A row per change of a key's state; a running key without events for ``minutes`` of event time ends in error.
 
-    The state of a key is one row, kept in the state store; its history is the stream of events itself.
+    The state of a key is one row, kept in the state store; its history is the stream of events itself. What isn't
+    running leaves the store ``days`` after its last event.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,7 +85,8 @@ def state_stream(events: DataFrame, minutes: int = 10) -> DataFrame:
         if state.hasTimedOut:
             status, step, message, at, n = state.get
             state.remove()
-            yield pd.DataFrame({"case_id": [key[0]], "status": ["error"], "step": [step], "message": [f"no update for {minutes} minutes"], "updated_at": [pd.Timestamp(at, unit="us")], "n_events": [n]})
+            if status == "running":
+                yield pd.DataFrame({"case_id": [key[0]], "status": ["error"], "step": [step], "message": [f"no update for {minutes} minutes"], "updated_at": [pd.Timestamp(at, unit="us")], "n_events": [n]})
             return
         status, step, message, at, n = state.get if state.exists else (None, "", "", -1, 0)
         for b in batches:
@@ -92,29 +96,60 @@ def state_stream(events: DataFrame, minutes: int = 10) -> DataFrame:
                 if (when, r.step, r.message) >= (at, step, message):
                     status, step, message, at = r.status, r.step, r.message, when
         state.update((status, step, message, at, n))
-        if status == "running":
-            state.setTimeoutTimestamp(max(at // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(at // 1000 + (minutes if status == "running" else days * 1440) * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"case_id": [key[0]], "status": [status], "step": [step], "message": [message], "updated_at": [pd.Timestamp(at, unit="us")], "n_events": [n]})
 
     keyed = events.withWatermark("ts", "1 minute").groupBy("case_id")
     return keyed.applyInPandasWithState(run, STATE, "status string, step string, message string, at long, n long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def merge_states(target: str, events: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Every micro-batch merged into a table of latest states, written as a new snapshot beside the last.
+def _merged(states: DataFrame) -> DataFrame:
+    order = F.struct("updated_at", "step", "message")
+    return states.groupBy("case_id").agg(*(F.max_by(c, order).alias(c) for c in ("status", "step", "message")), F.max("updated_at").alias("updated_at"), F.sum("n_events").alias("n_events"))
 
-    ``target`` holds snapshots named by batch; the latest complete one counts, so a repeated batch does no harm.
+
+def read_states(spark: SparkSession, target: str, days: int | None = 7, before: int | None = None) -> DataFrame:
+    """The states that ``merge_states`` keeps in ``target`` (of batches below ``before``).
+
+    Terminal states that are ``days`` older than the latest update are left out (none, if ``days`` is null).
+    """
+    below = lambda numbers: [n for n in numbers if before is None or n < before]
+    base = below(numbered_folders(f"{target}/base"))[-1:]
+    deltas = [n for n in below(numbered_folders(f"{target}/delta")) if not base or n > base[0]]
+    tables = [f"{target}/base/batch={n}" for n in base] + [f"{target}/delta/batch={n}" for n in deltas]
+    states = _merged(spark.read.schema(STATE).parquet(*tables)) if tables else spark.createDataFrame([], STATE)
+    if days is None:
+        return states
+    now = states.agg(F.max("updated_at").alias("__now"))
+    return retained(states.join(F.broadcast(now), F.lit(True)), F.col("__now"), days).drop("__now")  # now: one row
+
+
+def merge_states(target: str, events: DataFrame, checkpoint: str, trigger: dict | None = None, days: int | None = 7, compact_every: int = 10) -> StreamingQuery:
+    """A table of latest states, read by ``read_states``.
+
+    A micro-batch adds its own latest states as one small table; every ``compact_every`` batches these and the last base
+    become a new base without states that are past retention, and what the base before the last one needed goes. So the
+    work of a batch follows its events, the disk follows the states, and a repeated batch overwrites itself.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest_state(batch)
-        if number:
-            old = spark.read.parquet(f"{target}/batch={number - 1}")
-            both = old.unionByName(new)
-            order = F.struct("updated_at", "step", "message")
-            new = both.groupBy("case_id").agg(*(F.max_by(c, order).alias(c) for c in ("status", "step", "message")), F.max("updated_at").alias("updated_at"), F.sum("n_events").alias("n_events"))
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        latest_state(batch).write.mode("overwrite").parquet(f"{target}/delta/batch={number}")
+        if (number + 1) % compact_every:
+            return
+        held = numbered_folders(f"{target}/base")
+        older = [n for n in held if n < number]
+        both = read_states(spark, target, None, number).unionByName(spark.read.schema(STATE).parquet(f"{target}/delta/batch={number}"))
+        states = _merged(both)
+        if days is not None:
+            now = states.agg(F.max("updated_at").alias("__now"))
+            states = retained(states.join(F.broadcast(now), F.lit(True)), F.col("__now"), days).drop("__now")
+        states.write.mode("overwrite").parquet(f"{target}/base/batch={number}")
+        for n in older[:-1]:
+            drop_folder(f"{target}/base/batch={n}")
+        for n in numbered_folders(f"{target}/delta"):
+            if older and n <= older[-1]:
+                drop_folder(f"{target}/delta/batch={n}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -129,7 +164,7 @@ def arriving_documents(pages: DataFrame, extract: Callable[[DataFrame], DataFram
 
 
 def late_enrichment(cases_path: str, out: str, arriving: DataFrame, fields: list[str], checkpoint: str, key: str = "case_id") -> StreamingQuery:
-    """T5: late values fill blanks of existing cases; each batch makes a new snapshot."""
+    """T5: late values fill blanks of existing cases; each batch makes a new snapshot, of which the last two are kept."""
     from caseflow.operators.quality import baseline_fill
 
     def fill(batch: DataFrame, number: int) -> None:
@@ -137,5 +172,8 @@ def late_enrichment(cases_path: str, out: str, arriving: DataFrame, fields: list
         cases = spark.read.parquet(f"{out}/batch={number - 1}" if number else cases_path)
         one = batch.groupBy(key).agg(*(F.min(f).alias(f) for f in fields))
         baseline_fill(cases, one, fields, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for n in numbered_folders(out):
+            if n < number - 1:
+                drop_folder(f"{out}/batch={n}")
 
     return arriving.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -70,19 +70,139 @@ CASES = [
     ("Foi admitido em 1 de junho de 2018", {"hire_date": "01/06/2018"}),
     ("data de nascimento e admissão: 01/02/2003", {"hire_date": None}),
     ("piso: o salário de R$ 1.500,00", {"salary": "R$ 1.500,00"}),
+    # filing: three ways to say it, one date that is another one's
+    ("Protocolado em: 1/02/2024", {"filing_date": None}),
+    ("Data da distribuição: 07/02/2024", {"filing_date": "07/02/2024"}),
+    ("Autuação em 08-02-2024", {"filing_date": "08/02/2024"}),
+    ("Recebida a inicial", {"filing_date": None}),
+    ("Recebido em 09/02/2024", {"filing_date": "09/02/2024"}),
+    # beginning of employment
+    ("foi contratada pela reclamada em 03.04.2019", {"hire_date": "03/04/2019"}),
+    ("Começou a trabalhar no dia 05/06/2017", {"hire_date": "05/06/2017"}),
+    ("período: 01/02/2015 a 03/04/2016", {"hire_date": "01/02/2015", "dismissal_date": "03/04/2016"}),
+    ("carteira de identidade, admissão: 01/02/2003", {"hire_date": None}),
+    ("mantém vínculo com a ré desde 10/11/2012", {"hire_date": "10/11/2012"}),
+    # end of employment
+    ("foi dispensado sem justa causa, em 10/10/2020", {"dismissal_date": "10/10/2020"}),
+    ("Data da dispensa: 11.10.2020", {"dismissal_date": "11/10/2020"}),
+    ("a rescisão do contrato ocorreu em 12/10/2020", {"dismissal_date": "12/10/2020"}),
+    ("demitida em 3 de maio de 2021", {"dismissal_date": "03/05/2021"}),
+    ("audiência de 01/01/2021, dispensa: 02/02/2021", {"dismissal_date": None}),
+    # pay
+    ("percebia mensalmente a quantia de R$ 2.100,50", {"salary": "R$ 2.100,50"}),
+    ("recebeu, por último, R$ 1.999,00", {"salary": "R$ 1.999,00"}),
+    ("última remuneração foi de R$ 3.000,00", {"salary": "R$ 3.000,00"}),
+    ("com salário de R$ 1.234,56", {"salary": "R$ 1.234,56"}),
+    ("| Salário | R$ 4.000,00", {"salary": "R$ 4.000,00"}),
+    ("multa: o salário de R$ 200,00", {"salary": None}),
+    # hearings
+    ("audiência inicial, sala 2: 01/02/2024 10:30", {"hearing": "01/02/2024 10:30"}),
+    ("Pauta de audiências: 05/02/2024 às 9:15", {"hearing": "05/02/2024 09:15"}),
+    ("primeira audiência em 06/02/2024 14:00", {"hearing": "06/02/2024 14:00"}),
+    ("audiência de instrução designada para o dia 07/02/2024 11:20", {"hearing": "07/02/2024 11:20"}),
+    ("audiência realizada no salão 08/02/2024 11:20", {"hearing": None}),
+    # registers and cards
+    ("inscrito no PIS sob o número 123.45678.90-1", {"pis": "123.45678.90-1"}),
+    ("NIT: 12345678901", {"pis": "123.45678.90-1"}),
+    ("PASEP/PIS nº 12345678901", {"pis": "123.45678.90-1"}),
+    ("PIS: 123.456", {"pis": None}),
+    ("CTPS nº 12345, série 001-SP", {"ctps": "12345, série 001-SP"}),
+    ("Carteira de Trabalho 12345/001", {"ctps": "12345/001"}),
+    ("CTPS digital, CPF 123.456.789-09", {"ctps": "123.456.789-09"}),
+    # place
+    ("Central de Audiências\n1ª Vara Cível de Campinas, Fórum Trabalhista Rui Barbosa", {"forum": "Fórum Trabalhista Rui Barbosa", "bench": "1ª Vara Cível de Campinas"}),
+    ("Célula: Trabalhista Sul", {"cell": "Trabalhista Sul"}),
+    ("Comarca de João Pessoa - PB", {"district": "João Pessoa - PB", "state": "PB"}),
+    ("Processo 0001234-56.2024.5.13.0007", {"state": "PB"}),
+    ("Tribunal Regional do Trabalho da 12ª Região", {"state": "SC"}),
+    ("nada consta em Minas Gerais", {"state": "MG"}),
+    ("nada consta", {"state": None, "forum": None, "cell": None}),
+    # work
+    ("Cargo: auxiliar de limpeza", {"job_title": "auxiliar de limpeza"}),
+    ("exercia a função de pedreiro, com zelo", {"job_title": "pedreiro"}),
+    ("trabalhava como motorista de caminhão.", {"job_title": "motorista de caminhão"}),
+    ("função: vendedor. Depois, promovido a gerente de loja.", {"job_title": "gerente de loja"}),
+    ("função de reclamada na empresa", {"job_title": None}),
+    ("laborava na Rua das Flores, 12, bairro Centro", {"workplace": "Rua das Flores, 12, bairro Centro"}),
+    ("trabalhava em regime de escala", {"workplace": None}),
+    ("Empregador: ACME Ltda, com sede", {"employer": "ACME Ltda"}),
+    # ends of employment, by label
+    ("pediu demissão", {"dismissal_reason": "Pedido de Demissão"}),
+    ("requer a rescisão indireta", {"dismissal_reason": "Rescisão Indireta"}),
+    ("por comum acordo", {"dismissal_reason": "Acordo Entre as Partes"}),
+    ("fim do contrato de experiência", {"dismissal_reason": "Término de Contrato"}),
+    ("dispensa imotivada", {"dismissal_reason": "Dispensa Sem Justa Causa"}),
+    ("prazo comum de 15 (quinze) dias", {"deadline": "15 dias"}),
+    ("8 dias para recorrer", {"deadline": "8 dias"}),
     ("", {"case_number": None, "salary": None}),
     (None, {"pis": None}),
 ]
 
 
-@pytest.mark.parametrize(("text", "expected"), CASES)
-def test_labour_pack(spark, text, expected):
-    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    row = rules.extract(docs, labour_br.PACK, fields=list(expected)).first().asDict()
+@pytest.fixture(scope="module")
+def extracted(spark):
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(CASES)], "doc_id int, text string")
+    fields = sorted({f for _, expected in CASES for f in expected})
+    return {r["doc_id"]: r.asDict() for r in rules.extract(docs, labour_br.PACK, fields=fields).collect()}
+
+
+@pytest.mark.parametrize("k", range(len(CASES)), ids=[str(text)[:40] for text, _ in CASES])
+def test_labour_pack(extracted, k):
+    row, expected = extracted[k], CASES[k][1]
     assert {f: row[f] for f in expected} == expected
     assert all((row[f] is None) == (row[f"{f}_rule"] is None) for f in expected)
 
 
+def test_parties_lawyers_and_contacts(spark):
+    from caseflow.packs.labour_br import defendant_kinds, defendants
+
+    text = "RECLAMANTE: Ana Maria da Silva\nADVOGADO: Rui Costa - OAB\nTelefone (83) 99999-1234\nRECLAMADA: ACME Comércio Ltda - CNPJ 1\nRECLAMADO: Acme Comercio LTDA.\nRECLAMADO: João Souza, brasileiro\nRÉU: PARTES\n"
+    assert value(spark, defendants(F.lit(text))) == ["ACME Comércio Ltda", "João Souza"]
+    assert [tuple(r) for r in value(spark, defendant_kinds(F.lit(text)))] == [("ACME Comércio Ltda", "juridica"), ("João Souza", None)]
+    appeal = "RECORRENTE: Empresa X\nADVOGADO: Doutora Y\nRECORRIDO: Ana\nADVOGADA: Doutor Z\n"
+    assert value(spark, labour_br.lawyer("plaintiff")(F.lit(appeal))) == "Doutora Y"
+    assert value(spark, labour_br.lawyer("defendant")(F.lit(appeal))) == "Doutor Z"
+    phone = labour_br.contact(r"\(?\d{2}\)?\s?9?\d{4}[-\s]?\d{4}")
+    assert value(spark, phone(F.lit("RECLAMANTE: Ana" + "\n" * 3 + "x" * 250 + "\nfone 83 99999-1234"))) == "83 99999-1234"
+    assert value(spark, phone(F.lit("advogado: fone 83 99999-1234"))) is None
+
+
+def test_similar_names_lose_no_pair(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    words = "banco brasil unidade norte sul comercio ltda companhia grupo acucar".split()
+    entries = sorted({" ".join(rng.sample(words, rng.randint(1, 5))) for _ in range(60)}) + [f"Banco Brasil Unidade Norte{k:02d}" for k in range(20)]
+    broken = lambda x: "".join(c for i, c in enumerate(x) if i % 7 != 3 or c == " ")
+    names = sorted({"Brasil Banco", "Bnco Brsil Unidde Nrte99", "", "a", *(broken(e) for e in entries[:40]), *(" ".join(reversed(e.split())) for e in entries[:40])})
+    catalogue = spark.createDataFrame([(e, e, k) for k, e in enumerate(entries)], "name string, label string, ordinal int")
+    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    for threshold in (0.85, 0.7):
+        pairs = spark.createDataFrame(list(itertools.product(names, entries)), "name string, entry string").withColumn("score", T.token_set_ratio("name", "entry"))
+        want = {(r["name"], r["entry"]): r["score"] for r in pairs.where(F.col("score") >= threshold).collect()}
+        got = {(r["name"], r["entry"]): r["score"] for r in match.scored_candidates(asked, catalogue, threshold).collect()}
+        assert got == want and len(want) > 100
+    found = {r["name"]: r["how"] for r in match.resolve_entity(asked, catalogue).collect()}
+    assert found["Brasil Banco"] == "similar"
+
+
+def test_catalogues_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(match, "BROADCAST_ROWS", 3)
+    four = spark.range(4).selectExpr("cast(id AS string) AS value", "cast(id AS string) AS text", "id AS ordinal")
+    with pytest.raises(ValueError):
+        match.best_option(spark.createDataFrame([("x",)], "w string"), four, "w", [])
+
+
+def test_claims_fall_to_the_next_free_type(spark):
+    claims = spark.createDataFrame([(1, 1, "horas extras e multa"), (1, 2, "multa do artigo 477"), (2, 1, "indenizacao por danos morais"), (3, 1, "nada")], "doc_id int, ordinal int, claim string")
+    keywords = spark.createDataFrame([("extras", "horas extras", "pay", 5, 1), ("multa", "multa", "fine", 2, 2)], "keyword string, term string, category string, priority int, ordinal int")
+    types = spark.createDataFrame([("A", "Horas extras com multa", 1), ("B", "Multa qualquer", 2), ("C", "Danos morais", 3)], "value string, text string, ordinal int")
+    chosen, omitted = match.map_claims(claims, keywords, types)
+    assert sorted((r["doc_id"], r["value"], r["category"], r["score"], r["rank"]) for r in chosen.collect()) == [(1, "A", "pay", 100, 1), (1, "B", "fine", 40, 2), (2, "C", "fuzzy", 100, 1)]
+    assert omitted.count() == 0 and match.map_claims(claims, keywords, types, most=1)[1].count() == 1
+
+
 def test_claims(spark):
     text = "DOS PEDIDOS: a) pagamento de horas extras com adicional; b) multa do artigo 477 da lei; c) curto. Termos em que pede"
     assert value(spark, labour_br.claims(F.lit(text)))[:2] == ["pagamento de horas extras com adicional", "multa do artigo 477 da lei"]

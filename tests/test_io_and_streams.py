@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from conftest import canonical
 from pyspark.sql import functions as F
 
@@ -21,8 +22,15 @@ def test_catalogues(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps([{"value": "1", "text": "Ação Única"}]))
     options = tables.load_options(spark, str(tmp_path / "o.json"))
     assert options.first()["normalized"] == "acao unica"
-    tables.save_options(options, str(tmp_path / "saved"))
-    assert spark.read.json(str(tmp_path / "saved")).count() == 1
+    many = spark.createDataFrame([(k, str(9 - k), f"Opção {k}") for k in range(9)], "ordinal int, value string, text string").repartition(4)
+    tables.save_options(many, str(tmp_path / "saved"))
+    back = tables.load_options(spark, str(tmp_path / "saved")).orderBy("ordinal").collect()
+    assert [tuple(r) for r in back] == [(k, str(9 - k), f"Opção {k}", f"opcao {k}") for k in range(9)]
+    tables.save_options(tables.load_options(spark, str(tmp_path / "saved")), str(tmp_path / "again"))
+    assert tables.load_options(spark, str(tmp_path / "again")).orderBy("ordinal").collect() == back
+    two = {"b": {"partes": ["x", "y"]}, "a": {"partes": ["z"]}}
+    (tmp_path / "two.json").write_text(json.dumps(two))
+    assert [r["name"] for r in tables.load_catalog(spark, str(tmp_path / "two.json")).orderBy("ordinal").collect()] == ["x", "y", "z"]
 
 
 def test_page_files(spark, tmp_path):
@@ -72,10 +80,47 @@ def test_merged_stream_equals_batch(spark, tmp_path):
     jobs.merge_states(str(tmp_path / "out"), stream, str(tmp_path / "cp")).awaitTermination()
     e.where("message <> 'm1'").write.parquet(str(tmp_path / "in/2"))
     jobs.merge_states(str(tmp_path / "out"), stream, str(tmp_path / "cp")).awaitTermination()
-    got, want = spark.read.parquet(str(tmp_path / "out/batch=1")), jobs.latest_state(e)
+    got, want = jobs.read_states(spark, str(tmp_path / "out"), None), jobs.latest_state(e)
     assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical([tuple(r) for r in want.collect()], want.columns)
 
 
+def test_states_are_compacted_and_retained(spark, tmp_path):
+    import os
+
+    every = [(k, "s", "success" if k % 2 else "running", "m", f"2024-01-{k + 1:02d} 00:00:00") for k in range(20)]
+    schema = "case_id long, step string, status string, message string, ts string"
+    e = spark.createDataFrame(every, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(20):
+        e.where(F.col("case_id") == k).coalesce(1).write.parquet(str(tmp_path / f"in/{k:02d}"))
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.merge_states(str(tmp_path / "out"), stream, str(tmp_path / "cp"), compact_every=4).awaitTermination()
+    want = jobs.retained(jobs.latest_state(e), F.lit("2024-01-20").cast("timestamp"))
+    got = jobs.read_states(spark, str(tmp_path / "out"))
+    assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical([tuple(r) for r in want.collect()], want.columns)
+    held = spark.read.parquet(*[f.path for f in os.scandir(tmp_path / "out/base") if f.name == "batch=19"])
+    assert held.count() == want.count() and len(os.listdir(tmp_path / "out/base")) == 2 and len(os.listdir(tmp_path / "out/delta")) <= 8
+
+
+def test_duplicates_of_one_time_have_a_first(spark):
+    rows = [(1, "b", "2024-01-01"), (1, "a", "2024-01-01"), (1, "c", "2024-01-02"), (2, "z", "2024-01-01")]
+    df = spark.createDataFrame(rows, "k int, v string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r["k"], r["v"]) for r in jobs.deduplicated(df, ["k"]).collect()) == [(1, "a"), (2, "z")]
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from caseflow.sources import shared
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+
+
 def test_state_stream_times_out(spark, tmp_path):
     e = _events(spark)
     for k, part in enumerate((e.where("case_id < 3"), e.where("case_id = 3"), e.where("case_id = 3"))):
