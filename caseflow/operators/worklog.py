@@ -5,11 +5,14 @@ Every rule about "now" takes ``now``; every order ends in a tie-break.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
 from caseflow.operators.match import first_by, small
+from caseflow.sources.shared import shared_dir
 
 DONE, FAILED = ("completed", "success"), ("error", "failed")
 TERMINAL = DONE + FAILED
@@ -164,11 +167,27 @@ def annex_summary(history: DataFrame) -> DataFrame:
     return history.groupBy("doc_type").agg(F.count("*").alias("n"), F.avg(r).alias("mean_ratio"))
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, in a total order.
+
+    The sorted rows are written once; a place is that within its partition plus the rows of the partitions before, so no
+    task sees more than its partition, and one row per partition.
+    """
+    spark = rows.sparkSession
+    at = f"{shared_dir(spark)}/caseflow-numbered-{uuid.uuid4().hex}"
+    rows.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")).write.parquet(at)
+    held = spark.read.parquet(at)
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = held.join(F.broadcast(sizes.select("__part", "__first", before.alias("__before"))), "__part")
+    return met.withColumn(name, F.col("__before") + F.col("__id") - F.col("__first") + 1).drop("__part", "__id", "__first", "__before")
+
+
 def enqueue(batches: DataFrame, entries: DataFrame) -> DataFrame:
     """Positions behind the last one for new entries, in their order."""
     last = batches.agg(F.coalesce(F.max("queue_position"), F.lit(0)).alias("__last"))
-    n = F.row_number().over(Window.orderBy("queued_at", "batch_id"))
-    return entries.join(F.broadcast(last), F.lit(True)).withColumn("queue_position", F.col("__last") + n).drop("__last")  # one row
+    rows = numbered(entries, "queued_at", "batch_id", name="__n").join(F.broadcast(last), F.lit(True))  # last: one row
+    return rows.withColumn("queue_position", (F.col("__last") + F.col("__n")).cast("int")).drop("__last", "__n")
 
 
 # ---- windows and orders
@@ -181,9 +200,9 @@ def latest_case(cases: DataFrame, keys: list[str] | None = None, number: str = "
 
 
 def resequence_queue(batches: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """Positions without gaps, in the old order, after removal. A queue is a short list."""
+    """Positions without gaps, in the old order, after removal."""
     rows = batches.join(removed.select("batch_id"), "batch_id", "left_anti") if removed is not None else batches
-    queued = rows.where("queue_position is not null").withColumn("queue_position", F.row_number().over(Window.orderBy("queue_position", "batch_id")))
+    queued = numbered(rows.where("queue_position is not null"), "queue_position", "batch_id", name="__n").withColumn("queue_position", F.col("__n").cast("int")).drop("__n")
     return queued.unionByName(rows.where("queue_position is null"))
 
 
@@ -214,15 +233,22 @@ def page_of(df: DataFrame, page: int, size: int = 20, at: str = "created_at", ke
     return df.orderBy(F.desc(at), F.desc(key)).offset((page - 1) * size).limit(size)
 
 
+def batch_order(by_queue: bool = False) -> list[Column]:
+    """O3: newest first, or by the queue, then date; unknown last."""
+    return [*([F.asc_nulls_last("queue_position"), F.asc("queued_at")] if by_queue else [F.desc("queued_at")]), F.asc("batch_id")]
+
+
+def item_order(by: str = "file_size") -> list[Column]:
+    """Lightest first, unknown last."""
+    return [F.asc_nulls_last(by), F.asc("item_id")]
+
+
 def batches_in_order(batches: DataFrame, by_queue: bool = False) -> DataFrame:
-    """O3"""
-    order = [F.asc_nulls_last("queue_position"), F.asc("queued_at")] if by_queue else [F.desc("queued_at")]
-    return batches.orderBy(*order, "batch_id")
+    return batches.orderBy(*batch_order(by_queue))
 
 
 def items_in_order(items: DataFrame, by: str = "file_size") -> DataFrame:
-    """Lightest first, unknown last."""
-    return items.orderBy(F.asc_nulls_last(by), "item_id")
+    return items.orderBy(*item_order(by))
 
 
 def data_weight(fields: list[str], long_fields: dict[str, tuple[int, int]] = {}) -> Column:  # noqa: B006

@@ -127,25 +127,13 @@ def shared_pages(spark, sf_dir):
 @query(f"SELECT batch_id, queue_position, row_number() OVER (ORDER BY queue_position NULLS LAST, queued, batch_id) AS place FROM {_BATCHES}")
 def queue_order(spark, sf_dir):
     """O3: batches by their place in the queue, those without one behind; the place is counted from the sorted rows."""
-    b = worklog.batches_in_order(_batches(spark, sf_dir), by_queue=True)
-    return _placed(b).select("batch_id", "queue_position", "place")
+    return worklog.numbered(_batches(spark, sf_dir), *worklog.batch_order(by_queue=True)).select("batch_id", "queue_position", "place")
 
 
 @query(f"SELECT item_id, file_size, row_number() OVER (ORDER BY file_size NULLS LAST, item_id) AS place FROM {_ITEMS}")
 def items_by_weight(spark, sf_dir):
     """O4"""
-    return _placed(worklog.items_in_order(_items(spark, sf_dir))).select("item_id", "file_size", "place")
-
-
-def _placed(ordered):
-    """The place of each row of a sorted table: within its partition, plus the rows of the partitions before; no single task sees all."""
-    spark = ordered.sparkSession
-    at = _place(spark, "ordered")
-    ordered.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")).write.parquet(at)
-    rows = spark.read.parquet(at)
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))  # a row per partition
-    before = sizes.alias("a").join(sizes.select(F.col("__part").alias("q"), F.col("n").alias("m")), F.col("q") < F.col("__part"), "left").groupBy("__part", "first").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "__part").withColumn("place", F.col("before") + F.col("__id") - F.col("first") + 1)
+    return worklog.numbered(_items(spark, sf_dir), *worklog.item_order()).select("item_id", "file_size", "place")
 
 
 # ---------------------------------------------------------------- the labour pack: phrasings, a veto, a near miss
