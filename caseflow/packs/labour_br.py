@@ -370,6 +370,38 @@ def procedure_type(filename: Column, text: Column) -> Column:
     return F.coalesce(by_name, by_text)
 
 
+#: What a header calls the rite, the most specific first, and the file name's prefix for it.
+RITES = (("sumarissimo", "Sumaríssimo", "atsum"), ("ordinario", "Ordinário", "atord"), ("sumario", "Sumário", None))
+
+
+def rite(filename: Column, text: Column, head: int = 3000) -> Column:
+    """The rite by the file name's prefix, else by the header."""
+    by_name = T.first_match(filename, [(f"^{prefix}", name) for _, name, prefix in RITES if prefix])
+    return F.coalesce(by_name, T.first_match(F.left(text, F.lit(head)), [(rf"\b{word}\b", name) for word, name, _ in RITES]))
+
+
+def header_info(filename: Column, text: Column, head: int = 3000) -> Column:
+    """E4, E5, E6 from the header: struct(district, state, unit, rite).
+
+    The district is the city behind a court's full name, then the best of the cities with a state (O8), then what follows
+    any word for a court. The state is the one written beside the city; others come from a table of cities (J7).
+    """
+    top = F.regexp_replace(F.left(text, F.lit(head)), r"[_\s]+", " ")
+    name, tail = r"([A-ZÀ-Ú][\wÀ-ú']+(?: (?:d[aeo]s? )?[A-ZÀ-Ú][\wÀ-ú']+){0,4})", rf"(?: ?[-–/,] ?({'|'.join(STATES)})\b)?"
+    full = "(?:" + "|".join(rf"(?i:{x})" for x in (either("fórum", "foro") + r"\s+" + either("trabalhista", "criminal", "cível"), phrase("vara do trabalho"), phrase("comarca"))) + r") [Dd][AEOaeo] "
+    loose = rf"(?i:{either('vara', 'juízo', 'foro', 'fórum', 'tribunal', 'justiça')})[^,;.]{{0,40}}? [Dd][AEOaeo] "
+    take = lambda p, g: F.nullif(F.regexp_extract(top, f"(?u){p}{name}{tail}", g), F.lit(""))
+
+    def info(best: Column) -> Column:
+        district = F.coalesce(take(full, 1), best["city"], take(loose, 1))
+        state = F.when(take(full, 1).isNotNull(), F.coalesce(take(full, 2), F.when(best["city"] == take(full, 1), best["state"]))).when(best["city"].isNotNull(), best["state"]).otherwise(take(loose, 2))
+        unit = F.nullif(F.regexp_extract(top, rf"{I}(\d+) ?[ªº]? ?{phrase('vara do trabalho')}", 1), F.lit(""))
+        return F.struct(district.alias("district"), state.alias("state"), unit.alias("unit"), rite(filename, text, head).alias("rite"))
+
+    none = F.struct(F.lit(None).cast("int").alias("score"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("state"))
+    return T.bind(F.coalesce(F.try_element_at(city_candidates(top), F.lit(1)), none), info)
+
+
 def decision_type(text: Column) -> Column:
     x = F.lower(text)
     return F.when(x.rlike(r"(?su)sentença\s+(proferida|publicada|transitada)|julgo\s+(im)?procedente|dispositivo.*sentença|sentença.*julg"), "Sentença").when(x.rlike(r"(?su)acórdão\s+(proferido|publicado)|acordam\s+os\s+desembargadores|vistos.*relatados.*e\s+discutidos"), "Acórdão")

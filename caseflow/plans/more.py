@@ -175,6 +175,19 @@ def labour_places(spark, sf_dir):
     return found.select(F.col("doc_id").alias("c_custkey"), "court", "instance", "bench", "forum", T.unit_number("bench").alias("unit"), "cell", F.array_join(labour_br.defendants(F.col("text")), ",").alias("defendants"), "phone", labour_br.payslip_salary(F.col("text")).alias("payslip"))
 
 
+@query(
+    """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Recife' WHEN 1 THEN 'Belo Horizonte' WHEN 2 THEN 'Campina Grande' END AS district, CASE c_custkey % 4 WHEN 1 THEN 'MG' WHEN 2 THEN 'PB' END AS state,
+  CASE WHEN c_custkey % 4 < 2 THEN cast(c_custkey % 80 + 1 AS varchar) END AS unit, CASE WHEN c_custkey % 3 = 0 THEN 'Sumaríssimo' WHEN c_custkey % 4 = 1 THEN 'Ordinário' WHEN c_custkey % 4 = 2 THEN 'Sumário' END AS rite FROM customer"""
+)
+def headers(spark, sf_dir):
+    """E4, E5, E6 from headers: a court's full name, a city with its state near court words, a file name's prefix, and a text with none."""
+    body = F.expr("""CASE c_custkey % 4 WHEN 0 THEN concat(cast(c_custkey % 80 + 1 AS string), 'ª VARA DO TRABALHO DE Recife, aos autos')
+      WHEN 1 THEN concat(cast(c_custkey % 80 + 1 AS string), 'ª Vara do Trabalho', chr(10), 'de Belo Horizonte - MG', chr(10), 'Rito Ordinário') WHEN 2 THEN concat('Ao juízo, comarca:', chr(10), 'Campina Grande - PB, rito sumário') ELSE 'residente na Rua X, Olinda - PE' END""")
+    name = F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'ATSum_12.pdf' ELSE 'x.pdf' END")
+    return spread(t(spark, sf_dir, "customer")).select("c_custkey", labour_br.header_info(name, body).alias("h")).select("c_custkey", "h.*")
+
+
 # ---------------------------------------------------------------- composed plans and hooks
 
 
