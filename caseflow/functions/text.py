@@ -88,11 +88,12 @@ def parse_written_date(c) -> Column:
     return F.when(day != "", F.concat_ws("/", F.lpad(day, 2, "0"), number, F.regexp_replace(year, r"\s", "")))
 
 
+#: dd/mm/yyyy with a day of 1 to 31, a month of 1 to 12, a year of 1900 to 2100.
+DATE_FORMAT = r"^(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19\d\d|20\d\d|2100)$"
+
+
 def date_in_format(c) -> Column:
-    """dd/mm/yyyy with a day of 1 to 31, a month of 1 to 12, a year of 1900 to 2100."""
-    x = _c(c)
-    number = lambda a, n: F.try_to_number(F.substring(x, a, n), F.lit("9" * n))
-    return F.coalesce(x.rlike(r"^\d{2}/\d{2}/\d{4}$") & number(1, 2).between(1, 31) & number(4, 2).between(1, 12) & number(7, 4).between(1900, 2100), F.lit(False))
+    return F.coalesce(_c(c).rlike(DATE_FORMAT), F.lit(False))
 
 
 def to_date_br(c) -> Column:

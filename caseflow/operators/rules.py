@@ -31,6 +31,8 @@ class Rule:
     around: int = 50
     accept: Callable[[Column], Column] | None = None
     form: Callable[[Column], Column] | None = None
+    #: ``form`` uses its argument once and gives blank or null for what isn't accepted, so it needs no binding.
+    plain: bool = False
     scan_all: bool = False
     #: Or a rule of its own kind: columns of the source -> value.
     column: Callable[[Column], Column] | None = None
@@ -55,6 +57,8 @@ class Rule:
 
     def _formed(self, raw: Column) -> Column:
         form = self.form or F.trim
+        if self.accept is None and (self.plain or self.form is None):
+            return F.nullif(form(raw), F.lit(""))
         return bind(raw, lambda r: bind(form(r), lambda v: F.when(self.accept(v) if self.accept else v != "", v)))
 
 
@@ -98,19 +102,14 @@ def extract(docs: DataFrame, pack: RulePack, text: str = "text", fields: Iterabl
     out = []
     for f in wanted:
         rules = [(k, r) for k, r in enumerate(r for r in pack.rules if r.field == f)]
-        tried = [_numbered(r.value(F.col(f"__{r.source}")), k) for k, r in rules]
-        out.append(F.coalesce(*tried).alias(f"__v_{f}"))
+        tried = [r.value(F.col(f"__{r.source}")).cast("string") for _, r in rules]
+        if provenance:  # the rule's number stands before its value, so that one expression finds both
+            tried = [F.concat(F.lit(f"{k:03d}"), v) for (k, _), v in zip(rules, tried)]
+        out.append(F.coalesce(*tried).alias(f))
     found = base.select(*keep, *out)
-    columns = [F.col(f"__v_{f}.value").alias(f) for f in wanted]
-    if provenance:
-        columns += [F.col(f"__v_{f}.rule").alias(f"{f}_rule") for f in wanted]
-    return found.select(*keep, *columns)
-
-
-def _numbered(value: Column, rule: int) -> Column:
-    """struct(value, rule), or null without a value."""
-    there = F.filter(F.array(value), lambda v: v.isNotNull())
-    return F.try_element_at(F.transform(there, lambda v: F.struct(v.cast("string").alias("value"), F.lit(rule).alias("rule"))), F.lit(1))
+    if not provenance:
+        return found
+    return found.select(*keep, *(F.substring(f, 4, 1 << 30).alias(f) for f in wanted), *(F.left(f, F.lit(3)).cast("int").alias(f"{f}_rule") for f in wanted))
 
 
 def extract_all(docs: DataFrame, field_patterns: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -17,23 +17,24 @@ MONEY = r"([0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{1,2}|[0-9]+,[0-9]{1,2})"
 WRITTEN = rf"\d{{1,2}}[ºoa]?\s+de\s+{T.MONTH}\.?\s+(?:de\s+)?\d\s*\d{{3}}"
 
 
+# Forms use their argument once, and give blank or null for what they don't accept (``Rule.plain``).
+
+
 def date_form(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"[.\-]", "/")
+    return F.regexp_extract(F.regexp_replace(F.trim(c), r"[.\-]", "/"), T.DATE_FORMAT, 0)
 
 
 def salary_form(c: Column) -> Column:
     """``R$ `` before the amount; one decimal is repaired."""
-    x = F.regexp_replace(c, r"\s", "")
-    return F.concat(F.lit("R$ "), x, F.when(x.rlike(r",\d$"), "0").otherwise(""))
+    return F.concat(F.lit("R$ "), F.regexp_replace(F.regexp_replace(c, r"\s", ""), r",(\d)$", ",$10"))
 
 
 def pis_form(c: Column) -> Column:
-    d = T.digits(c)
-    return F.when(F.length(d) == 11, F.regexp_replace(d, r"^(\d{3})(\d{5})(\d{2})(\d)$", "$1.$2.$3-$4"))
+    return F.regexp_extract(F.regexp_replace(T.digits(c), r"^(\d{3})(\d{5})(\d{2})(\d)$", "$1.$2.$3-$4"), r"^[\d.]{12}-\d$", 0)
 
 
 def _dates(field: str, patterns, **more) -> tuple[Rule, ...]:
-    return tuple(Rule(field, I + p, 1, "clean", form=date_form, accept=T.date_in_format, **more) for p in patterns)
+    return tuple(Rule(field, I + p, 1, "clean", form=date_form, plain=True, **more) for p in patterns)
 
 
 # ---- what announces a value, by field, in order of priority
@@ -186,8 +187,7 @@ GENERIC_MAIL = r"(?iu)^(?:contato|sac|atendimento|noreply|no-reply|suporte|vara|
 
 
 def hearing_form(c: Column) -> Column:
-    date, time = F.split_part(c, F.lit(" "), F.lit(1)), F.split_part(c, F.lit(" "), F.lit(2))
-    return F.concat_ws(" ", F.regexp_replace(date, "-", "/"), F.lpad(time, 5, "0"))
+    return F.regexp_replace(F.regexp_replace(c, "-", "/"), r"\s+(\d):", " 0$1:")
 
 
 def dismissal_reason(text: Column) -> Column:
@@ -448,15 +448,15 @@ PACK = register(
             Rule("court", "", column=lambda x: court(x)["court"]),
             Rule("origin", "", column=lambda x: court(x)["origin"]),
             Rule("instance", "", column=lambda x: court(x)["instance"]),
-            *(Rule("district", I + p, (1, 2), "clean", form=lambda v: F.regexp_replace(v, r"\s+([A-Za-z]{2})$", " - $1")) for p in DISTRICT),
+            *(Rule("district", I + p, (1, 2), "clean", form=lambda v: F.regexp_replace(v, r"\s+([A-Za-z]{2})$", " - $1"), plain=True) for p in DISTRICT),
             Rule("district", "", column=court_city),
-            *(Rule("bench", I + p, 1, "clean", form=T.clean_value) for p in BENCH),
-            *(Rule("forum", I + p, 1, "clean", form=T.clean_value) for p in FORUM),
-            *(Rule("cell", I + p, 1, "clean", form=T.clean_value) for p in CELL),
+            *(Rule("bench", I + p, 1, "clean", form=T.clean_value, plain=True) for p in BENCH),
+            *(Rule("forum", I + p, 1, "clean", form=T.clean_value, plain=True) for p in FORUM),
+            *(Rule("cell", I + p, 1, "clean", form=T.clean_value, plain=True) for p in CELL),
             *_dates("filing_date", FILING),
             *(Rule("claim_value", I + p, 1) for p in VALUE),
-            *(Rule("hearing", I + p, (1, 2), "clean", form=hearing_form) for p in HEARING),
-            Rule("hearing", I + HEARING_LAST, (1, 2), "clean", form=hearing_form, veto=("realizada", "encerrada", "nascimento")),
+            *(Rule("hearing", I + p, (1, 2), "clean", form=hearing_form, plain=True) for p in HEARING),
+            Rule("hearing", I + HEARING_LAST, (1, 2), "clean", form=hearing_form, plain=True, veto=("realizada", "encerrada", "nascimento")),
             Rule("hearing_link", "", column=hearing_link),
             Rule("hearing_kind", "", column=hearing_kind),
             Rule("hearing_people", "", column=hearing_people),
@@ -477,15 +477,15 @@ PACK = register(
             *_dates("dismissal_date", LEFT_STORY, veto=LEFT_VETO),
             *(Rule("dismissal_date", I + p, 1, "clean", form=T.parse_written_date, accept=T.date_in_format) for p in LEFT_WRITTEN),
             *_dates("dismissal_date", LEFT_PERIOD),
-            *(Rule("salary", I + p, 1, "money", form=salary_form) for p in (*SALARY_FORM, *SALARY_PAID)),
-            *(Rule("salary", I + p, 1, "money", form=salary_form, veto=SALARY_VETO, around=60) for p in SALARY_ANY),
+            *(Rule("salary", I + p, 1, "money", form=salary_form, plain=True) for p in (*SALARY_FORM, *SALARY_PAID)),
+            *(Rule("salary", I + p, 1, "money", form=salary_form, plain=True, veto=SALARY_VETO, around=60) for p in SALARY_ANY),
             Rule("salary", "", source="money", column=salary_fallback),
             Rule("job_title", "", column=job_title),
-            *(Rule("pis", I + p, 1, "line", form=pis_form) for p in PIS),
-            *(Rule("ctps", I + p, 1, "line", form=T.clean_value) for p in CTPS),
+            *(Rule("pis", I + p, 1, "line", form=pis_form, plain=True) for p in PIS),
+            *(Rule("ctps", I + p, 1, "line", form=T.clean_value, plain=True) for p in CTPS),
             Rule("ctps", I + CTPS_DIGITAL, 1, "line"),
             *(Rule("workplace", I + p, 1, form=T.clean_value, accept=lambda v: v.rlike(ADDRESS) & ~v.rlike(WORKPLACE_VETO)) for p in WORKPLACE),
-            *(Rule("employer", I + p, 1, form=T.clean_value) for p in EMPLOYER),
+            *(Rule("employer", I + p, 1, form=T.clean_value, plain=True) for p in EMPLOYER),
             Rule("employer", "", column=party("defendant")),
             Rule("dismissal_reason", "", column=dismissal_reason),
             Rule("decision_type", "", column=decision_type),
