@@ -6,10 +6,14 @@ same anchor form a stretch. One exchange by anchor leaves the stretches whose an
 equal stretches become one class with a count, and only one text per class is fetched.
 
 The classes are dealt by anchor to buckets of bounded size. A bucket adds its classes batch by batch
-to a family of suffix arrays: the windows of a new batch are sorted, merge-scanned against every
+to a family of suffix arrays: a new batch gets its suffix array, which is merge-scanned against every
 existing level for common prefixes of ``length`` bytes, and levels of equal size merge, so there are
 logarithmically many. Windows found again, or of a class counted twice, are repeated; every member of
-the class gets them back. Anchors with very many classes are dealt by the bytes around them instead.
+the class gets them back. Anchors with very many classes are dealt by the bytes around them instead, and
+what is still too much for a bucket by the windows themselves.
+
+Stretches are one class by two 64-bit hashes; two different ones of n fall together with a chance of
+about n * n / 2 ** 129. Everything else is compared by its bytes.
 
 Defined results: null and short texts repeat nothing; matches never cross texts; rows that repeat a
 doc_id are texts of their own, so two equal rows of ``length`` bytes or more lose everything; other
@@ -146,51 +150,72 @@ def anchored(docs: DataFrame, s: Settings) -> DataFrame:
 # ---- the family of suffix arrays
 
 
+@dataclass
+class SuffixArray:
+    """A text, and places in it in the order of the suffixes that begin there, by their first ``length`` bytes."""
+
+    text: bytes
+    places: np.ndarray
+    #: What the caller calls the suffixes.
+    numbers: np.ndarray
+
+    @staticmethod
+    def of(text: bytes, places: np.ndarray, numbers: np.ndarray, length: int) -> SuffixArray:
+        order = np.argsort(heads(text, places, length), kind="stable")
+        return SuffixArray(text, places[order], numbers[order])
+
+
+def heads(text: bytes, places: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` bytes of the suffixes at ``places``, for comparing."""
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)
+    return np.ascontiguousarray(view[places]).view(f"S{length}").ravel()
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """The bytes that each head of ``a`` shares with that of ``b``, ``length`` at most."""
+    differ = a.view(np.uint8).reshape(-1, length) != b.view(np.uint8).reshape(-1, length)
+    return np.where(differ.any(1), differ.argmax(1), length)
+
+
 class SuffixFamily:
-    """Levels of sorted windows. ``add`` reports windows of the batch, and of earlier ones, that it finds twice."""
+    """Levels of suffix arrays, each of twice as many batches as the one before. ``add`` marks the suffixes that match another one for ``length`` bytes."""
 
     def __init__(self, length: int):
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray] | None] = []  # per size: sorted windows, their numbers
-        self.count = 0
-        self.hit: list[np.ndarray] = []
-
-    def add(self, text: bytes, starts: np.ndarray, repeated: np.ndarray) -> None:
-        """A batch: windows of ``text`` at ``starts``; ``repeated`` ones are known to occur again."""
-        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), self.length)
-        windows = np.ascontiguousarray(view[starts]).view(f"S{self.length}").ravel()
-        order = np.argsort(windows, kind="stable")
-        windows, number = windows[order], order + self.count
-        self.count += len(starts)
-        self.hit.append(repeated.copy())
-        hits = [number[np.r_[same, False]] for same in [windows[1:] == windows[:-1]]] + [number[np.r_[False, windows[1:] == windows[:-1]]]]
-        for level in self.levels:
-            if level is not None:
-                place = np.minimum(np.searchsorted(level[0], windows), len(level[0]) - 1)
-                same = level[0][place] == windows
-                hits += [number[same], level[1][place[same]]]
-        self._mark(np.concatenate(hits))
-        size = 0  # equal-sized levels merge, as digits carry
+        self.levels: list[SuffixArray | None] = []
+        self.hit = np.zeros(0, bool)
+
+    def add(self, text: bytes, places: np.ndarray, repeated: np.ndarray) -> None:
+        """A batch: suffixes of ``text`` at ``places`` with ``length`` bytes or more; ``repeated`` ones are known to match."""
+        batch = SuffixArray.of(text, places, np.arange(len(places)) + len(self.hit), self.length)
+        self.hit = np.r_[self.hit, repeated]
+        own = heads(batch.text, batch.places, self.length)
+        alike = common_prefixes(own[1:], own[:-1], self.length) >= self.length  # neighbours in the array
+        self.hit[batch.numbers[np.r_[alike, False] | np.r_[False, alike]]] = True
+        meets = [self._scan(level, batch.numbers, own) if level else None for level in self.levels]
+        size = 0  # levels of equal size merge, as digits carry
         while size < len(self.levels) and self.levels[size] is not None:
-            old, old_number = self.levels[size]
-            place = np.searchsorted(old, windows)
-            windows, number = np.insert(old, place, windows), np.insert(old_number, place, number)
+            old = self.levels[size]
+            place = meets[size] if not size else np.searchsorted(heads(old.text, old.places, self.length), heads(batch.text, batch.places, self.length))
+            batch = SuffixArray(old.text + batch.text, np.insert(old.places, place, batch.places + len(old.text)), np.insert(old.numbers, place, batch.numbers))
             self.levels[size] = None
             size += 1
         self.levels += [None] * (size + 1 - len(self.levels))
-        self.levels[size] = (windows, number)
+        self.levels[size] = batch
 
-    def _mark(self, numbers: np.ndarray) -> None:
-        flat = self.result()
-        flat[numbers] = True
-        self.hit = [flat]
+    def _scan(self, level: SuffixArray, numbers: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Merge-scan: where the batch's suffixes go in the level; those whose neighbour there begins alike match it."""
+        theirs = heads(level.text, level.places, self.length)
+        place = np.searchsorted(theirs, own)
+        behind = np.minimum(place, len(theirs) - 1)
+        match = common_prefixes(theirs[behind], own, self.length) >= self.length
+        self.hit[numbers[match]] = True
+        self.hit[level.numbers[behind[match]]] = True
+        return place
 
-    def result(self) -> np.ndarray:
-        return np.concatenate(self.hit) if self.hit else np.zeros(0, bool)
 
-
-def repeated_windows(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """The runs of repeated windows of each class in one bucket, as (khash, shash, low, high), high behind the last window."""
+def repeated_windows(pdf: pd.DataFrame, s: Settings, keys: tuple[str, str]) -> pd.DataFrame:
+    """The runs of repeated windows of each body in one bucket, as (keys, low, high), high behind the last window."""
     family, batch, members, used = SuffixFamily(s.length), [], [], 0
 
     def flush():
@@ -208,7 +233,7 @@ def repeated_windows(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
         if used >= s.batch_windows:
             flush()
     flush()
-    hit = family.result()
+    hit = family.hit
     owner = np.repeat(np.arange(len(members)), members)
     inside = np.arange(len(hit)) - np.repeat(np.cumsum(members) - members, members)
     edge = np.r_[True, owner[1:] != owner[:-1]] if len(hit) else np.zeros(0, bool)
@@ -216,7 +241,7 @@ def repeated_windows(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
     last = np.flatnonzero(hit & (np.r_[edge[1:], True] | ~np.r_[hit[1:], False]))
     k = owner[begin]
     base = pdf["base"].to_numpy()[k]
-    return pd.DataFrame({"khash": pdf["khash"].to_numpy()[k], "shash": pdf["shash"].to_numpy()[k], "low": base + inside[begin], "high": base + inside[last] + 1})
+    return pd.DataFrame({**{c: pdf[c].to_numpy()[k] for c in keys}, "low": base + inside[begin], "high": base + inside[last] + 1})
 
 
 # ---- the jobs
@@ -277,6 +302,42 @@ def _class_batch(out: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
 
+def in_buckets(bodies: DataFrame, buckets: int, s: Settings, keys: tuple[str, str], kinds: str) -> DataFrame:
+    """(keys, low, high): repeated windows of bodies, a family of suffix arrays per bucket of groups."""
+    work = lambda pdf: repeated_windows(pdf, s, keys)
+    return bodies.groupBy(F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")).applyInPandas(work, f"{kinds}, low int, high int")
+
+
+def hot_runs(parts: DataFrame, buckets: int, s: Settings) -> DataFrame:
+    """(khash, shash, low, high) of parts of hot anchors. Equal parts are one, with their members counted together.
+
+    A group that still holds more windows than a bucket is dealt by its windows: equal ones, by their bytes, combine
+    before the exchange, so a string that very many texts hold is one row a task.
+    """
+    parts = parts.withColumn("part", F.md5("body"))
+    once = stash(parts.groupBy("group", "part").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("body").alias("body")), "parts")
+    crowded = once.groupBy("group").agg(F.sum("windows").alias("load")).where(F.col("load") > s.bucket_windows).select("group", F.lit(True).alias("crowded"))
+    once = once.withColumn("base", F.lit(0)).join(stash(crowded, "crowded"), "group", "left")
+    usual = in_buckets(once.where("crowded is null"), buckets, s, ("group", "part"), "group long, part string")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                p = b.slice(low, 256)
+                count = p.column("windows").to_numpy()
+                at = np.concatenate([np.arange(w) for w in count])
+                row = pa.array(np.repeat(np.arange(len(count)), count))
+                bodies = p.column("body").to_pylist()
+                held = pa.array([bodies[k][i : i + s.length] for k, i in zip(row.to_numpy(), at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([p.column("group").take(row), p.column("part").take(row), p.column("n").take(row), pa.array(at.astype(np.int32)), held], ["group", "part", "n", "low", "window"])
+
+    each = once.where("crowded").select("group", "part", "n", "windows", "body").mapInArrow(split, "group long, part string, n long, low int, window binary")
+    each = stash(each, "windows")
+    again = stash(each.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window"), "windows")
+    found = usual.unionByName(each.join(again, "window").select("group", "part", "low", (F.col("low") + 1).alias("high")))
+    return found.join(parts.select("khash", "shash", "group", "part", "base"), ["group", "part"]).select("khash", "shash", (F.col("low") + F.col("base")).alias("low"), (F.col("high") + F.col("base")).alias("high"))
+
+
 def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``__repeats``: array<struct<start, end>> of repeated bytes (null if none), unmerged.
 
@@ -291,10 +352,12 @@ def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_i
     classes = stash(classes, "classes")
     windows = classes.agg(F.sum("rep.windows")).first()[0] or 0
     buckets = max(1, windows // s.bucket_windows)
-    hot = classes.groupBy("khash").count().where(F.col("count") > s.hot_classes).select("khash", F.lit(True).alias("hot"))
+    # as a plain table, so that Spark can broadcast it or split the classes of a hot anchor
+    hot = stash(classes.groupBy("khash").count().where(F.col("count") > s.hot_classes).select("khash", F.lit(True).alias("hot")), "hot")
     wanted = classes.join(hot, "khash", "left").select("khash", "shash", "n", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    bodies = class_texts(keyed, wanted, s, text)
-    runs = bodies.groupBy(F.pmod(F.xxhash64("group"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: repeated_windows(pdf, s), "khash long, shash long, low int, high int")
+    runs = in_buckets(class_texts(keyed, wanted.where("not hot"), s, text), buckets, s, ("khash", "shash"), "khash long, shash long")
+    if hot.limit(1).count():
+        runs = runs.unionByName(hot_runs(stash(class_texts(keyed, wanted.where("hot"), s, text), "parts"), buckets, s))
     span = F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") - 1 + s.length).alias("end"))
     found = again.join(runs, ["khash", "shash"]).select("__id", "__tag", span.alias("span"))  # a row per run, so that this join can be split as well
     found = found.groupBy(F.col("__id").alias("__f_id"), F.col("__tag").alias("__f_tag")).agg(F.collect_list("span").alias("__repeats"))
