@@ -9,8 +9,9 @@ vectors.
 Equal vectors are one class with its smallest ids, so copies can't fill a bucket; a bucket with more
 than ``bucket_rows`` classes is split, and a probe visits all its parts. The queries that visit a block
 are dealt to lots of bounded size, each of which meets the block's rows. The number of functions and
-of probes is measured: on a bounded sample of queries, against brute force over all rows, until the
-wanted recall is met. With no functions left, one bucket holds everything and the search is exact.
+of probes and the slot width are measured: on a bounded sample of queries, against brute force over all
+rows, those that meet the wanted recall with the smallest share of rows visited are taken. Where none
+does, one bucket holds everything and the search is exact.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do vectors of another length than most; a query is not its own candidate (rows with its id are not
@@ -36,8 +37,8 @@ from caseflow.llm._common import fanout, read, stash
 class Settings:
     k: int = 5
     tables: int = 4
-    #: Slot width for vectors of length one.
-    width: float = 1.6
+    #: Slot widths for vectors of length one that are tried; the first one unless another is chosen.
+    widths: tuple[float, ...] = (1.6, 2.2)
     #: Rows that a bucket should hold on average; sets the number of functions a table starts with.
     bucket_target: int = 48
     bucket_rows: int = 4096
@@ -45,8 +46,11 @@ class Settings:
     lot_queries: int = 4096
     lot_visits: int = 1 << 18
     most_probes: int = 1024
-    recall: float = 0.97
+    recall: float = 0.95
+    #: Queries that the parameters are measured on (those in the first place that functions and width are chosen by), and rows.
     sample_queries: int = 64
+    choose_queries: int = 24
+    sample_rows: int = 2048
     seed: int = 29
 
 
@@ -57,11 +61,12 @@ class Hashing:
         rng = np.random.default_rng(s.seed)
         self.functions, self.s, self._template = functions, s, None
         self.a = rng.standard_normal((dim, s.tables * 24))[:, : s.tables * 24].reshape(dim, s.tables, 24)[:, :, :functions]
-        self.b = rng.uniform(0, s.width, (s.tables, 24))[:, :functions]
+        self.width = s.widths[0]
+        self.b = rng.uniform(0, self.width, (s.tables, 24))[:, :functions]
 
     def project(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables, functions): positions in slots."""
-        return (np.einsum("nd,dtf->ntf", unit, self.a) + self.b) / self.s.width
+        return (np.einsum("nd,dtf->ntf", unit, self.a) + self.b) / self.width
 
     @staticmethod
     def key(slots: np.ndarray) -> np.ndarray:
@@ -185,27 +190,61 @@ def brute_force(index: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
     return rank(index.select("ids", "v").mapInPandas(run, FOUND), k)
 
 
-def calibrate(index: DataFrame, n: int, dim: int, sample: pd.DataFrame, s: Settings) -> tuple[int, int]:
-    """(functions, probes) that meet the recall on the sample, the fewest estimated candidates first."""
+@dataclass(frozen=True)
+class Choice:
+    """Parameters for all tables, and the share of rows and the recall that they are expected to have."""
+
+    functions: int
+    probes: int
+    width: float
+    share: float
+    recall: float
+
+
+def probe_ranks(h: Hashing, query: np.ndarray, slots: np.ndarray, most: int) -> np.ndarray:
+    """For rows of the given bucket keys (rows, tables): the place of their bucket in the query's probing order, the best of all tables."""
+    position, out = h.project(_unit(query[None]))[0], np.full(len(slots), np.inf)
+    for t in range(slots.shape[1]):
+        keys = h.key(h.probes(position[t], most))
+        order = np.argsort(keys, kind="stable")
+        at = np.minimum(np.searchsorted(keys[order], slots[:, t]), len(keys) - 1)
+        hit = keys[order[at]] == slots[:, t]
+        out[hit] = np.minimum(out[hit], order[at[hit]] + 1)
+    return out
+
+
+def calibrate(index: DataFrame, n: int, dim: int, sample: pd.DataFrame, s: Settings) -> Choice:
+    """The parameters that meet the recall on the sample with the smallest share of rows visited."""
+    everything = Choice(0, 1, s.widths[0], 1.0, 1.0)
     truth = brute_force(index, sample, s.k).select("query_id", "vec_id")
     owner = index.select(F.explode("ids").alias("vec_id"), "v").join(F.broadcast(truth), "vec_id").select("query_id", "v").toPandas()  # sample_queries * k rows
     if not len(owner):
-        return 0, 1
-    qv = dict(zip(sample["query_id"], sample["qv"]))
-    start = min(24, max(1, math.ceil(math.log2(max(2, n / s.bucket_target)))))
-    for functions in range(start, 0, -1):
-        h = Hashing(dim, functions, s)
-        need = np.full(len(owner), np.inf)
-        for qid, part in owner.groupby("query_id").indices.items():
-            position = h.project(_unit(np.array(qv[qid])[None]))[0]
-            target = h.key(np.floor(h.project(_unit(np.array(owner["v"].iloc[part].tolist())))))
-            for t in range(s.tables):
-                order = {int(key): i for i, key in reversed(list(enumerate(h.key(h.probes(position[t], s.most_probes)))))}
-                need[part] = np.minimum(need[part], [order.get(int(x), np.inf) + 1 for x in target[:, t]])
-        enough = np.sort(need)[max(0, math.ceil(s.recall * len(need)) - 1)]
-        if np.isfinite(enough):
-            return functions, int(enough)
-    return 0, 1
+        return everything
+    some = np.array(index.orderBy("class").limit(s.sample_rows).select("v").toPandas()["v"].tolist())  # classes are hashes
+    near = {qid: np.array(owner["v"].iloc[part].tolist()) for qid, part in owner.groupby("query_id").indices.items()}
+    asked = [(np.array(v), near[qid]) for qid, v in zip(sample["query_id"], sample["qv"]) if qid in near]
+
+    def measure(functions: int, width: float, queries: list) -> Choice | None:
+        h = Hashing(dim, functions, replace(s, widths=(width,)))
+        slots = h.key(np.floor(h.project(_unit(some))))
+        need = np.concatenate([probe_ranks(h, q, h.key(np.floor(h.project(_unit(v)))), s.most_probes) for q, v in queries])
+        probes = np.sort(need)[max(0, math.ceil(s.recall * len(need)) - 1)]
+        if not np.isfinite(probes):
+            return None
+        share = np.mean([(probe_ranks(h, q, slots, s.most_probes) <= probes).mean() for q, _ in queries])
+        return Choice(functions, int(probes), width, float(share), float((need <= probes).mean()))
+
+    start = min(20, max(1, math.ceil(math.log2(max(2, n / s.bucket_target)))))
+    best = None
+    for width in s.widths:
+        for functions in range(start + 3, 0, -1):
+            found = measure(functions, width, asked[: s.choose_queries])
+            if found and (best is None or found.share < best.share):
+                best = found
+            elif found and functions < start - 2:
+                break
+    best = best and measure(best.functions, best.width, asked)
+    return best or everything
 
 
 def in_lots(asked: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -230,8 +269,9 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_i
     sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(s.sample_queries).toPandas()
     if not n or not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    functions, probes = calibrate(index, n, dim, sample, s)
-    s = replace(s, tables=1) if functions == 0 else s
+    choice = calibrate(index, n, dim, sample, s)
+    functions, probes = choice.functions, choice.probes
+    s = replace(s, widths=(choice.width,), tables=s.tables if functions else 1)
     h = spark.sparkContext.broadcast(Hashing(dim, functions, s))
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,6 +73,22 @@ def test_lots_are_bounded_and_change_nothing(spark):
     assert {(r["block"], r["lots"]) for r in loads.collect()} == {(0, 14), (1, 14)}
 
 
+def test_calibration_visits_fewer_rows_and_keeps_recall(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.15 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    s = neighbours.Settings()
+    index = neighbours.classes(df, s.k, "vec_id", "embedding")
+    sample = df.where("vec_id % 150 = 1").selectExpr("vec_id AS query_id", "embedding AS qv").toPandas()
+    choice = neighbours.calibrate(index, 3000, 16, sample, s)
+    assert choice.recall >= 0.95 and choice.share < 0.15 and choice.functions > 0
+    want, got = brute(np.arange(3000), x, range(0, 3000, 150), 5), {}
+    for r in neighbours.search(df, F.col("vec_id") % 150 == 0, s).collect():  # queries that calibration didn't see
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
+
+
 def test_probes_start_at_home_and_differ():
     h = neighbours.Hashing(6, 5, neighbours.Settings())
     p = h.project(np.ones((1, 6)) / np.sqrt(6))[0, 0]
