@@ -232,7 +232,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op1: the language of every document."""
+    """op1: the language of every document, and the number of its spans."""
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = fit(docs.where(~F.col("held_out")))
-    return label_spans(docs, model, keep=("doc_id", "held_out"), with_spans=False)
+    return label_spans(docs, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))

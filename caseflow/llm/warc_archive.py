@@ -26,11 +26,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm._common import fanout, read, shared_dir, stash
+from caseflow.llm._common import fanout, read, shared_dir, stash, steps
+from caseflow.sources.shared import open_store
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -38,11 +38,6 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
 
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder or file: a URI, or a plain path on a mounted store."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def bare_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -180,7 +175,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 128 <<
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], ["archive", "records"])
 
         for b in batches:
-            for r in b.to_pylist():
+            for r in (r for part in steps(b, "payload") for r in part.to_pylist()):
                 if current is None:
                     name = f"{uuid.uuid4().hex}.wacz"
                     out = store.open_output_stream(f"{top}/{name}")
@@ -232,7 +227,7 @@ def read_records(ranges: DataFrame, folder: str, with_body: bool = False) -> Dat
                 digest = head["warc-payload-digest"].removeprefix("sha1:")
                 if head["warc-type"] == "response" and bare_sha1(body) != digest:
                     raise ValueError(f"record at {r['start']} of {name} doesn't have its digest")
-                out.append((page_of(head["warc-record-id"]), int(head["x-payload-length"]), digest, head["warc-type"], page_of(head.get("warc-refers-to")), body if with_body else None))
+                out.append((page_of(head["warc-record-id"]), len(body) if head["warc-type"] == "response" else int(head["x-payload-length"]), digest, head["warc-type"], page_of(head.get("warc-refers-to")), body if with_body else None))
             if f is not None:
                 f.close()
             columns = list(zip(*out)) if out else [()] * 6

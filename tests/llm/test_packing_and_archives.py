@@ -70,6 +70,27 @@ def test_many_partitions_and_edge_rows(spark):
     assert packing.pack_documents(docs.limit(0), path, small).count() == 0
 
 
+def test_very_long_text(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "A long text of many words, 12 at a time. " * 60_000 + "x" * 50_000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    encode = lambda x: Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids
+    check_packed(packing.pack_documents(docs, path).collect(), {1: [text], 2: ["short"]}, packing.Settings(), encode)
+
+
+def test_no_pages_and_clashing_columns(spark):
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], "page_id long, url string, html string, sha string, size int, n int")
+    archives = warc_archive.write_archives(warc_archive.plan_records(none), folder)
+    assert warc_archive.read_records(warc_archive.list_records(archives, folder), folder).count() == 0
+    page = spark.createDataFrame([(1, "u", "é" * 400_000, "x", 1, 1)], none.schema)
+    archives = warc_archive.write_archives(warc_archive.plan_records(page), folder)
+    assert warc_archive.read_records(warc_archive.list_records(archives, folder), folder).first()["payload_bytes"] == 800_000
+
+
 def test_pages_equal_sql(spark, sf_dir):
     assert same_as_sql(spark, warc_archive.query, warc_archive.ORACLE, sf_dir) > 0
 
