@@ -43,7 +43,8 @@ class Settings:
     #: Frequent shingles that are ordered last; any number gives the same result.
     frequent: int = 200_000
     frequent_from: int = 12
-    #: Parts that the rows of a frequent shingle are dealt to.
+    #: Rows from which a frequent shingle is hot, and the parts that the rows of a hot one are dealt to.
+    hot_times: int = 1 << 16
     salts: int = 256
     leaf: int = 32
     fan_out: int = 8
@@ -91,13 +92,17 @@ def class_of(s: np.ndarray) -> int:
     return int((mixed(a ^ mixed(np.array([np.bitwise_xor.reduce(s)], np.uint64)))).view(np.int64)[0])
 
 
-def prefix_of(s: np.ndarray, frequent: np.ndarray, st: Settings) -> tuple[np.ndarray, int]:
-    """The keys of which a set that links must share one, and how many of them, the first ones, are no frequent ones."""
+def prefix_of(s: np.ndarray, frequent: np.ndarray, st: Settings) -> np.ndarray:
+    """The keys of which a set that links must share one."""
     n = len(s)
     most = n + (-st.at_least * n) // st.of + 1  # n - ceil(n * similarity) + 1
-    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
-    keys = np.r_[s[~late], s[late]][:most]
-    return keys, min(len(keys), n - int(late.sum()))
+    late = is_in(s, frequent)
+    return np.r_[s[~late], s[late]][:most]
+
+
+def is_in(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values if len(held) else np.zeros(len(values), bool)
 
 
 def bitmap_of(s: np.ndarray) -> np.ndarray:
@@ -265,8 +270,8 @@ def sets_and_frequent(keyed: DataFrame, st: Settings, task_shingles: int = 1 <<
     return keyed.mapInArrow(run, "__id long, __tag long, n long, class long, shingle long, times long")
 
 
-def _most_frequent(often: DataFrame, st: Settings) -> np.ndarray:
-    """The shingles of the highest powers of two of ``times`` that together are ``st.frequent`` at most."""
+def _most_frequent(often: DataFrame, st: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the highest powers of two of ``times`` that together are ``st.frequent`` at most, and the hot ones; sorted."""
     power = F.floor(F.log2("times")).cast("int")
     held, least = 0, 64
     for r in sorted(often.groupBy(power.alias("power")).count().collect(), key=lambda r: -r["power"]):  # 64 rows at most
@@ -274,35 +279,56 @@ def _most_frequent(often: DataFrame, st: Settings) -> np.ndarray:
         if held > st.frequent:
             break
         least = r["power"]
-    return often.where(power >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    found = often.where(power >= least).select("shingle", "times").toPandas()
+    shingle = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    return np.sort(shingle), np.sort(shingle[found["times"].to_numpy() >= st.hot_times])
 
 
-def prefixes(keyed: DataFrame, frequent: np.ndarray, st: Settings, remember: int = 1 << 19) -> DataFrame:
-    """(key, class, salt) for the prefix of every set; a task gives equal sets once. Frequent keys have a salt of 1 or more, by class."""
-    shared = keyed.sparkSession.sparkContext.broadcast(np.sort(frequent))  # at most ``frequent`` numbers
+def prefixes(keyed: DataFrame, frequent: np.ndarray, hot: np.ndarray, st: Settings, remember: int = 1 << 19) -> DataFrame:
+    """(key, class) for the prefix of every set; a task gives equal sets once. Where there are hot keys, also a salt: 1 or more, by class, for these."""
+    shared = keyed.sparkSession.sparkContext.broadcast((frequent, hot))  # at most ``frequent`` numbers each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        late, salted = shared.value
         for whole in batches:
             for b in steps(whole, "__text"):
-                keys, names, rare = [], [], []
+                keys, names = [], []
                 for s in shingle_sets(b.column("__text").to_pylist(), st.words):
                     if len(s) and (c := class_of(s)) not in seen:
                         seen.add(c)
-                        k, first = prefix_of(s, shared.value, st)
-                        keys.append(k), names.append(c), rare.append(first)
+                        keys.append(prefix_of(s, late, st))
+                        names.append(c)
                 if len(seen) > remember:
                     seen = set()
                 if keys:
-                    salt = [np.repeat((0, 1 + c % st.salts), (r, len(k) - r)) for k, c, r in zip(keys, names, rare)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), [len(k) for k in keys])), pa.array(np.concatenate(salt).astype(np.int32))], ["key", "class", "salt"])
-
-    return keyed.mapInArrow(run, "key long, class long, salt int")
-
-
-def _class_texts(keyed: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+                    key, name = np.concatenate(keys), np.repeat(np.array(names, np.int64), [len(k) for k in keys])
+                    columns = {"key": pa.array(key.view(np.int64)), "class": pa.array(name)}
+                    if len(salted):
+                        columns["salt"] = pa.array(np.where(is_in(key, salted), 1 + name % st.salts, 0).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return keyed.mapInArrow(run, "key long, class long" + (", salt int" if len(hot) else ""))
+
+
+def hub_edges(keyed: DataFrame, often: DataFrame, st: Settings) -> DataFrame:
+    """(hub, class): what shares a prefix shingle with the smallest class that has it."""
+    frequent, hot = _most_frequent(often, st)
+    by_key = Window.partitionBy("key", *(["salt"] if len(hot) else []))
+    keys = prefixes(keyed, frequent, hot, st).withColumn("hub", F.min("class").over(by_key)).withColumn("last", F.max("class").over(by_key))
+    apart = "hub < last and class <> hub"
+    if not len(hot):
+        return keys.where(apart).select("hub", "class").distinct()
+    # hot keys are dealt by class as well; their hubs come from minima that combine before the exchange
+    keys = stash(keys.where(f"salt > 0 or ({apart})").select(F.expr("CASE WHEN salt > 0 THEN key END").alias("key"), F.expr("CASE WHEN salt = 0 THEN hub END").alias("hub"), "class"), "keys")
+    rows = keys.where("hub is null").select("key", "class")
+    hubs = stash(rows.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("key", "hub"), "hubs")
+    return keys.where("hub is not null").select("hub", "class").unionByName(rows.join(hubs, "key").where("class <> hub").select("hub", "class")).distinct()
+
+
+def _class_texts(keyed: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, __text) for the given classes, from one row each; rows that are repeated whole give it again."""
-    reps = rows.join(classes, "class").groupBy("class").agg(F.min(F.struct("__id", "__tag")).alias("r")).select("class", F.col("r.__id").alias("r_id"), F.col("r.__tag").alias("r_tag"))
+    reps = reps.join(classes, "class").select("class", F.col("r.__id").alias("r_id"), F.col("r.__tag").alias("r_tag"))
     return keyed.join(reps, keyed["__id"].eqNullSafe(reps["r_id"]) & (keyed["__tag"] == reps["r_tag"])).select("class", "__text")
 
 
@@ -358,16 +384,10 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
     keyed, parts = _keyed(docs, doc_id, text), 4 * max(fanout(docs), 1)
     seen = stash(sets_and_frequent(keyed, st), "sets")
     rows = seen.where("shingle is null").select("__id", "__tag", "n", "class")
+    # one row of each class, combined before the exchange: a class may hold a third of all rows
+    reps = stash(rows.where("n > 0").groupBy("class").agg(F.min(F.struct("__id", "__tag")).alias("r"), F.first("n").alias("n")), "classes")
     often = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= st.frequent_from)
-    often = _most_frequent(often, st)
-    # keys that may be hot are dealt by class as well; their hubs come from minima that combine before the exchange
-    by_key = Window.partitionBy("key", "salt")
-    keys = prefixes(keyed, often, st).withColumn("hub", F.min("class").over(by_key)).withColumn("last", F.max("class").over(by_key))
-    keys = stash(keys.where("salt > 0 or (hub < last and class <> hub)").select("key", "salt", "hub", "class"), "keys")
-    hot = keys.where("salt > 0").select("key", "class")
-    hubs = stash(hot.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-    edges = keys.where("salt = 0").select("hub", "class").unionByName(hot.join(hubs, "key").where("class <> hub").select("hub", "class"))
-    edges = stash(edges.distinct(), "edges")
+    edges = stash(hub_edges(keyed, often, st), "edges")
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("class")).distinct())
 
     # on bitmaps: who has a possible partner in its block; blocks of more than a chunk keep all, as each class would meet all chunks
@@ -378,7 +398,7 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
     size = stash(members.groupBy("hub").agg((F.count("*") > st.chunk_classes).alias("large")), "blocks")
     members = members.join(size, "hub")
     one_chunk = members.where("not large").select("hub", "class")
-    bits = _sets(_class_texts(keyed, rows, one_chunk.select("class").distinct()), st, "bits", bitmap_of)
+    bits = _sets(_class_texts(keyed, reps, one_chunk.select("class").distinct()), st, "bits", bitmap_of)
     kept = _run_blocks(one_chunk.join(bits, "class"), ["hub"], partners, "hub long, class long", parts)
     kept = kept.unionByName(kept.select("hub", F.col("hub").alias("class"))).unionByName(members.where("large").select("hub", "class"))
     kept = stash(kept.distinct(), "kept")
@@ -402,9 +422,9 @@ def links(docs: DataFrame, st: Settings = Settings(), doc_id: str = "doc_id", te
         return pd.DataFrame({"a": names[new], "b": names[root[new]]})
 
     found = "hub long, a long, b long, to_hub boolean"
-    sizes = rows.groupBy("class").agg(F.first("n").alias("n"))
+    sizes = reps.select("class", "n")
     chunks = stash(_dealt(kept.join(sizes, "class"), "n", st.chunk_shingles), "chunks")
-    items = stash(_sets(_class_texts(keyed, rows, kept.select("class").distinct()), st, "items", lambda s: s), "items").select("class", "items")
+    items = stash(_sets(_class_texts(keyed, reps, kept.select("class").distinct()), st, "items", lambda s: s), "items").select("class", "items")
     first = stash(_run_blocks(chunks.join(items, "class"), ["hub", "chunk"], joined, found, parts, "chunks > 1"), "links")
     pairs = first.select("a", "b")
     if first.where("not to_hub").join(chunks.where("chunks > 1").select("hub", F.col("class").alias("a")), ["hub", "a"], "left_semi").limit(1).count():

@@ -6,7 +6,7 @@ return the columns they were given, with ``n_chars`` (where there is one) brough
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
@@ -30,15 +30,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id. Documents without words all stay."""
-    found = ngram_join.near_duplicates(docs)
-    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("__id", "__tag")).alias("r"))
-    stay = first.select(F.col("r.__id").alias("s_id"), F.col("r.__tag").alias("s_tag"), F.lit(True).alias("one"))
-    stay = stay.unionByName(found.where("n_shingles = 0").select(F.col("__id").alias("s_id"), F.col("__tag").alias("s_tag"), F.lit(False).alias("one")).distinct())
-    own = _tagged(docs)
-    met = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["s_id"]) & (own["__tag"] == stay["s_tag"]))
-    copy = F.row_number().over(Window.partitionBy("s_id", "s_tag").orderBy(*(c for c in docs.columns)))
-    return met.withColumn("__copy", copy).where("not one or __copy = 1").select(*docs.columns)
+    """One document of each group of near duplicates: that with the smallest id. Documents without words all stay.
+
+    Of rows with one id and one text, that with the smallest other columns stays; they combine before they are exchanged.
+    """
+    found = ngram_join.near_duplicates(docs).where("n_shingles > 0")
+    stay = found.groupBy("component").agg(F.min(F.struct("__id", "__tag")).alias("r")).select(F.col("r.__id").alias("__s_id"), F.col("r.__tag").alias("__s_tag"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = _tagged(docs.where(has_words))
+    met = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["__s_id"]) & (own["__tag"] == stay["__s_tag"]))
+    order = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    one = met.groupBy("__s_id", "__s_tag").agg(F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *order)).alias("__row"))
+    return one.select("__row.*").unionByName(docs.where(~has_words))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,8 +58,41 @@ def test_family_merges_geometrically():
     for k in range(13):
         family.add(b"abcd%04d" % k, np.arange(5), np.zeros(5, bool))
     assert [level is not None for level in family.levels] == [True, False, True, True]  # 13 batches
-    assert all((level[0][1:] >= level[0][:-1]).all() for level in family.levels if level)
-    assert family.result().reshape(13, 5)[:, 0].all()
+    for level in filter(None, family.levels):
+        suffixes = [level.text[p : p + 4] for p in level.places]
+        assert suffixes == sorted(suffixes) and len(level.text) == 8 * len(level.places) // 5
+    assert family.hit.reshape(13, 5)[:, 0].all()
+
+
+def test_family_equals_counting():
+    r, family, seen, every = random.Random(4), suffix_dedup.SuffixFamily(6), {}, []
+    for _ in range(21):
+        text = "".join(r.choices("ab", k=r.randint(6, 60))).encode()
+        family.add(text, np.arange(len(text) - 5), np.zeros(len(text) - 5, bool))
+        every += [text[p : p + 6] for p in range(len(text) - 5)]
+    for w in every:
+        seen[w] = seen.get(w, 0) + 1
+    assert family.hit.tolist() == [seen[w] > 1 for w in every]
+
+
+def test_common_prefixes():
+    a, b = (np.array(x, "S4") for x in (["abcd", "abcd", "xbcd", "ab\0\0"], ["abcd", "abxd", "abcd", "ab\0x"]))
+    assert suffix_dedup.common_prefixes(a, b, 4).tolist() == [4, 2, 0, 3]
+
+
+def test_a_passage_in_very_many_texts(spark):
+    r = random.Random(11)
+    w = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    short, long = w(190), w(260)
+    rows = [(k, w(120) + short + w(130)) for k in range(1500)] + [(5000 + k, w(120) + long + w(110)) for k in range(700)] + [(9000, w(20) + rows_tail(short, w))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = suffix_dedup.Settings(hot_classes=50, bucket_windows=4000, batch_windows=1000)
+    found = suffix_dedup.measure_repeats(suffix_dedup.find_repeats(docs, s)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_repeats(rows)
+
+
+def rows_tail(short, w):
+    return short[:150] + w(60)
 
 
 def test_cut_text_stays_text(spark):
@@ -107,7 +140,7 @@ def near_copies():
     return rows + [(300, None), (301, ""), (302, "a b"), (303, "A b"), (304, "a  b"), (305, "a b c d e"), (306, " \n"), (307, "x"), (0, "x"), (None, "x"), (310, rows[3][1]), (311, rows[3][1]), (311, rows[3][1]), (312, " ".join(words * 40))]
 
 
-@pytest.mark.parametrize("settings", [ngram_join.Settings(), ngram_join.Settings(chunk_classes=16, chunk_shingles=900, frequent_from=100, leaf=4, fan_out=2), ngram_join.Settings(frequent=5)])
+@pytest.mark.parametrize("settings", [ngram_join.Settings(), ngram_join.Settings(chunk_classes=16, chunk_shingles=900, frequent_from=100, leaf=4, fan_out=2), ngram_join.Settings(frequent=5), ngram_join.Settings(frequent_from=3, hot_times=3, salts=5)])
 def test_components_equal_brute_force(spark, settings):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("clash")).withColumn("n", F.lit(0))
@@ -196,22 +229,46 @@ def test_stage_tells_texts_of_one_32_bit_hash_apart(spark, sf_dir):
     assert sorted(r["text"] for r in out.collect()) == sorted(r["text"] for r in rows)
 
 
-def test_a_meeting_holds_two_chunks_at_most(spark):
+def test_a_meeting_holds_a_chunk_and_a_lot(spark):
     from itertools import combinations
 
     hub, size = 0, 6
     state = {c: (1 + (c - 1) // size - 1, c in (1, 2) or c > 3 * size) for c in range(1, 4 * size + 1)}  # class: chunk, apart
     chunks = spark.createDataFrame([(hub, c, 4, chunk) for c, (chunk, _) in state.items()] + [(hub, hub, 4, k) for k in range(4)] + [(100, 100, 1, 0), (100, 101, 1, 0)], "hub long, class long, chunks int, chunk int")
     first = spark.createDataFrame([(hub, c, c if apart else hub, not apart) for c, (_, apart) in state.items()] + [(hub, hub, hub, True), (100, 101, 101, False)], "hub long, a long, b long, to_hub boolean")
-    groups = {}
-    for r in ngram_join._across(chunks, first).collect():
-        groups.setdefault((r["i"], r["k"]), []).append(r["class"])
+    weights = spark.createDataFrame([(c, 10) for c in state], "class long, n long")
+    groups, rows = {}, 0
+    for r in ngram_join._across(chunks, first, weights, 40).collect():
+        groups.setdefault((r["at"], r["lot"]), []).append(r["class"])
+        rows += 1
         assert r["hub"] == hub and (r["chunk"], r["b"]) == (state[r["class"]][0], r["class"] if state[r["class"]][1] else hub)
-    assert all(len(g) == len(set(g)) and {state[c][0] for c in g} <= set(pair) and len(g) <= 2 * size for pair, g in groups.items())
+    apart = sum(a for _, a in state.values())
+    lots = len({lot for _, lot in groups})
+    assert lots == 2 and rows == len(state) * lots + apart * 3
     together = {p for g in groups.values() for p in combinations(sorted(g), 2)}
+    assert all(len(g) == len(set(g)) for g in groups.values())
     assert all((a, b) in together for a, b in combinations(state, 2) if state[a][0] != state[b][0] and (state[a][1] or state[b][1]))
 
 
+def test_long_chains_and_stars_are_one_component(spark):
+    chain = [(k, k + 1) for k in range(700)]
+    star = [(5000, 5001 + k) for k in range(300)]
+    r = random.Random(2)
+    other = [(9000 + r.randrange(80), 9000 + r.randrange(80)) for _ in range(60)]
+    rows = [(a, b) if r.random() < 0.5 else (b, a) for a, b in chain + star + other if a != b]
+    got = {x["node"]: x["label"] for x in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    want = {n: n for e in rows for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in rows:
+            low = min(want[a], want[b])
+            changed |= want[a] != low or want[b] != low
+            want[a] = want[b] = low
+    assert got == want
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_many_clusters_under_one_prefix_equal_brute_force(spark):
     r = random.Random(8)
     head, rows = "one two three four five", []

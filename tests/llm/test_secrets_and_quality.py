@@ -1,5 +1,6 @@
 """Secret spans against re and SQL; rule statistics against plain counting."""
 
+import math
 import re
 
 import pytest
@@ -147,3 +148,54 @@ def test_forest_isolates_an_outlier_and_no_labels_keep_all(spark):
     docs = spark.createDataFrame([(1, "word%d " * 3 % (1, 2, 3)), (2, None), (3, " ".join(f"w{k}" for k in range(80)))], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, labels).collect()} == {1: False, 2: False, 3: True}
+
+
+def plain_features(counts):
+    words, chars, symbols, dup, _, lines, upper, marks, unique, short = map(float, counts)
+    share = lambda a, b: a / b if b else 0.0
+    variety = math.log(unique) / math.log(words) if words > 1 else 1.0
+    return [share(chars, words), share(symbols, chars), max(share(dup, lines) - 0.4, 0.0), variety, max(share(upper, chars) - 0.1, 0.0), share(marks, chars), share(short, words)]
+
+
+def plain_score(forest, row):
+    total = 0.0
+    for t in range(len(forest.path)):
+        node = 0
+        for _ in range(forest.depth):
+            node = 2 * node + (2 if row[forest.feature[t, node]] >= forest.split[t, node] else 1)
+        total += forest.path[t, node]
+    return 2 ** (-total / len(forest.path) / forest.mean_path(forest.size))
+
+
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = docs.unionByName(docs.where("doc_id < 5")), labels.unionByName(labels.where("doc_id < 40"))  # repeated rows
+    s = quality_rules.Settings(trees=30, tree_rows=64)
+    judged = quality_rules.judge(docs.withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit("clash")), labels, s)
+    out = {r["doc_id"]: r for r in judged.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = {d: quality_rules.text_counts(t) for d, t in texts.items()}
+    failed = {d: c[0] < 50 or 2 * c[4] > c[0] for d, c in counts.items()}
+    good = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null").collect()}
+    stats = quality_rules.rule_statistics(docs).select("*", *quality_rules.features())
+    marked = stats.join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    forest = quality_rules.fit_forest(marked, s)
+    score = {d: plain_score(forest, plain_features(c)) for d, c in counts.items()}
+    assert all(out[d]["anomaly"] == pytest.approx(x) for d, x in score.items())
+    rows = [r["doc_id"] for r in marked.collect()]
+    bins = [(int(score[d] * 1000), good[d]) for d in rows]
+    gain = {}
+    for limit in range(1001):
+        above = [g for b, g in bins if b >= limit]
+        lost, caught = sum(above) / sum(g for _, g in bins), sum(1 - g for g in above) / sum(1 - g for _, g in bins)
+        if lost <= 1 - s.keep_good:
+            gain[limit] = caught - lost
+    best = [k for k, g in gain.items() if g >= max(gain.values()) - 1e-12]
+    limit = best[len(best) // 2]
+    assert {d: out[d]["kept"] for d in out} == {d: not failed[d] and int(score[d] * 1000) < limit for d in out}
+    assert judged.count() == docs.count()
+
+
+def test_counts_of_a_very_long_text():
+    text = "word other " * 300_000
+    assert quality_rules.text_counts(text)[:5] == (600_000, 2_700_000, 0, 0, 600_000)
