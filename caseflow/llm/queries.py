@@ -14,6 +14,9 @@ def _lazy(module: str):
 
 #: name of the query -> module whose ``query`` runs it
 MODULES = {
+    "op13_importance": "importance",
+    "op12_fill_in_middle": "fill_in_middle",
+    "op11_exact_dedup": "exact_dedup",
     "op10_html_extract": "html_extract",
     "op9_ngram_join": "ngram_join",
     "op7_suffix_dedup": "suffix_dedup",
