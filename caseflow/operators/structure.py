@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions import chains as C
 from caseflow.functions import text as T
 from caseflow.functions.grammar import either, phrase, spaced_letters
 from caseflow.operators.match import small
@@ -158,8 +159,7 @@ def section_breaks(text, breaks=BREAKS) -> Column:
 
 def thin_breaks(positions, gap: int = 200) -> Column:
     """A position stays only if it lies more than ``gap`` behind the last one that stayed."""
-    kept = F.aggregate(F.array_sort(_c(positions)), F.array(F.lit(-1000)).cast("array<int>"), lambda acc, x: F.when(x - F.element_at(acc, -1) > gap, F.concat(acc, F.array(x.cast("int")))).otherwise(acc))
-    return F.slice(kept, 2, 1_000_000)
+    return C.bound(F.array_sort(_c(positions)), lambda ps: F.transform(C.spaced(ps, gap), lambda k: F.get(ps, k).cast("int")))
 
 
 def section_spans(docs: DataFrame, breaks: str = "breaks", text: str = "text", keep: str = "doc_id", least: int = 100) -> DataFrame:
@@ -175,9 +175,8 @@ def section_spans(docs: DataFrame, breaks: str = "breaks", text: str = "text", k
 
 def sections(docs: DataFrame, text: str = "text", keep: str = "doc_id", gap: int = 200) -> DataFrame:
     """Breaks, thinned, then spans."""
-    found = docs.withColumn("__b", section_breaks(text))
-    stay = thin_breaks(F.transform("__b", lambda r: r["start"]), gap)
-    return section_spans(found.withColumn("breaks", F.filter("__b", lambda r: F.array_contains(stay, r["start"]))), text=text, keep=keep)
+    found = C.bound(section_breaks(text), lambda b: F.transform(C.spaced(F.transform(b, lambda r: r["start"]), gap), lambda k: F.get(b, k)))
+    return section_spans(docs.withColumn("breaks", found), text=text, keep=keep)
 
 
 def merge_sections(rows: DataFrame, first: list[str] = [], longest: list[str] = [], distinct: list[str] = [], last: list[str] = [], key: str = "doc_id", order: str = "section_no") -> DataFrame:  # noqa: B006
@@ -206,19 +205,12 @@ def chunks(docs: DataFrame, text: str = "text", keep: str = "doc_id", budget: in
     ``size`` maps a sentence to its tokens; words by default.
     """
     size = size or (lambda s: F.size(F.split(s, r"\s+")))
-    state = "struct<done: array<array<string>>, open: array<string>, used: int>"
-    start = F.from_json(F.lit('{"done":[],"open":[],"used":0}'), state)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, s: a + size(s))
-
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["used"] + size(s) > budget) & (F.size(acc["open"]) > 0)
-        carried = F.slice(acc["open"], F.greatest(F.lit(1), F.size(acc["open"]) - overlap + 1), F.lit(overlap))
-        fresh = F.concat(carried, F.array(s))
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), fresh.alias("open"), total(fresh).alias("used"))).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(s)).alias("open"), (acc["used"] + size(s)).alias("used")))
-
-    packed = F.aggregate(sentences(text), start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
-    rows = docs.select(keep, F.posexplode(packed).alias("chunk_no", "s"))
-    return rows.select(keep, "chunk_no", F.array_join("s", ". ").alias("content"), total(F.col("s")).alias("token_count"))
+
+    def rows(xs: Column) -> Column:
+        packs = C.packed(F.transform(xs, size), budget, overlap)
+        return F.transform(packs, lambda p: F.struct(F.array_join(F.slice(xs, p["first"] + 1, p["end"] - p["first"]), ". ").alias("content"), p["total"].alias("token_count")))
+
+    return docs.select(keep, F.posexplode(C.bound(sentences(text), rows)).alias("chunk_no", "c")).select(keep, "chunk_no", "c.content", "c.token_count")
 
 
 def windows(docs: DataFrame, text: str = "text", keep: str = "doc_id", width: int = 20_000, step: int = 17_000) -> DataFrame:
