@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
+from caseflow.operators.contain import contained
 
 #: Rows, and bytes of their JSON, up to which a catalogue is sent to every executor.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
@@ -50,14 +51,12 @@ def merge_alias_sources(*sources: DataFrame) -> DataFrame:
 def alias_containment(docs: DataFrame, aliases: DataFrame, weights: dict[str, int], keep: str = "doc_id", whole: str | None = None, whole_weight: int = 2) -> DataFrame:
     """The label whose alias a field contains; the heaviest field wins, the alias' ordinal breaks ties.
 
-    Both sides are folded first. Containment has no join key, so the aliases are a catalogue of bounded size that every
-    task reads; a larger list is an error and belongs into ``resolve_entity``, which has keys.
+    Both sides are folded first; lists of any length meet the texts by their q-grams.
     """
     fields = dict(weights) | ({whole: whole_weight} if whole else {})
-    stacked = docs.select(keep, F.explode(F.array(*(F.struct(T.fold(c).alias("body"), F.lit(w).alias("weight")) for c, w in fields.items()))).alias("f")).select(keep, "f.*").where("body <> ''")
-    named = bounded(aliases.select(T.fold("alias").alias("alias"), "label", "ordinal").where("alias <> ''"), "aliases")
-    met = stacked.join(named, F.contains(stacked["body"], F.col("alias")))
-    return first_by(met, [keep], F.desc("weight"), F.col("ordinal"), F.col("label")).select(keep, "label", F.col("weight").alias("score"))
+    stacked = docs.select(keep, F.explode(F.array(*(F.struct(T.fold(c).alias("body"), F.lit(w).alias("weight")) for c, w in fields.items()))).alias("f")).select(F.struct(keep, "f.weight").alias("key"), "f.body")
+    named = aliases.select(T.fold("alias").alias("pattern"), F.struct("ordinal", "label").alias("payload"))
+    return first_by(contained(stacked, named).select("key.*", "payload.*"), [keep], F.desc("weight"), F.col("ordinal"), F.col("label")).select(keep, "label", F.col("weight").alias("score"))
 
 
 def _ranked_words(rows: DataFrame, keys: list[str], often: DataFrame) -> DataFrame:
@@ -194,15 +193,58 @@ def option_score(wanted, option, preferred: tuple[str, ...] = ()) -> Column:
     return score + F.when(a.isNull() | b.isNull(), 0).when(a == b, 50).otherwise(-100)
 
 
+def option_candidates(asked: DataFrame, options: DataFrame, threshold: int, preferred: tuple[str, ...] = ()) -> DataFrame:
+    """(wanted, option) pairs among which the best option of every ``asked.wanted`` at or above the threshold is.
+
+    ``options.option`` is a struct that begins with the order of the catalogue and has a ``text``. The score is bounded by
+    what a pair has in common, so four lists hold all that can win:
+
+    * options that hold the wanted text whole, by ``contained``;
+    * pairs with one ordinal (first, second), by a shared word: any overlap beats the first such option without;
+    * pairs with a word among the rarest ``n - ceil(least n) + 1`` of both: ``least`` is the word overlap that the
+      threshold needs when only a preferred word can add to it;
+    * of the options without any of that, which score by ordinal and preferred word alone, the first of each kind.
+    """
+    o = options.select("option", F.col("option.text").alias("text")).distinct()
+    kind = lambda c: T.ordinal_of(c)
+    liked = F.lit(False)
+    for p in preferred:
+        liked = liked | F.contains(T.fold("text", "lower"), T.fold(F.lit(p), "lower"))
+    wordless = F.size(T.tokens("text")) == 0  # like another wordless text, as far as words go
+    firsts = o.groupBy(kind("text").alias("kind"), liked.alias("liked"), wordless.alias("wordless")).agg(F.min("option").alias("option")).select("option")  # twelve rows at most
+    whole = contained(o.select(F.col("option").alias("key"), T.fold("text", "lower").alias("body")), asked.select(T.fold("wanted", "lower").alias("pattern"), F.col("wanted").alias("payload")))
+    pairs = asked.join(F.broadcast(firsts), F.lit(True)).select("wanted", "option")
+    pairs = pairs.unionByName(whole.select(F.col("payload").alias("wanted"), F.col("key").alias("option")))
+
+    words = lambda rows, key, c: rows.select(F.col(key), F.explode(F.array_distinct(T.tokens(c))).alias("word"))
+    often = words(o, "option", "text").groupBy("word").agg(F.count("*").alias("times"))
+
+    def ranked(rows: DataFrame, key: str) -> DataFrame:
+        w = Window.partitionBy(key)
+        each = rows.join(often, "word", "left")
+        return each.withColumn("k", F.row_number().over(w.orderBy(F.coalesce("times", F.lit(0)), "word"))).withColumn("n", F.count("*").over(w))
+
+    a, b = ranked(words(asked, "wanted", "wanted"), "wanted"), ranked(words(o, "option", "text"), "option")
+    least = max(0, threshold - (12 if preferred else 0)) / 70
+    rare = F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    pairs = pairs.unionByName(a.where(rare).join(b.where(rare).select("option", "word"), "word").select("wanted", "option"))
+    numbered = lambda rows, c: rows.withColumn("kind", kind(c)).where("kind is not null")
+    one, other = words(numbered(asked, "wanted"), "wanted", "wanted"), words(numbered(o, "text"), "option", "text")
+    same = one.join(other, "word").where(kind("wanted") == kind("option.text"))
+    return pairs.unionByName(same.select("wanted", "option")).distinct()
+
+
 def best_option(df: DataFrame, options: DataFrame, wanted: str, keys: list[str], threshold: int = 28, preferred: tuple[str, ...] = ()) -> DataFrame:
     """The option of highest score, ties to the catalogue's order; null below the threshold.
 
-    Options are a catalogue of at most ``BROADCAST_ROWS`` rows and meet distinct wanted values only.
+    Distinct wanted values meet the candidates that ``option_candidates`` leaves.
     """
-    asked = df.select(F.col(wanted).alias("__w")).distinct()
-    met = asked.join(bounded(options.select("value", "text", "ordinal"), "options"), F.lit(True)).withColumn("score", option_score("__w", "text", preferred))
-    best = first_by(met, ["__w"], F.desc("score"), F.col("ordinal")).where(F.col("score") >= threshold)
-    return df.join(best.select("__w", F.col("value").alias("option_value"), F.col("text").alias("option_text"), F.col("score").alias("option_score")), df[wanted].eqNullSafe(F.col("__w")), "left").drop("__w")
+    asked = df.select(F.coalesce(F.col(wanted), F.lit("")).alias("wanted")).distinct()
+    met = option_candidates(asked, options.select(F.struct("ordinal", "value", "text").alias("option")), threshold, preferred)
+    scored = met.withColumn("score", option_score("wanted", "option.text", preferred)).where(F.col("score") >= threshold)
+    best = first_by(scored, ["wanted"], F.desc("score"), F.col("option"))
+    best = best.select(F.col("wanted").alias("__w"), F.col("option.value").alias("option_value"), F.col("option.text").alias("option_text"), F.col("score").alias("option_score"))
+    return df.join(best, F.coalesce(F.col(wanted), F.lit("")) == F.col("__w"), "left").drop("__w")
 
 
 def distinct_names(names, threshold: float = 0.85) -> Column:
@@ -249,15 +291,18 @@ def map_claims(claims: DataFrame, keywords: DataFrame, types: DataFrame, key: st
     that is not taken yet and has terms both in a claim and in the type's text; it scores 20 x the keyword's priority.
     Where that gives fewer than ``enough`` types, the first ``tried`` claims take turns: each takes the first type left
     whose partial ratio with the claim's first ``head`` characters reaches ``close``; it has priority 0. Chosen are the
-    first ``most`` by priority, then score, then turn. Keywords and types are catalogues of bounded size.
+    first ``most`` by priority, then score, then turn. Keywords may be many; types, which take turns, are a catalogue of bounded size.
     """
     at = F.col("ordinal") if "ordinal" in keywords.columns else F.lit(0)
-    k = bounded(keywords.select("keyword", T.fold("term").alias("term"), "category", F.col("priority").cast("bigint").alias("priority"), at.alias("k_ordinal")), "keywords")
+    entry = F.struct(at.alias("k_ordinal"), "keyword", "category", F.col("priority").cast("bigint").alias("priority"))
+    k = keywords.select(T.fold("term").alias("pattern"), entry.alias("payload"))
     t = types.select("value", F.col("text").alias("type_text"), F.col("ordinal").cast("bigint").alias("type_ordinal"))
-    fits = bounded(t, "types").join(k.select("keyword", "term"), F.contains(T.fold("type_text"), F.col("term")), "left")
-    fits = fits.groupBy("type_ordinal", "value", "type_text").agg(F.collect_set("keyword").alias("fits"))
+    every = t.select(F.struct("type_ordinal", "value", "type_text").alias("key"), T.fold("type_text").alias("body"))
+    words = contained(every, k).groupBy("key").agg(F.collect_set("payload.keyword").alias("fits"))
+    fits = bounded(t, "types").join(words, F.struct("type_ordinal", "value", "type_text").eqNullSafe(F.col("key")), "left").drop("key").withColumn("fits", F.coalesce("fits", F.array().cast("array<string>")))
     every = fits.agg(F.array_sort(F.collect_list(F.struct("type_ordinal", "value", "type_text", "fits"))).alias("every"))
-    named = claims.join(k, F.contains(T.fold(claim), F.col("term"))).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("k_ordinal", "keyword", "category", "priority"))).alias("keywords"))
+    said = contained(claims.select(F.col(key).alias("key"), T.fold(claim).alias("body")), k)
+    named = said.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set("payload")).alias("keywords"))
     first = claims.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(ordinal, claim))).where(F.col("__n") <= tried)
     order = F.array_sort(F.collect_list(F.struct("__n", F.left(claim, F.lit(head)).alias("c"))))
     docs = first.groupBy(key).agg(order.alias("claims")).join(named, key, "left").join(F.broadcast(every), F.lit(True))  # every: one row
