@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,21 +44,120 @@ def enrich_blank(rows: DataFrame, context: DataFrame, critical: list[str], field
     return met.withColumns({f: F.coalesce(T.unblank(f), F.col(f"__{f}").cast(rows.schema[f].dataType)) for f in fields}).drop(*(f"__{f}" for f in fields))
 
 
-def lcs_ratio(pairs: DataFrame, a: str = "a", b: str = "b", name: str = "lcs") -> DataFrame:
-    """2 x longest common subsequence / lengths on candidate pairs, by an Arrow function; for parity with LCS scorers."""
+def _columns(p: str) -> dict[str, int]:
+    """For each letter of ``p`` the places where it stands, as bits."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(p):
+        at[c] = at.get(c, 0) | 1 << k
+    return at
+
+
+def lcs_length(p: str, q: str) -> int:
+    """Longest common subsequence, a column of the recurrence at a time.
+
+    A zero bit marks a place of ``p`` where the length grows. One addition carries every match of a letter of ``q`` to the
+    next such place, so a letter costs a few operations on whole words instead of one on each letter of ``p``.
+    """
+    if len(p) > len(q):
+        p, q = q, p
+    at = _columns(p)
+    row = full = (1 << len(p)) - 1
+    for here in map(at.get, q):
+        if here:
+            match = row & here
+            row = (row + match | row ^ match) & full
+    return len(p) - row.bit_count()
+
+
+#: Letters from which a pair is worked out alone, and pairs that are worked out side by side.
+LONG, ABREAST = 1024, 4096
+#: Words of the match masks of pairs side by side; texts of very many different letters go in smaller groups.
+MASKS = 1 << 23
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts, with the text and the place of each."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _abreast(ps: list[str], qs: list[str]) -> np.ndarray:
+    """``lcs_length`` of pairs of similar size, one letter of every second text at a time; a word holds 64 columns."""
+    n, words = len(ps), -(-max(map(len, ps)) // 64)
+    letter, owner, place = _letters(ps)
+    alphabet, code = np.unique(letter, return_inverse=True)
+    if n > 1 and n * (len(alphabet) + 1) * words > MASKS:
+        return np.concatenate([_abreast(ps[: n // 2], qs[: n // 2]), _abreast(ps[n // 2 :], qs[n // 2 :])])
+    masks = np.zeros((n, len(alphabet) + 1, words), np.uint64)  # the last letter stands for all that no first text has
+    bits = np.uint64(1) << (place & 63).astype(np.uint64)
+    np.bitwise_or.at(masks, (owner, code, place >> 6), bits)
+    full = np.zeros((n, words), np.uint64)
+    np.bitwise_or.at(full, (owner, place >> 6), bits)
+    letter, owner, place = _letters(qs)
+    at = np.minimum(np.searchsorted(alphabet, letter), len(alphabet) - 1)
+    second = np.full((n, max(map(len, qs))), len(alphabet))
+    second[owner, place] = np.where(alphabet[at] == letter, at, len(alphabet))
+    row, every = np.full((n, words), ~np.uint64(0)), np.arange(n)
+    for k in range(second.shape[1]):
+        here = masks[every, second[:, k]]
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            before = row[:, w]
+            match = before & here[:, w]
+            half = before + match
+            whole = half + carry
+            carry = ((half < before) | (whole < half)).astype(np.uint64)
+            row[:, w] = whole | (before ^ match)
+    return np.bitwise_count(full & ~row).sum(axis=1)
+
+
+def lcs_lengths(ps: list[str], qs: list[str]) -> np.ndarray:
+    """``lcs_length`` of many pairs."""
+    out = np.zeros(len(ps), np.int64)
+    pairs = [(q, p) if len(p) > len(q) else (p, q) for p, q in zip(ps, qs)]
+    some = sorted((k for k, (p, _) in enumerate(pairs) if p), key=lambda k: len(pairs[k][1]))
+    short = [k for k in some if len(pairs[k][1]) < LONG]
+    for at in range(0, len(short), ABREAST):
+        part = short[at : at + ABREAST]
+        out[part] = _abreast([pairs[k][0] for k in part], [pairs[k][1] for k in part])
+    for k in some[len(short) :]:
+        out[k] = lcs_length(*pairs[k])
+    return out
+
+
+def _lcs_scores(ps: list[str], qs: list[str], least: float) -> np.ndarray:
+    """2 x LCS / lengths; 0 where that doesn't reach ``least``, which the lengths alone often show."""
+    total, lower = (np.array([f(len(p), len(q)) for p, q in zip(ps, qs)], np.float64) for f in (lambda a, b: a + b, min))
+    out = np.where(total == 0, 1.0, 0.0)
+    some = np.flatnonzero((total > 0) & (2 * lower >= least * total))
+    out[some] = 2 * lcs_lengths([ps[k] for k in some], [qs[k] for k in some]) / total[some]
+    return np.where(out >= least, out, 0.0)
+
+
+def _partial_score(p: str, q: str, least: float) -> float:
+    """The best score of the shorter text with a window of its length in the longer one, windows at the ends being shorter."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not p:
+        return 0.0 if q else 1.0
+    if p in q:
+        return 1.0
+    letters, n = set(p), len(p)
+    windows = [q[max(0, end - n) : end] for end in range(1, len(q) + n)]
+    # a best window ends with a letter of the shorter text, or begins with one where it runs out of the longer text
+    windows = [w for end, w in enumerate(windows, 1) if w[-1 if end <= len(q) else 0] in letters]
+    return float(_lcs_scores([p] * len(windows), windows, least).max(initial=0.0))
+
+
+def lcs_ratio(pairs: DataFrame, a: str = "a", b: str = "b", name: str = "lcs", least: float = 0.0, partial: bool = False) -> DataFrame:
+    """F16: 2 x longest common subsequence / lengths of the folded texts (0 below ``least``), for parity with LCS scorers.
+
+    ``partial`` compares the shorter text with the windows of the longer one. The pairs are candidates of a blocking join.
+    """
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p: str, q: str) -> float:
-            if not p and not q:
-                return 1.0
-            row = [0] * (len(q) + 1)
-            for c in p:
-                last = 0
-                for k, d in enumerate(q, 1):
-                    last, row[k] = row[k], last + 1 if c == d else max(row[k], row[k - 1])
-            return 2 * row[-1] / (len(p) + len(q))
-
-        return pd.Series([one(p or "", q or "") for p, q in zip(x, y)])
+        return pd.Series([_partial_score(p, q, least) for p, q in zip(x, y)] if partial else _lcs_scores(x.tolist(), y.tolist(), least), dtype="float64")
 
     return pairs.withColumn(name, score(T.fold(a), T.fold(b)))
