@@ -77,6 +77,14 @@ def update_field(df: DataFrame, key: str, key_value, column: str, value, protect
     return df.withColumn(column, F.when(F.col(key) == key_value, F.lit(value).cast(df.schema[column].dataType)).otherwise(F.col(column)))
 
 
+def set_field(spark, table, number: int, key_value, column: str, value, protected: tuple[str, ...] = PROTECTED) -> list[int]:
+    """P15 on a table kept by key: only the partition of that row is rewritten; ``number`` names the change."""
+    kind = table.read(spark).schema[table.key].dataType
+    row = spark.range(1).select(F.lit(key_value).cast(kind).alias(table.key))
+    update_field(table.read(spark), table.key, key_value, column, value, protected)  # what may not be changed is an error before anything is written
+    return table.change(number, row, lambda rows, _: update_field(rows, table.key, key_value, column, value, protected))
+
+
 # ---- joins
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseflow.operators import rules
+from caseflow.packs import labour_br
 from caseflow.plans.catalogue import _EVENTS, _events, query, t
 from caseflow.plans.more import _place
-from caseflow.streaming import states
+from caseflow.sources.keyed import KeyedTable
+from caseflow.sources.shared import stream_of
+from caseflow.streaming import jobs, states
 
 
 def _stream(spark, like, folder: str):
@@ -58,3 +62,34 @@ def streamed_retries(spark, sf_dir):
     for asked, ended in zip(states.replay(both[0], f"{at}/asked"), states.replay(both[1], f"{at}/ended")):
         states.keep_outcomes(f"{at}/rows", _stream(spark, e, asked), _stream(spark, e, ended), f"{at}/checkpoint", within="12 HOURS").awaitTermination()
     return spark.read.parquet(f"{at}/rows")
+
+
+@query(
+    """
+WITH u AS (SELECT o_custkey, min(nullif(trim(o_orderpriority), '')) AS p FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE coalesce(p, ' ') END AS label FROM customer LEFT JOIN u ON o_custkey = c_custkey"""
+)
+def late_labels(spark, sf_dir):
+    """T5: labels that arrive for customers fill those that are blank; the table is changed by key."""
+    at, name = _place(spark, "labels"), "orders"
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE ' ' END").alias("label"))
+    table = KeyedTable(f"{at}/table", "c_custkey", 8).create(rows)
+    late = stream_of(t(spark, sf_dir, name), f"{sf_dir}/{name}.parquet").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("label"))
+    jobs.late_enrichment(table, late, ["label"], f"{at}/checkpoint").awaitTermination()
+    return table.read(spark)
+
+
+@query("SELECT conv_id AS doc_id, CASE WHEN conv_id % 100 = 7 THEN 'error' ELSE 'ready' END AS status, count(*) FILTER (conv_id % 100 <> 7 AND role = 'user') AS found FROM conversations GROUP BY 1, 2")
+def settled_turns(spark, sf_dir):
+    """T4: conversations arrive and are extracted; in some, one turn raises an error, which costs their document alone."""
+    at, name = _place(spark, "settled"), "conversations"
+    turns = stream_of(t(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+    pages = turns.select(F.col("conv_id").alias("doc_id"), "turn", "role", F.when(F.col("role") == "user", F.lit("Distribuído em 05.03.2024")).otherwise(F.lit("nada")).alias("text"))
+
+    def work(batch):
+        seen = F.when((F.col("doc_id") % 100 == 7) & (F.col("turn") == 0), F.raise_error(F.lit("unreadable"))).otherwise(F.col("text"))
+        return rules.extract(batch.select("doc_id", "turn", seen.alias("text")), labour_br.PACK, fields=["filing_date"], keep=("doc_id", "turn"), provenance=False)
+
+    jobs.arriving_documents(pages, work, f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    found = jobs.settled_rows(spark, f"{at}/rows").groupBy("doc_id").agg(F.count("filing_date").alias("found"))
+    return jobs.settled_documents(spark, f"{at}/rows").join(found, "doc_id").select("doc_id", "status", "found")

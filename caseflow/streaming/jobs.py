@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from caseflow.operators.worklog import TERMINAL
+from caseflow.functions import text as T
+from caseflow.operators.quality import baseline_fill
+from caseflow.operators.worklog import TERMINAL, batch_outcome, item_status_matrix
+from caseflow.sources.keyed import KeyedTable
 from caseflow.sources.shared import drop_folder, numbered_folders
 
 # ---- batch twins
@@ -90,7 +93,8 @@ def state_stream(events: DataFrame, minutes: int = 10, days: int = 7) -> DataFra
             return
         status, step, message, at, n = state.get if state.exists else (None, "", "", -1, 0)
         for b in batches:
-            for r in b.sort_values(["ts", "step", "message"]).itertuples():
+            texts = {c: b[c].where(b[c].notna(), "") for c in ("step", "message")}  # unknown ones come first
+            for r in b.assign(**texts).sort_values(["ts", "step", "message"]).itertuples():
                 when = r.ts.value // 1000
                 n += 1
                 if (when, r.step, r.message) >= (at, step, message):
@@ -154,26 +158,112 @@ def merge_states(target: str, events: DataFrame, checkpoint: str, trigger: dict
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def arriving_documents(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """T4: each micro-batch of pages becomes rows in ``target``; a repeated batch overwrites itself."""
+# ---- arriving documents
+
+
+#: Jobs that one batch may spend on finding the documents that fail; the rest of a failing part then counts as failed.
+SEARCHES = 256
+_LOST = ("ExecutorLostFailure", "FetchFailed", "cancelled", "CANCELLED", "OutOfMemory")
+
+
+def settle(batch: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, key: str = "doc_id") -> None:
+    """T4: write ``extract`` of a batch to ``path`` with ``status`` and ``reason``: documents that fail are rows of their own.
+
+    All goes well in one job. If it fails, the batch is halved by a hash of the key, and only failing halves are halved
+    again, until a failing part is one document; so one bad document of n costs about 2 log2(n) small jobs. What was found
+    is put together and written once. A failure that is the cluster's is raised, so the batch is tried again.
+    """
+    aside, spark, left = f"{path.rstrip('/')}-aside".replace("batch=", "pieces-"), batch.sparkSession, [SEARCHES]
+    schema = extract(batch.where("false")).schema
+
+    def attempt(rows: DataFrame, to: str) -> str | None:
+        left[0] -= 1
+        try:
+            extract(rows).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason")).write.mode("overwrite").parquet(to)
+        except Exception as error:  # whatever the extraction raises
+            if any(w in str(error) for w in _LOST):
+                raise
+            return _reason(error)
+
+    pieces, failed = [], []
+
+    def search(level: int, value: int, reason: str) -> None:
+        here = batch.where(F.pmod(F.xxhash64(key), F.lit(1 << level)) == value)
+        if level == 62 or left[0] <= 0 or here.select(key).distinct().limit(2).count() < 2:
+            failed.append(here.select(key).distinct().withColumn("reason", F.lit(reason)))
+            return
+        for half in (value, value + (1 << level)):
+            part = batch.where(F.pmod(F.xxhash64(key), F.lit(2 << level)) == half)
+            if part.isEmpty():
+                continue
+            to = f"{aside}/{level + 1}-{half}"
+            error = attempt(part, to)
+            if error is None:
+                pieces.append(to)
+            else:
+                search(level + 1, half, error)
+
+    error = attempt(batch, path)
+    if error is None:
+        return
+    search(0, 0, error)
+    out = spark.createDataFrame([], schema).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason"))
+    for rows in failed:
+        out = out.unionByName(rows.withColumn("status", F.lit("error")), allowMissingColumns=True)
+    if pieces:
+        out = out.unionByName(spark.read.schema(out.schema).parquet(*pieces))
+    out.write.mode("overwrite").parquet(path)
+    if pieces:
+        drop_folder(aside)
+
+
+def _reason(error: Exception) -> str:
+    lines = [x.strip() for x in str(error).splitlines() if x.strip()]
+    said = [x for x in lines if not x.startswith(("at ", "File ", "Traceback", "An exception was thrown", "JVM stacktrace"))]
+    return (said or lines or [type(error).__name__])[0][:300]
+
+
+def arriving_documents(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, trigger: dict | None = None, key: str = "doc_id") -> StreamingQuery:
+    """T4: each micro-batch of pages becomes rows in ``target``, ready or in error; a repeated batch overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        settle(batch, extract, f"{target}/batch={number}", key)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def late_enrichment(cases_path: str, out: str, arriving: DataFrame, fields: list[str], checkpoint: str, key: str = "case_id") -> StreamingQuery:
-    """T5: late values fill blanks of existing cases; each batch makes a new snapshot, of which the last two are kept."""
-    from caseflow.operators.quality import baseline_fill
+def retry_failed(spark: SparkSession, target: str, pages: DataFrame, extract: Callable[[DataFrame], DataFrame], number: int, key: str = "doc_id") -> None:
+    """Extract again what stands at error, from its pages alone; retry ``number`` (from 1) overwrites itself."""
+    asked = settled_documents(spark, target, key, before=number).where("status = 'error'").select(key)
+    settle(pages.join(asked, key, "left_semi"), extract, f"{target}-retries/batch={number}", key)
+
+
+def settled_rows(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """All rows of all attempts: ``batch``, and ``attempt``, which is 0 for the stream's own and counts retries (below ``before``)."""
+    rows = spark.read.option("mergeSchema", "true").parquet(target).withColumn("attempt", F.lit(0))
+    for n in numbered_folders(f"{target}-retries"):
+        if before is None or n < before:
+            again = spark.read.parquet(f"{target}-retries/batch={n}").withColumns({"batch": F.lit(None).cast("int"), "attempt": F.lit(n)})
+            rows = rows.unionByName(again, allowMissingColumns=True)
+    return rows
+
+
+def settled_documents(spark: SparkSession, target: str, key: str = "doc_id", before: int | None = None) -> DataFrame:
+    """(key, batch, attempt, status, reason): each document as its last attempt left it."""
+    by_attempt = settled_rows(spark, target, before).groupBy(key, "attempt").agg(F.max("batch").alias("batch"), F.when(F.count_if(F.col("status") == "error") > 0, "error").otherwise("ready").alias("status"), F.max("reason").alias("reason"))
+    return by_attempt.groupBy(key).agg(F.max("batch").alias("batch"), F.max("attempt").alias("attempt"), F.max_by("status", "attempt").alias("status"), F.max_by("reason", "attempt").alias("reason"))
+
+
+def batch_counts(documents: DataFrame) -> DataFrame:
+    """T4, A3, A4: of ``settled_documents`` how many of each batch are ready or failed, and what came of it."""
+    return batch_outcome(item_status_matrix(documents.withColumnRenamed("batch", "batch_id")))
+
+
+def late_enrichment(table: KeyedTable, arriving: DataFrame, fields: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """T5: late values fill blanks of existing cases; a batch rewrites only the partitions of the keys that it brings."""
 
     def fill(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        cases = spark.read.parquet(f"{out}/batch={number - 1}" if number else cases_path)
-        one = batch.groupBy(key).agg(*(F.min(f).alias(f) for f in fields))
-        baseline_fill(cases, one, fields, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        for n in numbered_folders(out):
-            if n < number - 1:
-                drop_folder(f"{out}/batch={n}")
-
-    return arriving.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        one = batch.groupBy(table.key).agg(*(F.min(T.unblank(f)).alias(f) for f in fields))
+        table.change(number, one, lambda cases, late: baseline_fill(cases, late, fields, table.key))
+
+    return arriving.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

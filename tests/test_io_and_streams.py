@@ -139,8 +139,4 @@ def test_arriving_documents_and_late_values(spark, tmp_path):
     stream = spark.readStream.schema(p.schema).parquet(str(tmp_path / "pages"))
     jobs.arriving_documents(stream, lambda b: rules.extract(b, labour_br.PACK, fields=["filing_date"], keep=("doc_id", "page_no")), str(tmp_path / "rows"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "rows")).where("filing_date = '05/03/2024'").count() == 1
-    spark.createDataFrame([(1, None), (2, "x")], "case_id long, v string").write.parquet(str(tmp_path / "cases"))
-    late = spark.createDataFrame([(1, "new"), (2, "never")], "case_id long, v string")
-    late.write.parquet(str(tmp_path / "late"))
-    jobs.late_enrichment(str(tmp_path / "cases"), str(tmp_path / "filled"), spark.readStream.schema(late.schema).parquet(str(tmp_path / "late")), ["v"], str(tmp_path / "cp2")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "filled/batch=0")).select("case_id", "v").collect())) == [(1, "new"), (2, "x")]
+    assert {r["status"] for r in jobs.settled_documents(spark, str(tmp_path / "rows")).collect()} == {"ready"}
