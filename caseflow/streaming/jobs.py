@@ -262,8 +262,14 @@ def batch_counts(documents: DataFrame) -> DataFrame:
 def late_enrichment(table: KeyedTable, arriving: DataFrame, fields: list[str], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """T5: late values fill blanks of existing cases; a batch rewrites only the partitions of the keys that it brings."""
 
+    def merged(cases: DataFrame, late: DataFrame) -> DataFrame:
+        # what stays blank stays as it was, whether its partition is touched or not
+        kept = cases.withColumns({f"__was_{f}": F.col(f) for f in fields})
+        filled = baseline_fill(kept, late, fields, table.key)
+        return filled.withColumns({f: F.coalesce(f, f"__was_{f}") for f in fields}).select(*cases.columns)
+
     def fill(batch: DataFrame, number: int) -> None:
         one = batch.groupBy(table.key).agg(*(F.min(T.unblank(f)).alias(f) for f in fields))
-        table.change(number, one, lambda cases, late: baseline_fill(cases, late, fields, table.key))
+        table.change(number, one, merged)
 
     return arriving.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
