@@ -23,24 +23,46 @@ class DocumentClass:
     confidence: float
 
 
-def _class(name: str, head: int, least: int, confidence: float, *signs: str) -> DocumentClass:
-    """Signs are phrases; alternatives of one sign stand between bars."""
-    return DocumentClass(name, tuple(either(*(alternative.strip() for alternative in sign.split("|"))) for sign in signs), head, least, confidence)
-
-
-#: Names, heads, least numbers of signs and confidences. The signs are what documents of the class say of themselves.
-LABOUR_CLASSES = (
-    _class("Ata de Audiência", 1000, 1, 0.95, "ata de audiência | termo de audiência", "realizou-se (a) audiência | audiência realizada | audiência foi realizada", "aberta a audiência | abertos os trabalhos"),
-    _class("Acórdão", 2000, 2, 0.9, "acórdão | acordam os", "tribunal regional | tribunal de justiça | tribunal superior", "relator: | relatora:", "vistos, relatados | vistos relatados | relatados e discutidos"),
-    _class("Sentença", 2000, 2, 0.9, "sentença", "julgo procedente | julgo improcedente | julgo parcialmente | julgo os pedidos", "ante o exposto | diante do exposto | posto isso", "dispositivo"),
-    _class("Decisão Interlocutória", 2000, 1, 0.85, "decisão interlocutória", "indefiro | defiro o | defiro a", "julgo extinto | julgo extinta", "determino a citação | determino a intimação"),
-    _class("Notificação", 1500, 2, 0.85, "intimação", "notificação", "fica intimad@ | fica vossa excelência | fica a parte | fica v.s.a.", "prazo de", "cientificad@ | tomar ciência"),
-    _class("Manifestação", 1500, 1, 0.8, "contestação", "impugnação", "resposta à inicial | resposta à petição", "defesa prévia | em sua defesa"),
-    _class(
-        "Petição Inicial", 2000, 2, 0.75, "petição inicial", "exmo. sr. | excelentíssimo senhor", "perante v.s.a. | perante vossa excelência", "da causa de pedir | dos fatos", "requer a citação", "reclamação trabalhista | ação de cobrança | ação de indenização | ação de despejo | execução fiscal | execução de título",
-        "reclamante : | reclamante: | autor: | autora: | exequente:", "reclamad@: | reclamad@ : | executad@: | réu:", "denúncia | ministério público:", "acusad@:",
+@dataclass(frozen=True)
+class Kind:
+    """A kind of court document: how it is headed, and what it does, by whom and in which set words. One list is one sign."""
+
+    name: str
+    #: The key of a section that begins with such a heading.
+    key: str
+    titles: tuple[str, ...]
+    acts: tuple[str, ...] = ()
+    actors: tuple[str, ...] = ()
+    formulas: tuple[str, ...] = ()
+    #: Further signs, each of its own.
+    more: tuple[tuple[str, ...], ...] = ()
+
+    def signs(self) -> tuple[str, ...]:
+        return tuple(either(*words) for words in (self.titles, self.acts, self.actors, self.formulas, *self.more) if words)
+
+
+HEARING_RECORD = Kind(
+    "Ata de Audiência", "ata_audiencia", ("ata da audiência", "ata de audiência", "termo de audiência", "ata da sessão"), ("instalada a audiência", "aberta a audiência", "aberta a sessão", "apregoadas as partes", "abertos os trabalhos"),
+    formulas=("audiência realizada", "realizou-se (a) audiência", "realizada a audiência", "audiência foi realizada"),
+)
+RULING = Kind("Acórdão", "acordao", ("acórdão", "a c ó r d ã o"), ("acordam os", "acordam , por unanimidade", "negar provimento", "dar provimento"), ("relator", "relatora", "desembargador", "desembargadora", "turma do tribunal", "tribunal regional", "tribunal superior", "tribunal de justiça"), ("relatados e discutidos", "vistos e relatados", "vistos, relatados", "é como voto"))
+SENTENCE = Kind("Sentença", "sentenca", ("sentença",), ("julgo procedente", "julgo improcedente", "julgo procedentes", "julgo improcedentes", "julgo parcialmente", "julgo os pedidos"), formulas=("diante do exposto", "ante o exposto", "pelo exposto", "isto posto", "posto isso"), more=(("dispositivo", "fundamentação", "é o relatório"),))
+ORDER = Kind("Decisão Interlocutória", "decisao", ("decisão interlocutória", "decisão liminar"), ("defiro o", "defiro a", "indefiro", "concedo a tutela"), formulas=("julgo extinto", "julgo extinta"), more=(("determino a intimação", "determino a citação", "determino a expedição"),))
+NOTICE = Kind("Notificação", "notificacao", ("notificação", "notificação inicial"), ("fica intimad@", "fica notificad@", "fica citad@", "fica a parte", "fica v.s.a.", "fica vossa"), formulas=("prazo de", "no prazo legal"), more=(("intimação", "mandado de citação"), ("tomar ciência", "cientificad@", "para ciência")))
+REPLY = Kind("Manifestação", "manifestacao", ("contestação", "contrarrazões", "réplica"), formulas=("em sua defesa", "apresentar defesa", "defesa prévia", "defesa escrita"), more=(("impugnação",), ("em resposta à", "resposta à inicial", "resposta à petição")))
+CLAIM = Kind(
+    "Petição Inicial", "peticao_inicial", ("petição inicial", "exordial"), ("requer a citação", "requer a notificação", "vem propor", "vem ajuizar"), ("excelentíssim@ senhor", "exm@. sr.", "vossa excelência", "v.s.a."), ("dos fatos", "da causa de pedir", "do direito", "dos pedidos"),
+    (
+        tuple(f"{act} {of}" for act, ofs in (("reclamação", ("trabalhista",)), ("ação", ("trabalhista", "de cobrança", "de indenização", "de despejo")), ("execução", ("fiscal", "de título"))) for of in ofs),
+        tuple(f"{role}{colon}" for role in ("reclamante", "autor", "autora", "exequente") for colon in (":", " :")),
+        tuple(f"{role}{colon}" for role in ("reclamad@", "réu", "ré", "executad@") for colon in (":", " :")),
+        ("ministério público", "denúncia"), ("acusad@",),
     ),
 )
+KINDS = (HEARING_RECORD, RULING, SENTENCE, ORDER, NOTICE, REPLY, CLAIM)
+#: For each kind, in order of precedence, the characters looked at, the signs needed, and the confidence.
+PRECEDENCE = ((HEARING_RECORD, 1000, 1, 0.95), (RULING, 2000, 2, 0.9), (SENTENCE, 2000, 2, 0.9), (ORDER, 2000, 1, 0.85), (NOTICE, 1500, 2, 0.85), (REPLY, 1500, 1, 0.8), (CLAIM, 2000, 2, 0.75))
+LABOUR_CLASSES = tuple(DocumentClass(kind.name, kind.signs(), head, least, confidence) for kind, head, least, confidence in PRECEDENCE)
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:

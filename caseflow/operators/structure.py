@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import chains as C
 from caseflow.functions import text as T
-from caseflow.functions.grammar import either, phrase, spaced_letters
+from caseflow.functions.grammar import either, spaced_letters
+from caseflow.operators.classify import CLAIM, KINDS, NOTICE, ORDER, REPLY, RULING, Kind
 from caseflow.operators.match import small
 
 
@@ -131,16 +132,22 @@ def line_positions(text) -> Column:
     return T.running_rows(lines, lambda x: F.length(x) + 1, lambda a, b: a + b, F.lit(0), lambda at, x: F.struct(at.alias("start"), x.alias("line")))
 
 
+def headings(kind: Kind) -> str:
+    """How a part of this kind begins: with its title, whose letters may stand apart, with its act, or with the address of its reader."""
+    spaced = "|".join(spaced_letters(t.replace(" ", "")) for t in kind.titles if " " not in t)
+    opening = {NOTICE.key: kind.acts, RULING.key: kind.actors[-3:], CLAIM.key: kind.actors[:2]}.get(kind.key, ())
+    return "|".join(filter(None, (spaced, either(*kind.titles, *opening))))
+
+
+#: A line of its own that opens an order, and the head of another case.
+_VISTOS, _OTHER_CASE = r"vistos\W*(?:etc\W*)?$", r"(?:processo|autos)\s+(?:n\w?\W{0,2}\s*)?\d"
 #: What a line begins with where a new part starts, and the part's kind.
 BREAKS = (
-    (either("exmo. sr. dr. juiz", "excelentíssimo senhor", "petição inicial"), "peticao_inicial"),
-    (either("intimação", "notificação", "fica intimad@", "fica a parte", "fica vossa excelência"), "notificacao"),
-    (either("decisão", "despacho") + r"|vistos?\.?\s*$", "decisao"),
-    (spaced_letters("sentença"), "sentenca"),
-    (either("acórdão", "tribunal regional"), "acordao"),
-    (either("ata de audiência", "termo de audiência"), "ata_audiencia"),
-    (either("contestação", "impugnação", "resposta à"), "manifestacao"),
-    (phrase("processo") + r"\s+n[º°o.]", "novo_processo"),
+    *((headings(kind), kind.key) for kind in KINDS),
+    (either("decisão", "despacho", "conclusão") + "|" + _VISTOS, ORDER.key),
+    (either("intimação", "mandado", "edital"), NOTICE.key),
+    (either("impugnação", "defesa", "resposta à"), REPLY.key),
+    (_OTHER_CASE, "novo_processo"),
 )
 
 

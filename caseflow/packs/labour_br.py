@@ -13,7 +13,7 @@ from caseflow.operators.rules import Rule, RulePack, register
 
 I = "(?iu)"  # noqa: E741  either case, also of accented letters
 DATE = r"(\d{2}[/.\-]\d{2}[/.\-]\d{4})"
-MONEY = r"([0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{1,2}|[0-9]+,[0-9]{1,2})"
+MONEY = r"((?:\d{1,3}(?:\.\d{3})+|\d+),\d{1,2})"
 WRITTEN = rf"\d{{1,2}}[ºoa]?\s+de\s+{T.MONTH}\.?\s+(?:de\s+)?\d\s*\d{{3}}"
 
 
@@ -39,29 +39,46 @@ def _dates(field: str, patterns, **more) -> tuple[Rule, ...]:
 
 # ---- what announces a value, by field, in order of priority
 
-FILING = tuple(labelled(x, DATE, r"\s*:?\s*") for x in ("distribu… em", "data (da) (de) distribuição", "protocol… em", "(data) (da) autuação (em)", "autuad@ em", "recebid@ em"))
-AMOUNT = r"(?:R?\$?\s*)([0-9]{1,3}(?:\.[0-9]{3})*(?:,[0-9]{2})?)"
-VALUE = (labelled("valor (dado) (à) (da) causa", AMOUNT), r"(?<![\w])" + labelled("valor", AMOUNT, r"\s*[:\-]\s*"))
-
-# a hearing: what is said of it, how far the day may be, what stands between day and hour
-DAY, HOUR, AT = r"(\d{2}/\d{2}/\d{4})", r"(\d{1,2}:\d{2})", r",?\s*(?:[àa]s?|-|,)?\s*"
-SESSION = phrase("audiência")
-HEARING = tuple(
-    lead + within(far) + DAY + between + HOUR
-    for lead, far, between in (
-        (SESSION + within(100) + phrase("inicial"), 100, AT),
-        (SESSION + r"\s+" + phrase("una"), 100, AT),
-        (SESSION + r"\s+" + phrase("de conciliação e instrução"), 100, AT),
-        (phrase("pauta de audiência…"), 100, AT),
-        (SESSION + within(80) + r"\s" + phrase("para") + r"\s", 0, r".{0,20}?"),
-        (SESSION + within(150) + r"\b" + phrase("(no) dia") + r":?\s", 0, AT),
-        (phrase("primeira audiência"), 100, AT),
-        (phrase("una a ser realizada") + within(50) + r"presencial\b", 5, AT),
-        (SESSION + r"\s+" + either("de instrução", "de julgamento", "de encerramento"), 90, AT),
-        (either("sessão", "comparecer", "comparecimento") + within(60) + phrase("audiência"), 80, AT),
-    )
+#: A statement keeps its parts within so many characters of a line.
+REACH = 100
+
+
+# what brings a case to court: as a verb with its day, as a noun of which the day is told
+COMING = (("distribuíd@", "distribuição"), ("protocolad@", "protocolo"), ("autuad@", "autuação"), ("ajuizad@", "ajuizamento"), ("recebid@", "recebimento"), ("proposta", "propositura"))
+FILED, FILINGS = either(*(verb for verb, _ in COMING)), either(*(noun for _, noun in COMING))
+SIGN = r"\s*[:\-]?\s*"
+FILING = (
+    either("data") + rf"\s+(?:d[aeo]\s+)?{FILINGS}{SIGN}" + DATE,
+    rf"(?:{FILED}|{FILINGS})\s+(?:" + either("em", "no dia", "aos", "na data de") + rf"){SIGN}" + DATE,
+    FILINGS + r"\s*:\s*" + DATE,
+)
+AMOUNT = r"(?:R\s*\$)?\s*((?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d{2})?)"
+VALUE = (
+    phrase("valor") + r"\s+(?:" + either("dado", "atribuído") + r"\s+)?(?:[àa]|d[ae])\s+" + either("causa", "ação") + SIGN + AMOUNT,
+    either("atribui-se à causa o valor de", "dá-se à causa o valor de", "atribui à causa o valor de", "dá à causa o valor de") + r"\s*" + AMOUNT,
+    r"(?<!\w)" + phrase("valor") + r"\s*[:\-]\s*" + AMOUNT,
 )
-HEARING_LAST = SESSION + within(80) + DAY + r"\s+" + HOUR
+
+# a hearing: an event, perhaps that it is fixed or of what kind it is, a day, an hour; the surer a statement, the earlier
+DAY, HOUR = r"(\d{2}[/.\-]\d{2}[/.\-]\d{4})", r"(\d{1,2}\s?[:hH]\s?\d{2})"
+EVENT = either("audiência", "audiências", "sessão de julgamento", "sessão de conciliação", "sessão de instrução")
+FIXED = either(*(f"{verb}{end}" for verb in ("designad", "redesignad", "marcad", "agendad", "aprazad", "incluíd") for end in ("a", "o")), "a realizar-se", "a ser realizada", "será realizada", "realizar-se-á", "ocorrerá", "pauta")
+KIND = either("inicial", "una", "primeira", "conciliação", "instrução", "julgamento", "encerramento", "telepresencial", "presencial")
+CALLED = either("comparecer", "compareça", "compareçam", "comparecimento", "presença")
+#: Between day and hour: a comma, dash or "às", and what else is short and holds no other number.
+JOINT = r"[^\d\n]{0,20}?"
+WHEN = DAY + JOINT + HOUR
+HEARING = (
+    EVENT + within(REACH) + FIXED + within(REACH) + WHEN,
+    FIXED + within(REACH) + EVENT + within(REACH) + WHEN,
+    CALLED + within(REACH) + EVENT + within(REACH) + WHEN,
+    CALLED + within(REACH) + WHEN + within(REACH) + EVENT,
+    EVENT + within(REACH) + KIND + within(REACH) + WHEN,
+    KIND + within(REACH) + EVENT + within(REACH) + WHEN,
+)
+HEARING_LAST = EVENT + within(REACH) + WHEN
+#: A hearing that is over, or called off, isn't the one that is looked for.
+HEARING_VETO = ("realizad", "encerrad", "cancelad", "adiad", "nascimento", "nascid")
 
 # employment: verbs of beginning and end, who did it, and when
 HIRED, DISMISSED = either("admitid@", "contratad@"), either("demitid@", "dispensad@", "desligad@")
@@ -87,32 +104,32 @@ LEFT_PERIOD = (phrase("período") + PERIOD + PAST + rf"\s+{SPAN}\s+" + DATE, WOR
 #: Words by which a date or an amount is another one.
 DATE_VETO = ("nascimento", "ctps", "carteira", "identidade", "rg", "cpf", "expedi")
 LEFT_VETO = (*DATE_VETO, "distribui", "autua", "audi[êe]ncia", "assinatura", "publica")
-SALARY_VETO = ("deveria", "piso", "devem receber", "base de cálculo", "valor da causa", "multa", "indenização", "honorários", "custas", "mínimo nacional", "salário mínimo")
+#: An amount that is claimed, set by others, or decided is none that is paid.
+NOT_PAID = {
+    "claimed": ("deveria", "devid[oa]s?", "pleite", "postul", "diferen[çc]a"),
+    "set by others": ("piso", "m[íi]nimo", "normativ", "base de c[áa]lculo", "categoria"),
+    "decided": ("multa", "indeniza", "honor[áa]rio", "custas", "dano", "condena", "valor da causa"),
+}
+SALARY_VETO = tuple(word for family in NOT_PAID.values() for word in family)
 
 # pay: forms name it, stories tell who got it, the rest is looked at with care
 REAIS = r"R\$\s*" + MONEY
-PAY = either("salário", "remuneração")
-GOT = "(?:" + "|".join(stem + f"(?:{'|'.join(ends)})" for stem, ends in (("perceb", ("ia", "eu", "endo")), ("receb", ("ia", "eu", "endo")), ("ganh", ("ava", "ou", "ando")))) + ")"
-SALARY_FORM = (either("salário base", "salário contratual", "remuneração") + r"\s*[:\-]?\s*" + REAIS, cell("salário", REAIS), r"\d+\.\s*" + PAY + r"\s*" + REAIS)
-SALARY_PAID = (
-    rf"\b{GOT}\b" + within(60) + REAIS,
-    phrase("com (o) salário (de)") + r"\s*" + REAIS,
-    HIRED + r"\s+(?:com\s+)?(?:o\s+)?" + phrase("salário (de)") + r"\s*" + REAIS,
-    either("salário vigente", "salário atual") + r"\s" + within(30) + REAIS,
-    either("remuneração fixa", "remuneração mensal") + r"\s+(?:" + either("de", "no valor de") + r"\s+)?" + REAIS,
-)
-SALARY_ANY = (
-    phrase("últim@") + r"\s+" + PAY + r"\s+" + phrase("(mensal) (foi) (era) (de)") + r"\s*" + REAIS,
-    PAY + r"\s+" + phrase("(base) (mensal) (de)") + r"\s*" + REAIS,
-    either("vencimento", "vencimentos") + r"\s+" + phrase("(de)") + r"\s*" + REAIS,
-    either("holerite", "contracheque") + within(50) + REAIS,
-    REAIS + r"\s+" + either("por mês", "mensal", "mensais"),
-    phrase("média salarial (de)") + r"\s*" + REAIS,
-)
+PAY = either("salário", "salários", "remuneração", "ordenado", "vencimento", "vencimentos", "proventos")
+#: Which pay: with a hyphen or without; and how the amount follows.
+WHICH = r"(?:[\s\-]+" + either("base", "contratual", "mensal", "fixo", "fixa", "bruto", "bruta", "total", "atual", "vigente", "básico", "médio") + ")*"
+IS = SIGN + r"(?:" + either("é de", "era de", "foi de", "de", "no valor de", "na quantia de", "no importe de", "na importância de", "à razão de", "no montante de", "equivalente a", "correspondente a") + r"\s*)?"
+#: Verbs of getting, by stem and endings.
+GETS = (("perceb", ("ia", "eu", "endo", "e")), ("receb", ("ia", "eu", "endo", "e")), ("ganh", ("ava", "ou", "ando", "a")), ("aufer", ("ia", "iu", "indo", "e")))
+GOT = "(?:" + "|".join(stem + f"(?:{'|'.join(ends)})" for stem, ends in GETS) + ")"
+PAID_BY = either("holerite", "contracheque", "recibo de pagamento", "folha de pagamento")
+# a form's line and a table's cell say what they hold; so does who got it; the rest is looked at with care
+SALARY_FORM = (r"(?m)^\s*(?:\d+\s*[.)]?\s*)?" + PAY + WHICH + r"\s*[:\-]?\s*" + REAIS, PAY + WHICH + r"\s*:\s*" + REAIS, cell("(último) salário (base) (mensal)", REAIS), cell("(última) remuneração (mensal)", REAIS))
+SALARY_PAID = (rf"\b{GOT}\b" + within(REACH) + REAIS, HIRED + within(REACH) + PAY + WHICH + IS + REAIS)
+SALARY_ANY = (PAY + WHICH + IS + REAIS, PAID_BY + within(REACH) + REAIS, REAIS + r"\s+" + either("por mês", "ao mês", "mensal", "mensais"), PAY + WHICH + within(30) + REAIS, either("média salarial", "média remuneratória") + IS + REAIS)
 PAYSLIP = tuple(labelled(x, r"(?:R\$\s*)?" + MONEY, r"\s*[:\s]\s*") for x in ("salário base", "salário contratual", "total (de) vencimentos", "total (de) proventos", "salário mensal"))
 
 # documents: names of the register, then how its number is announced
-ELEVEN = r"(\d{2,3}[.\s\-]*\d{3,5}[.\s\-]*\d{2,5}[.\s\-]*\d{1,2})"
+ELEVEN = r"(?<!\d)(\d(?:[.\s\-]*\d){10})(?!\d)"
 NO = r"(?:\s*n[º°o.]?\s*)?"
 REGISTERS = (r"PIS\s*[/\-–\s]\s*PASEP", r"PASEP\s*[/\-–\s]\s*PIS", r"(?:PIS|NIT)\s*/\s*(?:PASEP\s*/\s*)?(?:NIT|PIS)", "NIT", "NIS", "PIS", r"P\s*I\s*S", "PASEP")
 PIS = (
@@ -135,42 +152,69 @@ DEADLINE = (
     rf"(\d{{1,3}})\s*(?:\([^)]*\)\s*)?({UNIT})\s+" + phrase("para") + r"\s+" + either("contestar", "manifestar", "se manifestar", "responder", "recorrer"),
 )
 
-# ends of employment: what is said, and its label
-CAUSE, OUT = phrase("justa causa"), "(?:" + "|".join((phrase("dispensa"), phrase("demissão"), phrase("despedid@"), phrase("despediment@"), DISMISSED)) + ")"
+# ends of employment: an act of ending, and in what manner; who ends it, or what does
+ENDS = either("dispensa", "dispensad@", "demissão", "demitid@", "despedida", "despedid@", "despedimento", "desligamento", "desligad@")
+NO_CAUSE = either("sem (qualquer) (justa) causa", "sem justo motivo", "sem motivo", "imotivada", "imotivado", "imotivadamente", "injusta", "injustamente", "arbitrária")
+CAUSE = rf"(?<!sem\s)(?<!inexistente\s){either('justa causa', 'falta grave')}"
+ASKED = either(*(f"{verb} {what}" for verb in ("pediu", "pedido de", "requereu", "solicitou") for what in ("(a) (sua) demissão", "(o) (seu) desligamento", "(as) contas", "para sair")), "demitiu-se")
+RUN_OUT = either("término", "fim", "encerramento", "termo final", "extinção") + r"\s+(?:d[eo]\s+)?" + either("contrato", "prazo", "experiência")
+AGREED = either("comum acordo", "acordo mútuo", "mútuo acordo", "acordo entre as partes", "distrato")
+BY_FIRM = ENDS + r"\s+" + either("pelo", "pela") + r"\s+" + either("empregador", "empregadora", "empresa", "reclamada", "ré")
+#: The labels, in their order of precedence. What is said for each stands above.
 DISMISSAL = (
     (phrase("rescisão indireta"), "Rescisão Indireta"),
     (phrase("rescisão contratual"), "Rescisão Contratual"),
-    (OUT + r"\s+" + either("sem justa causa", "injustamente", "imotivada", "imotivado", "imotivadamente", "sem justo motivo"), "Dispensa Sem Justa Causa"),
-    (phrase("desligad@") + r"\s+" + phrase("(pel@)") + r"\s*" + either("empregador", "empresa", "reclamada"), "Dispensa Sem Justa Causa"),
-    (rf"(?<!sem\s){CAUSE}(?!\s+(?:na|para))", "Dispensa Com Justa Causa"),
-    (either("pedido (de) demissão", "demitiu-se", "pediu (sua) demissão", "pediu para sair", "requereu (sua) demissão"), "Pedido de Demissão"),
-    (either("término (do) (de) contrato", "encerramento (do) (de) contrato", "fim (do) contrato (de) experiência"), "Término de Contrato"),
-    (either("acordo entre as partes", "acordo mútuo", "comum acordo") + r"|\bdistrato\b", "Acordo Entre as Partes"),
+    (ENDS + r",?\s+" + NO_CAUSE + "|" + BY_FIRM, "Dispensa Sem Justa Causa"),
+    (CAUSE + r"(?!\s+(?:na|para))", "Dispensa Com Justa Causa"),
+    (ASKED, "Pedido de Demissão"),
+    (RUN_OUT, "Término de Contrato"),
+    (AGREED, "Acordo Entre as Partes"),
     (phrase("dispensad@") + r"(?!\s+com)", "Dispensa Sem Justa Causa"),
 )
-PARTY = {
-    "plaintiff": r"(?:RECLAMANTE|AUTOR(?:A)?|REQUERENTE|EXEQUENTE|IMPETRANTE|RECORRENTE|AGRAVANTE|APELANTE|EMBARGANTE|CONSIGNANTE)",
-    "defendant": r"(?:RECLAMAD[OA]|R[ÉE]U?|REQUERID[OA]|EXECUTAD[OA]|IMPETRAD[OA]|IMPETTRADO|RECORRID[OA]|AGRAVAD[OA]|APELAD[OA]|EMBARGAD[OA]|CONSIGNAD[OA]|CONSIGNADOV)",
-}
+
+# parties: what one is called who asks, and who is asked; most are two endings of one verb
+VERBS = ("RECLAM", "IMPETR", "AGRAV", "EMBARG", "CONSIGN", "DEMAND", "DENUNCI", "REPRESENT", "NOTIFIC", "INTERPEL", "SUPLIC", "ARREMAT", "LIQUID", "DEPREC")
+ASKS = (*(f"{v}ANTE" for v in VERBS), "RECORRENTE", "REQUERENTE", "EXEQUENTE", "APELANTE", "EXCIPIENTE", "SUSCITANTE", "QUERELANTE", "OPOENTE", "AUTOR", "AUTORA", "CREDOR", "CREDORA")
+ASKED_OF = (*(f"{v}AD[OA]" for v in VERBS), "RECORRID[OA]", "REQUERID[OA]", "EXECUTAD[OA]", "APELAD[OA]", "EXCEPT[OA]", "SUSCITAD[OA]", "QUERELAD[OA]", "OPOST[OA]", "R[ÉE]U?", "DEVEDORA?")
+#: Misspelt labels that texts hold.
+MISSPELT = ("IMPETTRADO", "CONSIGNADOV")
+PARTY = {"plaintiff": f"(?:{'|'.join(ASKS)})", "defendant": f"(?:{'|'.join((*ASKED_OF, *MISSPELT))})"}
 NAME_END = r"(?:,|;|\n|\s+-\s+|\s+CPF|\s+CNPJ|\s+RG|\s+ADVOGAD|\s+RECLAMAD|\s+RECLAMANTE|$)"
 TITLE = r"([^,.;\n]{3,60})"
 ROLE = either("função", "cargo", "ocupação", "atividade")
+#: How somebody comes to be called by a job, in two tenses where it has them.
+WORKS = either(*(f"{verb} {how}" for verb in ("trabalhava", "trabalhou", "laborava", "laborou", "atuava", "atuou", "serviu") for how in ("como", "na função de", "no cargo de")))
+RISES = either(*(f"{verb} {to}" for verb in ("promovid@", "elevad@", "transferid@", "reenquadrad@") for to in ("ao cargo de", "à função de", "para o cargo de", "para", "ao", "à", "a")))
+TITLE_LINE = r"([^,.;|\n]{3,60}?)(?=\s*(?:[,.;|\n]|\s(?:" + either("matrícula", "matr", "setor", "admissão", "salário", "CBO", "data") + r")\b|$))"
 JOB = (
+    # forms: a number of the field, the label or both labels, dots or a colon, the title up to the next field
+    r"(?m)^\s*(?:\d{1,2}\s*[.)\-]?\s*)?" + ROLE + r"(?:\s*/\s*" + ROLE + r")?\s*(?:[:\-]|\.{2,})\s*" + TITLE_LINE,
     ROLE + r"\s*(?:[:\-]|" + phrase("de") + r"\s)\s*" + TITLE,
     r"(?:exerc(?:ia|eu|endo)|ocup(?:ava|ou|ando)|desempenh(?:ava|ou|ando))\s+(?:[ao]s?\s+)?" + ROLE + r"\s+de\s+" + TITLE,
     HIRED + r"\s+" + either("para", "na", "no", "como", "para exercer") + r"\s+(?:[ao]\s+)?(?:" + ROLE + r"\s+de\s+)?" + TITLE,
-    either("na qualidade de", "na condição de", "trabalhava como", "trabalhou como", "laborava como", "laborou como", "atuava como", "atuou como", "promovid@ a", "promovid@ para") + r"\s+" + TITLE,
+    either("na qualidade de", "na condição de") + r"\s+" + TITLE,
+    WORKS + r"\s+" + TITLE,
+    RISES + r"\s+" + TITLE,
     cell("cargo", r"([^|\n]{3,60})"),
     cell("função", r"([^|\n]{3,60})"),
     phrase("CBO") + r"\s*:?\s*\d{4}-?\d{2}\s*[-–:]\s*" + TITLE,
 )
-JOB_VETO = r"(?iu)\b(reclamad|reclamante|empresa|sal[áa]rio|contrato|justi[çc]a|processo|vara|juiz)"
+#: Words that are of a case or a contract, of a time or a place, or of an amount, and never of a job.
+NO_JOB = {
+    "case": ("reclamad", "reclamante", "justi[çc]a", "processo", "vara", "juiz", "advogad[oa] d", "testemunha", "audi[êe]ncia", "senten[çc]a"),
+    "contract": ("empresa", "contrato", "ctps", "v[íi]nculo", "rescis", "dispensa", "admiss", "demiss", "f[ée]rias", "estabilidade"),
+    "time and place": ("jornada", "hor[áa]rio", "per[íi]odo", "hoje", "m[êe]s", "rua", "avenida", "bairro", "cidade"),
+    "amount": ("sal[áa]rio", "remunera", "r\\$", "reais", "adicional", "horas extras", "comiss[õo]es"),
+}
+JOB_VETO = r"(?iu)(?:^|\s)(?:" + "|".join(word for family in NO_JOB.values() for word in family) + ")"
 PLACE = r"([^\n.;]{5,120})"
 WORKPLACE = (
     either("local de trabalho", "local da prestação", "endereço de trabalho") + r"(?:\s+(?:dos?|de)\s+" + phrase("serviços") + r")?\s*[:\-]?\s*" + PLACE,
     either("laborava", "laborou", "trabalhava", "trabalhou", "prestava serviços", "prestou serviços", "lotad@") + r"\s+(?:na|no|em)\s+" + PLACE,
 )
-WORKPLACE_VETO = r"(?iu)^(?:que|quando|onde|foi|era|ser|horas?|per[íi]odo|regime|jornada|hor[áa]rio)\b"
+#: A place isn't told by a clause, by a time, or by how one works.
+NO_PLACE = {"clause": ("que", "quando", "onde", "como", "sendo", "foi", "era", "ser", "estava", "tendo", "pois"), "time": ("horas?", "per[íi]odo", "jornada", "hor[áa]rio", "dias?", "turno", "escala", "data"), "manner": ("regime", "condi[çc][õo]es", "fun[çc][ãa]o", "cargo", "benef[íi]cio", "favor", "car[áa]ter")}
+WORKPLACE_VETO = r"(?iu)^(?:" + "|".join(word for family in NO_PLACE.values() for word in family) + r")\b"
 ADDRESS = r"(?iu)\b(rua|r\.|avenida|av\.|rodovia|rod\.|estrada|travessa|pra[çc]a|alameda|quadra|lote|km|bairro|n[º°])"
 FIRM = r"([^\n,;]{3,80}?)(?=\s*(?:[,;\n]|\s-\s|CNPJ|$))"
 EMPLOYER = (labelled("empregador@", FIRM, r"\s*[:\-]\s*"), labelled("empregador", FIRM, r"\s*[:\-]\s*"), labelled("(razão) (social) (da) empresa", FIRM, r"\s*:\s*"), HIRED + r"\s+" + phrase("pela empresa") + r"\s+([^\n,;.]{3,80})")
@@ -187,7 +231,9 @@ GENERIC_MAIL = r"(?iu)^(?:contato|sac|atendimento|noreply|no-reply|suporte|vara|
 
 
 def hearing_form(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "-", "/"), r"\s+(\d):", " 0$1:")
+    """``dd/mm/yyyy hh:mm``: whatever parts the day, and an hour with "h"."""
+    day = F.regexp_replace(c, r"^(\d{2}).(\d{2}).", "$1/$2/")
+    return F.regexp_replace(F.regexp_replace(day, r"(\d)\s?[:hH]\s?(\d{2})$", "$1:$2"), r"\s+(\d):", " 0$1:")
 
 
 def dismissal_reason(text: Column) -> Column:
@@ -212,7 +258,7 @@ def payslip_salary(text: Column) -> Column:
 
 def job_title(text: Column) -> Column:
     """All hits of all patterns, vetted; the last one."""
-    clean = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"(?iu)\s+(?:com|para|na|no|em|desde|percebendo|recebendo)\s.*$", ""), r"\s+", " "))
+    clean = lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"(?iu)\s+(?:com|para|na|no|em|desde|percebendo|recebendo|matr[íi]cula|matr|setor|cbo|data)\s.*$", ""), r"\s+", " "))
     ok = lambda v: ~v.rlike(JOB_VETO) & (F.length(v) > 3) & (F.size(F.split(v, " ")) <= 6)
     return R.last_of_all(text, [I + p for p in JOB], clean, ok)
 
@@ -293,9 +339,25 @@ def defendant_kinds(text: Column) -> Column:
     return F.transform(defendants(text), lambda n: F.struct(n.alias("name"), T.person_type(n).alias("kind")))
 
 
-def party(kind: str):
-    p = rf"(?u)\b{PARTY[kind]}\s*:\s*(.{{3,120}}?){NAME_END}"
-    return lambda text: F.nullif(T.clean_value(F.regexp_extract(text, p, 1)), F.lit(""))
+def parties(text: Column, kind: str) -> Column:
+    """The names behind the labels of one side, in order, without what isn't a name."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?u)\b{PARTY[kind]}\s*:\s*(.{{3,120}}?){NAME_END}"), F.lit(1))
+    clean = F.transform(found, lambda v: T.clean_value(F.regexp_replace(v, AFTER_NAME, "")))
+    return F.array_distinct(F.filter(clean, lambda v: (F.length(v) > 2) & ~v.rlike(NO_NAME)))
+
+
+def party(kind: str, known: Column | None = None):
+    """Of several names on a side a known client's (``known``: folded names), else a company's, else the last; the first plaintiff."""
+
+    def make(text: Column) -> Column:
+        names = parties(text, kind)
+        if kind == "plaintiff":
+            return F.try_element_at(names, F.lit(1))
+        firm = F.filter(names, lambda n: F.coalesce(T.person_type(n) == "juridica", F.lit(False)))
+        chosen = [F.filter(names, lambda n: F.array_contains(known, T.fold(n)))] if known is not None else []
+        return F.coalesce(*(F.try_element_at(x, F.lit(1)) for x in (*chosen, firm)), F.try_element_at(names, F.lit(-1)))
+
+    return make
 
 
 def bar_number(text: Column) -> Column:
@@ -456,7 +518,7 @@ PACK = register(
             *_dates("filing_date", FILING),
             *(Rule("claim_value", I + p, 1) for p in VALUE),
             *(Rule("hearing", I + p, (1, 2), "clean", form=hearing_form, plain=True) for p in HEARING),
-            Rule("hearing", I + HEARING_LAST, (1, 2), "clean", form=hearing_form, plain=True, veto=("realizada", "encerrada", "nascimento")),
+            Rule("hearing", I + HEARING_LAST, (1, 2), "clean", form=hearing_form, plain=True, veto=HEARING_VETO),
             Rule("hearing_link", "", column=hearing_link),
             Rule("hearing_kind", "", column=hearing_kind),
             Rule("hearing_people", "", column=hearing_people),

@@ -101,6 +101,40 @@ CASES = [
     ("primeira audiência em 06/02/2024 14:00", {"hearing": "06/02/2024 14:00"}),
     ("audiência de instrução designada para o dia 07/02/2024 11:20", {"hearing": "07/02/2024 11:20"}),
     ("audiência realizada no salão 08/02/2024 11:20", {"hearing": None}),
+    ("Designada audiência una para 09-02-2024, às 9h30", {"hearing": "09/02/2024 09:30"}),
+    ("Compareça V.Sa. no dia 10.02.2024 às 13:05 à audiência", {"hearing": "10/02/2024 13:05"}),
+    ("audiência telepresencial - sala virtual - 11/02/2024 (quinta-feira), 8h05", {"hearing": "11/02/2024 08:05"}),
+    ("A sessão de conciliação fica agendada para o dia 12/02/2024, 10:00 horas", {"hearing": "12/02/2024 10:00"}),
+    ("audiência de 13/02/2024 foi cancelada; horário 10:00", {"hearing": None}),
+    ("audiência em 14/02/2024, em horário a definir", {"hearing": None}),
+    # pay, by other words
+    ("salário-base no importe de R$ 1.812,00", {"salary": "R$ 1.812,00"}),
+    ("auferia proventos de R$ 2.345,67", {"salary": "R$ 2.345,67"}),
+    ("remuneração total: R$ 5.000,00", {"salary": "R$ 5.000,00"}),
+    ("12. Remuneração mensal R$ 1.900,10", {"salary": "R$ 1.900,10"}),
+    ("diferenças devidas: salário de R$ 300,00", {"salary": None}),
+    # titles in forms, and what is none
+    ("22 Cargo/Função: Analista de Sistemas Matrícula 77", {"job_title": "Analista de Sistemas"}),
+    ("Função......... Soldador", {"job_title": "Soldador"}),
+    ("Cargo / Função: Operador de Caixa", {"job_title": "Operador de Caixa"}),
+    ("laborou na função de eletricista. Elevada ao cargo de supervisora de obras.", {"job_title": "supervisora de obras"}),
+    ("cargo: rescisão do contrato", {"job_title": None}),
+    ("função de horas extras", {"job_title": None}),
+    # places
+    ("local de trabalho: Avenida Brasil, 100", {"workplace": "Avenida Brasil, 100"}),
+    ("lotada na Rodovia BR 101, km 12", {"workplace": "Rodovia BR 101, km 12"}),
+    ("trabalhava em turno de rua", {"workplace": None}),
+    ("trabalhou no cargo de motorista na rua", {"workplace": None}),
+    # parties: misspelt and rarer labels; of several a company, else the last
+    ("SUSCITANTE: Sindicato dos Bancários\nSUSCITADO: Banco Norte S.A.", {"plaintiff": "Sindicato dos Bancários", "defendant": "Banco Norte S.A"}),
+    ("CONSIGNANTE: Rui Prado\nCONSIGNADOV: João Souza", {"plaintiff": "Rui Prado", "defendant": "João Souza"}),
+    ("RECLAMADO: José Lima\nRECLAMADA: ACME Comércio Ltda\nRECLAMADO: Ana Reis", {"defendant": "ACME Comércio Ltda"}),
+    ("RÉU: José Lima\nRÉU: Ana Reis", {"defendant": "Ana Reis"}),
+    ("RECLAMADO: PARTES\nRECLAMANTE: ADVOGADO", {"defendant": None, "plaintiff": None}),
+    # filing, by other words
+    ("Ação ajuizada em 10/02/2024", {"filing_date": "10/02/2024"}),
+    ("Data do ajuizamento: 11/02/2024", {"filing_date": "11/02/2024"}),
+    ("dá-se à causa o valor de R$ 40.000,00", {"claim_value": "40.000,00"}),
     # registers and cards
     ("inscrito no PIS sob o número 123.45678.90-1", {"pis": "123.45678.90-1"}),
     ("NIT: 12345678901", {"pis": "123.45678.90-1"}),
@@ -153,6 +187,29 @@ def test_labour_pack(extracted, k):
     assert all((row[f] is None) == (row[f"{f}_rule"] is None) for f in expected)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("TERMO DE AUDIÊNCIA", "Ata de Audiência"), ("Instalada a audiência, apregoadas as partes", "Ata de Audiência"), ("Acórdão. Relator: Fulano", "Acórdão"), ("relatados e discutidos, acordam os magistrados", "Acórdão"), ("o acórdão", "Outros"),
+        ("SENTENÇA\nante o exposto", "Sentença"), ("julgo improcedentes os pedidos. Isto posto", "Sentença"), ("Indefiro a tutela", "Decisão Interlocutória"), ("Notificação. Fica V. Sa. no prazo de 5 dias", "Notificação"), ("intimação", "Outros"),
+        ("CONTESTAÇÃO da ré", "Manifestação"), ("apresenta impugnação", "Manifestação"), ("Excelentíssimo Senhor Juiz, dos fatos", "Petição Inicial"), ("Reclamação Trabalhista\nReclamante: Ana", "Petição Inicial"), ("reclamante", "Outros"), ("nota", "Outros"),
+    ],
+)
+def test_document_types(spark, text, kind):
+    assert value(spark, classify.document_type(F.lit(text))["type"]) == kind
+
+
+def test_sections_begin_with_headings(spark):
+    text = "capa\nEXMO. SR. JUIZ\nx\nS E N T E N Ç A\nVistos, etc.\nDESPACHO\nTermo de Audiência\nAcórdão\nPROCESSO nº 12\nprocesso de execução\nFica intimada a ré\nContestação\nnada"
+    assert [r["kind"] for r in value(spark, structure.section_breaks(F.lit(text)))] == ["peticao_inicial", "sentenca", "decisao", "decisao", "ata_audiencia", "acordao", "novo_processo", "notificacao", "manifestacao"]
+
+
+def test_a_known_client_comes_first(spark):
+    text = F.lit("RÉU: ACME Ltda\nRÉU: Banco Norte\nRÉU: Ana Reis")
+    known = F.array(F.lit("BANCO NORTE"))
+    assert value(spark, labour_br.party("defendant", known)(text)) == "Banco Norte" and value(spark, labour_br.party("defendant")(text)) == "ACME Ltda"
+
+
 def test_parties_lawyers_and_contacts(spark):
     from caseflow.packs.labour_br import defendant_kinds, defendants
 
@@ -189,9 +246,9 @@ def test_similar_names_lose_no_pair(spark):
 
 def test_catalogues_have_a_bound(spark, monkeypatch):
     monkeypatch.setattr(match, "BROADCAST_ROWS", 3)
-    four = spark.range(4).selectExpr("cast(id AS string) AS value", "cast(id AS string) AS text", "id AS ordinal")
+    four = spark.range(4).selectExpr("cast(id AS string) AS name", "id AS priority")
     with pytest.raises(ValueError):
-        match.best_option(spark.createDataFrame([("x",)], "w string"), four, "w", [])
+        match.primary_secondary(spark.createDataFrame([(1, "x", 1)], "k int, name string, ordinal int"), four, ["k"])
 
 
 def test_claims_fall_to_the_next_free_type(spark):
