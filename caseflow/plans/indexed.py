@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseflow.operators import hooks, match
-from caseflow.plans.catalogue import query, t
+from caseflow.operators import hooks, match, worklog
+from caseflow.operators.vectors import VectorTable
+from caseflow.plans.catalogue import _pages, query, t
+from caseflow.plans.more import _place
+from caseflow.sources import pages
 
 
 @query(
@@ -52,3 +55,49 @@ def options_of_types(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     options = p.select(F.col("p_name").alias("text")).distinct().select(F.col("text").alias("value"), "text", F.col("text").alias("ordinal"))
     return match.best_option(p.select("p_type").distinct(), options, "p_type", [], 10).select("p_type", "option_text", "option_score")
+
+
+def _vector_table(spark, sf_dir):
+    v = t(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    return VectorTable(_place(spark, "vectors")).create(v), queries
+
+
+@query(
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS key, list_cosine_similarity(a.v, b.v) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, cast(rank AS int) AS rank, key, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 5"""
+)
+def indexed_vectors(spark, sf_dir):
+    """The five nearest of every hundredth vector by the vector table, looking into all lists."""
+    table, queries = _vector_table(spark, sf_dir)
+    return table.search(queries, probes=1 << 20).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached, true AS rows_spared FROM embeddings WHERE vec_id % 100 = 0")
+def vector_recall(spark, sf_dir):
+    """Whether the fewest lists that a sample of the queries needs give a recall of 0.9 over all of them, and spare rows."""
+    table, queries = _vector_table(spark, sf_dir)
+    table = table.calibrated(queries, 0.95)
+    every, found = table.search(queries, probes=1 << 20).select("query_id", "key"), table.search(queries).select("query_id", "key").withColumn("hit", F.lit(1))
+    recall = every.join(found, ["query_id", "key"], "left").agg(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).first()[0]
+    return queries.agg(F.count("*").alias("queries")).select("queries", F.lit(recall >= 0.9).alias("recall_reached"), F.lit(table.share_read(queries) < 1).alias("rows_spared"))
+
+
+@query("SELECT conv_id AS doc_id, cast(turn + 1 AS int) AS page_no, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
+def page_ranges_of_files(spark, sf_dir):
+    """Conversations in a few large text files, read in ranges that cut through pages."""
+    p, at = _pages(spark, sf_dir), _place(spark, "files")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("x")))), lambda r: F.concat(F.lit("[PÁGINA "), r["page_no"].cast("string"), F.lit("] #"), F.col("doc_id").cast("string"), F.lit("\n"), r["x"])), "\n")
+    p.groupBy("doc_id").agg(body.alias("value")).select("value").repartition(3).write.text(at)
+    rows = pages.read_pages(spark, at, rangeBytes="65536")
+    head = r"^#(\d+)\s*"
+    return rows.select(F.regexp_extract("text", head, 1).cast("long").alias("doc_id"), "page_no", F.regexp_replace("text", head, "").alias("text"))
+
+
+@query("SELECT o_custkey AS case_id, o_orderkey AS number FROM orders ORDER BY o_orderkey DESC LIMIT 50")
+def cases_to_redo(spark, sf_dir):
+    """The cases to extract again, the newest 50."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("number"))
+    return worklog.recent(o, 50, at="number", key="case_id")
