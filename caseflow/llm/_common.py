@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseflow.sources.shared import shared_dir
 
@@ -45,3 +46,13 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def shielded(docs: DataFrame, own: tuple[str, ...], work: Callable[[DataFrame], DataFrame], *new: str) -> DataFrame:
+    """``work`` on ``docs``, while its columns other than ``own`` bear names that nobody else uses; back come all columns, and ``new`` ones.
+
+    So an operator's names of its own (``__id`` and the like) never meet a column of the caller's.
+    """
+    hidden = {c: c if c in own else f"__kept_{k}" for k, c in enumerate(docs.columns)}
+    out = work(docs.select(*(F.col(f"`{c}`").alias(h) for c, h in hidden.items())))
+    return out.select(*(F.col(h).alias(c) for c, h in hidden.items()), *new)

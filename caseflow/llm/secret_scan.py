@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
-from caseflow.llm._common import read, stash
+from caseflow.llm._common import read, shielded, stash
 
 
 @dataclass(frozen=True)
@@ -168,6 +168,10 @@ def _of_kind(number: int):
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", doc_id: str = "doc_id", name: str = "secrets") -> DataFrame:
     """All columns of ``docs`` and ``name``: array<struct<start, kind_no, end, kind>>, by start, then rule order."""
+    return shielded(docs, (text, doc_id), lambda rows: _scanned(rows, rules, text, doc_id, name), name)
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str, doc_id: str, name: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     index = stash(postings(docs, rules, text, doc_id), "postings") if any(map(has_trigrams, rules)) else spark.createDataFrame([], "doc_id long, trigram string")
     found = candidates(index, rules).withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("kinds", "__kinds")

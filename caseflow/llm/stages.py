@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
-from caseflow.llm._common import read
+from caseflow.llm._common import read, shielded
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -23,6 +23,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    return shielded(docs, ("doc_id", "text"), lambda rows: _kept_by_rules(spark, rows, sf_dir))
+
+
+def _kept_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_tagged(docs), read(spark, sf_dir, "labels"), keys=("doc_id", "__tag"))
     out = judged.where(~F.col("kept")).select(F.col("doc_id").alias("o_id"), F.col("__tag").alias("o_tag")).distinct()
     own = _tagged(docs)
@@ -34,6 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with one id and one text, that with the smallest other columns stays; they combine before they are exchanged.
     """
+    return shielded(docs, ("doc_id", "text"), _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     found = ngram_join.near_duplicates(docs).where("n_shingles > 0")
     stay = found.groupBy("component").agg(F.min(F.struct("__id", "__tag")).alias("r")).select(F.col("r.__id").alias("__s_id"), F.col("r.__tag").alias("__s_tag"))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -51,8 +59,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced by a mark."""
-    found = secret_scan.scan(docs, name="__secrets")
-    return _measured(found.withColumn("text", secret_scan.redact(F.col("text"), F.col("__secrets"))).select(*docs.columns))
+
+    def work(rows: DataFrame) -> DataFrame:
+        found = secret_scan.scan(rows, name="__secrets")
+        return found.withColumn("text", secret_scan.redact(F.col("text"), F.col("__secrets"))).drop("__secrets")
+
+    return _measured(shielded(docs, ("doc_id", "text"), work))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

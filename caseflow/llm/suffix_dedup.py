@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm._common import read, stash, steps
+from caseflow.llm._common import read, shielded, stash, steps
 
 
 @dataclass(frozen=True)
@@ -343,6 +343,10 @@ def find_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_i
 
     Rows are known by two hashes of their id and text, so repeated and null ids do no harm.
     """
+    return shielded(docs, (doc_id, text), lambda rows: _with_repeats(rows, s, doc_id, text), "__repeats")
+
+
+def _with_repeats(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
     keyed = docs.select("*", F.xxhash64(doc_id, text).alias("__id"), F.hash(text).alias("__tag"))
     all_stretches = anchored(keyed.select("__id", "__tag", F.col(text).alias("__text")), s)
     # counts combine before they are exchanged; as both sides of the join are plain tables, Spark can split its large partitions
@@ -400,7 +404,11 @@ def measure_repeats(found: DataFrame, text: str = "text", keep: tuple[str, ...]
 
 def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated bytes gone from ``text``; null stays null."""
-    found = find_repeats(docs, s, doc_id, text)
+    return shielded(docs, (doc_id, text), lambda rows: _without_repeats(rows, s, doc_id, text))
+
+
+def _without_repeats(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
+    found = _with_repeats(docs, s, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -281,3 +281,23 @@ def test_many_clusters_under_one_prefix_equal_brute_force(spark):
     r.shuffle(rows)
     found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Settings(chunk_shingles=300, chunk_classes=16, frequent=0))
     assert sorted(map(tuple, found.select("__id", "n_shingles", "component_id").collect()), key=str) == brute_components(rows)
+
+
+CLASHING = "__id long, __tag int, __text string, __kinds string, __doc_id long, __secrets string, __repeats string, __c_id int, o_id int, o_tag int, __s_id int, __row string, `a b` int, kept boolean, component string"
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Columns that bear the operators' own names come through every stage as they were; so does an empty table."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    names = [c.rsplit(" ", 1)[0].strip("`") for c in CLASHING.split(", ")]
+    wide = docs.withColumns({c: F.concat_ws("-", F.lit(c), "doc_id") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns
+        assert sorted(map(tuple, got.select(*docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert got.where(F.exists(F.array(*(F.col(f"`{c}`") != F.concat_ws("-", F.lit(c), "doc_id") for c in names)), lambda x: x)).count() == 0
+        none = stage(spark, wide.where("false"), sf_dir)
+        assert none.columns == wide.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.where("false"), sf_dir).count() == 0
