@@ -10,6 +10,9 @@ The labelled pages are composed here (``labelled_pages``): layouts of articles a
 sidebars, notices, adverts, forms and comments, with texts drawn from a seeded generator or from texts
 that the caller passes. Their number, ``Settings.training_pages``, is the bound of the fit.
 
+What an element hides (``hidden``, ``display: none``) is no text of the page, unless it is the body itself; a drawing
+that is left open ends where HTML ends it, at the next paragraph or the like.
+
 Defined results: a tag that never ends hides the rest of the page, as in browsers, but a "<" before a
 word that names no element and is cut off by the next "<" is text; null and empty html gives empty text; a page without a block labelled as main text
 gives empty text; rows that repeat a page_id are extracted one by one; other columns are ignored.
@@ -23,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +64,10 @@ COMMENT_END = re.compile(r"--!?>")
 NAME_WORD = re.compile(r"[a-z]{2,}")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
+#: How an element hides what it holds, and the mark of such an element among the words of its names.
+HIDES, UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I), "\0"
+#: Start tags that end a drawing or formula that is still open, as HTML has it.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 
 
 @dataclass
@@ -77,6 +85,7 @@ class _Open:
     tag: str
     names: frozenset[str]
     closed: bool = False
+    unseen: bool = False
 
 
 def script_end(page: str, at: int) -> int:
@@ -99,7 +108,7 @@ def script_end(page: str, at: int) -> int:
 
 
 def attributes_at(page: str, at: int) -> tuple[str, bool, int]:
-    """The class, id and role of the tag whose name ends at ``at``; whether a slash closes it; the place behind it, -1 if it never ends."""
+    """The class, id, role and itemprop of the tag whose name ends at ``at`` (behind UNSEEN, if it hides its element); whether a slash closes it; the place behind it, -1 if it never ends."""
     found, size = [], len(page)
     while True:
         low = at
@@ -110,6 +119,8 @@ def attributes_at(page: str, at: int) -> tuple[str, bool, int]:
             return " ".join(found), at > low and page[at - 1] == "/", at + 1
         m = ATTRIBUTE_NAME.match(page, at)
         name, at = m[0], m.end()
+        if name.lower() == "hidden":
+            found.insert(0, UNSEEN)
         if not (m := EQUALS.match(page, at)):
             continue
         at = m.end()
@@ -122,8 +133,10 @@ def attributes_at(page: str, at: int) -> tuple[str, bool, int]:
         else:
             m = UNQUOTED.match(page, at)
             value, at = m[0], m.end()
-        if name.lower() in ("class", "id", "role"):
-            found.append(value)
+        if name.lower() in ("class", "id", "role", "itemprop"):
+            found.append(value.replace(UNSEEN, ""))
+        elif name.lower() == "style" and HIDES.search(value):
+            found.insert(0, UNSEEN)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
@@ -179,7 +192,7 @@ class _Stack:
         self.hidden = self.in_link = 0
         self.context: tuple | None = None
 
-    def push(self, tag: str, names: frozenset[str]) -> None:
+    def push(self, tag: str, names: frozenset[str], unseen: bool = False) -> None:
         if self.known is not None:
             names &= self.known
         self.places.setdefault(tag, []).append(len(self.open))
@@ -188,13 +201,14 @@ class _Stack:
             if self.known is None or tag in self.known:
                 self.tags[tag] += 1
         self.names.update(names)
-        self.open.append(_Open(tag, names))
-        self.hidden += tag in INVISIBLE
+        unseen = unseen or tag in INVISIBLE
+        self.open.append(_Open(tag, names, unseen=unseen))
+        self.hidden += unseen
         self.in_link += tag == "a"
         self.context = None
 
     def _left(self, o: _Open) -> None:
-        self.hidden -= o.tag in INVISIBLE
+        self.hidden -= o.unseen
         self.in_link -= o.tag == "a"
         for counter, keys in ((self.tags, [o.tag] if o.tag in self.tags and o.tag not in INLINE else []), (self.names, o.names)):
             for k in keys:
@@ -279,9 +293,15 @@ def blocks_of(page: str | None, known: frozenset[str] | None = None) -> list[Blo
                 if stack.holds_block(tag):
                     flush()
                 stack.close(tag)
-        elif tag == "br":
-            parts.append(" ")
         elif tag not in RAW:
+            if tag in BREAKOUT:
+                for drawing in ("svg", "math"):
+                    if stack.places.get(drawing) and not stack.places.get("foreignobject"):
+                        stack.close(drawing)
+            if tag == "br":
+                if not stack.hidden:
+                    parts.append(" ")
+                continue
             if tag not in INLINE:
                 flush()
                 closes = CLOSES.get(tag, ())
@@ -293,7 +313,8 @@ def blocks_of(page: str | None, known: frozenset[str] | None = None) -> list[Blo
                     seen_body = True
                     stack.reveal()  # what the head left open ends here
             if tag not in VOID and not slash:
-                stack.push(tag, frozenset(NAME_WORD.findall(CAMEL.sub(" ", found).lower())) if found else frozenset())
+                # a page that hides itself shows itself later, by a script
+                stack.push(tag, frozenset(NAME_WORD.findall(CAMEL.sub(" ", found).lower())) if found else frozenset(), found[:1] == UNSEEN and tag not in ("html", "body"))
     flush()
     return blocks
 
@@ -303,12 +324,20 @@ def blocks_of(page: str | None, known: frozenset[str] | None = None) -> list[Blo
 
 STOPS = re.compile(r"[.!?:;…。]['\"”»)\]]*$")
 MARKS = re.compile(r"©|\(c\)|[|»›·•]")
+#: What a line of rights begins with or says, in the languages of the web's larger part.
+RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|\ball rights reserved|\balle rechte vorbehalten|\btous droits r[ée]serv[ée]s|\b(?:todos los derechos|todos os direitos) reservados", re.I)
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def features_of(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
     articles = sum("article" in b.tags or "main" in b.tags for b in blocks)
+    # running text: some words, few of them in links, ending as sentences end
+    linked = [b.link_chars / max(1, len(b.text)) for b in blocks]
+    prose = [int(share < 0.5 and b.text.count(" ") >= 7 and bool(STOPS.search(b.text))) for share, b in zip(linked, blocks)]
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         size = min(7, words.bit_length())
@@ -325,6 +354,16 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
             f.append(f"stop,words={size}")
         if MARKS.search(b.text):
             f.append("mark")
+        if RIGHTS.search(b.text):
+            f += ["rights", f"rights,words={size}"]
+        before, behind = prose[max(0, k - 2) : k], prose[k + 1 : k + 3]
+        f.append(f"prose before={sum(before)}")
+        f.append(f"prose behind={sum(behind)}")
+        if prose[k]:
+            f.append(f"prose beside={min(2, sum(before) + sum(behind))}")
+        elif b.parent in HEADINGS:
+            f.append(f"heading,prose behind={sum(behind[:1])}")
+        f.append(f"links around={int(min(sum(linked[max(0, k - 2) : k + 3]) / len(linked[max(0, k - 2) : k + 3]), 0.99) * 4)}")
         f.append(f"third={3 * k // len(blocks)}")
         f.append(f"commas={min(3, b.text.count(','))}")
         if b.text[-1].isdigit():
@@ -441,8 +480,10 @@ def fit_chain(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60,
 class Composer:
     """Pages of known main text, in layouts that vary: semantic tags, bare divs, nested wrappers, tables, unclosed and misspelt tags."""
 
-    def __init__(self, seed: int, texts: list[str] | None = None):
-        self.r, self.glue = random.Random(seed), " "
+    def __init__(self, seed: int, texts: list[str] | None = None, families: tuple[int, int, int] = (76, 12, 12)):
+        self.r, self.glue, self.families = random.Random(seed), " ", families
+        #: What a page's names say: what its parts are, nothing (made by a tool), or there are none.
+        self.names = "plain"
         parts = "an the re on er in ti es or ha en nd st le ou ver ion ment ar to is it al".split()
         self.vocabulary = ["".join(self.r.choices(parts, k=self.r.randint(1, 4))) for _ in range(1500)]
         if texts:
@@ -466,6 +507,10 @@ class Composer:
     def pick(self, *names: str) -> str:
         """An attribute that says what the element is, in the ways pages do."""
         name = self.r.choice(names)
+        if self.names == "none":
+            return ""
+        if self.names == "hashed":
+            return f' class="{self.r.choice(["css", "sc", "jsx", ""])}{self.r.choice("-_")}{self.r.randrange(1 << 32):x}"'
         return self.r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {self.r.choice("wide box block col left right".split())}"', f' class="{self.r.choice("site page l c".split())}-{name}"'])
 
     def menu(self) -> str:
@@ -478,11 +523,15 @@ class Composer:
         return self.r.choice([f"<header>{body}</header>", f"<div{self.pick('header', 'masthead', 'banner', 'top')}>{body}</div>"])
 
     def footer(self) -> str:
-        body = self.r.choice([f"&copy; {self.words(1, 3)} &middot; {self.sentence()}", f"<p>{self.words(2, 6)} © {self.r.randint(1999, 2030)}</p>", " ".join(self.links(2, 6)), f"<p>{self.prose(1, 2)}</p>"])
-        return self.r.choice([f"<footer>{body}</footer>", f"<footer{self.pick('footer')}>{body}</footer>", f"<div{self.pick('footer', 'bottom', 'copyright', 'legal')}>{body}</div>"])
+        year, rights = self.r.randint(1999, 2030), self.r.choice(["All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", ""])
+        lines = [f"<p>{self.words(2, 6)} © {year}</p>", " ".join(self.links(2, 6)), f"<p>&copy; {year} {self.words(1, 4).title()}. {rights}</p>", f"<p>Copyright {year}, {self.words(1, 4)}</p>"]
+        if self.names == "plain":
+            lines += [f"&copy; {self.words(1, 3)} &middot; {self.sentence()}", f"<p>{self.prose(1, 2)}</p>"]
+        body = self.r.choice(lines)
+        return self.r.choice([f"<footer>{body}</footer>", f"<footer{self.pick('footer')}>{body}</footer>", f"<div{self.pick('footer', 'bottom', 'copyright', 'legal')}>{body}</div>", f"<div{self.pick('footer')}>{body}</div>" if self.r.random() < 0.8 else body])
 
     def sidebar(self) -> str:
-        body = self.r.choice([f"<h3>{self.words(1, 3)}</h3><ul>{''.join(f'<li>{i}</li>' for i in self.links(2, 6))}</ul>", f"<h4>{self.words(1, 3)}</h4><p>{self.prose(1, 2)}</p>", f"<p>{self.prose(1, 3)}</p>"])
+        body = self.r.choice([f"<h3>{self.words(1, 3)}</h3><ul>{''.join(f'<li>{i}</li>' for i in self.links(2, 6))}</ul>", f"<h4>{self.words(1, 3)}</h4><p>{self.prose(1, 2)}</p>", f"<p>{self.prose(1, 3)}</p>"][: 3 if self.names == "plain" else 1])
         return self.r.choice([f"<aside>{body}</aside>", f"<aside{self.pick('sidebar', 'related')}>{body}</aside>", f"<div{self.pick('sidebar', 'related', 'widget', 'side', 'recommended', 'popular', 'share', 'social', 'tags')}>{body}</div>"])
 
     def notice(self) -> str:
@@ -507,6 +556,10 @@ class Composer:
         self.glue = self.r.choices([" ", " | ", "*** ", "!! ", " © "], [78, 8, 8, 4, 2])[0]  # odd texts are main text as well
         if self.r.random() < 0.85:
             out.append(f"<h1>{mark}{self.words(2, 10)}</h1>")
+        if self.r.random() < 0.08:  # paragraphs that only breaks part
+            body = "<br><br>".join(self.prose(1, 4) for _ in range(self.r.randint(1, 6)))
+            self.glue = " "
+            return "".join(out) + self.r.choice(["<div>%s</div>", "<p>%s</p>", "<span>%s</span>", "%s", "%s"]) % f"{mark}{body}"
         unclosed = self.r.random() < 0.3
         for _ in range(self.r.choice([1, 2, 3, 5, 8, 12, 20])):
             kind = self.r.random()
@@ -528,28 +581,47 @@ class Composer:
                 out.append(f"<p>{mark}{self.r.choice([self.words(1, 2), self.words(1, 5), self.sentence()])}.{'' if unclosed else '</p>'}")
             else:
                 inline = self.prose()
-                if self.r.random() < 0.3:
+                if self.r.random() < 0.06:
+                    inline = f'<a href="/r">{inline}</a>'
+                elif self.r.random() < 0.3:
                     inline += f' <a href="/q">{self.words(1, 4)}</a> <em>{self.words(1, 3)}</em> ' + self.prose(1, 2)
                 if unclosed and self.r.random() < 0.5:
                     inline = "<b>" + inline + "<br>"
                 out.append(f"<p>{mark}{inline}{'' if unclosed else '</p>'}")
         self.glue = " "
-        return "".join(out)
+        body = "".join(out)
+        if self.r.random() < 0.15:  # paragraphs, and perhaps all else, that aren't said to be any
+            body = re.sub(self.r.choice([r"<(/?)p\b", r"<(/?)(?:p|h2|h3|blockquote)\b"]), r"<\1div", body)
+            body = re.sub("<br>$", "</div>", body)
+        return body
+
+    def thread(self) -> str:
+        """Messages of a forum's thread, which are its main text, each below the name of who wrote it."""
+        each = lambda: f"<div{self.pick('message', 'post', 'topic')}><div{self.pick('author', 'user')}>{self.words(1, 2)}</div>" + "".join(f"<p>\x01{self.prose(1, 4)}</p>" for _ in range(self.r.randint(1, 3))) + "</div>"
+        return f"<h1>\x01{self.words(2, 9)}</h1>" + "".join(each() for _ in range(self.r.randint(2, 6)))
 
     def page(self) -> str:
-        r, inner = self.r, self.main()
-        for make, chance in ((self.advert, 0.3), (self.sidebar, 0.15), (self.form, 0.07), (self.notice, 0.07)):  # within the article
+        r = self.r
+        self.names = r.choices(["plain", "hashed", "none"], self.families)[0]
+        soup = self.names != "plain" and r.random() < 0.7  # elements that say as little as the names
+        forum = r.random() < 0.05
+        inner = self.thread() if forum else self.main()
+        # without names only what looks like none of the article can be told from it: no prose in adverts, notices or comments
+        quiet = self.names != "plain"
+        for make, chance in () if quiet else ((self.advert, 0.3), (self.sidebar, 0.15), (self.form, 0.07), (self.notice, 0.07)):  # within the article
             if r.random() < chance * 0.5:
                 at = [m.end() for m in re.finditer(r"</(?:p|ul|h1|h2|blockquote|pre|table)>", inner)]
                 if at:
                     k = r.choice(at)
                     inner = inner[:k] + make() + inner[k:]
-        if r.random() < 0.15:
+        if not quiet and r.random() < 0.15:
             inner += self.comments()
         wrap = r.choice(["<article>%s</article>"] * 4 + ["<main>%s</main>", "<main><article>%s</article></main>", f"<div{self.pick('content', 'article', 'post', 'entry', 'story', 'article-body')}>%s</div>", f"<div{self.pick('content', 'article', 'post', 'entry')}>%s</div>", f"<article{self.pick('post', 'entry')}>%s</article>", "<div>%s</div>", f"<main id=main><article class='hentry'><div class='entry-content'>%s</div></article></main>", f"<div{self.pick('main', 'content', 'body-text', 'text')}><section>%s</section></div>"])
+        if forum or r.random() < 0.1:
+            wrap = r.choice(["<div>%s</div>", "<div><div>%s</div></div>", "<section>%s</section>", '<div itemprop="articleBody">%s</div>', "%s", f"<div{self.pick('content', 'page', 'text')}>%s</div>"])
         body = wrap.replace("%s", inner)
-        before = [m() for m, c in ((self.header, 0.5), (self.menu, 0.8), (self.notice, 0.3), (self.advert, 0.4), (self.form, 0.15), (self.sidebar, 0.15)) if r.random() < c]
-        after = [m() for m, c in ((self.comments, 0.35), (self.sidebar, 0.4), (self.advert, 0.3), (self.notice, 0.2), (self.form, 0.15), (self.menu, 0.15), (self.footer, 0.85)) if r.random() < c]
+        before = [make() for make, c in ((self.header, 0.5), (self.menu, 0.8), (self.notice, 0.3), (self.advert, 0.4), (self.form, 0.15), (self.sidebar, 0.15)) if r.random() < c and not (quiet and make in (self.notice, self.advert))]
+        after = [make() for make, c in ((self.comments, 0.35), (self.sidebar, 0.4), (self.advert, 0.3), (self.notice, 0.2), (self.form, 0.15), (self.menu, 0.15), (self.footer, 0.85)) if r.random() < c and not (quiet and make in (self.comments, self.notice, self.advert))]
         kind = r.random()
         if kind < 0.08:  # columns of a table
             body = f"<table width=100%><tr><td colspan=3>{''.join(before)}<tr><td{self.pick('left', 'nav')}>{self.menu()}<td>{body}<td{self.pick('right', 'side')}>{self.sidebar()}</table>{''.join(after)}"
@@ -558,6 +630,10 @@ class Composer:
             body = f"<div id=root>{body}</div>" if r.random() < 0.5 else body
         else:
             body = f"{''.join(before)}{body}{''.join(after)}"
+        if r.random() < 0.06:  # a form around the page
+            body = f"<form method=post action=/default.aspx id=aspnetForm><input type=hidden name=__VIEWSTATE>{re.sub('</?form[^>]*>', '', body)}</form>"
+        if soup:
+            body = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside)\b", r"<\1div", body)
         page = f"<!DOCTYPE html><html>{self.head()}<body>{body}</body></html>"
         if r.random() < 0.1:  # tags in capitals
             page = re.sub(r"</?[a-z]+", lambda m: m[0].upper(), page)
@@ -571,9 +647,9 @@ class Composer:
         return f"<head><meta charset=utf-8><title>{self.words(2, 8)}</title>{self.r.choice(styles)}{self.r.choice(scripts)}{self.r.choice(['', '<noscript><p>no script</p></noscript>'])}</head>"
 
 
-def labelled_pages(n: int, seed: int = 41, texts: list[str] | None = None) -> list[tuple[str, list[int]]]:
-    """(html, label of each block): composed pages."""
-    composer, out = Composer(seed, texts), []
+def labelled_pages(n: int, seed: int = 41, texts: list[str] | None = None, families: tuple[int, int, int] = (76, 12, 12)) -> list[tuple[str, list[int]]]:
+    """(html, label of each block): composed pages; ``families`` are the shares of those with telling, meaningless and no names."""
+    composer, out = Composer(seed, texts, families), []
     for _ in range(n):
         marked = composer.page()
         out.append((marked.replace("\x01", ""), [int("\x01" in b.text) for b in blocks_of(marked)]))
@@ -585,14 +661,21 @@ def labelled_pages(n: int, seed: int = 41, texts: list[str] | None = None) -> li
 
 @dataclass(frozen=True)
 class Settings:
-    training_pages: int = 800
+    training_pages: int = 1200
     rounds: int = 60
     seed: int = 41
 
 
+@lru_cache(maxsize=4)
+def trained(settings: Settings) -> Chain:
+    """The chain of composed pages, fitted once in a session for each settings."""
+    return train(settings, labelled_pages(settings.training_pages, settings.seed))
+
+
 def train(settings: Settings = Settings(), pages: list[tuple[str, list[int]]] | None = None) -> Chain:
     """A chain from labelled pages; without any given, from composed ones."""
-    pages = pages if pages is not None else labelled_pages(settings.training_pages, settings.seed)
+    if pages is None:
+        return trained(settings)
     return fit_chain([(features_of(blocks_of(page)), labels) for page, labels in pages], settings.rounds)
 
 

@@ -44,3 +44,28 @@ GOLDEN = {
     "docs": (DOCS, ["Reading files", P, "Example", "for line in open(path): if len(line) < 80: print(line)", R]),
     "table": (TABLE, ["The old mill", P, Q, R]),
 }
+
+
+# ---- layouts that say little of what their parts are
+
+MENU = "<ul><li><a href=/a>Home</a><li><a href=/b>News of the day</a><li><a href=/c>About us</a></ul>"
+FOOT = "<p>&copy; 2024 The Daily Post. All rights reserved.</p>"
+TEXT = f"<h1>Bridge approved</h1><p>{P}</p><p>{Q}</p><p>{R}</p>"
+WANT = ["Bridge approved", P, Q, R]
+SECTIONS = TEXT.replace("<p>", "<div>").replace("</p>", "</div>")
+
+SPARSE = {
+    "divs alone": (f"<body><div>{MENU}</div><div>{SECTIONS}</div><div>{FOOT}</div></body>", WANT),
+    "divs around paragraphs": (f"<body><div>{MENU}</div><div>{TEXT}</div><div>{FOOT}</div></body>", WANT),
+    "section without a name": (f"<body><div>{MENU}</div><section>{TEXT}</section><footer>{FOOT}</footer></body>", WANT),
+    "itemprop": (f"<body><nav>{MENU}</nav><div itemprop=articleBody>{TEXT}</div><footer>{FOOT}</footer></body>", WANT),
+    "form around the page": (f"<body><form id=aspnetForm method=post><div id=menu>{MENU}</div><div id=content>{TEXT}</div><div id=footer>{FOOT}</div></form></body>", WANT),
+    "forum": (f"<body><div class=nav>{MENU}</div><h1>Bridge approved</h1><div class=message><div class=author>anna</div><p>{P}</p></div><div class=message><div class=author>bert</div><p>{Q}</p></div><div class=footer>{FOOT}</div></body>", WANT[:3]),
+    "linked paragraph": (f"<body><nav>{MENU}</nav><article><h1>Bridge approved</h1><p><a href=/x>{P}</a></p><p>{Q}</p></article><footer>{FOOT}</footer></body>", WANT[:3]),
+    "breaks": (f"<body><div class=nav>{MENU}</div><div class=content><h1>Bridge approved</h1>{P}<br><br>{Q}<br><br>{R}</div><div class=footer>{FOOT}</div></body>", ["Bridge approved", f"{P} {Q} {R}"]),
+    "paragraphs alone": (f"<body>{TEXT}{FOOT}</body>", WANT),
+    "hashed names": (f"<body><div class=css-1x2y><div class=css-9a>{MENU}</div></div><div class=css-77f>{TEXT}</div><div class=css-0b>{FOOT}</div></body>", WANT),
+    "open svg": (f"<body><nav>{MENU}</nav><article><h1>Bridge approved</h1><svg><path><p>{P}</p><p>{Q}</p></article><footer>{FOOT}</footer></body>", WANT[:3]),
+    "hidden blocks": (f"<body style='visibility:hidden'><nav>{MENU}</nav><article><h1>Bridge approved</h1><p>{P}</p><div hidden><p>{R}</p></div><p style='color:red; display: none'>{R}</p><p>{Q}</p></article></body>", WANT[:3]),
+    "chinese": ("<body><nav><a href=/>首页</a></nav><article><h1>大桥获批</h1><p>市议会周二开会讨论新桥，大多数议员表示赞成，工程将于春天开始。</p></article></body>", ["大桥获批", "市议会周二开会讨论新桥，大多数议员表示赞成，工程将于春天开始。"]),
+}

@@ -4,7 +4,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
-from golden_pages import GOLDEN
+from golden_pages import GOLDEN, SPARSE
 from pyspark.sql import functions as F
 
 from caseflow.llm import html_extract, neighbours
@@ -197,6 +197,22 @@ def test_pages_written_by_hand(name):
     assert html_extract.main_text(page, trained()).split("\n\n") == want
 
 
+@pytest.mark.parametrize("name", list(SPARSE))
+def test_pages_that_say_little_of_their_parts(name):
+    page, want = SPARSE[name]
+    assert html_extract.main_text(page, trained()).split("\n\n") == want
+
+
+@pytest.mark.parametrize(("seen", "unseen"), [((88, 12, 0), (0, 0, 100)), ((88, 0, 12), (0, 100, 0))])
+def test_families_of_layouts_that_training_never_saw(seen, unseen):
+    chain = html_extract.train(html_extract.Settings(), html_extract.labelled_pages(1200, families=seen))
+    found = hits = wanted = 0
+    for page, labels in html_extract.labelled_pages(300, seed=99, families=unseen):
+        got = chain.label(html_extract.features_of(html_extract.blocks_of(page, chain.known)))
+        found, wanted, hits = found + sum(got), wanted + sum(labels), hits + sum(a and b for a, b in zip(got, labels))
+    assert hits / found > 0.95 and hits / wanted > 0.95
+
+
 @lru_cache(1)
 def trained():
     return html_extract.train()
