@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import text as T
 from caseflow.operators.quality import missing_any
 from caseflow.operators.rules import Rule, RulePack
+from caseflow.operators.structure import restricted_text
 
 
 def custom_rule(field: str, make: Callable[[Column], Column], source: str = "text") -> Rule:
@@ -44,6 +45,21 @@ def enrich_blank(rows: DataFrame, context: DataFrame, critical: list[str], field
     return met.withColumns({f: F.coalesce(T.unblank(f), F.col(f"__{f}").cast(rows.schema[f].dataType)) for f in fields}).drop(*(f"__{f}" for f in fields))
 
 
+def enrich_from_pages(rows: DataFrame, pages: DataFrame, plan: DataFrame, kinds: dict[str, str], critical: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], key: str = "doc_id") -> DataFrame:
+    """As ``enrich_blank``, with the planned pages (E29: ``plan`` of key, kind, pages) of the kinds of those fields alone that are blank.
+
+    ``kinds`` maps a field to the kind of page that tells it; ``work`` gets their text as ``text``, in the order of the
+    kinds. Pages that no blank field asks for aren't read on, and rows without planned pages stay as they are.
+    """
+    order = {k: n for n, k in enumerate(dict.fromkeys(kinds.values()))}
+    needed = F.array_compact(F.array(*(F.when(T.blank(f), F.lit(k)) for f, k in kinds.items())))
+    asked = missing_any(rows, critical).select(key, F.explode(F.array_distinct(needed)).alias("kind"))
+    told = restricted_text(pages, plan.join(asked, [key, "kind"], "left_semi"), doc=key)
+    place = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))["kind"]
+    context = told.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("n"), "text"))), lambda r: r["text"]), "\n").alias("text"))
+    return enrich_blank(rows, context, critical, list(kinds), work, key)
+
+
 def _columns(p: str) -> dict[str, int]:
     """For each letter of ``p`` the places where it stands, as bits."""
     at: dict[str, int] = {}

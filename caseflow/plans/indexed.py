@@ -101,3 +101,23 @@ def cases_to_redo(spark, sf_dir):
     """The cases to extract again, the newest 50."""
     o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("number"))
     return worklog.recent(o, 50, at="number", key="case_id")
+
+
+def _read_off(batch):
+    return batch.assign(first=batch["text"].str[:9], last=batch["text"].str[-9:])
+
+
+@query(
+    """
+WITH p AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1),
+x AS (SELECT conv_id, n, 'page ' || lpad(cast(conv_id % 1000 AS varchar), 4, '0') AS head FROM p)
+SELECT conv_id AS doc_id, CASE WHEN conv_id % 3 = 0 THEN 'known' ELSE head END AS first, CASE WHEN conv_id % 5 = 0 THEN 'known' ELSE 'turn ' || lpad(cast(n AS varchar), 4, '0') END AS last FROM x"""
+)
+def enriched_from_pages(spark, sf_dir):
+    """Fields left blank are read off the pages that the plan names for them: the first page for one, the last for the other."""
+    turns = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"))
+    said = F.concat(F.lit("page "), F.lpad((F.col("doc_id") % 1000).cast("string"), 4, "0"), F.lit(" turn "), F.lpad((F.col("page_no") - 1).cast("string"), 4, "0"))
+    docs = turns.groupBy("doc_id").agg(F.max("page_no").alias("n"), F.min("page_no").alias("m"))
+    rows = docs.select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'known' END").alias("first"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'known' END").alias("last"))
+    plan = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("cover").alias("kind"), F.array("m").alias("pages")), F.struct(F.lit("end").alias("kind"), F.array("n").alias("pages")))).alias("p")).select("doc_id", "p.*")
+    return hooks.enrich_from_pages(rows, turns.withColumn("text", said), plan, {"first": "cover", "last": "end"}, ["first", "last"], _read_off)

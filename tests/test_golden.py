@@ -306,6 +306,17 @@ def test_enrichment_sees_only_blank_rows_and_fills_only_blanks(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "c1", "b"), (2, "a", None), (3, "a", "b")]
 
 
+def test_enrichment_reads_the_planned_pages_of_blank_fields(spark):
+    from caseflow.operators import hooks
+
+    rows = spark.createDataFrame([(1, None, "b"), (2, "a", None), (3, None, None), (4, "a", "b")], "doc_id int, x string, y string")
+    pages = spark.createDataFrame([(d, p, f"d{d}p{p}") for d in range(1, 5) for p in range(1, 4)], "doc_id int, page_no int, text string")
+    plan = spark.createDataFrame([(d, k, p) for d in (1, 2, 4) for k, p in (("form", [2, 1]), ("card", [3]))], "doc_id int, kind string, pages array<int>")
+    work = lambda b: b.assign(x=b["text"].str.replace("\n", "+"), y=b["text"].str.replace("\n", "+"))
+    out = hooks.enrich_from_pages(rows, pages, plan, {"x": "form", "y": "card"}, ["x", "y"], work)
+    assert sorted(map(tuple, out.collect())) == [(1, "d1p2+d1p1", "b"), (2, "a", "d2p3"), (3, None, None), (4, "a", "b")]
+
+
 def test_lcs_scorer(spark):
     from caseflow.operators import hooks
 
