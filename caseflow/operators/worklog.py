@@ -5,14 +5,12 @@ Every rule about "now" takes ``now``; every order ends in a tie-break.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
 from caseflow.operators.match import first_by, small
-from caseflow.sources.shared import shared_dir
+from caseflow.sources.shared import work_path
 
 DONE, FAILED = ("completed", "success"), ("error", "failed")
 TERMINAL = DONE + FAILED
@@ -182,7 +180,7 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> Data
     task sees more than its partition, and one row per partition.
     """
     spark = rows.sparkSession
-    at = f"{shared_dir(spark)}/caseflow-numbered-{uuid.uuid4().hex}"
+    at = work_path(spark, "numbered")
     rows.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")).write.parquet(at)
     held = spark.read.parquet(at)
     sizes = held.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))

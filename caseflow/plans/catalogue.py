@@ -6,7 +6,6 @@ lineitem for evidence, conversations for pages, sections and chunks, events for
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import text as T
 from caseflow.operators import classify, find, match, quality, rules, structure, worklog
 from caseflow.packs import generic, labour_br
-from caseflow.sources.shared import shared_dir, stream_of
+from caseflow.sources.shared import stream_of, work_path
 from caseflow.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1085,7 +1084,7 @@ def latest_states(spark, sf_dir):
 @query(f"SELECT case_id, status, step, updated_at, n_events FROM {_STATES}")
 def streamed_states(spark, sf_dir):
     """T1, T3 as a stream of files, merged batch by batch into a table of states."""
-    top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
+    top = work_path(spark, "stream")
     stream = stream_of(t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet")
     jobs.merge_states(f"{top}/states", _events(stream), f"{top}/checkpoint").awaitTermination()
     return jobs.read_states(spark, f"{top}/states", None).drop("message")
@@ -1094,7 +1093,7 @@ def streamed_states(spark, sf_dir):
 @query(f"SELECT case_id, status, n_events FROM {_STATES} WHERE NOT (status IN ('completed', 'error') AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)")
 def streamed_retention(spark, sf_dir):
     """T3 as a stream: every batch is compacted, and terminal states past retention are gone."""
-    top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
+    top = work_path(spark, "stream")
     stream = stream_of(t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet")
     jobs.merge_states(f"{top}/states", _events(stream), f"{top}/checkpoint", days=1, compact_every=1).awaitTermination()
     return jobs.read_states(spark, f"{top}/states", 1).select("case_id", "status", "n_events")
@@ -1103,7 +1102,7 @@ def streamed_retention(spark, sf_dir):
 @query("SELECT conv_id AS doc_id, cast(turn + 1 AS int) AS page_no, CASE WHEN role = 'user' THEN '05/03/2024' END AS filing_date FROM conversations")
 def arrived_rows(spark, sf_dir):
     """T4: pages that arrive as files become extracted rows, batch by batch."""
-    top = f"{shared_dir(spark)}/caseflow-stream-{uuid.uuid4().hex}"
+    top = work_path(spark, "stream")
     stream = stream_of(t(spark, sf_dir, "conversations"), f"{sf_dir}/conversations.parquet")
     pages = stream.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), F.expr("CASE WHEN role = 'user' THEN 'Distribuído em 05.03.2024' ELSE 'nada' END").alias("text"))
     work = lambda b: rules.extract(b, labour_br.PACK, fields=["filing_date"], keep=("doc_id", "page_no"), provenance=False)

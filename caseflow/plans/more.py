@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as T
@@ -12,11 +10,11 @@ from caseflow.packs import labour_br
 from caseflow.plans import cases
 from caseflow.plans.catalogue import _BATCHES, _ITEMS, _PAGES, _batches, _items, _pages, query, spread, t
 from caseflow.sources import tables
-from caseflow.sources.shared import shared_dir
+from caseflow.sources.shared import work_path
 
 
 def _place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/caseflow-{name}-{uuid.uuid4().hex}"
+    return work_path(spark, name)
 
 
 # ---------------------------------------------------------------- sources and sinks

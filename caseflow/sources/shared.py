@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """Where a new work table of this driver lies; ``clear_work`` deletes it."""
+    _made.append(f"{shared_dir(spark)}/caseflow-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_work() -> int:
+    """Delete the work tables that this driver has made so far, and say how many there were.
+
+    For when what was computed has been written: frames that came from operators still read these tables.
+    """
+    count = 0
+    while _made:
+        path = _made.pop()
+        store, top = open_store(path)
+        if store.get_file_info(top).type == fs.FileType.Directory:
+            drop_folder(path)
+            count += 1
+    return count
+
+
 def stream_of(batch: DataFrame, path: str) -> DataFrame:
     """The files of a Parquet table as a stream; the table may be a folder or a single file."""
     spark, name = batch.sparkSession, path.rsplit("/", 1)[-1]

@@ -121,6 +121,20 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
         shared.shared_dir(Session())
 
 
+def test_work_tables_can_be_cleared(spark, tmp_path):
+    import os
+
+    from caseflow.operators.worklog import numbered
+    from caseflow.sources import shared
+
+    shared.clear_work()
+    rows = numbered(spark.range(10), F.desc("id"))
+    at = shared._made[-1].removeprefix("file:")
+    rows.write.parquet(str(tmp_path / "out"))
+    assert os.path.isdir(at) and shared.clear_work() == 1 and not os.path.exists(at) and shared.clear_work() == 0
+    assert {(r["id"], r["place"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(k, 10 - k) for k in range(10)}
+
+
 def test_state_stream_times_out(spark, tmp_path):
     e = _events(spark)
     for k, part in enumerate((e.where("case_id < 3"), e.where("case_id = 3"), e.where("case_id = 3"))):
