@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.sources.shared import shared_dir
+from caseflow.sources.shared import shared_dir, work_path  # noqa: F401  (shared_dir for the operators)
 
 #: Text bytes that one vectorised step inside a task works on at once.
 STEP_BYTES = 2 << 20
@@ -28,7 +27,7 @@ def stash(df: DataFrame, keep: str = "lineage") -> DataFrame:
     later use of the frame reads the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/caseflow-{keep}-{uuid.uuid4().hex}"
+    path = work_path(spark, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -23,7 +23,6 @@ their own, of which one stays; an empty table gives no rows; columns of any name
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from caseflow.llm._common import fanout, read, stash, steps
-from caseflow.sources.shared import open_store, shared_dir
+from caseflow.sources.shared import open_store, work_path
 
 #: Fixed value: the characters that don't count, space and the controls from tab to carriage return.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -232,7 +231,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: l
     """Every row of ``docs`` as (doc_id, keep_id, group_size, kept, text_sha256, row): ``row`` holds the columns ``keep`` (all)."""
     plan = planned(docs.count(), fanout(docs), settings)
     parts = _parts(docs, text, plan, settings)
-    folder = f"{shared_dir(docs.sparkSession)}/caseflow-answers-{uuid.uuid4().hex}"
+    folder = work_path(docs.sparkSession, "answers")
     _answers(parts, plan, settings).write.partitionBy("folder").parquet(folder)
     row, ident = F.struct(*(F.col("row")[c].alias(c) for c in keep or docs.columns)).alias("row"), F.col("row")[doc_id].cast("long").alias("doc_id")
     rows = parts.where("slot is not null")
