@@ -52,7 +52,9 @@ class Features:
     """The n-grams of a step of texts: ``bucket`` of each, ``text`` that holds it, and the words of each text."""
 
     def __init__(self, texts: pa.Array, buckets: int):
-        lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), BETWEEN)
+        # taken out as a copy: a slice that is cast keeps offsets into the whole buffer, and the lower-casing kernel reads from its start
+        whole = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+        lists = pc.split_pattern_regex(pc.ascii_lower(whole), BETWEEN)
         words, text = pc.list_flatten(lists), pc.list_parent_indices(lists)
         real = pc.greater(pc.binary_length(words), 0)  # a separator at either end leaves an empty word
         coded, text = pc.filter(words, real).dictionary_encode(), pc.filter(text, real).to_numpy()

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from caseflow.llm import exact_dedup, fill_in_middle, importance
+from caseflow.llm._common import steps
 from conftest import same_as_sql
 
 DOCS = "doc_id long, text string, unit string, row string, digest string, rank int, `__text` string, `__id` int"
@@ -185,3 +186,15 @@ def test_features_of_slices():
     every = [plain_features(t) for t in texts.to_pylist()[1:]]
     assert got.words.tolist() == [n for n, _ in every] and got.sizes().tolist() == [len(f) for _, f in every]
     assert sorted(np.concatenate(got.bucket).tolist()) == sorted(f % (1 << 31) for _, fs in every for f in fs)
+
+
+def test_features_of_steps():
+    """Every step of a batch of several; without nulls, which would have it copied, a step lies inside the batch's buffer."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Alpha", "bêta", "GAMMA-9", "日本"]) for _ in range(rng.randrange(400))) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [importance.Features(b.column("text"), 1 << 31) for b in steps(batch, "text", 100_000)]
+    assert len(parts) > 5
+    every = [plain_features(t) for t in texts]
+    assert np.concatenate([p.words for p in parts]).tolist() == [n for n, _ in every]
+    assert sorted(np.concatenate([b for p in parts for b in p.bucket]).tolist()) == sorted(f % (1 << 31) for _, fs in every for f in fs)
