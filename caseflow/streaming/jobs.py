@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -161,23 +163,23 @@ def merge_states(target: str, events: DataFrame, checkpoint: str, trigger: dict
 # ---- arriving documents
 
 
-#: Jobs that one batch may spend on finding the documents that fail; the rest of a failing part then counts as failed.
-SEARCHES = 256
+#: Documents of a bucket in which failing ones are looked for, about; the most buckets; and buckets looked at at once.
+BUCKET, BUCKETS, AT_ONCE = 32, 4096, 8
 _LOST = ("ExecutorLostFailure", "FetchFailed", "cancelled", "CANCELLED", "OutOfMemory")
 
 
 def settle(batch: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, key: str = "doc_id") -> None:
     """T4: write ``extract`` of a batch to ``path`` with ``status`` and ``reason``: documents that fail are rows of their own.
 
-    All goes well in one job. If it fails, the batch is halved by a hash of the key, and only failing halves are halved
-    again, until a failing part is one document; so one bad document of n costs about 2 log2(n) small jobs. What was found
-    is put together and written once. A failure that is the cluster's is raised, so the batch is tried again.
+    All goes well in one job. If it fails, the batch is dealt into buckets by a hash of the key, written once, so that a job
+    reads its bucket alone; buckets are tried side by side, and failing ones are halved until a failing part is one document.
+    So one bad document costs about ten small jobs, however many there are. What was found is put together and written
+    once. A failure that is the cluster's is raised, so the batch is tried again.
     """
-    aside, spark, left = f"{path.rstrip('/')}-aside".replace("batch=", "pieces-"), batch.sparkSession, [SEARCHES]
+    aside, spark = f"{path.rstrip('/')}-aside".replace("batch=", "pieces-"), batch.sparkSession
     schema = extract(batch.where("false")).schema
 
     def attempt(rows: DataFrame, to: str) -> str | None:
-        left[0] -= 1
         try:
             extract(rows).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason")).write.mode("overwrite").parquet(to)
         except Exception as error:  # whatever the extraction raises
@@ -185,36 +187,51 @@ def settle(batch: DataFrame, extract: Callable[[DataFrame], DataFrame], path: st
                 raise
             return _reason(error)
 
-    pieces, failed = [], []
-
-    def search(level: int, value: int, reason: str) -> None:
-        here = batch.where(F.pmod(F.xxhash64(key), F.lit(1 << level)) == value)
-        if level == 62 or left[0] <= 0 or here.select(key).distinct().limit(2).count() < 2:
-            failed.append(here.select(key).distinct().withColumn("reason", F.lit(reason)))
-            return
-        for half in (value, value + (1 << level)):
-            part = batch.where(F.pmod(F.xxhash64(key), F.lit(2 << level)) == half)
-            if part.isEmpty():
-                continue
-            to = f"{aside}/{level + 1}-{half}"
-            error = attempt(part, to)
-            if error is None:
-                pieces.append(to)
-            else:
-                search(level + 1, half, error)
-
-    error = attempt(batch, path)
-    if error is None:
+    if attempt(batch, path) is None:
         return
-    search(0, 0, error)
-    out = spark.createDataFrame([], schema).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason"))
-    for rows in failed:
-        out = out.unionByName(rows.withColumn("status", F.lit("error")), allowMissingColumns=True)
+    hashed = batch.select(key, F.xxhash64(key).alias("__hash")).distinct()
+    bits = min(BUCKETS, max(1, hashed.count() // BUCKET)).bit_length() - 1
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    batch.withColumn("__bucket", place).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{aside}/rows")
+    buckets = [r[0] for r in hashed.select(place.alias("b")).distinct().collect()]
+
+    def search(bucket: int) -> tuple[list[str], list[tuple[int, str]]]:
+        """Tables of what went well, and the hashes of the documents that fail, with their reasons."""
+        rows = spark.read.schema(batch.schema).parquet(f"{aside}/rows/__bucket={bucket}")
+        to = f"{aside}/found/{bucket}"
+        error = attempt(rows, to)
+        if error is None:
+            return [to], []
+        good, bad, members = [], [], [r[0] for r in rows.select(F.xxhash64(key)).distinct().collect()]
+        parts = [(bits, bucket, members, error)]
+        while parts:
+            level, value, inside, reason = parts.pop()
+            if len(inside) == 1:
+                bad.append((inside[0], reason))
+                continue
+            for half in (value, value + (1 << level)):
+                own = [h for h in inside if h % (2 << level) == half]
+                if not own:
+                    continue
+                to = f"{aside}/found/{bucket}-{level}-{half}"
+                error = reason if len(own) == len(inside) else attempt(rows.where(F.pmod(F.xxhash64(key), F.lit(2 << level)) == half), to)
+                if error is None:
+                    good.append(to)
+                else:
+                    parts.append((level + 1, half, own, error))
+        return good, bad
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(search), buckets))
+    pieces, failed = [to for good, _ in found for to in good], [x for _, bad in found for x in bad]
+    reasons = spark.createDataFrame(failed, "__hash long, reason string")  # a row for each document that fails
+    out = hashed.join(reasons, "__hash").select(key, F.lit("error").alias("status"), "reason")
+    none = spark.createDataFrame([], schema).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason"))
+    out = none.unionByName(out, allowMissingColumns=True)
     if pieces:
         out = out.unionByName(spark.read.schema(out.schema).parquet(*pieces))
     out.write.mode("overwrite").parquet(path)
-    if pieces:
-        drop_folder(aside)
+    drop_folder(aside)
 
 
 def _reason(error: Exception) -> str:

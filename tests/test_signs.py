@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import text as T
 from caseflow.functions.grammar import signs
 from caseflow.packs import labour_br
+from caseflow.streaming import jobs
 
 
 def test_signs_of_patterns():
@@ -27,3 +28,12 @@ def test_no_match_is_lost(spark):
     found = [F.count_if(F.col("t").rlike(p)).alias(f"f{k}") for k, p in enumerate(patterns)]
     got = rows.agg(*lost, *found).first().asDict()
     assert not any(v for k, v in got.items() if k[0] == "c") and sum(v > 0 for k, v in got.items() if k[0] == "f") > 20
+
+
+def test_every_failing_document_is_found(spark, tmp_path):
+    """As many failing documents as there may be: a batch isn't given up after so many jobs."""
+    rows = spark.range(300).select(F.col("id").alias("doc_id"))
+    work = lambda b: b.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.raise_error(F.lit("unreadable"))).otherwise(F.lit("x")).alias("text"))
+    jobs.settle(rows, work, str(tmp_path / "rows/batch=0"))
+    got = {r["doc_id"]: (r["status"], "unreadable" in (r["reason"] or "")) for r in jobs.settled_documents(spark, str(tmp_path / "rows")).collect()}
+    assert got == {k: ("error", True) if k % 5 == 0 else ("ready", False) for k in range(300)}
