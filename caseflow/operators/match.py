@@ -250,15 +250,20 @@ def best_option(df: DataFrame, options: DataFrame, wanted: str, keys: list[str],
 def distinct_names(names, threshold: float = 0.85) -> Column:
     """Of an array, in order: a name equal to, contained in, containing or similar to a kept one goes. Companies come first."""
     names = F.col(names) if isinstance(names, str) else names
-    company = F.filter(names, lambda n: F.coalesce(T.person_type(n) == "juridica", F.lit(False)))
-    person = F.filter(names, lambda n: ~F.coalesce(T.person_type(n) == "juridica", F.lit(False)))
+    firm = lambda n: F.coalesce(T.person_type(n) == "juridica", F.lit(False))
+    # an exact copy goes in any case; folded form and kind are computed once for each name
+    entries = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), T.fold(n).alias("folded"), firm(n).alias("firm")))
+    kind = "array<struct<name: string, folded: string, firm: boolean>>"
 
     def same(a: Column, b: Column) -> Column:
-        x, y = T.fold(a), T.fold(b)
-        return (x == y) | F.contains(x, y) | F.contains(y, x) | (T.ratio(a, b) >= threshold)
+        x, y = a["folded"], b["folded"]
+        return (x == y) | F.contains(x, y) | F.contains(y, x) | (T.folded_ratio(x, y) >= threshold)
 
-    kept = F.aggregate(F.concat(company, person), F.array().cast("array<string>"), lambda acc, n: F.when(F.exists(acc, lambda k: same(k, n)), acc).otherwise(F.concat(acc, F.array(n))))
-    return F.filter(kept, lambda n: T.fold(n) != "")
+    def kept(every: Column) -> Column:
+        ordered = F.concat(F.filter(every, lambda n: n["firm"]), F.filter(every, lambda n: ~n["firm"]))
+        return F.aggregate(ordered, F.array().cast(kind), lambda acc, n: F.when(F.exists(acc, lambda k: same(k, n)), acc).otherwise(F.concat(acc, F.array(n).cast(kind))))
+
+    return F.transform(F.filter(T.bind(entries, kept), lambda n: n["folded"] != ""), lambda n: n["name"])
 
 
 def primary_secondary(parties: DataFrame, priority: DataFrame, keys: list[str], name: str = "name", ordinal: str = "ordinal", longest_match: bool = False, threshold: float = 0.85) -> DataFrame:
