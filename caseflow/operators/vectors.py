@@ -9,15 +9,41 @@ how many it needs for a recall is measured (``calibrated``), and scores of what
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.operators.find import cosine
 from caseflow.operators.match import small
 
+#: Rows of a list that meet its queries in one group, about, and the share of rows (one in so many) that bounds the scores.
+BLOCK, SHARE = 8192, 128
+#: Numbers of a vector up to which they are columns of their own: a pair then takes compiled code a microsecond instead of interpreted lambdas.
+NARROW = 96
+
+
+def _flat(name: str, width: int) -> list[Column]:
+    """The numbers of an array as columns, with its length: both as ``cosine`` has them. Wider arrays stay."""
+    squares = F.aggregate(name, F.lit(0.0), lambda s, x: s + x * x)
+    numbers = [F.coalesce(F.get(name, F.lit(i)), F.lit(0.0)).alias(f"{name}{i}") for i in range(width)]
+    return [*numbers, F.sqrt(squares).alias(f"{name}_size")] if width <= NARROW else [F.col(name)]
+
+
+def _score(width: int) -> Column:
+    """``cosine`` of the columns that ``_flat`` made of q and v."""
+    if width > NARROW:
+        return cosine("q", "v")
+    dot = reduce(lambda s, i: s + F.col(f"q{i}") * F.col(f"v{i}"), range(width), F.lit(0.0))
+    return dot / F.nullif(F.col("q_size") * F.col("v_size"), F.lit(0.0))
+
+
+def _ranked(scored: DataFrame, n: int) -> DataFrame:
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key")))
+    return best.where(F.col("rank") <= n).select("query_id", "rank", "key", "score")
+
 
 @dataclass(frozen=True)
 class VectorTable:
@@ -82,13 +108,31 @@ class VectorTable:
         return placed if probes is None else placed.where(F.col("place") <= probes)
 
     def search(self, queries: DataFrame, n: int = 5, probes: int | None = None, skip_self: bool = True) -> DataFrame:
-        """(query_id, rank, key, score): the n most like each of ``queries`` (query_id, q) in the lists that it looks into."""
+        """(query_id, rank, key, score): the n most like each of ``queries`` (query_id, q) in the lists that it looks into.
+
+        The n-th best in a share of these rows bounds what can be among the n best of all, so only few pairs are ranked.
+        """
+        spark = queries.sparkSession
         wanted = self.nearest_lists(queries, probes or self.probes)
         lists = sorted(r["list"] for r in wanted.select("list").distinct().collect())  # a name for each list
-        met = wanted.join(self.rows(queries.sparkSession, lists), "list").select("query_id", "key", cosine("q", "v").alias("score")).where("score is not null")
-        met = met.where("query_id <> key") if skip_self else met
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key")))
-        return ranked.where(F.col("rank") <= n).select("query_id", "rank", "key", "score")
+        rows = self.rows(spark, lists)
+        first = rows.select(F.size("v").alias("n")).first()
+        width = first["n"] if first else 0
+        wanted = wanted.where((F.size("q") == width) & ~F.exists("q", lambda x: x.isNull()))
+        parts = small(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))  # a row for each list
+        part = lambda count: F.pmod(F.xxhash64("key"), count).cast("int")
+        held = rows.join(parts, "list").select("list", part(F.col("parts")).alias("part"), "key", *_flat("v", width))
+        asked = wanted.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", *_flat("q", width))
+        own = F.col("query_id") != F.col("key") if skip_self else F.lit(True)
+        score = _score(width)
+
+        some = held.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SHARE)) == 0)
+        seen = some.join(asked.hint("shuffle_hash"), ["list", "part"]).where(own).select("query_id", "key", score.alias("score")).where("score is not null")
+        bound = _ranked(seen, n).where(F.col("rank") == n).select("query_id", F.col("score").alias("least"), F.col("key").alias("last"))
+        asked = asked.join(bound, "query_id", "left")
+        inside = F.coalesce((score >= F.col("least")) & ((F.col("key") <= F.col("last")) | (score > F.col("least"))), F.col("least").isNull())
+        met = held.join(asked.hint("shuffle_hash"), ["list", "part"]).where(own & inside).select("query_id", "key", score.alias("score")).where("score is not null")
+        return _ranked(met, n)
 
     def calibrated(self, queries: DataFrame, recall: float = 0.9, n: int = 5, sample: int = 64) -> VectorTable:
         """The table with the fewest probes that reach ``recall`` on at most ``sample`` of the queries, by a full scan for these."""

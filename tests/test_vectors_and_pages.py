@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from caseflow.operators import vectors
 from caseflow.operators.vectors import VectorTable
 from caseflow.sources import pages, tables
 
@@ -54,6 +55,22 @@ def test_lists_reach_the_recall_and_spare_most_rows(spark, tmp_path, most):
     assert "list" in one.split("PartitionFilters: [")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("share, block, narrow", [(4, 50, 96), (2, 10_000, 96), (4, 50, 4)])
+def test_bounded_scores_lose_no_neighbour(spark, tmp_path, monkeypatch, share, block, narrow):
+    """Many copies of one vector, so ties lie on the bound; the pairs meet in blocks, by a join without lambdas where vectors are narrow."""
+    for name, value in {"SHARE": share, "BLOCK": block, "NARROW": narrow}.items():
+        monkeypatch.setattr(vectors, name, value)
+    rows = clustered(spark, 600).withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.array(*(F.lit(float(k)).cast("float") for k in range(1, 9)))).otherwise(F.col("embedding")))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    found = VectorTable(str(tmp_path / "t"), lists=4).create(rows).search(queries, probes=1 << 20)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["key"])
+    assert got == scan(rows, range(0, 600, 20))
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ShuffledHashJoin" in x and "least" in x]
+    assert joins and all(("lambda" in x) == (narrow < 8) for x in joins)
+
+
 def test_few_or_no_vectors(spark, tmp_path):
     rows = clustered(spark, 3)
     table = VectorTable(str(tmp_path / "t")).create(rows)
