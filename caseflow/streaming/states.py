@@ -1,133 +1,93 @@
-"""The states of all keys in event time, by one stateful processor.
+"""The states of all keys in event time, as a job of windows over each micro-batch.
 
-A key's events wait in a list until the watermark has passed them, so that they are final, and then become its
-history in order, numbered from 1. Timers do the rest: a running key without an event for ``minutes`` of event
+A key's events wait in a table until the watermark has passed them, so that they are final, and then become its
+history in order, numbered from 1. The watermark does the rest: a running key without an event for ``minutes`` of event
 time gets an error of its own, at the time when it was due, and a key without events for ``days`` is forgotten.
 What comes out depends on the events alone, not on how they were cut into micro-batches: ``case_history`` is the
 batch twin with the same rows.
 
-Retention is a timer rather than a state TTL: a TTL counts wall-clock time, so a replay would keep other states than
-the first run, and Spark doesn't allow one in event time.
-
-What is held per key is one row and the events of the watermark's delay, never its history.
+What is held per key is one row and the events of the watermark's delay, never its history. A micro-batch reads and
+writes what is held once, beside its own events, and overwrites itself when it is repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-
-#: A change of a key's state: ``cause`` is "event", or "timeout" for the processor's own errors.
-CHANGE = "case_id long, n long, ts timestamp, step string, status string, message string, attempts long, cause string"
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from pyspark.sql.streaming import StreamingQuery
 
+from caseflow.sources.shared import drop_folder, numbered_folders
 
+#: A change of a key's state: ``cause`` is "event", or "timeout" for errors of our own.
+CHANGE = "case_id long, n long, ts timestamp, step string, status string, message string, attempts long, cause string"
 #: Heartbeats belong to no case, but they move the watermark: the time in this condition keeps it above that.
 _HAS_CASE = "case_id IS NOT NULL OR ts < TIMESTAMP '0001-01-01 00:00:00'"
 
 
-def _order(event: tuple) -> tuple:
+def _in_order(*first: str) -> list[Column]:
     """Events by time, step, status and message; unknown ones first."""
-    return event[0], *((v is not None, v or "") for v in event[1:])
-
-
-class CaseStates(StatefulProcessor):
-    """The events of one key in order, with time-outs; see the module."""
-
-    def __init__(self, minutes: int, days: int):
-        self.minutes, self.days = minutes, days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.latest = handle.getValueState("latest", "at long, running boolean, step string, n long, attempts long")
-        self.waiting = handle.getListState("waiting", "at long, step string, status string, message string")
-        self.due = handle.getValueState("due", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for b in rows:
-            at = b["ts"].astype("datetime64[us]").astype("int64").tolist()
-            text = [[None if pd.isna(v) else v for v in b[c]] for c in ("step", "status", "message")]
-            self.waiting.appendList(list(zip(at, *text)))
-            first = min([*at, *([] if first is None else [first])])
-        if first is not None:
-            self._wake(first // 1000)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.waiting.get()]
-        ready, later = sorted((e for e in held if e[0] <= now), key=_order), [e for e in held if e[0] > now]
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        state, out = (self.latest.get() if self.latest.exists() else None), []
-        for at, step, status, message in ready:
-            state = self._until(state, at - 1, out)
-            _, _, _, n, attempts = state or (0, False, None, 0, 0)
-            state = (at, status == "running", step, n + 1, attempts + (status == "retry"))
-            out.append((n + 1, at, step, status, message, state[4], "event"))
-        state = self._until(state, now, out)
-        self.latest.update(state) if state else self.latest.clear()
-        self.due.clear()
-        nexts = [min(e[0] for e in later)] if later else []
-        nexts += [state[0] + self._patience(state)] if state else []
-        if nexts:
-            self._wake(max(min(nexts) // 1000, now // 1000 + 1))
-        if out:
-            rows = pd.DataFrame(out, columns=["n", "ts", "step", "status", "message", "attempts", "cause"])
-            yield rows.assign(case_id=key[0], ts=pd.to_datetime(rows["ts"], unit="us"))[[c.split()[0] for c in CHANGE.split(", ")]]
-
-    def close(self) -> None:
-        pass
-
-    def _patience(self, state: tuple) -> int:
-        return 60_000_000 * (self.minutes if state[1] else 1440 * self.days)
-
-    def _until(self, state: tuple | None, now: int, out: list) -> tuple | None:
-        """The state at ``now``, if no event comes before."""
-        while state and state[0] + self._patience(state) <= now:
-            at, running, step, n, attempts = state
-            if not running:
-                return None
-            at += self._patience(state)
-            state = (at, False, step, n + 1, attempts)
-            out.append((n + 1, at, step, "error", f"no update for {self.minutes} minutes", attempts, "timeout"))
-        return state
-
-    def _wake(self, at: int) -> None:
-        """Move the key's only timer to ``at``, if that is sooner."""
-        if self.due.exists():
-            (before,) = self.due.get()
-            if before <= at:
-                return
-            self.handle.deleteTimer(before)
-        self.due.update((at,))
-        self.handle.registerTimer(at)
-
-
-def case_states(events: DataFrame, minutes: int = 10, days: int = 7, delay: str = "1 minute") -> DataFrame:
-    """The stream CHANGE of a stream of (case_id, ts, step, status, message); rows ``delay`` behind the latest are dropped.
-
-    Needs the RocksDB state store, which ``keep_history`` sets.
-    """
-    rows = events.select("case_id", "ts", "step", "status", "message").withWatermark("ts", delay).where(_HAS_CASE)
-    return rows.groupBy("case_id").transformWithStateInPandas(CaseStates(minutes, days), CHANGE, "Append", "EventTime")
+    return [*map(F.col, first), *(F.asc_nulls_first(c) for c in ("ts", "step", "status", "message"))]
+
+
+def _numbered(rows: DataFrame, last: DataFrame, mark: Column | None, minutes: int, days: int) -> DataFrame:
+    """CHANGE of final events that follow the ``last`` changes of their keys, up to the watermark (null: of all time)."""
+    wait, key = F.expr(f"INTERVAL {minutes} MINUTES"), Window.partitionBy("case_id")
+    events = rows.select("case_id", F.lit(None).cast("long").alias("n"), "ts", "step", "status", "message", F.lit(None).cast("long").alias("attempts"), F.lit("event").alias("cause"), F.lit(1).alias("new"))
+    in_order = key.orderBy(*_in_order("new"))
+    met = events.unionByName(last.withColumn("new", F.lit(0))).withColumns({"next": F.lead("ts").over(in_order), "k": F.row_number().over(in_order)})
+    silent = F.col("next").isNull() if mark is None else F.col("next").isNull() & (F.col("ts") + wait <= mark)
+    late = met.where((F.col("status") == "running") & (silent | (F.col("next") > F.col("ts") + wait)))
+    late = late.withColumns({"ts": F.col("ts") + wait, "status": F.lit("error"), "message": F.lit(f"no update for {minutes} minutes"), "cause": F.lit("timeout"), "new": F.lit(1)})
+    every = key.orderBy("k", "cause")
+    fresh = F.col("ts") > F.lag("ts").over(every) + F.expr(f"INTERVAL {days} DAYS")
+    parted = met.unionByName(late).withColumn("life", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(every))
+    life = Window.partitionBy("case_id", "life").orderBy("k", "cause")
+    held = lambda c: F.coalesce(F.max(F.when(F.col("new") == 0, F.col(c))).over(life), F.lit(0))
+    retry = (F.col("status") == "retry") & (F.col("cause") == "event") & (F.col("new") == 1)
+    n = F.count_if(F.col("new") == 1).over(life) + held("n")
+    attempts = F.count_if(retry).over(life) + held("attempts")
+    return parted.select("case_id", n.alias("n"), "ts", "step", "status", "message", attempts.alias("attempts"), "cause", "new").where("new = 1").drop("new")
 
 
 def keep_history(target: str, events: DataFrame, checkpoint: str, minutes: int = 10, days: int = 7, delay: str = "1 minute", trigger: dict | None = None) -> StreamingQuery:
-    """Append the changes of ``case_states`` to the table ``target``, each once."""
-    events.sparkSession.conf.set(_STORE, _ROCKS)
-    out = case_states(events, minutes, days, delay).writeStream.outputMode("append").format("parquet").option("path", target)
-    return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Append the changes CHANGE of a stream of (case_id, ts, step, status, message) to the table ``target``, each once.
+
+    Rows that are ``delay`` behind the latest of the micro-batches before are dropped.
+    """
+    top = f"{checkpoint.rstrip('/')}-states"
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark, done = batch.sparkSession, [n for n in numbered_folders(top) if n < number]
+        held = spark.read.schema(CHANGE).parquet(f"{top}/batch={done[-1]}") if done else spark.createDataFrame([], CHANGE)
+        passed = held.where("cause = 'mark'").select(F.unix_micros("ts")).first()
+        latest = batch.agg(F.unix_micros(F.date_trunc("millisecond", F.max("ts")) - F.expr(f"INTERVAL {delay}"))).first()
+        marks = [r[0] for r in (passed, latest) if r and r[0] is not None]
+        if not marks:  # no event so far
+            return
+        mark, before = F.timestamp_micros(F.lit(max(marks))), F.timestamp_micros(F.lit(passed[0] if passed else None).cast("long"))
+        columns = ["case_id", "ts", "step", "status", "message"]
+        rows = batch.select(columns).where("case_id IS NOT NULL").where(before.isNull() | F.col("ts").isNull() | (F.col("ts") > before))
+        rows = rows.unionByName(held.where("cause = 'waiting'").select(columns))
+        last = held.where("cause IN ('event', 'timeout')")
+        _numbered(rows.where(F.col("ts").isNull() | (F.col("ts") <= mark)), last, mark, minutes, days).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        names = [c.split()[0] for c in CHANGE.split(", ")]
+        new = last.unionByName(spark.read.schema(CHANGE).parquet(f"{target}/batch={number}"))
+        new = new.groupBy("case_id").agg(F.max_by(F.struct(*(c for c in names if c != "case_id")), F.struct("ts", "n")).alias("r")).select("case_id", "r.*")
+        new = new.where(F.coalesce(F.col("status") == "running", F.lit(False)) | F.col("ts").isNull() | (F.col("ts") + F.expr(f"INTERVAL {days} DAYS") > mark))
+        none = {"n": F.lit(None).cast("long"), "attempts": F.lit(None).cast("long")}
+        later = rows.where(F.col("ts") > mark).withColumns({**none, "cause": F.lit("waiting")})
+        beat = spark.range(1).select(F.lit(None).cast("long").alias("case_id"), mark.alias("ts"), *(F.lit(None).cast("string").alias(c) for c in columns[2:])).withColumns({**none, "cause": F.lit("mark")})
+        new.select(names).unionByName(later.select(names)).unionByName(beat.select(names)).write.mode("overwrite").parquet(f"{top}/batch={number}")
+        for n in done[:-1]:
+            drop_folder(f"{top}/batch={n}")
+
+    return events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_history(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(CHANGE).parquet(target)
+    return spark.read.schema(CHANGE).parquet(target).select(*(c.split()[0] for c in CHANGE.split(", ")))
 
 
 def current_states(changes: DataFrame) -> DataFrame:
@@ -137,19 +97,8 @@ def current_states(changes: DataFrame) -> DataFrame:
 
 
 def case_history(events: DataFrame, minutes: int = 10, days: int = 7) -> DataFrame:
-    """The rows CHANGE of a table of events, as ``case_states`` has them once the watermark has passed everything."""
-    known = lambda c: F.asc_nulls_first(c)
-    in_order = Window.partitionBy("case_id").orderBy("ts", known("step"), known("status"), known("message"))
-    wait = F.expr(f"INTERVAL {minutes} MINUTES")
-    rows = events.where("case_id is not null").select("case_id", "ts", "step", "status", "message", F.lead("ts").over(in_order).alias("next"), F.row_number().over(in_order).alias("k"), F.lit("event").alias("cause"))
-    late = rows.where((F.col("status") == "running") & (F.col("next").isNull() | (F.col("next") > F.col("ts") + wait)))
-    late = late.withColumns({"ts": F.col("ts") + wait, "status": F.lit("error"), "message": F.lit(f"no update for {minutes} minutes"), "cause": F.lit("timeout")})
-    every = Window.partitionBy("case_id").orderBy("k", "cause")
-    fresh = F.col("ts") > F.lag("ts").over(every) + F.expr(f"INTERVAL {days} DAYS")
-    parted = rows.unionByName(late).withColumn("life", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(every))
-    life = Window.partitionBy("case_id", "life").orderBy("k", "cause")
-    attempts = F.sum(F.when((F.col("status") == "retry") & (F.col("cause") == "event"), 1).otherwise(0)).over(life)
-    return parted.select("case_id", F.row_number().over(life).cast("long").alias("n"), "ts", "step", "status", "message", attempts.alias("attempts"), "cause")
+    """The rows CHANGE of a table of events, as ``keep_history`` has them once the watermark has passed everything."""
+    return _numbered(events.where("case_id is not null"), events.sparkSession.createDataFrame([], CHANGE), None, minutes, days)
 
 
 # ---- retries and how they ended

@@ -57,3 +57,14 @@ def test_retries_meet_their_outcomes(spark, tmp_path):
         stream = lambda path: spark.readStream.schema(asked.schema).parquet(path)
         states.keep_outcomes(f"{tmp_path}/out", stream(a), stream(e), f"{tmp_path}/cp").awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == want
+
+
+def test_what_is_held_is_a_row_per_key_and_the_waiting_events(spark, tmp_path):
+    """10,000 keys: no call and no state access for each; a key past its retention leaves, and the others stay."""
+    rows = spark.range(10_000).select(F.col("id").alias("case_id"), F.lit("s").alias("step"), F.lit("success").alias("status"), F.lit("m").alias("message"), F.when(F.col("id") < 4000, F.lit("2024-01-01 00:00:00")).otherwise(F.lit("2024-01-09 00:00:00")).cast("timestamp").alias("ts"))
+    last = frame(spark, [(k, "t", "success", "m", "2024-01-09 00:05:00") for k in (1, 5000)])
+    got = run(spark, str(tmp_path), [rows, last], beat=None)
+    assert len(got) == 10_000 and {r[1] for r in got} == {1}
+    held = spark.read.parquet(f"{tmp_path}/cp-states/batch=1")
+    assert {r["cause"]: r["count"] for r in held.groupBy("cause").count().collect()} == {"event": 6000, "waiting": 2, "mark": 1}
+    assert sorted(run(spark, str(tmp_path), []), key=lambda r: r[1])[-1][:2] == (5000, 2)  # a heartbeat makes the waiting ones final
