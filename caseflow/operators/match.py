@@ -280,7 +280,9 @@ def primary_secondary(parties: DataFrame, priority: DataFrame, keys: list[str],
     met = met.where(inside | (close >= threshold)).withColumn("inside", inside).withColumn("close", close)
     order = [F.desc("inside"), *([F.desc(F.length("entry"))] if longest_match else []), F.when(F.col("inside"), F.col("priority")), F.desc("close"), F.col("priority")]
     ranked = first_by(met, ["__name"], *order, F.col("entry")).select("__name", "priority")
-    rows = first_by(parties, [*keys, name], F.col(ordinal)).join(ranked, F.col(name) == F.col("__name"), "left").withColumn("priority", F.coalesce("priority", F.lit(999)))
+    # few names make few groups: the join must not deal the parties by name; one exchange by key then serves both steps
+    named = parties.select(*keys, name, ordinal).join(small(ranked), F.col(name) == F.col("__name"), "left").repartition(*keys)
+    rows = first_by(named, [*keys, name], F.col(ordinal)).withColumn("priority", F.coalesce("priority", F.lit(999)))
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("priority", ordinal))
     rows = rows.withColumn("__n", n).where("__n <= 2")
     return rows.groupBy(*keys).agg(F.max(F.when(F.col("__n") == 1, F.col(name))).alias("primary"), F.max(F.when(F.col("__n") == 2, F.col(name))).alias("secondary"))
