@@ -6,6 +6,8 @@ the join. Distinct names are resolved once and joined back, so the cost follows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,11 @@ def merge_alias_sources(*sources: DataFrame) -> DataFrame:
 def alias_containment(docs: DataFrame, aliases: DataFrame, weights: dict[str, int], keep: str = "doc_id", whole: str | None = None, whole_weight: int = 2) -> DataFrame:
     """The label whose alias a field contains; the heaviest field wins, the alias' ordinal breaks ties.
 
-    Both sides are folded first; lists of any length meet the texts by their q-grams.
+    Both sides are folded first; lists of any length meet the texts by their rare words or q-grams.
     """
     fields = dict(weights) | ({whole: whole_weight} if whole else {})
-    stacked = docs.select(keep, F.explode(F.array(*(F.struct(T.fold(c).alias("body"), F.lit(w).alias("weight")) for c, w in fields.items()))).alias("f")).select(F.struct(keep, "f.weight").alias("key"), "f.body")
+    # by union, not by an array of all fields: a share taken by key then folds only its own texts
+    stacked = reduce(DataFrame.unionByName, (docs.select(F.struct(keep, F.lit(w).alias("weight")).alias("key"), T.fold(c).alias("body")) for c, w in fields.items()))
     named = aliases.select(T.fold("alias").alias("pattern"), F.struct("ordinal", "label").alias("payload"))
     return first_by(contained(stacked, named).select("key.*", "payload.*"), [keep], F.desc("weight"), F.col("ordinal"), F.col("label")).select(keep, "label", F.col("weight").alias("score"))
 

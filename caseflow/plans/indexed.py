@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseflow.functions import text as T
 from caseflow.operators import hooks, match, worklog
 from caseflow.operators.vectors import VectorTable
 from caseflow.plans.catalogue import _pages, query, t
@@ -37,9 +38,8 @@ SELECT doc_id, 'item ' || item_id AS label FROM m WHERE n = 1"""
 )
 def contained_passages(spark, sf_dir):
     """The heads of all benchmark passages as aliases in all documents."""
-    plain = lambda c: F.regexp_replace(c, "[^a-zA-Z ]", " ")
-    aliases = t(spark, sf_dir, "benchmark").select(plain(F.left("text", F.lit(40))).alias("alias"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"), F.col("item_id").alias("ordinal"))
-    docs = t(spark, sf_dir, "documents").select("doc_id", plain(F.col("text")).alias("text"))
+    aliases = t(spark, sf_dir, "benchmark").select(T.letters(F.left("text", F.lit(40))).alias("alias"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"), F.col("item_id").alias("ordinal"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", T.letters("text").alias("text"))
     return match.alias_containment(docs, aliases, {"text": 1}).select("doc_id", "label")
 
 

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from caseflow.functions import text as T
 from caseflow.operators import contain, match
 
 
@@ -37,6 +39,50 @@ def test_long_alias_lists_need_no_bound(spark):
     assert rows == {k: (str(k * 37), 3) for k in range(300)}
 
 
+@pytest.mark.parametrize("few", [100_000, 3])
+@pytest.mark.parametrize("per_text", [0, 1, 1000])
+def test_contained_phrases_equal_all_pairs(spark, few, per_text):
+    """Patterns with inner words, frequent and rare, cut within words; all keyed by words, some, or none."""
+    rng = random.Random(per_text)
+    vocabulary = ["DE", "DA", "X", "", "SÃO", "𝒳Y", "A\tB", *("".join(rng.choices("ABC", k=4)) for _ in range(40))]
+    phrase = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    texts = [(k, phrase(rng.randrange(30))) for k in range(200)] + [(900, None), (901, ""), (902, " "), (903, "DE " * 3000)]
+    cut = lambda b: b[(s := rng.randrange(len(b) + 1)) : s + rng.randrange(1, 25)]
+    patterns = [(cut(rng.choice(texts[:200])[1]), k % 7 or None) for k in range(200)] + [(phrase(3), 1) for _ in range(50)] + [(" DE DE ", 1), (" ", 2), ("  ", None), (None, 3)]
+    t = spark.createDataFrame(texts, "key int, body string").repartition(3)
+    p = spark.createDataFrame(patterns, "pattern string, payload int")
+    got = contain.contained(t, p, few=few, share=2, per_text=per_text)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(k, x, y) for k, b in texts if b for x, y in patterns if x and x in b}
+    assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+
+
+def test_frequent_words_key_no_pattern(spark):
+    """Aliases that share their inner word are keyed by q-grams; those with a rare one by it, and then no q-grams are made."""
+    t = spark.range(64).select(F.col("id").alias("key"), F.concat(F.lit("OF K"), F.lpad("id", 6, "0"), F.lit(" TRADING COMPANY")).alias("body"))
+    common = spark.range(3000).select(F.concat(F.lit("K"), F.lpad("id", 6, "0"), F.lit(" TRADING COMP")).alias("pattern"), F.col("id").alias("payload"))
+    index, by_words, sizes = contain.index_of(t, common, 5, 1)
+    assert not by_words and sizes == [5] and index.count() == 3000
+    rare = spark.range(3000).select(F.concat(F.lit("F K"), F.lpad("id", 6, "0"), F.lit(" TRAD")).alias("pattern"), F.col("id").alias("payload"))
+    index, by_words, sizes = contain.index_of(t, rare, 5, 1)
+    assert by_words and sizes == [] and {r["gram"] for r in index.collect()} == {f"K{k:06d}" for k in range(3000)}
+    for p in (common, rare):
+        assert {tuple(r) for r in contain.contained(t, p, share=1).select("key", "payload").collect()} == {(k, k) for k in range(64)}
+
+
+def test_contained_passages_make_each_body_once(spark, sf_dir):
+    """A text is folded where it is read, in one scan, and its body isn't exchanged; before, three scans folded it and a join sorted it."""
+    got = queries()["contained_passages"](spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("doc_id:bigint,text:string") == 1 and "SortMergeJoin" not in plan
+
+
+def test_letters_equal_the_regex(spark):
+    every = [(chr(k) + "a" + chr(k) * 2 + "Z",) for k in [*range(0x300), 0xFF21, 0x1E9E, 0x212A, 0x1D4B3, 0xFFFD]] + [("",), (None,), ("".join(map(chr, range(0x400))),)]
+    df = spark.createDataFrame(every, "x string")
+    assert df.where(~T.letters("x").eqNullSafe(F.regexp_replace("x", "[^a-zA-Z ]", " "))).count() == 0
+
+
 @pytest.mark.parametrize("threshold, preferred", [(28, ()), (28, ("acao",)), (5, ("bolt", "x")), (60, ())])
 def test_best_option_equals_all_pairs(spark, threshold, preferred):
     rng = random.Random(threshold)
