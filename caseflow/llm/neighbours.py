@@ -220,7 +220,9 @@ def calibrate(index: DataFrame, n: int, dim: int, sample: pd.DataFrame, s: Setti
     owner = index.select(F.explode("ids").alias("vec_id"), "v").join(F.broadcast(truth), "vec_id").select("query_id", "v").toPandas()  # sample_queries * k rows
     if not len(owner):
         return everything
-    some = np.array(index.orderBy("class").limit(s.sample_rows).select("v").toPandas()["v"].tolist())  # classes are hashes
+    first = lambda rows: rows.orderBy("class").limit(s.sample_rows).select("v").toPandas()["v"].tolist()
+    some = first(index.where(F.col("class") < f"{min((1 << 32) - 1, (2 * s.sample_rows << 32) // n):08x}"))  # classes are hashes; else each file sends that many rows
+    some = np.array(some if len(some) == s.sample_rows else first(index))
     near = {qid: np.array(owner["v"].iloc[part].tolist()) for qid, part in owner.groupby("query_id").indices.items()}
     asked = [(np.array(v), near[qid]) for qid, v in zip(sample["query_id"], sample["qv"]) if qid in near]
 
@@ -247,6 +249,18 @@ def calibrate(index: DataFrame, n: int, dim: int, sample: pd.DataFrame, s: Setti
     return best or everything
 
 
+#: Buckets, about, whose sizes are broadcast; more are met by an exchange of the probes.
+FEW_BUCKETS = 500_000
+
+
+def of_buckets(asked: DataFrame, size: DataFrame) -> DataFrame:
+    """``asked`` (a row for each probe) with what ``size`` tells of its bucket; probes of empty buckets go.
+
+    Spark takes the probes for as small as the queries they are made of, so left to itself it would broadcast them.
+    """
+    return asked.join(F.broadcast(size) if size.count() <= FEW_BUCKETS else size.hint("merge"), "bucket")
+
+
 def in_lots(asked: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """``asked`` with each query's lot within its block, and (block, lots): queries of a block dealt by their ids."""
     lots = F.ceil(F.greatest(F.count("*") / s.lot_queries, F.sum(F.size("visits")) / s.lot_visits)).cast("int")
@@ -290,13 +304,13 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings(), vec_i
 
     rows = index.mapInPandas(hash_rows, "bucket long, ids array<long>, v array<double>")
     # a large bucket is dealt to several parts by class; its probes go to all of them
-    size = rows.select("bucket").groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / s.bucket_rows).cast("int").alias("parts"))
+    size = stash(rows.select("bucket").groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / s.bucket_rows).cast("int").alias("parts")), "sizes")
     large = size.where("parts > 1")
     blocks = math.ceil(n * s.tables / s.bucket_rows)
     block = lambda: F.pmod(F.xxhash64("bucket", "part"), F.lit(blocks)).cast("int").alias("block")
     dealt = rows.join(large, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("ids"), F.coalesce("parts", F.lit(1))).cast("int"))
     asked = queries.repartition(parts).mapInPandas(probe_rows, "query_id long, bucket long")
-    asked = asked.join(size, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = of_buckets(asked, size).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = asked.groupBy(block(), "query_id").agg(F.collect_set(F.struct("bucket", "part")).alias("visits"))
     asked, loads = in_lots(stash(asked, "visits"), s)
     asked = asked.join(queries, "query_id")
