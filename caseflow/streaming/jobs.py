@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,79 +165,86 @@ def merge_states(target: str, events: DataFrame, checkpoint: str, trigger: dict
 # ---- arriving documents
 
 
-#: Documents of a bucket in which failing ones are looked for, about; the most buckets; and buckets looked at at once.
-BUCKET, BUCKETS, AT_ONCE = 32, 4096, 8
+#: Documents of a group in which failing ones are looked for first, about; the most groups; parts into which a failing one is dealt, as a power of two; groups tried at once.
+GROUP, GROUPS, PARTS, AT_ONCE = 16, 1 << 14, 2, 16
 _LOST = ("ExecutorLostFailure", "FetchFailed", "cancelled", "CANCELLED", "OutOfMemory")
+#: What moves rows between partitions; tables that are broadcast don't.
+_MOVES = re.compile(r"(?<!Broadcast)(?:Exchange|CollectLimit|TakeOrderedAndProject)\b")
 
 
 def settle(batch: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, key: str = "doc_id") -> None:
     """T4: write ``extract`` of a batch to ``path`` with ``status`` and ``reason``: documents that fail are rows of their own.
 
-    All goes well in one job. If it fails, the batch is dealt into buckets by a hash of the key, written once, so that a job
-    reads its bucket alone; buckets are tried side by side, and failing ones are halved until a failing part is one document.
-    So one bad document costs about ten small jobs, however many there are. What was found is put together and written
-    once. A failure that is the cluster's is raised, so the batch is tried again.
+    All goes well in one job. If it fails, the batch is written once, its documents are dealt into groups by a hash of the
+    key, and failing groups are dealt into parts until a failing one is one document; the others are written in one job. The
+    groups of a level are partitions of one frame, so it is planned once, and each is tried by a job of one task: about ten
+    such jobs for one bad document, however many there are. An extraction that moves rows between partitions is planned for
+    each group. A failure that is the cluster's is raised, so the batch is tried again.
     """
     aside, spark = f"{path.rstrip('/')}-aside".replace("batch=", "pieces-"), batch.sparkSession
     schema = extract(batch.where("false")).schema
+    ready = lambda rows: extract(rows).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason"))
 
-    def attempt(rows: DataFrame, to: str) -> str | None:
+    def error_of(work: Callable[[], object]) -> str | None:
         try:
-            extract(rows).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason")).write.mode("overwrite").parquet(to)
+            work()
         except Exception as error:  # whatever the extraction raises
             if any(w in str(error) for w in _LOST):
                 raise
             return _reason(error)
 
-    if attempt(batch, path) is None:
+    if error_of(lambda: ready(batch).write.mode("overwrite").parquet(path)) is None:
         return
-    hashed = batch.select(key, F.xxhash64(key).alias("__hash")).distinct()
-    bits = min(BUCKETS, max(1, hashed.count() // BUCKET)).bit_length() - 1
-    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    batch.withColumn("__bucket", place).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{aside}/rows")
-    buckets = [r[0] for r in hashed.select(place.alias("b")).distinct().collect()]
-
-    def search(bucket: int) -> tuple[list[str], list[tuple[int, str]]]:
-        """Tables of what went well, and the hashes of the documents that fail, with their reasons."""
-        rows = spark.read.schema(batch.schema).parquet(f"{aside}/rows/__bucket={bucket}")
-        to = f"{aside}/found/{bucket}"
-        error = attempt(rows, to)
-        if error is None:
-            return [to], []
-        good, bad, members = [], [], [r[0] for r in rows.select(F.xxhash64(key)).distinct().collect()]
-        parts = [(bits, bucket, members, error)]
-        while parts:
-            level, value, inside, reason = parts.pop()
-            if len(inside) == 1:
-                bad.append((inside[0], reason))
-                continue
-            for half in (value, value + (1 << level)):
-                own = [h for h in inside if h % (2 << level) == half]
-                if not own:
-                    continue
-                to = f"{aside}/found/{bucket}-{level}-{half}"
-                error = reason if len(own) == len(inside) else attempt(rows.where(F.pmod(F.xxhash64(key), F.lit(2 << level)) == half), to)
-                if error is None:
-                    good.append(to)
-                else:
-                    parts.append((level + 1, half, own, error))
-        return good, bad
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        found = list(pool.map(inheritable_thread_target(search), buckets))
-    pieces, failed = [to for good, _ in found for to in good], [x for _, bad in found for x in bad]
+    batch.withColumn("__hash", F.xxhash64(key)).write.mode("overwrite").parquet(f"{aside}/rows")
+    rows = spark.read.parquet(f"{aside}/rows")
+    hashes = rows.select("__hash").distinct()
+
+    def tried(place: Column, groups: list[int]) -> list[str | None]:
+        """For each group, why it fails, or null."""
+        count = len(groups)
+        at = spark.createDataFrame([(g, k) for k, g in enumerate(groups)], "group long, place int")
+        laid = rows.withColumn("group", place).join(F.broadcast(at), "group").repartitionById(count, "place")
+        made = extract(laid.select(*batch.columns))
+        if len(_MOVES.findall(made._jdf.queryExecution().executedPlan().toString())) == 1:  # our own
+            sizes = made.select(F.array(*(F.octet_length(F.col(f"`{c}`").cast("string")) for c in made.columns))).rdd  # every value is made; little leaves the JVM
+            count_rows = lambda part: [sum(1 for _ in part)]  # noqa: E731  travels by value: workers needn't import this module
+            one = lambda k: error_of(lambda: spark.sparkContext.runJob(sizes, count_rows, [k]))
+        else:
+            one = lambda k: error_of(lambda: extract(laid.where(F.col("place") == k).select(*batch.columns)).write.format("noop").mode("overwrite").save())
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return list(pool.map(inheritable_thread_target(one), range(count)))
+
+    bits = min(GROUPS, max(1, hashes.count() // GROUP)).bit_length() - 1
+    failed, above, inside = [], {}, hashes
+    while True:
+        # groups of this level: their documents, or the only one's hash; a failing group whose documents all stay together needn't be tried
+        place = F.pmod("__hash", F.lit(1 << bits))
+        level = [r.asDict() for r in inside.groupBy(place.alias("group")).agg(F.count("*").alias("n"), F.min("__hash").alias("hash")).collect()]
+        over = {g["group"]: above[g["group"] & (1 << bits - PARTS) - 1] for g in level} if above else {}
+        ask = [g["group"] for g in level if not over or g["n"] < over[g["group"]][0]]
+        reasons = {g: reason for g, (_, reason) in over.items()} | (dict(zip(ask, tried(place, ask))) if ask else {})
+        bad = [g for g in level if reasons[g["group"]] is not None]
+        failed += [(g["hash"], reasons[g["group"]]) for g in bad if g["n"] == 1]
+        above = {g["group"]: (g["n"], reasons[g["group"]]) for g in bad if g["n"] > 1}
+        if not above:
+            break
+        still = spark.createDataFrame([(g,) for g in above], "group long")
+        inside = hashes.withColumn("group", place).join(F.broadcast(still), "group", "left_semi").select("__hash")
+        bits += PARTS
+
     reasons = spark.createDataFrame(failed, "__hash long, reason string")  # a row for each document that fails
-    out = hashed.join(reasons, "__hash").select(key, F.lit("error").alias("status"), "reason")
+    good = rows.join(F.broadcast(reasons), "__hash", "left_anti").select(*batch.columns)
+    ready(good).write.mode("overwrite").parquet(path)
     none = spark.createDataFrame([], schema).select("*", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("reason"))
-    out = none.unionByName(out, allowMissingColumns=True)
-    if pieces:
-        out = out.unionByName(spark.read.schema(out.schema).parquet(*pieces))
-    out.write.mode("overwrite").parquet(path)
+    out = rows.select(key, "__hash").distinct().join(reasons, "__hash").select(key, F.lit("error").alias("status"), "reason")
+    none.unionByName(out, allowMissingColumns=True).write.mode("append").parquet(path)
     drop_folder(aside)
 
 
 def _reason(error: Exception) -> str:
-    lines = [x.strip() for x in str(error).splitlines() if x.strip()]
+    cause = error.java_exception.getCause() if isinstance(error, Py4JJavaError) else None
+    text = str(cause.getMessage()) if cause is not None else str(error)
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
     said = [x for x in lines if not x.startswith(("at ", "File ", "Traceback", "An exception was thrown", "JVM stacktrace"))]
     return (said or lines or [type(error).__name__])[0][:300]
 
